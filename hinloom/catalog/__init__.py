@@ -6,7 +6,7 @@ import importlib
 
 from hinloom.catalog.base import Run
 
-_AREAS = ["network", "algebra"]
+_AREAS = ["network", "algebra", "vectors"]
 
 
 def _catalogs():

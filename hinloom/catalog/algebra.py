@@ -205,7 +205,9 @@ def column_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalog.query("column_similarity_sampled")
 def column_similarity_sampled(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.sampled_column_similarity(order_lines(spark, sf), 0.1, 8)
+    """Estimates for the 0/1 pattern of order lines."""
+    pattern = order_lines(spark, sf).withColumn("value", F.lit(1.0))
+    return matrix.sampled_column_similarity(pattern, 0.1, 8)
 
 
 def part_sizes(spark: SparkSession, sf: str) -> DataFrame:
