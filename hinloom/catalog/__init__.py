@@ -6,7 +6,7 @@ import importlib
 
 from hinloom.catalog.base import Run
 
-_AREAS = ["network", "algebra", "vectors"]
+_AREAS = ["network", "algebra", "vectors", "quality"]
 
 
 def _catalogs():
