@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def rows_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
         raise ValueError("a feature vector is null")
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     width = len(flat) // len(lists)
-    if width * len(lists) != len(flat) or pa.compute.min_max(pa.compute.list_value_length(lists))["max"].as_py() != width:
+    if width * len(lists) != len(flat) or pc.min_max(pc.list_value_length(lists))["max"].as_py() != width:
         raise ValueError("feature vectors differ in length")
     return flat.reshape(len(lists), width)
 
