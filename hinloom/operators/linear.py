@@ -141,7 +141,7 @@ def lasso(df: DataFrame, features: str, label: str, reg: float = 0.01) -> Linear
 def logistic(
     df: DataFrame, features: str, label: str, reg: float = 0.0, family: str = "auto", iterations: int = 100
 ) -> LogisticRegressionModel:
-    return LogisticRegression(regParam=reg, family=family, maxIter=iterations, tol=1e-9).fit(
+    return LogisticRegression(regParam=reg, family=family, maxIter=iterations).fit(
         _vectors(df, features, label)
     )
 
