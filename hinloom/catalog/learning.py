@@ -97,6 +97,15 @@ def flag_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def noisy_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same measures; label 1 is likelier the larger the quantity."""
+    noise = gen.keyed_uniform(F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    return table(spark, sf, "lineitem").select(
+        F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount") * 10, F.col("l_tax") * 10).alias("features"),
+        F.when(F.col("l_quantity") / 50 + noise > 1.0, 1.0).otherwise(0.0).alias("label"),
+    )
+
+
 _FLAGS = """with r as (select [l_quantity / 50, l_extendedprice / 100000, l_discount * 10, l_tax * 10] as x,
   case when l_returnflag = 'R' then 1.0::double else 0.0::double end as y from lineitem),
 m as (select *, 0.1 * x[1] - 0.2 * x[2] + 0.3 * x[3] + 0.4 * x[4] as m from r),
@@ -145,7 +154,7 @@ def least_squares(spark: SparkSession, sf: str) -> DataFrame:
 @catalog.query("logistic_gradient", "select unnest(range(4))::int as i, 0.0::double as gradient")
 def logistic_gradient(spark: SparkSession, sf: str) -> DataFrame:
     """The mean log-loss gradient at the fitted coefficients, to four digits."""
-    rows = flag_rows(spark, sf)
+    rows = noisy_rows(spark, sf)
     model = linear.logistic(rows, "features", "label")
     with_bias = rows.withColumn("features", v.append_bias(F.col("features")))
     weights = [float(c) for c in model.coefficients] + [float(model.intercept)]
@@ -156,7 +165,7 @@ def logistic_gradient(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalog.query("ridge_and_lasso")
 def ridge_and_lasso(spark: SparkSession, sf: str) -> DataFrame:
-    rows = flag_rows(spark, sf)
+    rows = noisy_rows(spark, sf)
     out = []
     for name, model in (("ridge", linear.ridge(rows, "features", "label")), ("lasso", linear.lasso(rows, "features", "label"))):
         out += [(name, i, float(c)) for i, c in enumerate(model.coefficients)]
@@ -166,7 +175,7 @@ def ridge_and_lasso(spark: SparkSession, sf: str) -> DataFrame:
 @catalog.query("linear_svm")
 def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions counted per class."""
-    rows = flag_rows(spark, sf)
+    rows = noisy_rows(spark, sf)
     model = linear.svm(rows, "features", "label", iterations=20)
     scored = linear.predict_class(
         rows, "features", [float(c) for c in model.coefficients], float(model.intercept), 0.0, "margin"
@@ -329,7 +338,7 @@ def tree_models(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalog.query("tree_classifiers")
 def tree_classifiers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = flag_rows(spark, sf)
+    rows = noisy_rows(spark, sf)
     fitted = {
         "tree": trees.tree_classifier(rows, "features", "label", depth=4, impurity="entropy"),
         "forest": trees.forest_classifier(rows, "features", "label", trees=5, depth=4),

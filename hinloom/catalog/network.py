@@ -389,13 +389,13 @@ def rankclass_reweight(spark: SparkSession, sf: str) -> DataFrame:
     _RANK_START
     + _round_sql(1)
     + _round_sql(2)
-    + """select m, x, k, round(round(p, 12), 9) as p from (
+    + """select m, x, k, round(p, 12) as p from (
   select *, row_number() over (partition by m, x order by round(p, 12) desc, k) as n from p2 where p > 0) where n = 1""",
 )
 def rankclass_classes(spark: SparkSession, sf: str) -> DataFrame:
     state = rankclass.run(*rank_inputs(spark, sf))
     near_ties_equal = state.ranks.select("m", "x", *[rounded(f"p{k}", 12).alias(f"p{k}") for k in range(CLASSES)])
-    return rankclass.assign_classes(near_ties_equal, CLASSES).withColumn("p", rounded("p", 9))
+    return rankclass.assign_classes(near_ties_equal, CLASSES)
 
 
 @catalog.query(

@@ -355,7 +355,7 @@ def word2vec_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of the commonest word; the word itself is excluded by key."""
     docs = tokens(spark, sf)
     word = feat.vocabulary(docs, "words", 5).orderBy(F.desc("n"), "term").first()["term"]
-    return feat.synonyms(feat.word2vec(docs, "words", dimension=16, min_count=5), word, 5)
+    return feat.synonyms(feat.word2vec(docs, "words", dimension=16, min_count=5, partitions=8), word, 5)
 
 
 # --- text scans ---------------------------------------------------------------

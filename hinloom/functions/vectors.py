@@ -24,6 +24,21 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+# Up to this length a product with a constant is written out term by term, which
+# compiles into one expression; longer ones loop over the array.
+UNROLLED = 256
+
+
+def dot_constant(x: Column, weights: Sequence[float]) -> Column:
+    """``x . w`` for a constant ``w`` of the same length."""
+    if len(weights) > UNROLLED:
+        return dot(x, array_of(weights))
+    out = F.lit(_ZERO)
+    for i, w in enumerate(weights):
+        out = out + x[i] * float(w)
+    return out
+
+
 def scale(a: float | Column, x: Column) -> Column:
     return F.transform(x, lambda v: v * a)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -69,11 +70,12 @@ def scores(model: NaiveBayesModel, features: str | Column) -> tuple[list[object]
     )
     columns = []
     for row in per_class:
-        theta = vectors.array_of(row["theta"])
-        score = F.lit(row["log_prior"]) + vectors.dot(x, theta)
+        theta, constant = row["theta"], row["log_prior"]
         if model.kind == "bernoulli":
-            absent = F.transform(theta, lambda t: F.log1p(-F.exp(t)))
-            score = score + vectors.total(absent) - vectors.dot(x, absent)
+            absent = [math.log1p(-math.exp(t)) for t in theta]
+            constant += sum(absent)
+            theta = [t - a for t, a in zip(theta, absent)]
+        score = F.lit(constant) + vectors.dot_constant(x, theta)
         columns.append(score)
     return [row["label"] for row in per_class], F.array(*columns)
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hinloom.functions import vectors
@@ -129,7 +129,7 @@ def _moments(df: DataFrame, features: str) -> DataFrame:
 def multiply_local(df: DataFrame, features: str, matrix: Sequence[Sequence[float]], name: str = "product") -> DataFrame:
     """Each row vector times a constant matrix, as array columns."""
     columns = list(zip(*matrix))
-    products = [vectors.dot(double_array(features), vectors.array_of(c)) for c in columns]
+    products = [vectors.dot_constant(double_array(features), c) for c in columns]
     return df.withColumn(name, F.array(*products))
 
 

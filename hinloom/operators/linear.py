@@ -24,7 +24,7 @@ from hinloom.runtime import double_array
 
 
 def margin(features: str | Column, weights: Sequence[float], intercept: float = 0.0) -> Column:
-    return vectors.dot(double_array(features), vectors.array_of(weights)) + F.lit(float(intercept))
+    return vectors.dot_constant(double_array(features), weights) + F.lit(float(intercept))
 
 
 def gradient(
@@ -36,17 +36,20 @@ def gradient(
     """
     x = double_array(features)
     m, y = margin(x, weights), F.col(label).cast("double")
-    scaled = array_to_vector(F.transform(x, lambda v: v * F.col("_slope")))
-    rows = df.select(x.alias(features), loss.value(m, y).alias("_loss"), loss.slope(m, y).alias("_slope"))
-    sums = rows.select(scaled.alias("_g"), "_loss").agg(
-        F.sum("_loss").alias("loss"),
-        F.count(F.lit(1)).alias("n"),
-        Summarizer.metrics("sum").summary(F.col("_g")).alias("s"),
-    )
-    row = sums.select("loss", "n", vector_to_array(F.col("s.sum")).alias("g")).first()
+    rows = df.select(x.alias("_x"), loss.value(m, y).alias("_loss"), loss.slope(m, y).alias("_slope"))
+    sums = [F.sum("_loss").alias("loss"), F.count(F.lit(1)).alias("n")]
+    if len(weights) <= vectors.UNROLLED:
+        parts = [F.sum(F.col("_slope") * F.col("_x")[i]).alias(f"_g{i}") for i in range(len(weights))]
+        row = rows.agg(*sums, *parts).first()
+        g = [row[f"_g{i}"] for i in range(len(weights))]
+    else:
+        scaled = array_to_vector(F.transform("_x", lambda v: v * F.col("_slope")))
+        total = Summarizer.metrics("sum").summary(scaled).alias("s")
+        row = rows.agg(*sums, total).select("loss", "n", vector_to_array(F.col("s.sum")).alias("g")).first()
+        g = row["g"]
     if not row["n"]:
         return 0.0, np.zeros(len(weights)), 0
-    return row["loss"], np.array(row["g"]), row["n"]
+    return row["loss"], np.array(g), row["n"]
 
 
 def updated_weights(

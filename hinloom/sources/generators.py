@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,16 +75,19 @@ def random_values(
     spark: SparkSession, rows: int, distribution: str, *parameters: float, cols: int = 0,
     partitions: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Draws from a named distribution, one seeded stream per partition.
+    """Draws from a named distribution, one stream per partition.
 
+    The partition's first id seeds its stream, wherever the task runs.
     ``(id, value)``, or ``(id, features)`` when ``cols`` is positive.
     """
     if distribution not in _SAMPLERS:
         raise ValueError(f"unknown distribution {distribution}")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        rng = None
         for pdf in frames:
+            if len(pdf) and rng is None:
+                rng = np.random.default_rng([seed, int(pdf["id"].iloc[0])])
             shape = (len(pdf), cols) if cols else len(pdf)
             values = _SAMPLERS[distribution](rng, shape, *parameters)
             if cols:
