@@ -92,7 +92,7 @@ def pathsim_nation_path(spark: SparkSession, sf: str) -> DataFrame:
             (table(spark, sf, "lineitem"), "l_orderkey", "l_partkey"),
         ]
     )
-    return pathsim.pathsim(materialize(w, "path")).withColumn("value", rounded("value"))
+    return pathsim.pathsim(w).withColumn("value", rounded("value"))
 
 
 @catalog.query(

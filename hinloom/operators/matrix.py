@@ -6,10 +6,10 @@ on them is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hinloom.runtime import HOT_CELL, hot_key_join, row_hash
+from hinloom.runtime import HOT_CELL, hot_key_join, materialize
 
 
 def cells(df: DataFrame, i: str, j: str, value: str | None = None) -> DataFrame:
@@ -49,11 +49,15 @@ def multiply(a: DataFrame, b: DataFrame, cell: int | None = HOT_CELL) -> DataFra
 
 
 def self_product(w: DataFrame, cell: int | None = HOT_CELL) -> DataFrame:
-    """``W W^T`` from its upper triangle, mirrored at the end."""
+    """``W W^T`` from its upper triangle, mirrored at the end.
+
+    ``W`` is written first: its key counts and both sides of the join read it.
+    """
+    w = materialize(w, "factor")
     left = w.select("i", F.col("j").alias("_k"), F.col("value").alias("_x"))
     right = w.select(F.col("i").alias("j"), F.col("j").alias("_k"), F.col("value").alias("_y"))
     upper = (
-        hot_key_join(left, right, "_k", cell)
+        hot_key_join(left, right, "_k", cell, "merge")
         .where(F.col("i") <= F.col("j"))
         .groupBy("i", "j")
         .agg(F.sum(F.col("_x") * F.col("_y")).alias("value"))
@@ -241,10 +245,11 @@ def _unit_columns(a: DataFrame) -> DataFrame:
 
 
 def _pair_similarity(unit: DataFrame, cell: int | None) -> DataFrame:
+    unit = materialize(unit, "unit-columns")
     left = unit.select(F.col("j").alias("_p"), F.col("i").alias("_k"), F.col("value").alias("_x"))
     right = unit.select(F.col("j").alias("_q"), F.col("i").alias("_k"), F.col("value").alias("_y"))
     return (
-        hot_key_join(left, right, "_k", cell)
+        hot_key_join(left, right, "_k", cell, "merge")
         .where(F.col("_p") < F.col("_q"))
         .groupBy(F.col("_p").alias("i"), F.col("_q").alias("j"))
         .agg(F.sum(F.col("_x") * F.col("_y")).alias("value"))

@@ -9,7 +9,7 @@ symmetric.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -107,12 +107,8 @@ def normalize_relations(relations: DataFrame, classes: int) -> DataFrame:
     )
     joined = relations.join(rows, ["rel", "row"]).join(cols, ["rel", "col"])
 
-    def scaled(k: int) -> Column:
-        degrees = F.col(f"_r{k}") * F.col(f"_c{k}")
-        return F.when(degrees > 0, F.col(f"w{k}") / F.sqrt(degrees)).otherwise(F.lit(0.0))
-
     kept = [c for c in relations.columns]
-    return joined.select(*kept, *[scaled(k).alias(f"s{k}") for k in range(classes)])
+    return joined.select(*kept, *[_scaled(k).alias(f"s{k}") for k in range(classes)])
 
 
 def update_ranks(
@@ -131,15 +127,31 @@ def update_ranks(
     edge feeds both of its ends.
     """
     ends = _with_end_ranks(normalized, ranks, classes)
+    return _combine(
+        ends, [F.col(f"s{k}") for k in range(classes)], initial, classes, types, lam, alpha, lambda_weighted
+    )
+
+
+def _combine(
+    ends: DataFrame,
+    scaled: Sequence[Column],
+    initial: DataFrame,
+    classes: int,
+    types: int,
+    lam: float,
+    alpha: float,
+    lambda_weighted: bool,
+) -> DataFrame:
+    """New ranks from edges that carry both end ranks and their scaled weight."""
     to_row = F.struct(
         F.col("i").alias("m"),
         F.col("row").alias("x"),
-        *[_mass(f"s{k}", f"_q{k}").alias(f"_a{k}") for k in range(classes)],
+        *[_mass(scaled[k], f"_q{k}").alias(f"_a{k}") for k in range(classes)],
     )
     to_col = F.struct(
         F.col("j").alias("m"),
         F.col("col").alias("x"),
-        *[_mass(f"s{k}", f"_p{k}").alias(f"_a{k}") for k in range(classes)],
+        *[_mass(scaled[k], f"_p{k}").alias(f"_a{k}") for k in range(classes)],
     )
     gathered = (
         ends.select(F.inline(F.array(to_row, to_col)))
@@ -160,9 +172,55 @@ def update_ranks(
     )
 
 
-def _mass(weight: str, rank: str) -> Column:
+def normalize_and_update(
+    relations: DataFrame,
+    ranks: DataFrame,
+    initial: DataFrame,
+    classes: int,
+    types: int,
+    lam: float = LAMBDA,
+    alpha: float = ALPHA,
+    lambda_weighted: bool = False,
+) -> DataFrame:
+    """`normalize_relations` and `update_ranks` in one.
+
+    A node's degrees and ranks are put together first (a table of nodes), so
+    the edges are joined once per end and not once per end and quantity.
+    """
+    names = [f"w{k}" for k in range(classes)]
+    row_end = F.struct(F.lit(0).alias("_end"), F.col("i").alias("m"), F.col("row").alias("x"))
+    col_end = F.struct(F.lit(1).alias("_end"), F.col("j").alias("m"), F.col("col").alias("x"))
+    degrees = (
+        relations.select("rel", F.inline(F.array(row_end, col_end)), *names)
+        .groupBy("rel", "_end", "m", "x")
+        .agg(*[F.sum(w).alias(f"_d{k}") for k, w in enumerate(names)])
+    )
+    nodes = materialize(degrees.join(ranks, ["m", "x"]), "nodes")
+
+    def end(side: int, key: str, degree: str, rank: str) -> DataFrame:
+        return nodes.where(F.col("_end") == side).select(
+            "rel",
+            F.col("x").alias(key),
+            *[F.col(f"_d{k}").alias(f"{degree}{k}") for k in range(classes)],
+            *[F.col(_p(k)).alias(f"{rank}{k}") for k in range(classes)],
+        )
+
+    ends = relations.join(end(0, "row", "_r", "_p"), ["rel", "row"]).join(
+        end(1, "col", "_c", "_q"), ["rel", "col"]
+    )
+    return _combine(
+        ends, [_scaled(k) for k in range(classes)], initial, classes, types, lam, alpha, lambda_weighted
+    )
+
+
+def _scaled(k: int) -> Column:
+    degrees = F.col(f"_r{k}") * F.col(f"_c{k}")
+    return F.when(degrees > 0, F.col(f"w{k}") / F.sqrt(degrees)).otherwise(F.lit(0.0))
+
+
+def _mass(weight: Column, rank: str) -> Column:
     """Neighbours without a positive rank add nothing."""
-    return F.when(F.col(rank) > 0, F.col(weight) * F.col(rank)).otherwise(F.lit(0.0))
+    return F.when(F.col(rank) > 0, weight * F.col(rank)).otherwise(F.lit(0.0))
 
 
 def _with_end_ranks(edges: DataFrame, ranks: DataFrame, classes: int) -> DataFrame:
@@ -225,8 +283,8 @@ def step(
     if only_relations is not None:
         relations = relations.where(F.col("rel").isin(list(only_relations)))
     ranks = materialize(
-        update_ranks(
-            normalize_relations(relations, state.classes),
+        normalize_and_update(
+            relations,
             state.ranks,
             state.initial,
             state.classes,

@@ -90,17 +90,23 @@ def row_hash(df: DataFrame) -> Column:
 
 
 def hot_key_join(
-    left: DataFrame, right: DataFrame, key: str, cell: int | None = HOT_CELL
+    left: DataFrame, right: DataFrame, key: str, cell: int | None = HOT_CELL, hint: str | None = None
 ) -> DataFrame:
     """Inner join on ``key`` in which no task meets a whole hot key.
 
     A key with more than ``cell`` rows on a side is cut into parts of about
     ``cell`` rows, and the parts of the two sides meet as a grid.  Only hot
     keys are replicated.  Key counts use map-side combine; without hot keys
-    (or with ``cell=None``) this is the plain equi join.
+    (or with ``cell=None``) this is the plain equi join.  A ``hint`` names the
+    join strategy; a table joined with itself does best with ``merge``, where
+    both sides read one shuffle.
     """
+
+    def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        return a.join(b.hint(hint) if hint else b, keys)
+
     if cell is None:
-        return left.join(right, key)
+        return joined(left, right, [key])
     counts_l = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l"))
     counts_r = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
     hot = counts_l.join(counts_r, key).where((F.col("_l") > cell) | (F.col("_r") > cell))
@@ -113,7 +119,7 @@ def hot_key_join(
         "hot-keys",
     )
     if hot.isEmpty():
-        return left.join(right, key)
+        return joined(left, right, [key])
     hot = broadcast_if_small(hot)
 
     def cut(side: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
@@ -128,7 +134,7 @@ def hot_key_join(
 
     cut_left = cut(left, "_ls", "_rs", "_pl", "_pr")
     cut_right = cut(right, "_rs", "_ls", "_pr", "_pl")
-    return cut_left.join(cut_right, [key, "_pl", "_pr"]).drop("_pl", "_pr")
+    return joined(cut_left, cut_right, [key, "_pl", "_pr"]).drop("_pl", "_pr")
 
 
 # `monotonically_increasing_id` keeps the partition number above this bit and

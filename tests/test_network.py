@@ -77,6 +77,22 @@ def test_rank_update_by_hand(spark):
     assert weighted == pytest.approx((0.2 * 0.5 * 0.4 + 0.1) / 0.9)
 
 
+def test_one_pass_equals_normalize_then_update(spark):
+    rng = random.Random(9)
+    edges = spark.createDataFrame(
+        [("r", 0, rng.randrange(9), 1, rng.randrange(7), 1.0) for _ in range(60)]
+        + [("s", 0, rng.randrange(9), 0, rng.randrange(9), 2.0) for _ in range(30)],
+        "rel string, i int, row long, j int, col long, w double",
+    )
+    relations = rankclass.relation_table(edges, 2)
+    items = [(0, x) for x in range(9)] + [(1, x) for x in range(7)]
+    ranks = spark.createDataFrame([(m, x, rng.random(), 0.0) for m, x in items], "m int, x long, p0 double, p1 double")
+    key = lambda df: {(r["m"], r["x"]): (r["p0"], r["p1"]) for r in df.collect()}
+    two = key(rankclass.update_ranks(rankclass.normalize_relations(relations, 2), ranks, ranks, 2, 4))
+    one = key(rankclass.normalize_and_update(relations, ranks, ranks, 2, 4))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in two)
+
+
 def test_reweight_by_hand(spark):
     """w = 2 and both ends at the maximum: 2 * (1 + 1/2) = 3; no rank at all: ratio 0."""
     edge = spark.createDataFrame([("r", 0, 0, 1, 0, 2.0, 2.0)], "rel string, i int, row long, j int, col long, w0 double, w1 double")
