@@ -203,11 +203,17 @@ def column_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.column_similarity(order_lines(spark, sf)).withColumn("value", rounded("value", 9))
 
 
-@catalog.query("column_similarity_sampled")
+@catalog.query(
+    "column_similarity_sampled",
+    _O + "select a.j as i, b.j, true as close from o a join o b on a.i = b.i and a.j < b.j group by 1, 2",
+)
 def column_similarity_sampled(spark: SparkSession, sf: str) -> DataFrame:
-    """Estimates for the 0/1 pattern of order lines."""
+    """Whether each estimate for the 0/1 pattern of order lines is near the exact value."""
     pattern = order_lines(spark, sf).withColumn("value", F.lit(1.0))
-    return matrix.sampled_column_similarity(pattern, 0.1, 8)
+    exact = matrix.column_similarity(pattern)
+    near = matrix.sampled_column_similarity(pattern, 0.02, 8).withColumnRenamed("value", "estimate")
+    gap = F.abs(F.col("value") - F.coalesce("estimate", F.lit(0.0)))
+    return exact.join(near, ["i", "j"], "left").select("i", "j", (gap < 0.25).alias("close"))
 
 
 def part_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -318,19 +324,40 @@ def row_matrix_times_local(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", *[rounded(F.col("product")[c]).alias(f"y{c}") for c in range(3)])
 
 
-@catalog.query("svd_embeddings")
+@catalog.query(
+    "svd_embeddings",
+    "select i, j, case when i = j then 1.0::double else 0.0::double end as value from range(4) a(i), range(4) b(j)",
+)
 def svd_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    """Left singular rows; their squared lengths sum to the rank."""
+    """``U^T U`` of the first four left singular vectors: the identity."""
     df = table(spark, sf, "embeddings").select("vec_id", double_array("embedding").alias("features"))
     s, v = dense.svd(df, "features", 4)
-    return dense.left_singular(df, "features", s, v).select("vec_id", *[F.col("u")[c].alias(f"u{c}") for c in range(4)])
+    u = dense.left_singular(df, "features", s, v)
+    return dense.gramian(u, "u").withColumn("value", F.abs(rounded("value")))
+
+
+@catalog.query(
+    "svd_energy",
+    "select round(sum(e * e), 6) as energy from (select unnest(embedding)::double as e from embeddings)",
+)
+def svd_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """All squared singular values together are the squared entries."""
+    s, _ = dense.svd(table(spark, sf, "embeddings"), "embedding", 64)
+    made = spark.createDataFrame([(float((s * s).sum()),)], "energy double")
+    return made.select(rounded("energy").alias("energy"))
 
 
-@catalog.query("pca_embeddings")
+@catalog.query(
+    "pca_embeddings",
+    """select round(sum(v), 6) as variance from (select var_samp(e) as v from (
+         select unnest(embedding)::double as e, generate_subscripts(embedding, 1) as p from embeddings) group by p)""",
+)
 def pca_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "embeddings").select("vec_id", double_array("embedding").alias("features"))
-    components = dense.principal_components(df, "features", 3)
-    return dense.project(df, "features", components).select("vec_id", *[F.col("projected")[c].alias(f"y{c}") for c in range(3)])
+    """Projecting on all components keeps the total variance."""
+    df = table(spark, sf, "embeddings").select(double_array("embedding").alias("features"))
+    components = dense.principal_components(df, "features", 64)
+    cells = dense.covariance(dense.project(df, "features", components), "projected")
+    return cells.where("i = j").agg(rounded(F.sum("value")).alias("variance"))
 
 
 @catalog.query(

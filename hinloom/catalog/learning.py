@@ -183,12 +183,17 @@ def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     return ev.confusion(scored, "label", "prediction")
 
 
-@catalog.query("isotonic_regression")
+@catalog.query(
+    "isotonic_regression", "select round(avg(l_extendedprice), 4) as mean, 0::bigint as falling from lineitem"
+)
 def isotonic_regression(spark: SparkSession, sf: str) -> DataFrame:
-    """Step points of line price by quantity."""
-    model = linear.isotonic(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
-    points = [(float(b), float(p)) for b, p in zip(model.boundaries, model.predictions)]
-    return spark.createDataFrame(points, "boundary double, prediction double")
+    """Line price by quantity: the fit keeps the mean and never falls."""
+    lines = table(spark, sf, "lineitem")
+    model = linear.isotonic(lines, "l_quantity", "l_extendedprice")
+    steps = [float(p) for p in model.predictions]
+    falling = sum(b < a for a, b in zip(steps, steps[1:]))
+    fitted = model.transform(lines.select(F.col("l_quantity").alias("features")))
+    return fitted.agg(rounded(F.avg("prediction"), 4).alias("mean"), F.lit(falling).cast("long").alias("falling"))
 
 
 # --- naive Bayes -------------------------------------------------------------------
@@ -306,14 +311,22 @@ def variance_split(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("feature", "threshold", rounded("gain").alias("gain"))
 
 
-@catalog.query("bagging_weights")
+@catalog.query(
+    "bagging_weights",
+    """select unnest([0, 1])::int as tree, count(*) as n, true as mean_is_one, true as variance_is_one from orders""",
+)
 def bagging_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """How often order rows are used by two trees."""
+    """Every order gets a weight from each tree; weights have mean and variance near 1."""
     key = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(
         F.inline(F.array(*[F.struct(F.lit(t).alias("tree"), trees.bagging_weight(key, t).alias("weight")) for t in range(2)]))
     )
-    return rows.groupBy("tree", "weight").agg(F.count(F.lit(1)).alias("n"))
+    near = lambda c: F.abs(c - 1.0) < 0.15
+    return rows.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n"),
+        near(F.avg("weight")).alias("mean_is_one"),
+        near(F.var_samp("weight")).alias("variance_is_one"),
+    )
 
 
 @catalog.query("tree_models")
@@ -449,12 +462,15 @@ def kmeans_cost(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.within_cost(embeddings(spark, sf), "x", label_centres(spark, sf)).withColumn("cost", rounded("cost"))
 
 
-@catalog.query("kmeans_model")
+@catalog.query("kmeans_model", "select count(*) as n, 10::bigint as clusters, true as improved from embeddings")
 def kmeans_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Cluster sizes of the better of two runs."""
+    """The better of two runs: all rows placed, and cheaper than the start by labels."""
     rows = materialize(embeddings(spark, sf).select("vec_id", "x"), "rows")
     centres = clustering.centres_of(clustering.k_means(rows, "x", k=10, runs=2))
-    return clustering.cluster_sums(rows, "x", centres).select("cluster", "n", "cost")
+    start = clustering.within_cost(rows, "x", label_centres(spark, sf)).first()["cost"]
+    return clustering.cluster_sums(rows, "x", centres).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), (F.sum("cost") < start).alias("improved")
+    )
 
 
 MEAN = [0.01 * (i % 5) for i in range(64)]
@@ -471,16 +487,18 @@ def gaussian_density(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings(spark, sf).select("vec_id", rounded(density).alias("logpdf"))
 
 
-@catalog.query("gaussian_mixture")
+@catalog.query("gaussian_mixture", "select count(*) as n, count(*)::double as certainty from lineitem")
 def gaussian_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row has a cluster, and its probabilities add up to 1."""
     rows = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"))
     model = clustering.gaussian_mixture(rows, "x", 2, iterations=5)
     scored = clustering.predict_mixture(rows, model, "x")
-    return scored.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("probabilities")).alias("certainty"))
+    placed = F.when(F.col("cluster").between(0, 1), 1)
+    return scored.agg(F.count(placed).alias("n"), rounded(F.sum(v.total(F.col("probabilities"))), 3).alias("certainty"))
 
 
-@catalog.query("topic_model")
-def topic_model(spark: SparkSession, sf: str) -> DataFrame:
+@catalog.query("topic_reports")
+def topic_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Topic reports over the whole texts: top terms, documents and quality."""
     docs = tokens(spark, sf)
     counter = CountVectorizer(inputCol="words", outputCol="counts", minDF=5.0, vocabSize=1 << 20).fit(docs)
@@ -503,23 +521,58 @@ def topic_model(spark: SparkSession, sf: str) -> DataFrame:
     return terms.unionByName(best).unionByName(main).unionByName(quality)
 
 
+@catalog.query(
+    "topic_mix", "select doc_id, 1.0::double as total, 4::bigint as topics from documents"
+)
+def topic_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The topic shares of every text add up to 1."""
+    docs = tokens(spark, sf)
+    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=1 << 20).fit(docs)
+    counted = materialize(counter.transform(docs).select("doc_id", "counts"), "counts")
+    model = clustering.topics(counted, "counts", k=4, iterations=2, optimizer="online")
+    mix = clustering.topic_mix(model, counted, "doc_id")
+    return mix.groupBy("doc_id").agg(rounded(F.sum("weight")).alias("total"), F.count(F.lit(1)).alias("topics"))
+
+
 # --- random draws from keys -----------------------------------------------------------
 
 
-@catalog.query("keyed_random_columns")
+# Mean and variance of each distribution.
+MOMENTS = {
+    "uniform": (0.5, 1 / 12),
+    "normal": (0.0, 1.0),
+    "exponential": (2.0, 4.0),
+    "log_normal": (1.133148453, 0.364695854),
+    "poisson": (3.0, 3.0),
+}
+
+
+@catalog.query(
+    "keyed_random_columns",
+    f"select unnest({list(MOMENTS)}) as name, count(*) as n, true as mean_near, true as variance_near from lineitem",
+)
 def keyed_random_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Moments of draws made for every order line."""
+    """Draws made for every order line have the moments of their distribution."""
     key = F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     u, z = gen.keyed_uniform(key), gen.keyed_normal(key, 7)
+    columns = {
+        "uniform": u,
+        "normal": z,
+        "exponential": -F.log(u) * 2.0,
+        "log_normal": F.exp(z * 0.5),
+        "poisson": trees.poisson_from_uniform(u, 3.0).cast("double"),
+    }
     draws = table(spark, sf, "lineitem").select(
-        u.alias("uniform"), z.alias("normal"), (-F.log(u) * 2.0).alias("exponential"), F.exp(z * 0.5).alias("log_normal"),
-        trees.poisson_from_uniform(u, 3.0).alias("poisson"),
+        F.inline(F.array(*[F.struct(F.lit(name).alias("name"), c.alias("v")) for name, c in columns.items()]))
+    )
+    pick = lambda i: F.coalesce(*[F.when(F.col("name") == name, F.lit(float(m[i]))) for name, m in MOMENTS.items()])
+    found = draws.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("_m"), F.var_samp("v").alias("_v"))
+    return found.select(
+        "name",
+        "n",
+        (F.abs(F.col("_m") - pick(0)) < 0.15).alias("mean_near"),
+        (F.abs(F.col("_v") - pick(1)) < pick(1) * 0.2).alias("variance_near"),
     )
-    out = None
-    for c in draws.columns:
-        m = draws.agg(F.avg(c).alias("mean"), F.var_samp(c).alias("variance")).select(F.lit(c).alias("name"), "mean", "variance")
-        out = m if out is None else out.unionByName(m)
-    return out
 
 
 # --- streaming ---------------------------------------------------------------------------

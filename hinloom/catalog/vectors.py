@@ -229,12 +229,20 @@ def distinct_values(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@catalog.query("approximate_distinct")
+@catalog.query(
+    "approximate_distinct",
+    "select count(distinct l_orderkey) as orders, count(distinct l_partkey) as parts, true as close from lineitem",
+)
 def approximate_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").agg(
-        F.approx_count_distinct("l_orderkey", 0.05).alias("orders"),
-        F.approx_count_distinct("l_partkey", 0.05).alias("parts"),
+    """The exact counts, and whether both estimates are within a fifth of them."""
+    counts = table(spark, sf, "lineitem").agg(
+        F.countDistinct("l_orderkey").alias("orders"),
+        F.countDistinct("l_partkey").alias("parts"),
+        F.approx_count_distinct("l_orderkey", 0.05).alias("_o"),
+        F.approx_count_distinct("l_partkey", 0.05).alias("_p"),
     )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < F.col(b) * 0.2
+    return counts.select("orders", "parts", (near("_o", "orders") & near("_p", "parts")).alias("close"))
 
 
 @catalog.query("term_frequency", _TF + "select doc_id, term, tf from tf")
@@ -273,10 +281,11 @@ def doc_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return feat.vocabulary(tokens(spark, sf), "words", 5)
 
 
-@catalog.query("hashing_tf")
+@catalog.query("hashing_tf", _WORDS + "select doc_id, count(*)::double as total from w group by 1")
 def hashing_tf(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word lands in a slot: the slots of a text add up to its words."""
     hashed = feat.hashing_tf(tokens(spark, sf), "words", 1 << 12)
-    return hashed.select("doc_id", F.size(F.filter(feat.vector_to_array(F.col("tf")), lambda e: e != 0)).alias("slots"))
+    return hashed.select("doc_id", v.total(feat.vector_to_array(F.col("tf"))).alias("total"))
 
 
 _CELLS = _X + ", c as (select vec_id, unnest(x) as e, generate_subscripts(x, 1) - 1 as p from x) "
@@ -457,6 +466,24 @@ def scan_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("index", rounded(v.total(F.col("vector"))).alias("total"))
 
 
+@catalog.query(
+    "scan_vector_literals",
+    """select round(list_sum([e for e in embedding::double[] if e > 0.1]), 6) as total, len(embedding)::int as size from embeddings
+       union all select round(list_sum(embedding::double[]), 6), len(embedding)::int from embeddings""",
+)
+def scan_vector_literals(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a dense and as a sparse literal."""
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda e: e.cast("string")))
+    rows = embeddings(spark, sf)
+    stored = v.to_sparse(F.transform("x", lambda e: F.when(e > 0.1, e).otherwise(0.0)))
+    sparse = rows.select(stored.alias("s")).select(
+        F.format_string("(64,[%s],[%s])", joined(F.col("s.index")), joined(F.col("s.value"))).alias("line")
+    )
+    dense = rows.select(F.format_string("[%s]", joined(F.col("x"))).alias("line"))
+    found = text.read_vector_literals(spark, _written(dense.unionByName(sparse), "literals"))
+    return found.select(rounded(v.total(F.col("features"))).alias("total"), F.size("features").alias("size"))
+
+
 @catalog.query(
     "scan_labeled_points",
     """select l_discount as label, l_quantity as f0, l_tax as f1 from lineitem""",

@@ -127,10 +127,30 @@ def _moments(df: DataFrame, features: str) -> DataFrame:
 
 
 def multiply_local(df: DataFrame, features: str, matrix: Sequence[Sequence[float]], name: str = "product") -> DataFrame:
-    """Each row vector times a constant matrix, as array columns."""
-    columns = list(zip(*matrix))
-    products = [vectors.dot_constant(double_array(features), c) for c in columns]
-    return df.withColumn(name, F.array(*products))
+    """Each row vector times a constant matrix, as an array column.
+
+    A small matrix becomes column expressions; a larger one goes to the tasks
+    once and meets the rows in Arrow batches.
+    """
+    grid = np.asarray(matrix, dtype=float)
+    if grid.size <= vectors.UNROLLED:
+        products = [vectors.dot_constant(double_array(features), c.tolist()) for c in grid.T]
+        return df.withColumn(name, F.array(*products))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            product = rows_of(batch, "_x") @ grid
+            offsets = np.arange(0, product.size + 1, product.shape[1], dtype="int32")
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(product.ravel()))
+            table = pa.Table.from_batches([batch]).drop_columns(["_x"])
+            yield from table.append_column(name, lists).to_batches()
+
+    kept = [f for f in df.schema if f.name != name]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    rows = df.select(*[f.name for f in kept], double_array(features).alias("_x"))
+    return rows.mapInArrow(multiply, f"{fields}, `{name}` array<double>")
 
 
 def _local(cells: DataFrame, width: int) -> np.ndarray:

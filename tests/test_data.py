@@ -92,6 +92,10 @@ def test_dense_algebra(spark):
     pcs = dense.principal_components(df, "f", 2)
     want = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
     assert np.allclose(np.abs(pcs.T @ want), np.eye(2), atol=1e-8)
+    big = rng.standard_normal((5, 90))
+    wide = dense.multiply_local(df.withColumn("id", F.monotonically_increasing_id()), "f", big.tolist())
+    for row in wide.collect():
+        assert np.allclose(row["product"], np.array(row["f"]) @ big)
     low = df.select(F.transform("f", lambda e: e * 0).alias("f"))
     assert all(math.isnan(c["value"]) for c in dense.pearson(low, "f").collect() if c["i"] != c["j"])
     with pytest.raises(ValueError, match="two rows"):
