@@ -487,6 +487,20 @@ def gaussian_density(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings(spark, sf).select("vec_id", rounded(density).alias("logpdf"))
 
 
+@catalog.query(
+    "gaussian_density_full",
+    """select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(-ln(2 * pi()) - 0.5 * ln(0.75::double)
+         - 0.5 * (1.0 * u * u - 2 * 0.5 * u * w + 1.0 * w * w) / 0.75::double, 6) as logpdf from (
+       select *, l_quantity / 50 - 0.5 as u, l_discount * 10 - 0.5 as w from lineitem)""",
+)
+def gaussian_density_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlated components, against the two-dimensional closed form."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    rows = table(spark, sf, "lineitem").select(*keys, F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"))
+    found = clustering.gaussian_logpdf(rows, "x", [0.5, 0.5], [[1.0, 0.5], [0.5, 1.0]])
+    return found.select(*keys, rounded("logpdf").alias("logpdf"))
+
+
 @catalog.query("gaussian_mixture", "select count(*) as n, count(*)::double as certainty from lineitem")
 def gaussian_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Every row has a cluster, and its probabilities add up to 1."""

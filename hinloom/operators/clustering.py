@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,18 +12,31 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hinloom.operators.dense import rows_of
+from hinloom.functions import vectors
+from hinloom.operators.dense import multiply_local, rows_of
 from hinloom.operators.ordering import top_k_per_key
 from hinloom.runtime import double_array
 
 
-def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances; the difference form is exact where it matters, near a centre."""
-    out = np.empty((len(x), len(centres)))
-    for c, centre in enumerate(centres):
-        gap = x - centre
-        out[:, c] = np.einsum("ij,ij->i", gap, gap)
-    return out
+# Values of a batch handled at once, so wide rows do not multiply its memory.
+_CHUNK_VALUES = 1 << 22
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, nearest centre, squared distance)`` in chunks of rows.
+
+    One matrix product ranks the centres; the distance to the chosen one is
+    then taken from the differences, which keeps its digits.
+    """
+    middle = centres.mean(axis=0)
+    shifted = centres - middle
+    lengths = np.einsum("ij,ij->i", shifted, shifted)
+    step = max(1, _CHUNK_VALUES // max(1, x.shape[1]))
+    for start in range(0, len(x), step):
+        rows = x[start : start + step]
+        best = (lengths - 2.0 * ((rows - middle) @ shifted.T)).argmin(axis=1)
+        gap = rows - centres[best]
+        yield rows, best, np.einsum("ij,ij->i", gap, gap)
 
 
 def assign(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) -> DataFrame:
@@ -34,11 +48,10 @@ def assign(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) ->
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            d = _distances(rows_of(batch, "_x"), grid)
-            best = d.argmin(axis=1)
+            _, best, d = map(np.concatenate, zip(*_nearest(rows_of(batch, "_x"), grid)))
             table = pa.Table.from_batches([batch]).drop_columns(["_x"])
             table = table.append_column("cluster", pa.array(best.astype("int32")))
-            table = table.append_column("sq_distance", pa.array(d[np.arange(len(d)), best]))
+            table = table.append_column("sq_distance", pa.array(d))
             yield from table.to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -58,12 +71,12 @@ def cluster_sums(df: DataFrame, features: str, centres: Sequence[Sequence[float]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = rows_of(batch, "x")
-            d = _distances(x, grid)
-            best = d.argmin(axis=1)
-            n += np.bincount(best, minlength=k)
-            cost += np.bincount(best, weights=d[np.arange(len(d)), best], minlength=k)
-            np.add.at(sums, best, x)
+            for rows, best, d in _nearest(rows_of(batch, "x"), grid):
+                n += np.bincount(best, minlength=k)
+                cost += np.bincount(best, weights=d, minlength=k)
+                members = np.zeros((len(rows), k))
+                members[np.arange(len(rows)), best] = 1.0
+                sums += members.T @ rows
         hit = np.flatnonzero(n)
         # Sums travel by position, so that the shuffle adds them up.
         yield pa.RecordBatch.from_arrays(
@@ -157,6 +170,26 @@ def predict_mixture(df: DataFrame, model: GaussianMixtureModel, features: str) -
     )
 
 
+def gaussian_logpdf(
+    df: DataFrame, features: str, mean: Sequence[float], covariance: Sequence[Sequence[float]], name: str = "logpdf"
+) -> DataFrame:
+    """Add the log density of a normal with the given mean and covariance.
+
+    Directions of (numerically) zero variance are left out, as a
+    pseudo-inverse and pseudo-determinant do; all zero raises.
+    """
+    values, basis = np.linalg.eigh(np.asarray(covariance, dtype=float))
+    kept = values > np.finfo(float).eps * max(values.max(), 0.0) * len(values)
+    if not kept.any():
+        raise ValueError("the covariance has no non-zero variance")
+    whitening = basis[:, kept] / np.sqrt(values[kept])
+    constant = -0.5 * (len(mean) * math.log(2 * math.pi) + float(np.log(values[kept]).sum()))
+    centred = F.zip_with(double_array(features), vectors.array_of(mean), lambda x, m: x - m)
+    white = multiply_local(df.withColumn("_centred", centred), "_centred", whitening.tolist(), "_white")
+    squares = vectors.total(F.transform("_white", lambda v: v * v))
+    return white.withColumn(name, F.lit(constant) - squares * 0.5).drop("_centred", "_white")
+
+
 def topics(
     docs: DataFrame,
     counts: str,

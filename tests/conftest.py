@@ -13,5 +13,6 @@ from hinloom.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "hinloom-tests")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

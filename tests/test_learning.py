@@ -177,6 +177,24 @@ def test_k_means_finds_blobs(spark):
     assert kept["n"] == 0 and kept["centre"] == [1e9, 1e9]
 
 
+def test_nearest_far_from_the_origin_and_ties(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 3)) + 1e6
+    centres = x[:5].tolist() + [x[0].tolist()]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, f array<double>")
+    d = ((x[:, None, :] - np.array(centres)[None]) ** 2).sum(axis=2)
+    for row in clustering.assign(df, "f", centres).collect():
+        assert row["cluster"] == d[row["id"]].argmin() and row["sq_distance"] == pytest.approx(d[row["id"]].min())
+
+
+def test_degenerate_gaussian(spark):
+    df = spark.createDataFrame([([1.0, 1.0],)], "f array<double>")
+    got = clustering.gaussian_logpdf(df, "f", [0.0, 0.0], [[1.0, 1.0], [1.0, 1.0]]).first()["logpdf"]
+    assert got == pytest.approx(-np.log(2 * np.pi) - 0.5 * np.log(2.0) - 0.5)
+    with pytest.raises(ValueError, match="non-zero"):
+        clustering.gaussian_logpdf(df, "f", [0.0, 0.0], [[0.0, 0.0], [0.0, 0.0]])
+
+
 def test_topics_in_both_ways(spark):
     from pyspark.ml.functions import array_to_vector
 
