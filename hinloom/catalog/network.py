@@ -45,6 +45,22 @@ def pathsim_topk(spark: SparkSession, sf: str) -> DataFrame:
     return pathsim.pathsim_top_k(supplier_parts(spark, sf), 5).withColumn("value", rounded("value"))
 
 
+@catalog.query(
+    "pathsim_customer_segment",
+    """with w as (select c_custkey as i, c_nationkey as k, c_mktsegment as s from customer),
+    m as (select a.i, b.i as j, ((a.k = b.k)::int + (a.s = b.s)::int) / 2.0::double as s from w a join w b
+          on (a.k = b.k or a.s = b.s) and a.i <> b.i)
+    select i, j, s as value, r::int as rank from (select *, row_number() over (partition by i order by s desc, j) as r from m)
+    where r <= 4""",
+)
+def pathsim_customer_segment(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers over nation and segment: each middle node is hot, and many customers are equal."""
+    customers = table(spark, sf, "customer")
+    nation = customers.select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("mid"))
+    edges = nation.unionByName(customers.select("c_custkey", F.col("c_mktsegment").alias("mid")))
+    return pathsim.pathsim_top_k(pathsim.incidence(edges, "c_custkey", "mid"), 4)
+
+
 @catalog.query(
     "commuting_matrix",
     """

@@ -46,6 +46,28 @@ def test_both_forms_agree_and_hot_keys_change_nothing(spark):
     assert plain == pytest.approx(brute)
 
 
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_top_k_with_a_third_of_equal_rows(spark, k):
+    """120 rows hang on one middle node only, others share a few patterns."""
+    rng = random.Random(k)
+    edges = {(r, 0) for r in range(0, 360, 3)}
+    edges |= {(r, m) for r in range(1, 360, 3) for m in ((0, 1) if r % 2 else (1, 2, 3))}
+    edges |= {(r, rng.randrange(6)) for r in range(2, 360, 3) for _ in range(4)}
+    rows = {}
+    for r, m in edges:
+        rows.setdefault(r, set()).add(m)
+    want = {}
+    for a, x in rows.items():
+        scored = sorted((-2 * len(x & y) / (len(x) + len(y)), b) for b, y in rows.items() if b != a and x & y)
+        want[a] = [(b, -v) for v, b in scored[:k]]
+    w = pathsim.incidence(spark.createDataFrame(list(edges), "r long, m long"), "r", "m")
+    got = {}
+    for r in pathsim.pathsim_top_k(w, k).orderBy("i", "rank").collect():
+        got.setdefault(r["i"], []).append((r["j"], r["value"]))
+    assert got == want
+    assert pathsim.row_classes(w).select("class").distinct().count() < 70
+
+
 def test_duplicate_policies(spark):
     edges = spark.createDataFrame([(0, 1), (0, 1), (0, 2)], "r long, m long")
     assert cells(pathsim.incidence(edges, "r", "m"))[(0, 1)] == 1.0
