@@ -172,9 +172,22 @@ def _combine(
     )
 
 
+def node_table(relations: DataFrame, ranks: DataFrame, classes: int) -> DataFrame:
+    """Degrees and ranks of every node per relation and end, one row each."""
+    names = [f"w{k}" for k in range(classes)]
+    row_end = F.struct(F.lit(0).alias("_end"), F.col("i").alias("m"), F.col("row").alias("x"))
+    col_end = F.struct(F.lit(1).alias("_end"), F.col("j").alias("m"), F.col("col").alias("x"))
+    degrees = (
+        relations.select("rel", F.inline(F.array(row_end, col_end)), *names)
+        .groupBy("rel", "_end", "m", "x")
+        .agg(*[F.sum(w).alias(f"_d{k}") for k, w in enumerate(names)])
+    )
+    return degrees.join(ranks, ["m", "x"])
+
+
 def normalize_and_update(
     relations: DataFrame,
-    ranks: DataFrame,
+    nodes: DataFrame,
     initial: DataFrame,
     classes: int,
     types: int,
@@ -182,20 +195,10 @@ def normalize_and_update(
     alpha: float = ALPHA,
     lambda_weighted: bool = False,
 ) -> DataFrame:
-    """`normalize_relations` and `update_ranks` in one.
+    """`normalize_relations` and `update_ranks` in one, from a written `node_table`.
 
-    A node's degrees and ranks are put together first (a table of nodes), so
-    the edges are joined once per end and not once per end and quantity.
+    The edges are joined once per end and not once per end and quantity.
     """
-    names = [f"w{k}" for k in range(classes)]
-    row_end = F.struct(F.lit(0).alias("_end"), F.col("i").alias("m"), F.col("row").alias("x"))
-    col_end = F.struct(F.lit(1).alias("_end"), F.col("j").alias("m"), F.col("col").alias("x"))
-    degrees = (
-        relations.select("rel", F.inline(F.array(row_end, col_end)), *names)
-        .groupBy("rel", "_end", "m", "x")
-        .agg(*[F.sum(w).alias(f"_d{k}") for k, w in enumerate(names)])
-    )
-    nodes = materialize(degrees.join(ranks, ["m", "x"]), "nodes")
 
     def end(side: int, key: str, degree: str, rank: str) -> DataFrame:
         return nodes.where(F.col("_end") == side).select(
@@ -282,19 +285,14 @@ def step(
     relations = state.relations
     if only_relations is not None:
         relations = relations.where(F.col("rel").isin(list(only_relations)))
+    nodes = materialize(node_table(relations, state.ranks, state.classes), "nodes")
     ranks = materialize(
         normalize_and_update(
-            relations,
-            state.ranks,
-            state.initial,
-            state.classes,
-            state.types,
-            lam,
-            alpha,
-            lambda_weighted,
+            relations, nodes, state.initial, state.classes, state.types, lam, alpha, lambda_weighted
         ),
         "ranks",
     )
+    discard(nodes)
     weights = materialize(reweight(state.relations, ranks, state.classes, t), "relations")
     return replace(state, ranks=ranks, relations=weights, round=t)
 

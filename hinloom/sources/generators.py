@@ -153,7 +153,7 @@ def logistic_points(spark: SparkSession, n: int, dims: int, eps: float, probabil
 
 def svm_points(spark: SparkSession, n: int, dims: int, partitions: int = 2, seed: int = 42) -> DataFrame:
     """Label 1 where ``w . x + 0.1 N(0, 1)`` is positive; ``x`` uniform in [-1, 1)."""
-    weights = np.random.default_rng(94720).standard_normal(dims)
+    weights = np.random.default_rng(seed).standard_normal(dims)
     x = F.array(*[F.rand(seed + d) * 2.0 - 1.0 for d in range(dims)])
     rows = _ids(spark, n, partitions).withColumn("features", x)
     score = vectors.dot(F.col("features"), vectors.array_of(weights)) + F.randn(seed + 999) * 0.1

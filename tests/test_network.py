@@ -111,7 +111,8 @@ def test_one_pass_equals_normalize_then_update(spark):
     ranks = spark.createDataFrame([(m, x, rng.random(), 0.0) for m, x in items], "m int, x long, p0 double, p1 double")
     key = lambda df: {(r["m"], r["x"]): (r["p0"], r["p1"]) for r in df.collect()}
     two = key(rankclass.update_ranks(rankclass.normalize_relations(relations, 2), ranks, ranks, 2, 4))
-    one = key(rankclass.normalize_and_update(relations, ranks, ranks, 2, 4))
+    nodes = rankclass.node_table(relations, ranks, 2)
+    one = key(rankclass.normalize_and_update(relations, nodes, ranks, 2, 4))
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in two)
 
 
