@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hinloom.catalog.base import Catalog, table
-from hinloom.llm import packing
+from hinloom.llm import lines, packing, urls
+from hinloom.llm import token_counts as counting
 from hinloom.llm.vocabularies import public_path
 
 catalog = Catalog()
@@ -14,3 +15,49 @@ catalog = Catalog()
 @catalog.query("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_path("byte_bpe_50k.json"))
+
+
+# The rules of the query: longest match wins.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@catalog.query(
+    "op3_url_filters",
+    """with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from u),
+r(v, h, t) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m as (select page_id, host, path, v, h || t as rule, row_number() over (partition by page_id order by length(h || t) desc nulls last) as n
+    from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, t))
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from m where n = 1""",
+)
+def url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(table(spark, sf, "pages"), urls.rules(spark, URL_RULES))
+
+
+@catalog.query(
+    "op4_line_dedup",
+    """with d as (select doc_id, coalesce(source, '') as site, string_split(text, chr(10)) as lines from documents),
+t as (select site, count(*) as total from d group by 1),
+l as (select site, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) as line from d),
+b as (select site, line from l join t using (site) group by 1, 2 having count(*) >= 5 and count(*) > max(total) * cast(0.08 as double)),
+s as (select site, list(line) as bad from b group by 1),
+k as (select doc_id, lines, list_filter(lines, lambda x: not list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(13)))) as kept
+    from d left join s using (site))
+select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(lines) - len(kept), 0) as n_dropped,
+  case when lines is null then null else array_to_string(kept, chr(10)) end as text from k""",
+)
+def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.drop_boilerplate(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@catalog.query("op9_token_counts")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return counting.count_tokens(table(spark, sf, "documents"), public_path("byte_bpe_50k.json"))
