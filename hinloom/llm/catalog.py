@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hinloom.catalog.base import Catalog, table
-from hinloom.llm import lines, packing, urls
+from hinloom.llm import ann, bpe, hamming, lines, packing, urls
 from hinloom.llm import token_counts as counting
 from hinloom.llm.vocabularies import public_path
 
@@ -61,3 +62,37 @@ def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @catalog.query("op9_token_counts")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counting.count_tokens(table(spark, sf, "documents"), public_path("byte_bpe_50k.json"))
+
+
+@catalog.query("op5_byte_level_bpe")
+def byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_and_decode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+# Queries of the searches: the rows whose id is divisible by this.
+QUERY_STRIDE = 50
+
+
+@catalog.query("op6_approximate_nearest_neighbours")
+def approximate_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = ann.nearest(rows, rows.where(F.col("id") % QUERY_STRIDE == 0), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@catalog.query(
+    "op10_exact_top_k_search",
+    """with c as (select vec_id, list_transform(embedding, lambda x: x > 0) as code from embeddings where len(embedding) = 64),
+p as (select q.vec_id as query_id, r.vec_id, cast(len(list_filter(list_zip(q.code, r.code), lambda z: z[1] <> z[2])) as integer) as distance
+    from c q join c r on q.vec_id <> r.vec_id where q.vec_id % 50 = 0),
+n as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from p)
+select query_id, cast(rank as integer) as rank, vec_id, distance from n where rank <= 10""",
+)
+def exact_top_k_search(spark: SparkSession, sf: str) -> DataFrame:
+    code = hamming.sign_code(F.col("embedding"), 64)
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), code.alias("code"))
+    found = hamming.nearest(rows, rows.where(F.col("id") % QUERY_STRIDE == 0), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
