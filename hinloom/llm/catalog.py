@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hinloom.catalog.base import Catalog, table
-from hinloom.llm import ann, bpe, hamming, lines, packing, urls
+from hinloom.llm import ann, bpe, hamming, lines, near_dedup, packing, urls
 from hinloom.llm import token_counts as counting
 from hinloom.llm.vocabularies import public_path
 
@@ -96,3 +96,21 @@ def exact_top_k_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), code.alias("code"))
     found = hamming.nearest(rows, rows.where(F.col("id") % QUERY_STRIDE == 0), 10)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+@catalog.query(
+    "op2_minhash_near_dedup",
+    r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k
+    from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * k >= 75 * (na + nb - k)),
+r as (select doc_id, doc_id as c from s union select r.doc_id, l.b from r join l on r.c = l.a),
+m as (select doc_id, min(c) as component_id from r group by 1)
+select doc_id, cast(len(sh) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join m using (doc_id)""",
+)
+def minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
