@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hinloom.catalog.base import Catalog, table
-from hinloom.llm import ann, bpe, hamming, lines, near_dedup, packing, urls
+from hinloom.llm import ann, bpe, chat, hamming, lines, near_dedup, packing, toxicity, urls
 from hinloom.llm import token_counts as counting
 from hinloom.llm.vocabularies import public_path
 
@@ -113,4 +113,15 @@ m as (select doc_id, min(c) as component_id from r group by 1)
 select doc_id, cast(len(sh) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join m using (doc_id)""",
 )
 def minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf, "documents")).drop("text_hash")
+
+
+@catalog.query("op7_chat_formatting")
+def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.reply_ordered(table(spark, sf, "conversations"))
+
+
+@catalog.query("op8_toxicity")
+def toxic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf, "labels")))

@@ -122,7 +122,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, sketch`` of each row; node and sketch are null for a text without words.
+    """``doc_id, text_hash, n_shingles, node, sketch`` of each row; node and sketch are null for a text without words.
 
     ``node`` is a 128-bit hash of the whole set.
     """
@@ -140,15 +140,18 @@ def sketched(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("text_hash"),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.binary()),
                         pa.array(sketches, pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sketch"],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "sketch"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, node binary, sketch array<int>")
+    texts = docs.select(
+        F.col("doc_id").cast("long"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")
+    )
+    return texts.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, sketch array<int>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -318,8 +321,8 @@ def _exact_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int = PERCENT)
 def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """Component of every document under links of 75 % shared word shingles.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id that can be reached) and kept (whether it is the
-    document's own), a row per row of ``docs``.  A text that is null, empty or blank has no shingles and is linked
+    Returns doc_id, n_shingles, component_id (the smallest doc_id that can be reached), kept (whether it is the
+    document's own) and text_hash, a row per row of ``docs``.  A text that is null, empty or blank has no shingles and is linked
     with nothing; texts are taken whole; repeated rows are copies of each other with the same id, so both are
     kept; rows with the same id and different texts are documents of their own; a row without an id is linked with
     nothing, has no component and is kept; other columns are ignored; an empty table gives no rows.
@@ -352,8 +355,22 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     labelled = nodes.select("node", "doc_id").join(
         found.join(least, "component").select("node", "component_id"), "node", "left"
     ).select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    named = sketches.select("doc_id", "n_shingles", "node").join(labelled, "node", "left")
+    named = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(labelled, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").select(
+        "doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash"
     )
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that `near_duplicates` keeps; of repeated rows one stays."""
+    judged = materialize(near_duplicates(docs), "near-duplicates")
+    # Those to drop are the fewer; a row is known by its id and text.
+    dropped = judged.where(~F.col("kept")).select(
+        F.col("doc_id").alias("llm_doc"), F.col("text_hash").alias("llm_hash")
+    ).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("llm_doc")) & (F.xxhash64(text_of()) == F.col("llm_hash"))
+    kept = docs.join(broadcast_if_small(materialize(dropped, "dropped")), same, "left_anti")
+    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
