@@ -693,3 +693,68 @@ def streaming_predict(spark: SparkSession, sf: str) -> DataFrame:
         "checkpointLocation", new_path(spark, "scored-checkpoint")
     ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(scored.schema).parquet(sink)
+
+
+def in_two_runs(spark: SparkSession, sf: str, train) -> None:
+    """Train on the order lines up to number 3, then on the others, each with a checkpoint folder of its own."""
+    lines = table(spark, sf, "lineitem")
+    for chosen in (F.col("l_linenumber") <= 3, F.col("l_linenumber") > 3):
+        part = new_path(spark, "line-part")
+        lines.where(chosen).write.parquet(part)
+        train(spark.readStream.schema(lines.schema).parquet(part), new_path(spark, "run-checkpoint")).awaitTermination()
+
+
+_TWO_RUNS = """with r as (select l_quantity / 50 as x, l_extendedprice / 100000 as y, (l_quantity > 25)::int as c, l_linenumber <= 3 as f from lineitem), """
+
+
+@catalog.query(
+    "streaming_linear_two_runs",
+    _TWO_RUNS
+    + """w1 as (select 0.5 * avg(y) as a, 0.5 * avg(y * x) as b from r where f),
+    w2 as (select max(a) - 0.5 * avg(a + b * x - y) as a, max(b) - 0.5 * avg((a + b * x - y) * x) as b from r cross join w1 where not f)
+    select 0 as i, round(a, 6) as weight from w2 union all select 1, round(b, 6) from w2""",
+)
+def streaming_linear_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights carried from one query to the next, whose batch numbers start anew."""
+    model = StreamingRegression(spark, new_path(spark, "linear-state"), step=0.5, iterations=1)
+    model.start([0.0, 0.0])
+    features = F.array(F.lit(1.0), F.col("l_quantity") / 50).alias("features")
+    label = (F.col("l_extendedprice") / 100000).alias("label")
+    in_two_runs(spark, sf, lambda stream, checkpoint: model.train_on(stream.select(features, label), checkpoint))
+    return model.state.latest().select(F.posexplode("weights").alias("i", "weight")).withColumn("weight", rounded("weight"))
+
+
+@catalog.query(
+    "streaming_logistic_two_runs",
+    _TWO_RUNS
+    + """w1 as (select -0.5 * avg(0.5::double - c) as a, -0.5 * avg((0.5::double - c) * x) as b from r where f),
+    w2 as (select max(a) - 0.5 * avg(1 / (1 + exp(-a - b * x)) - c) as a, max(b) - 0.5 * avg((1 / (1 + exp(-a - b * x)) - c) * x) as b
+      from r cross join w1 where not f)
+    select 0 as i, round(a, 6) as weight from w2 union all select 1, round(b, 6) from w2""",
+)
+def streaming_logistic_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    model = StreamingLogisticRegression(spark, new_path(spark, "logistic-state"), step=0.5, iterations=1)
+    model.start([0.0, 0.0])
+    features = F.array(F.lit(1.0), F.col("l_quantity") / 50).alias("features")
+    label = F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0).alias("label")
+    in_two_runs(spark, sf, lambda stream, checkpoint: model.train_on(stream.select(features, label), checkpoint))
+    return model.state.latest().select(F.posexplode("weights").alias("i", "weight")).withColumn("weight", rounded("weight"))
+
+
+@catalog.query(
+    "streaming_kmeans_two_runs",
+    """with r as (select l_quantity / 50 as x, l_linenumber <= 3 as f from lineitem),
+    a as (select case when x <= 0.5 then 0 else 1 end as k, count(*) as n, sum(x) as s from r where f group by 1),
+    m as (select k, (k * 10 * 0.5 + s) / (10 * 0.5 + n) as c, 10 * 0.5 + n as w from a),
+    d as (select x, arg_min(k, abs(x - c)) as k from (select x, row_number() over () as id from r where not f) cross join m group by x, id),
+    b as (select k, count(*) as n, sum(x) as s from d group by 1)
+    select m.k::int as cluster, round((c * w * 0.5 + coalesce(s, 0)) / (w * 0.5 + coalesce(n, 0)), 6) as value,
+      round((w * 0.5 + coalesce(n, 0))::double, 6) as weight from m left join b on m.k = b.k""",
+)
+def streaming_kmeans_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two centres, started at 0 and 1 with weight 10, over two runs with decay one half."""
+    model = StreamingKMeans(spark, new_path(spark, "kmeans-state"), decay=0.5)
+    model.start([[0.0], [1.0]], [10.0, 10.0])
+    features = F.array(F.col("l_quantity") / 50).alias("features")
+    in_two_runs(spark, sf, lambda stream, checkpoint: model.train_on(stream.select(features), checkpoint))
+    return model.state.latest().select("cluster", rounded(F.col("centre")[0]).alias("value"), rounded("weight").alias("weight"))

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from hinloom.operators.clustering import assign, cluster_sums
-from hinloom.streaming.state import ModelState
+from hinloom.streaming.state import ModelState, query_run
 
 _SCHEMA = "cluster int, weight double, centre array<double>"
-INITIAL = -1
+# Run and batch of the first version.
+INITIAL = ("start", -1)
 
 
 def decay_for_half_life(half_life: float) -> float:
@@ -55,29 +56,29 @@ class StreamingKMeans:
     def start(self, centres: Sequence[Sequence[float]], weights: Sequence[float]) -> None:
         """Set the first centres; an existing model is kept."""
         if not self.state.versions():
-            self._save(INITIAL, np.asarray(centres, dtype=float), np.asarray(weights, dtype=float))
+            self._save(*INITIAL, np.asarray(centres, dtype=float), np.asarray(weights, dtype=float))
 
     def start_random(self, k: int, dims: int, weight: float, seed: int = 42) -> None:
         rng = np.random.default_rng(seed)
         self.start(rng.standard_normal((k, dims)), [weight] * k)
 
-    def _save(self, batch: int, centres: np.ndarray, weights: np.ndarray) -> None:
+    def _save(self, run: str, batch: int, centres: np.ndarray, weights: np.ndarray) -> None:
         rows = [(c, float(w), [float(v) for v in x]) for c, (x, w) in enumerate(zip(centres, weights))]
-        self.state.write(batch, self.spark.createDataFrame(rows, _SCHEMA))
+        self.state.write(run, batch, self.spark.createDataFrame(rows, _SCHEMA))
 
-    def model(self, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def model(self) -> tuple[np.ndarray, np.ndarray]:
         """``(centres, weights)``: k rows."""
-        table = self.state.latest(before)
+        table = self.state.latest()
         if table is None:
             raise RuntimeError("set the initial centres first")
         rows = sorted(table.collect(), key=lambda r: r["cluster"])
         return np.array([r["centre"] for r in rows]), np.array([r["weight"] for r in rows])
 
-    def update(self, batch: DataFrame, batch_id: int, features: str = "features") -> None:
-        """Fold one batch in.  An empty batch and a replayed one change nothing."""
-        if self.state.has(batch_id):
+    def update(self, batch: DataFrame, batch_id: int, features: str = "features", run: str = "") -> None:
+        """Fold one batch in.  An empty batch and one that this run replays change nothing."""
+        if self.state.has(run, batch_id):
             return
-        centres, weights = self.model(before=batch_id)
+        centres, weights = self.model()
         found = cluster_sums(batch, features, centres.tolist()).collect()
         if not found:
             return
@@ -86,11 +87,14 @@ class StreamingKMeans:
             counts[row["cluster"]] = row["n"]
             sums[row["cluster"]] = row["sums"]
         discount = self.decay if self.unit == "batches" else self.decay ** counts.sum()
-        self._save(batch_id, *merge(centres, weights, counts, sums, discount))
+        self._save(run, batch_id, *merge(centres, weights, counts, sums, discount))
 
     def train_on(self, stream: DataFrame, checkpoint: str, features: str = "features", **trigger: object) -> StreamingQuery:
+        def fold(df: DataFrame, batch_id: int) -> None:
+            self.update(df, batch_id, features, query_run(self.spark, checkpoint))
+
         return (
-            stream.writeStream.foreachBatch(lambda df, i: self.update(df, i, features))
+            stream.writeStream.foreachBatch(fold)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()
@@ -106,11 +110,12 @@ class StreamingKMeans:
     ) -> StreamingQuery:
         """Each micro-batch is scored with the model that is newest then.
 
-        A batch has its own folder, so a replay replaces its rows.
+        A batch of a run has its own folder, so a replay replaces its rows and another run's stay.
         """
 
         def score(df: DataFrame, batch_id: int) -> None:
-            self.predict(df, features).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+            run = query_run(self.spark, checkpoint)
+            self.predict(df, features).write.mode("overwrite").parquet(f"{sink}/run={run}/batch={batch_id}")
 
         return (
             stream.writeStream.foreachBatch(score)

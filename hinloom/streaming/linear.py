@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from hinloom.operators.linear import predict_class, predict_linear, sgd
-from hinloom.streaming.state import ModelState
+from hinloom.streaming.state import ModelState, query_run
 
 _SCHEMA = "weights array<double>"
-INITIAL = -1
+# Run and batch of the first version.
+INITIAL = ("start", -1)
 
 
 class StreamingRegression:
@@ -29,21 +30,23 @@ class StreamingRegression:
     def start(self, weights: Sequence[float]) -> None:
         """Set the first weights; an existing model is kept."""
         if not self.state.versions():
-            self._save(INITIAL, weights)
+            self._save(*INITIAL, weights)
 
-    def _save(self, batch: int, weights: Sequence[float]) -> None:
-        self.state.write(batch, self.spark.createDataFrame([([float(w) for w in weights],)], _SCHEMA))
+    def _save(self, run: str, batch: int, weights: Sequence[float]) -> None:
+        self.state.write(run, batch, self.spark.createDataFrame([([float(w) for w in weights],)], _SCHEMA))
 
-    def weights(self, before: int | None = None) -> list[float]:
-        table = self.state.latest(before)
+    def weights(self) -> list[float]:
+        table = self.state.latest()
         if table is None:
             raise RuntimeError("set the initial weights first")
         return list(table.first()["weights"])
 
-    def update(self, batch: DataFrame, batch_id: int, features: str = "features", label: str = "label") -> None:
-        if self.state.has(batch_id):
+    def update(
+        self, batch: DataFrame, batch_id: int, features: str = "features", label: str = "label", run: str = ""
+    ) -> None:
+        if self.state.has(run, batch_id):
             return
-        current = self.weights(before=batch_id)
+        current = self.weights()
         rows = batch.select(features, label).persist()
         try:
             if rows.isEmpty():
@@ -53,14 +56,18 @@ class StreamingRegression:
             )
         finally:
             rows.unpersist()
-        self._save(batch_id, new)
+        self._save(run, batch_id, new)
 
     def train_on(
         self, stream: DataFrame, checkpoint: str, features: str = "features", label: str = "label", **trigger: object
     ) -> StreamingQuery:
         self.weights()
+
+        def fold(df: DataFrame, batch_id: int) -> None:
+            self.update(df, batch_id, features, label, query_run(self.spark, checkpoint))
+
         return (
-            stream.writeStream.foreachBatch(lambda df, i: self.update(df, i, features, label))
+            stream.writeStream.foreachBatch(fold)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()

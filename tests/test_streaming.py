@@ -21,7 +21,7 @@ def test_batches_fold_in_once(spark, tmp_path):
     model.update(points(spark, [[9.0]]), 0)  # a replayed batch id
     assert model.model()[1].tolist() == [3.0, 1.0]
     model.update(points(spark, []), 1)
-    assert model.state.versions() == [-1, 0]
+    assert model.state.versions() == [0, 1]
     model.start([[5.0]], [1.0])
     assert len(model.model()[0]) == 2
 
@@ -29,9 +29,9 @@ def test_batches_fold_in_once(spark, tmp_path):
 def test_a_torn_version_is_not_read(spark, tmp_path):
     model = StreamingKMeans(spark, str(tmp_path / "s"))
     model.start([[0.0]], [1.0])
-    (tmp_path / "s" / "batch=0").mkdir()
-    (tmp_path / "s" / "batch=0" / "part-junk.parquet").write_text("x")
-    assert model.state.versions() == [-1]
+    (tmp_path / "s" / "version=000000000001,run=,batch=0").mkdir()
+    (tmp_path / "s" / "version=000000000001,run=,batch=0" / "part-junk.parquet").write_text("x")
+    assert model.state.versions() == [0]
     model.update(points(spark, [[1.0]]), 0)
     assert model.model()[0].tolist() == [[0.5]]
 
@@ -67,6 +67,31 @@ def test_stream_and_restart(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3
 
 
+def test_a_new_checkpoint_loses_no_batch(spark, tmp_path):
+    """Batch numbers start anew with another checkpoint folder; the model goes on."""
+    model = StreamingKMeans(spark, str(tmp_path / "s"))
+    model.start([[0.0]], [0.0])
+    for n, value in enumerate([0.0, 3.0, 6.0]):
+        source = str(tmp_path / f"in{n}")
+        points(spark, [[value]]).coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema("features array<double>").parquet(source)
+        model.train_on(stream, str(tmp_path / f"c{n}")).awaitTermination()
+    assert model.model()[0].tolist() == [[pytest.approx(3.0)]] and model.model()[1].tolist() == [3.0]
+    for n in range(2):
+        stream = spark.readStream.schema("features array<double>").parquet(str(tmp_path / "in0"))
+        model.predict_on(stream, str(tmp_path / "o"), str(tmp_path / f"p{n}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
+def test_old_versions_go(spark, tmp_path):
+    model = StreamingKMeans(spark, str(tmp_path / "s"))
+    model.state.kept = 3
+    model.start([[0.0]], [0.0])
+    for i in range(6):
+        model.update(points(spark, [[float(i)]]), i)
+    assert model.state.versions() == [4, 5, 6] and model.model()[1].tolist() == [6.0]
+
+
 def test_random_start(spark, tmp_path):
     model = StreamingKMeans(spark, str(tmp_path / "s"))
     with pytest.raises(RuntimeError):
@@ -88,7 +113,7 @@ def test_regression_continues_from_the_newest_weights(spark, tmp_path):
     assert abs(second - 3.0) < abs(first - 3.0) < 1.0
     model.update(rows.withColumn("label", F.lit(0.0)), 1)
     model.update(rows.where("false"), 2)
-    assert model.weights()[0] == second and model.state.versions() == [-1, 0, 1]
+    assert model.weights()[0] == second and model.state.versions() == [0, 1, 2]
 
 
 def test_logistic_learns_the_sign(spark, tmp_path):
