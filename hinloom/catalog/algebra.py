@@ -24,14 +24,15 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.canonical(cells.withColumn("j", F.col("j").cast("long")))
 
 
-def flagged(spark: SparkSession, sf: str, flag: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where(F.col("l_returnflag") == flag)
+def flagged(spark: SparkSession, sf: str, returned: bool) -> DataFrame:
+    """Supplier x line number of the returned lines, or of all others."""
+    rows = table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") == returned)
     return matrix.canonical(matrix.cells(rows, "l_suppkey", "l_linenumber", "l_quantity"))
 
 
 _Q = "with q as (select l_suppkey as i, l_partkey as j, sum(l_quantity) as v from lineitem group by 1, 2) "
 _O = "with o as (select l_orderkey as i, l_linenumber::bigint as j, sum(l_quantity) as v from lineitem group by 1, 2) "
-_AR = """with a as (select l_suppkey as i, l_linenumber as j, sum(l_quantity) as v from lineitem where l_returnflag = 'A' group by 1, 2),
+_AR = """with a as (select l_suppkey as i, l_linenumber as j, sum(l_quantity) as v from lineitem where l_returnflag <> 'R' group by 1, 2),
 r as (select l_suppkey as i, l_linenumber as j, sum(l_quantity) as v from lineitem where l_returnflag = 'R' group by 1, 2) """
 
 
@@ -74,7 +75,7 @@ def coo_multiply_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
     _AR + "select i, j, sum(v) as value from (select * from a union all select * from r) group by 1, 2",
 )
 def coo_add(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.add(flagged(spark, sf, "A"), flagged(spark, sf, "R"))
+    return matrix.add(flagged(spark, sf, False), flagged(spark, sf, True))
 
 
 @catalog.query(
@@ -82,7 +83,7 @@ def coo_add(spark: SparkSession, sf: str) -> DataFrame:
     _AR + "select a.i, a.j, round(a.v / r.v, 9) as value from a left join r on r.i = a.i and r.j = a.j",
 )
 def coo_divide(spark: SparkSession, sf: str) -> DataFrame:
-    ratio = matrix.divide(flagged(spark, sf, "A"), flagged(spark, sf, "R"))
+    ratio = matrix.divide(flagged(spark, sf, False), flagged(spark, sf, True))
     return ratio.withColumn("value", rounded("value", 9))
 
 
@@ -306,6 +307,20 @@ def pearson_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return dense.pearson(line_measures(spark, sf), "features").withColumn("value", rounded("value", 9))
 
 
+@catalog.query(
+    "moments_far_from_zero",
+    """with r as (select l_quantity + 1e9::double as x, l_extendedprice + 1e9::double as y from lineitem)
+    select round(var_samp(x), 3) as var_x, round(covar_samp(x, y), 3) as cov_xy, round(corr(x, y), 6) as corr_xy from r""",
+)
+def moments_far_from_zero(spark: SparkSession, sf: str) -> DataFrame:
+    """Small variances of large values, as timestamps and ids have them."""
+    rows = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity") + 1e9, F.col("l_extendedprice") + 1e9).alias("x"))
+    pick = lambda i, j, name, digits: rounded(F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("value"))), digits).alias(name)
+    covariance = dense.covariance(rows, "x").agg(pick(0, 0, "var_x", 3), pick(0, 1, "cov_xy", 3))
+    correlation = dense.pearson(rows, "x").agg(pick(0, 1, "corr_xy", 6))
+    return covariance.withColumn("one", F.lit(1)).join(correlation.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 # A fixed 64 x 3 matrix.
 LOCAL_MATRIX = [[float((r + 1) * (c + 1) % 5) for c in range(3)] for r in range(64)]
 

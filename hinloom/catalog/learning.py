@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from hinloom.catalog.vectors import embeddings, tokens
 from hinloom.functions import vectors as v
 from hinloom.operators import bayes, clustering, linear, mining, recommend, trees
 from hinloom.operators import evaluation as ev
+from hinloom.operators import features as text_features
 from hinloom.runtime import materialize, new_path
 from hinloom.sources import generators as gen
 from hinloom.sources import models
@@ -128,11 +129,12 @@ def sgd_step(spark: SparkSession, sf: str) -> DataFrame:
     rows = materialize(flag_rows(spark, sf), "rows")
     out = []
     for loss in ("squared", "logistic", "hinge"):
-        moved = {
-            p: linear.sgd_step(rows, "features", "label", WEIGHTS, loss, 0.5, 2, 0.1, p) for p in ("none", "l2", "l1")
-        }
+        # One pass per loss; the penalties differ on the driver only.
+        total, g, n = linear.gradient(rows, "features", "label", WEIGHTS, linear.LOSSES[loss])
+        start = np.array(WEIGHTS)
+        moved = [linear.updated_weights(start, g / n, 0.5, 2, 0.1, p) for p in ("none", "l2", "l1")]
         for i in range(len(WEIGHTS)):
-            out.append((loss, i, moved["none"][1], *[float(moved[p][0][i]) for p in ("none", "l2", "l1")]))
+            out.append((loss, i, total / n, *[float(m[i]) for m in moved]))
     made = spark.createDataFrame(out, "loss string, i int, mean_loss double, simple double, l2 double, l1 double")
     return made.select("loss", "i", *[rounded(c).alias(c) for c in ("mean_loss", "simple", "l2", "l1")])
 
@@ -172,6 +174,27 @@ def ridge_and_lasso(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out, "model string, i int, coefficient double")
 
 
+@catalog.query(
+    "ridge_and_lasso_closed_form",
+    """with r as (select l_quantity / 50 as x, l_extendedprice / 100000 as y from lineitem),
+    m as (select covar_pop(x, y) as c, var_pop(x) as v, avg(x) as mx, avg(y) as my from r),
+    w as (select 'ridge' as model, c / (v + 0.01) as slope, mx, my from m
+      union all select 'lasso', sign(c) * greatest(0, abs(c) - 0.01) / v, mx, my from m)
+    select model, round(slope, 5) as slope, round(my - slope * mx, 5) as intercept from w""",
+)
+def ridge_and_lasso_closed_form(spark: SparkSession, sf: str) -> DataFrame:
+    """One feature: the penalised slope has a closed form."""
+    rows = table(spark, sf, "lineitem").select(
+        F.array(F.col("l_quantity") / 50).alias("features"), (F.col("l_extendedprice") / 100000).alias("label")
+    )
+    out = []
+    for name, fit in (("ridge", linear.ridge), ("lasso", linear.lasso)):
+        model = fit(rows, "features", "label", 0.01)
+        out.append((name, float(model.coefficients[0]), float(model.intercept)))
+    made = spark.createDataFrame(out, "model string, slope double, intercept double")
+    return made.select("model", *[rounded(c, 5).alias(c) for c in ("slope", "intercept")])
+
+
 @catalog.query("linear_svm")
 def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions counted per class."""
@@ -277,7 +300,7 @@ def gains(spark: SparkSession, sf: str) -> DataFrame:
         *SPLIT_FEATURES, F.col("l_linestatus").alias("node"), (F.col("l_returnflag") == "R").cast("int").alias("label")
     )
     splits = trees.thresholds(rows, SPLIT_FEATURES, max_bins=64)
-    return trees.split_gains(rows, splits, "label", "gini", 2, node="node")
+    return trees.split_gains(rows, splits, "label", "gini", node="node")
 
 
 @catalog.query(
@@ -511,12 +534,20 @@ def gaussian_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return scored.agg(F.count(placed).alias("n"), rounded(F.sum(v.total(F.col("probabilities"))), 3).alias("certainty"))
 
 
+# Slots of the term counts.  A topic model keeps topics x slots on the driver, so terms share slots by their hash;
+# none is left out, however many there are.
+TERM_SLOTS = 1 << 16
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    return text_features.hashing_tf(docs, "words", TERM_SLOTS, "counts").select("doc_id", "counts")
+
+
 @catalog.query("topic_reports")
 def topic_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Topic reports over the whole texts: top terms, documents and quality."""
     docs = tokens(spark, sf)
-    counter = CountVectorizer(inputCol="words", outputCol="counts", minDF=5.0, vocabSize=1 << 20).fit(docs)
-    counted = materialize(counter.transform(docs).select("doc_id", "counts"), "counts")
+    counted = materialize(counted_terms(docs), "counts")
     model = clustering.topics(counted, "counts", k=4, iterations=3, optimizer="online")
     mix = materialize(clustering.topic_mix(model, counted, "doc_id"), "mix")
     terms = clustering.top_terms(model, 3).select(
@@ -541,8 +572,7 @@ def topic_reports(spark: SparkSession, sf: str) -> DataFrame:
 def topic_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The topic shares of every text add up to 1."""
     docs = tokens(spark, sf)
-    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=1 << 20).fit(docs)
-    counted = materialize(counter.transform(docs).select("doc_id", "counts"), "counts")
+    counted = materialize(counted_terms(docs), "counts")
     model = clustering.topics(counted, "counts", k=4, iterations=2, optimizer="online")
     mix = clustering.topic_mix(model, counted, "doc_id")
     return mix.groupBy("doc_id").agg(rounded(F.sum("weight")).alias("total"), F.count(F.lit(1)).alias("topics"))

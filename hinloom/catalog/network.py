@@ -250,6 +250,30 @@ def hin_build_counts(spark: SparkSession, sf: str) -> DataFrame:
     return network(spark, sf).counts()
 
 
+@catalog.query(
+    "hin_repeated_rows",
+    """
+select 'vertex' as kind, 'A' as name, count(*) as n from customer
+union all select 'vertex', 'P', count(*) from orders
+union all select 'edge', 'write', count(*) from orders join customer on c_custkey = o_custkey
+union all select 'label', 'L' || least(k, 2)::varchar, count(*) from (select c_custkey % 4 as k from customer) group by 2""",
+)
+def hin_repeated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity rows and labels that are given twice make one vertex each; the smallest label counts."""
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    labels = customers.select("c_custkey", (F.col("c_custkey") % 4).alias("class"))
+    labels = labels.unionByName(labels.withColumn("class", F.lit(2).cast(labels.schema["class"].dataType)))
+    found = hin.build(
+        {
+            "A": hin.Entity(customers.union(customers), "c_custkey", "c_name", labels, "c_custkey", "class"),
+            "P": hin.Entity(orders, "o_orderkey", "o_orderpriority"),
+        },
+        [hin.Relation(orders, "A", "o_custkey", "P", "o_orderkey", "write")],
+    )
+    classes = found.vertices.where("type = 'A'").groupBy(F.lit("label").alias("kind"), F.col("label").alias("name"))
+    return found.counts().unionByName(classes.agg(F.count(F.lit(1)).alias("n")))
+
+
 @catalog.query(
     "label_default",
     f"""select 'A' || c_custkey::varchar as id,

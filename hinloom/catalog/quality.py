@@ -340,11 +340,21 @@ def f_measure(spark: SparkSession, sf: str) -> DataFrame:
       select (x - lag(x) over (order by o, q)) * (y + lag(y) over (order by o, q)) / 2 as a from pr)""",
 )
 def auc(spark: SparkSession, sf: str) -> DataFrame:
-    points = materialize(curve(spark, sf), "curve")
-    areas = ev.area(ev.roc(points)).withColumn("curve", F.lit("roc")).unionByName(
-        ev.area(ev.precision_recall(points)).withColumn("curve", F.lit("pr"))
-    )
-    return areas.withColumn("area", rounded("area", 9))
+    areas = ev.areas(scored(spark, sf), "score", "label")
+    named = F.inline(F.array(*[F.struct(F.lit(c).alias("curve"), rounded(c, 9).alias("area")) for c in ("roc", "pr")]))
+    return areas.select(named)
+
+
+@catalog.query(
+    "curve_areas",
+    _RATES
+    + """, roc as (select fpr as x, recall as y, 1 as o, -threshold as q from r union all select 0, 0, 0, 0 union all select 1, 1, 2, 0),
+    a as (select (x - lag(x) over (order by o, q)) * (y + lag(y) over (order by o, q)) / 2 as a from roc)
+    select round(sum(a), 9) as area from a""",
+)
+def curve_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """The area under the points of a curve, whatever they come from."""
+    return ev.area(ev.roc(materialize(curve(spark, sf), "curve"))).select(rounded("area", 9).alias("area"))
 
 
 @catalog.query(

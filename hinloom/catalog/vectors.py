@@ -169,7 +169,7 @@ def string_functions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
         "p_partkey",
         F.split("p_name", " ")[0].alias("first_word"),
-        F.substring("p_brand", 7, 100).alias("brand_number"),
+        F.expr("substring(p_brand, 7)").alias("brand_number"),
         F.col("p_name").startswith("red").alias("is_red"),
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("tagged"),
         F.trim(F.concat(F.lit(" "), F.col("p_type"), F.lit(" "))).alias("trimmed"),

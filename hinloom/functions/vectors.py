@@ -30,13 +30,16 @@ UNROLLED = 256
 
 
 def dot_constant(x: Column, weights: Sequence[float]) -> Column:
-    """``x . w`` for a constant ``w`` of the same length."""
-    if len(weights) > UNROLLED:
-        return dot(x, array_of(weights))
-    out = F.lit(_ZERO)
-    for i, w in enumerate(weights):
-        out = out + x[i] * float(w)
-    return out
+    """``x . w`` for a constant ``w``; a vector of another length raises, however long ``w`` is."""
+    size = len(weights)
+    wrong = F.raise_error(F.lit(f"product with a constant needs vectors of size {size}")).cast("double")
+    if size > UNROLLED:
+        out = dot(x, array_of(weights))
+    else:
+        out = F.lit(_ZERO)
+        for i, w in enumerate(weights):
+            out = out + F.get(x, F.lit(i)) * float(w)
+    return F.when(F.size(x) != size, wrong).otherwise(out)
 
 
 def scale(a: float | Column, x: Column) -> Column:

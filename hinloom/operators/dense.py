@@ -45,8 +45,8 @@ def vector_width(df: DataFrame, features: str) -> int:
     return first["n"]
 
 
-def _products(df: DataFrame, features: str) -> DataFrame:
-    """Upper-triangle cells ``(i, j, value)`` of ``[X 1]^T [X 1]``."""
+def _products(df: DataFrame, features: str, shift: np.ndarray | None = None) -> DataFrame:
+    """Upper-triangle cells ``(i, j, value)`` of ``[X 1]^T [X 1]``, of rows less ``shift`` if it is given."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = None
@@ -54,7 +54,7 @@ def _products(df: DataFrame, features: str) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             x = rows_of(batch, "features")
-            x = np.hstack([x, np.ones((len(x), 1))])
+            x = np.hstack([x if shift is None else x - shift, np.ones((len(x), 1))])
             acc = x.T @ x if acc is None else acc + x.T @ x
         if acc is not None:
             i, j = np.triu_indices(len(acc))
@@ -70,6 +70,27 @@ def _products(df: DataFrame, features: str) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
+def column_means(df: DataFrame, features: str) -> np.ndarray:
+    """Mean of each column: one pass, a partial sum per partition."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, sums = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                x = rows_of(batch, "features")
+                sums = x.sum(0) if sums is None else sums + x.sum(0)
+                count += len(x)
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(sums)), pa.int64()), pa.array(sums), pa.array([count] * len(sums), pa.int64())],
+                names=["i", "sum", "n"],
+            )
+
+    parts = df.select(double_array(features).alias("features")).mapInArrow(partial, "i long, sum double, n long")
+    rows = parts.groupBy("i").agg((F.sum("sum") / F.sum("n")).alias("mean")).toPandas()  # as many as columns
+    return rows.sort_values("i")["mean"].to_numpy()
+
+
 def gramian(df: DataFrame, features: str) -> DataFrame:
     """``X^T X`` as symmetric cells."""
     from hinloom.operators.matrix import mirror
@@ -99,8 +120,9 @@ def _moments(df: DataFrame, features: str) -> DataFrame:
     from hinloom.operators.matrix import mirror
 
     width = vector_width(df, features)
-    # (width + 1)^2 / 2 cells, written because the joins read them three times.
-    cells = materialize(_products(df, features), "products")
+    # (width + 1)^2 / 2 cells, written because the joins read them three times.  They are taken about the means of a
+    # first pass: the difference of large squares would leave nothing of a small variance.
+    cells = materialize(_products(df, features, column_means(df, features)), "products")
     rows = cells.where((F.col("i") == width) & (F.col("j") == width)).first()["value"]
     if rows <= 1:
         raise ValueError("covariance needs at least two rows")

@@ -17,10 +17,10 @@ def dictionary(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
 def encode(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, idx: str, name: str) -> DataFrame:
     """Replace a key by its position; rows without one are left out.
 
-    Count them with `misses`.  The join strategy is left to the optimizer,
-    which broadcasts a lookup it has measured as small.
+    Count them with `misses`.  A key the lookup has twice gets its smallest position, so no row doubles.  The join
+    strategy is left to the optimizer, which broadcasts a lookup it has measured as small.
     """
-    positions = lookup.select(F.col(lookup_key).alias("_key"), F.col(idx).alias(name))
+    positions = lookup.groupBy(F.col(lookup_key).alias("_key")).agg(F.min(idx).alias(name))
     return df.join(positions, F.col(key) == F.col("_key")).drop("_key")
 
 
@@ -32,8 +32,8 @@ def misses(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str) -> DataF
 
 def labelled(df: DataFrame, id_col: str, labels: DataFrame, label_id: str, label: str,
              prefix: str = "L", default: str = "L00") -> DataFrame:
-    """Add ``label``: prefixed label, or the default where none is known."""
-    known = labels.select(F.col(label_id).alias("_key"), F.col(label).alias("_label"))
+    """Add ``label``: prefixed label, or the default where none is known.  Of several labels the smallest counts."""
+    known = labels.groupBy(F.col(label_id).alias("_key")).agg(F.min(label).alias("_label"))
     text = F.concat(F.lit(prefix), F.col("_label").cast("string"))
     return (
         df.join(known, F.col(id_col) == F.col("_key"), "left")

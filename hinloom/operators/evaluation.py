@@ -75,6 +75,29 @@ def area(points: DataFrame) -> DataFrame:
     return area_under_curve(points, "x", "y", ["ord", "place"])
 
 
+def areas(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """``roc, pr``: the areas of both curves, as one plain aggregate.
+
+    A row of the curve knows the point before it (its cumulative counts less its own), so no curve is sorted again.
+    """
+    tp, fp = F.col("pos_cum"), F.col("neg_cum")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    precision, precision0 = _share(tp, tp + fp, 1.0), _share(tp0, tp0 + fp0, 1.0)
+    sums = cumulative_counts(scored, score, label).agg(
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("p"),
+        F.coalesce(F.sum("neg"), F.lit(0)).alias("n"),
+        F.sum(F.col("neg") * (tp + tp0) / 2.0).alias("under_roc"),
+        F.sum(F.col("pos") * (precision + precision0) / 2.0).alias("under_pr"),
+    )
+    p, n = F.col("p"), F.col("n")
+    # Without negatives the curve rises at 0 and then runs to (1, 1); without any rows it is that line alone.
+    without = F.when(p > 0, 1.0).when(n > 0, 0.0).otherwise(0.5)
+    return sums.select(
+        F.when((p > 0) & (n > 0), F.col("under_roc") / p / n).otherwise(without).alias("roc"),
+        F.when(p > 0, F.col("under_pr") / p).otherwise(0.0).alias("pr"),
+    )
+
+
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """``(label, prediction, n)``."""
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
@@ -213,16 +236,16 @@ def regression_summary(df: DataFrame, label: str, prediction: str) -> DataFrame:
     sums = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(y).alias("mean"),
-        F.sum(p).alias("sp"),
-        F.sum(p * p).alias("spp"),
+        F.avg(p).alias("mean_p"),
+        F.var_pop(p).alias("vp"),
         F.var_pop(y).alias("vy"),
         F.sum(F.abs(error)).alias("ae"),
         F.sum(error * error).alias("se"),
     )
     n = F.col("n")
-    regression = F.col("spp") - 2.0 * F.col("mean") * F.col("sp") + n * F.col("mean") * F.col("mean")
+    shift = F.col("mean_p") - F.col("mean")
     return sums.select(
-        (regression / n).alias("explained_variance"),
+        (F.col("vp") + shift * shift).alias("explained_variance"),
         (F.col("ae") / n).alias("mae"),
         (F.col("se") / n).alias("mse"),
         F.sqrt(F.col("se") / n).alias("rmse"),

@@ -279,13 +279,13 @@ def sampled_column_similarity(
     return _pair_similarity(scaled, cell)
 
 
-def preview(a: DataFrame, rows: int = 20, cols: int = 20) -> DataFrame:
+def preview(a: DataFrame, rows: int = 20, cols: int = 20, most_cells: int = 10_000) -> DataFrame:
     """The top-left corner as a wide table, zeros filled in.
 
-    The corner's size is the cap on the pivot; ids must be 0-based.
+    A corner of more than ``most_cells`` is an error; ids must be 0-based.
     """
-    if rows * cols > 10_000:
-        raise ValueError("a preview holds at most 10,000 cells")
+    if rows * cols > most_cells:
+        raise ValueError(f"a preview holds at most {most_cells} cells")
     corner = a.where((F.col("i") < rows) & (F.col("j") < cols))
     wide = corner.groupBy("i").pivot("j", list(range(cols))).agg(F.sum("value"))
     return wide.select("i", *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"c{c}") for c in range(cols)])

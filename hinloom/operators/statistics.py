@@ -44,6 +44,8 @@ def sparse_column_summary(cells: DataFrame, num_rows: int) -> DataFrame:
     """The same from coordinate cells; missing cells count as zeros."""
     stats = cells.groupBy("j").agg(
         F.sum("value").alias("_s"),
+        F.avg("value").alias("_mean"),
+        F.var_pop("value").alias("_var"),
         F.sum(F.col("value") * F.col("value")).alias("_q"),
         F.count(F.when(F.col("value") != 0, 1)).alias("nnz"),
         F.count(F.lit(1)).alias("_stored"),
@@ -58,7 +60,10 @@ def sparse_column_summary(cells: DataFrame, num_rows: int) -> DataFrame:
         F.lit(num_rows).cast("long").alias("count"),
         mean.alias("mean"),
         (
-            (F.col("_q") - mean * F.col("_s")) / (num_rows - 1)
+            # Spread of the stored values, and of their mean against the zeros: no difference of large squares.
+            (F.col("_var") + F.col("_mean") * F.col("_mean") * (num_rows - F.col("_stored")) / num_rows)
+            * F.col("_stored")
+            / (num_rows - 1)
             if num_rows > 1
             else F.lit(0.0)
         ).alias("variance"),
@@ -182,9 +187,9 @@ def _upper_gamma(a: float, x: float) -> float:
         d = 1 / (an * d + b or 1e-300)
         c = b + an / c or 1e-300
         h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return h * front
+        if abs(d * c - 1) < 1e-15:
+            return h * front
+    raise ArithmeticError(f"the incomplete gamma function does not converge at {a}, {x}")
 
 
 def with_chi_square_p(tests: DataFrame) -> DataFrame:

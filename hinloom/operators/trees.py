@@ -14,22 +14,21 @@ from pyspark.sql import functions as F
 from hinloom.operators.ordering import top_k
 from hinloom.runtime import double_array, materialize
 
-MAX_CLASSES = 100
 
+def _square(n: Column) -> Column:
+    return n * n
 
-def _gini(counts: Sequence[Column], total: Column) -> Column:
-    squares = F.lit(0.0)
-    for n in counts:
-        squares = squares + (n / total) * (n / total)
-    return F.when(total == 0, F.lit(0.0)).otherwise(1.0 - squares)
 
+def _n_log_n(n: Column) -> Column:
+    return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
 
-def _entropy(counts: Sequence[Column], total: Column) -> Column:
-    bits = F.lit(0.0)
-    for n in counts:
-        share = n / total
-        bits = bits - F.when(n > 0, share * F.log2(share)).otherwise(F.lit(0.0))
-    return F.when(total == 0, F.lit(0.0)).otherwise(bits)
+
+def _gini(total: Column, squares: Column) -> Column:
+    return 1.0 - squares / (total * total)
+
+
+def _entropy(total: Column, logs: Column) -> Column:
+    return F.log2(total) - logs / total
 
 
 def _variance(sums: Sequence[Column], total: Column) -> Column:
@@ -37,7 +36,8 @@ def _variance(sums: Sequence[Column], total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise((q - s * s / total) / total)
 
 
-IMPURITIES = {"gini": _gini, "entropy": _entropy, "variance": _variance}
+# Per class impurity: what is summed over the classes, and the impurity from that sum.
+CLASS_IMPURITIES = {"gini": (_square, _gini), "entropy": (_n_log_n, _entropy)}
 
 
 def thresholds(df: DataFrame, features: Sequence[str], max_bins: int = 32, error: float = 0.001) -> dict[str, list[float]]:
@@ -63,18 +63,14 @@ def split_gains(
     splits: Mapping[str, Sequence[float]],
     label: str,
     impurity: str = "gini",
-    classes: int = 2,
     min_instances: int = 1,
     node: str | None = None,
 ) -> DataFrame:
     """``([node,] feature, threshold, n_left, n_right, gain)`` of every candidate.
 
-    Rows are reduced to one row of label sums per (node, feature, bin) before
-    the shuffle; the running sums then cover at most ``max_bins`` rows.
+    Rows are reduced to one row of sums per (node, feature, bin), or per class of it, before the shuffle; the
+    running sums then cover at most ``max_bins`` rows.  Any number of classes is taken.
     """
-    if classes > MAX_CLASSES:
-        raise ValueError(f"at most {MAX_CLASSES} classes")
-    measure = IMPURITIES[impurity]
     keys = [node] if node else []
     y = F.col(label).cast("double")
     bins = F.array(
@@ -88,32 +84,57 @@ def split_gains(
             for f, points in splits.items()
         ]
     )
-    if impurity == "variance":
-        stats = {"_s0": F.sum("_y"), "_s1": F.sum(F.col("_y") * F.col("_y"))}
-    else:
-        stats = {f"_s{c}": F.sum(F.when(F.col("_y") == c, 1.0).otherwise(0.0)) for c in range(classes)}
-    per_bin = (
-        df.select(*keys, y.alias("_y"), F.inline(bins))
-        .groupBy(*keys, "feature", "threshold")
-        .agg(F.count(F.lit(1)).cast("double").alias("_n"), *[v.alias(k) for k, v in stats.items()])
-    )
+    rows = df.select(*keys, y.alias("_y"), F.inline(bins))
     whole = Window.partitionBy(*keys, "feature")
     running = whole.orderBy("threshold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    names = ["_n", *stats]
+    if impurity == "variance":
+        # Shifted by the overall mean, so that no large squares are subtracted.
+        shift = df.agg(F.avg(y)).first()[0] or 0.0
+        centred = F.col("_y") - float(shift)
+        per_bin = rows.groupBy(*keys, "feature", "threshold").agg(
+            F.count("_y").cast("double").alias("_n"), F.sum(centred).alias("_s0"), F.sum(centred * centred).alias("_s1")
+        )
+        names = ["_n", "_s0", "_s1"]
+    elif impurity in CLASS_IMPURITIES:
+        part, _ = CLASS_IMPURITIES[impurity]
+        own = Window.partitionBy(*keys, "feature", "_y")
+        before = F.coalesce(
+            F.sum("_k").over(own.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
+        )
+        total = F.sum("_k").over(own)
+        # Sums over the classes change from bin to bin only by the classes in it.
+        per_class = (
+            rows.where(F.col("_y").isNotNull())
+            .groupBy(*keys, "feature", "_y", "threshold")
+            .agg(F.count(F.lit(1)).cast("double").alias("_k"))
+            .withColumn("_b", before)
+            .withColumn("_t", total)
+        )
+        seen, rest = F.col("_b") + F.col("_k"), F.col("_t") - F.col("_b")
+        per_bin = per_class.groupBy(*keys, "feature", "threshold").agg(
+            F.sum("_k").alias("_n"),
+            F.sum(part(seen) - part(F.col("_b"))).alias("_s0"),
+            F.sum(part(rest - F.col("_k")) - part(rest)).alias("_s1"),
+        )
+        names = ["_n", "_s0", "_s1"]
+    else:
+        raise ValueError("impurity is 'gini', 'entropy' or 'variance'")
     for name in names:
         per_bin = per_bin.withColumn(f"{name}l", F.sum(name).over(running)).withColumn(
             f"{name}t", F.sum(name).over(whole)
         )
-    left = [F.col(f"{n}l") for n in stats]
-    right = [F.col(f"{n}t") - F.col(f"{n}l") for n in stats]
-    both = [F.col(f"{n}t") for n in stats]
     n_left, n = F.col("_nl"), F.col("_nt")
     n_right = n - n_left
-    gain = (
-        measure(both, n)
-        - measure(left, n_left) * n_left / n
-        - measure(right, F.when(n_right == 0, 1.0).otherwise(n_right)) * n_right / n
-    )
+    some = lambda count: F.when(count == 0, 1.0).otherwise(count)
+    if impurity == "variance":
+        at_left = _variance([F.col("_s0l"), F.col("_s1l")], n_left)
+        at_right = _variance([F.col("_s0t") - F.col("_s0l"), F.col("_s1t") - F.col("_s1l")], n_right)
+        at_all = _variance([F.col("_s0t"), F.col("_s1t")], n)
+    else:
+        _, measure = CLASS_IMPURITIES[impurity]
+        at_left, at_all = measure(n_left, F.col("_s0l")), measure(n, F.col("_s0t"))
+        at_right = measure(some(n_right), F.col("_s0t") + F.col("_s1l"))
+    gain = at_all - at_left * n_left / n - at_right * n_right / n
     return per_bin.where((n_left >= min_instances) & (n_right >= min_instances)).select(
         *keys, "feature", "threshold", n_left.cast("long").alias("n_left"), n_right.cast("long").alias("n_right"), gain.alias("gain")
     )
@@ -130,16 +151,22 @@ def bagging_weight(key: Column, tree: int, rate: float = 1.0, replacement: bool
 
     The draw is a hash of the row's key, so every attempt agrees.
     """
-    draw = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(tree)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(key, F.lit(seed), F.lit(tree)), F.lit(1 << 52)) / float(1 << 52)
     if not replacement:
         return F.when(draw < rate, 1).otherwise(0)
     return poisson_from_uniform(draw, rate)
 
 
+# The table of bounds has some ten times as many entries as the mean.
+LARGEST_MEAN = 100
+
+
 def poisson_from_uniform(draw: Column, mean: float) -> Column:
-    """Smallest count whose cumulative probability exceeds the draw."""
+    """Smallest count whose cumulative probability exceeds the draw; means above `LARGEST_MEAN` are an error."""
     import math
 
+    if mean > LARGEST_MEAN:
+        raise ValueError(f"counts are drawn for means up to {LARGEST_MEAN}")
     if mean <= 0:
         return F.lit(0)
     probability = cumulative = math.exp(-mean)
@@ -187,45 +214,62 @@ def tree_regressor(df: DataFrame, features: str, label: str, depth: int = 5, bin
 
 
 def forest_classifier(df: DataFrame, features: str, label: str, trees: int = 20, depth: int = 5,
-                      subset: str = "auto", rate: float = 1.0, seed: int = 42):
-    return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, subsamplingRate=rate, seed=seed
-    ).fit(_rows(df, features, label))
+                      subset: str = "auto", rate: float = 1.0, seed: int = 42, bins: int = 32, impurity: str = "gini",
+                      min_instances: int = 1, min_gain: float = 0.0, categorical: int = 0):
+    estimator = RandomForestClassifier(
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, subsamplingRate=rate, seed=seed, maxBins=bins,
+        impurity=impurity, minInstancesPerNode=min_instances, minInfoGain=min_gain,
+    )
+    return _fit(estimator, _rows(df, features, label), categorical)
 
 
 def forest_regressor(df: DataFrame, features: str, label: str, trees: int = 20, depth: int = 5,
-                     subset: str = "auto", rate: float = 1.0, seed: int = 42):
-    return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, subsamplingRate=rate, seed=seed
-    ).fit(_rows(df, features, label))
+                     subset: str = "auto", rate: float = 1.0, seed: int = 42, bins: int = 32,
+                     min_instances: int = 1, min_gain: float = 0.0, categorical: int = 0):
+    estimator = RandomForestRegressor(
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, subsamplingRate=rate, seed=seed, maxBins=bins,
+        minInstancesPerNode=min_instances, minInfoGain=min_gain,
+    )
+    return _fit(estimator, _rows(df, features, label), categorical)
 
 
 def boosted_classifier(df: DataFrame, features: str, label: str, iterations: int = 100, rate: float = 0.1,
-                       depth: int = 3, validation: str | None = None, tolerance: float = 1e-5):
+                       depth: int = 3, validation: str | None = None, tolerance: float = 1e-5, bins: int = 32,
+                       min_instances: int = 1, min_gain: float = 0.0, categorical: int = 0):
     """Log loss; with a boolean ``validation`` column training stops early."""
-    estimator = GBTClassifier(maxIter=iterations, stepSize=rate, maxDepth=depth, validationTol=tolerance)
+    estimator = GBTClassifier(
+        maxIter=iterations, stepSize=rate, maxDepth=depth, validationTol=tolerance, maxBins=bins,
+        minInstancesPerNode=min_instances, minInfoGain=min_gain,
+    )
     if validation:
-        return estimator.setValidationIndicatorCol(validation).fit(_rows(df, features, label, validation))
-    return estimator.fit(_rows(df, features, label))
+        estimator = estimator.setValidationIndicatorCol(validation)
+    return _fit(estimator, _rows(df, features, label, *([validation] if validation else [])), categorical)
 
 
 def boosted_regressor(df: DataFrame, features: str, label: str, iterations: int = 100, rate: float = 0.1,
-                      depth: int = 3, loss: str = "squared", validation: str | None = None, tolerance: float = 1e-5):
-    estimator = GBTRegressor(maxIter=iterations, stepSize=rate, maxDepth=depth, lossType=loss, validationTol=tolerance)
+                      depth: int = 3, loss: str = "squared", validation: str | None = None, tolerance: float = 1e-5,
+                      bins: int = 32, min_instances: int = 1, min_gain: float = 0.0, categorical: int = 0):
+    estimator = GBTRegressor(
+        maxIter=iterations, stepSize=rate, maxDepth=depth, lossType=loss, validationTol=tolerance, maxBins=bins,
+        minInstancesPerNode=min_instances, minInfoGain=min_gain,
+    )
     if validation:
-        return estimator.setValidationIndicatorCol(validation).fit(_rows(df, features, label, validation))
-    return estimator.fit(_rows(df, features, label))
+        estimator = estimator.setValidationIndicatorCol(validation)
+    return _fit(estimator, _rows(df, features, label, *([validation] if validation else [])), categorical)
 
 
 def predict(model, df: DataFrame, features: str, name: str = "prediction") -> DataFrame:
-    scored = model.transform(df.withColumn("features", array_to_vector(double_array(features))) if features != "features"
-                             else df.withColumn("features", array_to_vector(double_array("features"))))
-    kept = [c for c in df.columns if c != "features"]
-    return scored.select(*kept, F.col("prediction").alias(name))
+    """Add the model's prediction; all columns of ``df`` stay, one called ``features`` too."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    scored = model.transform(df.select(kept, array_to_vector(double_array(features)).alias("features")))
+    return scored.select("_row.*", F.col("prediction").alias(name))
 
 
 def combine(predictions: Sequence[Column], weights: Sequence[float], how: str) -> Column:
-    """Ensemble output from tree outputs: weighted sum, average or 0/1 vote."""
+    """Ensemble output from tree outputs: weighted sum, average, or the class with most weight.
+
+    A vote takes any number of classes; a tie goes to the smallest class.
+    """
     total = F.lit(0.0)
     for p, w in zip(predictions, weights):
         total = total + p * float(w)
@@ -234,10 +278,13 @@ def combine(predictions: Sequence[Column], weights: Sequence[float], how: str) -
     if how == "average":
         return total / float(sum(weights))
     if how == "vote":
-        votes = F.lit(0.0)
-        for p, w in zip(predictions, weights):
-            votes = votes + F.when(p > 0.5, float(w)).otherwise(0.0)
-        return F.when(votes * 2 > float(sum(weights)), 1.0).otherwise(0.0)
+        cast = F.array(*[F.struct(p.cast("double").alias("c"), F.lit(float(w)).alias("w")) for p, w in zip(predictions, weights)])
+        classes = F.array_sort(F.array_distinct(F.transform(cast, lambda v: v["c"])))
+        weight_of = lambda c: F.aggregate(
+            F.filter(cast, lambda v: v["c"] == c), F.lit(0.0), lambda acc, v: acc + v["w"]
+        )
+        counted = F.transform(classes, lambda c: F.struct(weight_of(c).alias("w"), (-c).alias("c")))
+        return -F.array_max(counted)["c"]
     raise ValueError("how is 'sum', 'average' or 'vote'")
 
 

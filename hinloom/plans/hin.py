@@ -55,8 +55,9 @@ class Network:
 def build(entities: Mapping[str, Entity], relations: Sequence[Relation]) -> Network:
     """``vertices(vid, type, id, label, name)`` and ``edges(src, dst, rel)``.
 
-    Vertex ids are the positions of ``(type, id)`` in sort order.  Edges with
-    an end outside the entity tables are kept apart in ``unresolved``.
+    Vertex ids are the positions of ``(type, id)`` in sort order.  A vertex has one row, however often its id or a
+    label of it is given; the smallest name and label count.  Edges with an end outside the entity tables are kept
+    apart in ``unresolved``.
     """
     parts = []
     for kind, e in entities.items():
@@ -71,7 +72,8 @@ def build(entities: Mapping[str, Entity], relations: Sequence[Relation]) -> Netw
             known = e.labels.select(F.col(e.label_id).cast("string").alias("_lid"), F.col(e.label).alias("_class"))
             rows = labelled(rows, "id", known, "_lid", "_class")
         parts.append(rows.select("type", "id", "label", "name"))
-    union = reduce(DataFrame.unionByName, parts)
+    given = reduce(DataFrame.unionByName, parts)
+    union = given.groupBy("type", "id").agg(F.min("label").alias("label"), F.min("name").alias("name"))
     vertices = ordered_ids(union, ["type", "id"], "vid").select("vid", "type", "id", "label", "name")
 
     resolved, unresolved = [], []

@@ -231,3 +231,64 @@ def test_factorization_learns(spark, implicit):
     scored = recommend.predict_pairs(ratings, users, items).join(ratings, ["user", "item"])
     summary = evaluation.regression_summary(scored, "rating", "score").first()
     assert summary["rmse"] < (1.0 if implicit else 0.3)
+
+
+def test_large_offsets_leave_the_variance(spark):
+    import numpy as np
+
+    from hinloom.operators import dense, evaluation, statistics
+
+    base = 1e9
+    rows = [([base + (i % 2), base - (i % 2)], base + (i % 2), i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, k int")
+    cov = {(r["i"], r["j"]): r["value"] for r in dense.covariance(df, "x").collect()}
+    assert cov[0, 0] == pytest.approx(0.25012506, rel=1e-6) and cov[0, 1] == pytest.approx(-0.25012506, rel=1e-6)
+    corr = {(r["i"], r["j"]): r["value"] for r in dense.pearson(df, "x").collect()}
+    assert corr[0, 1] == pytest.approx(-1.0)
+    cells = spark.createDataFrame([(i, 0, base + (i == 1)) for i in range(3)], "i long, j long, value double")
+    assert statistics.sparse_column_summary(cells, 3).first()["variance"] == pytest.approx(1 / 3)
+    zeros = np.var([base, base + 1, base, 0, 0], ddof=1)
+    assert statistics.sparse_column_summary(cells, 5).first()["variance"] == pytest.approx(zeros, rel=1e-9)
+    fit = evaluation.regression_summary(df.withColumn("p", F.col("y")), "y", "p").first()
+    assert fit["explained_variance"] == pytest.approx(0.25) and fit["r2"] == 1.0
+    split = trees.best_split(trees.split_gains(df, {"k": [0.0]}, "y", "variance")).first()
+    assert split["gain"] == pytest.approx(0.25)
+
+
+def test_more_classes_than_a_hundred(spark):
+    import math
+
+    df = spark.range(3000).select((F.col("id") % 150).alias("y"), (F.col("id") % 150 < 75).cast("int").alias("f"))
+    for impurity, gain in (("gini", 1 / 75 - 1 / 150), ("entropy", 1.0)):
+        found = trees.split_gains(df, {"f": [0.0]}, "y", impurity).first()
+        assert found["gain"] == pytest.approx(gain) and found["n_left"] == 1500
+    assert math.isfinite(found["gain"])
+
+
+def test_a_product_with_a_constant_checks_its_length(spark):
+    from hinloom.functions import vectors
+
+    df = spark.range(1).select(F.array_repeat(F.lit(1.0), 300).alias("x"))
+    for size in (200, 260, 400):
+        with pytest.raises(Exception, match="vectors of size"):
+            df.select(vectors.dot_constant(F.col("x"), [1.0] * size)).collect()
+    assert df.select(vectors.dot_constant(F.col("x"), [1.0] * 300)).first()[0] == 300.0
+
+
+def test_votes_and_kept_columns(spark):
+    votes = [F.lit(2.0), F.lit(5.0), F.lit(2.0), F.lit(7.0)]
+    row = spark.range(1).select(
+        trees.combine(votes, [1, 1, 1, 1], "vote").alias("a"), trees.combine(votes, [1, 3, 1, 1], "vote").alias("b"),
+        trees.combine([F.lit(4.0), F.lit(3.0)], [1, 1], "vote").alias("c"),
+    ).first()
+    assert tuple(row) == (2.0, 5.0, 3.0)
+    df = spark.range(200).select(F.array((F.col("id") % 10).cast("double")).alias("x"), (F.col("id") % 10 > 4).cast("int").alias("y"))
+    df = df.withColumn("features", F.lit("mine"))
+    model = trees.forest_classifier(df, "x", "y", trees=3, bins=8, impurity="entropy", min_instances=2)
+    scored = trees.predict(model, df, "x")
+    assert scored.columns == ["x", "y", "features", "prediction"] and scored.where("prediction <> y").isEmpty()
+
+
+def test_large_poisson_means_are_refused():
+    with pytest.raises(ValueError, match="means up to"):
+        trees.poisson_from_uniform(F.lit(0.5), 800)
