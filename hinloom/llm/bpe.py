@@ -82,10 +82,12 @@ class PerfectHash:
 
     def find(self, key: bytes) -> int:
         """The slot of a key, or -1 for a string that is no key."""
+        if not self.slots:
+            return -1
         value = xxhash.xxh64_intdigest(key)
         displacement = self.displacements[value % self.buckets]
         place = -displacement - 1 if displacement < 0 else _slot(value, displacement, self.slots)
-        return place if self.slots and self.key_at[place] == key else -1
+        return place if self.key_at[place] == key else -1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:

@@ -12,9 +12,6 @@ from hinloom.runtime import broadcast_if_small, materialize
 RATIO = 0.08
 LEAST_PAGES = 5
 
-# Characters that do not count at the ends of a line.
-_ENDS = r" \t\r"
-
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
@@ -61,22 +58,20 @@ def drop_boilerplate(
     empty.  A null text stays null with 0 lines; a null site is the site named by the empty string; a repeated row
     is a page of its own; columns of ``docs`` with the names of the results are replaced.
     """
-    found = boilerplate(docs, host, ratio, least_pages)
-    of_site = found.groupBy("site").agg(F.collect_set("line").alias("lines"))
-    lines = _lines(F.col("text").cast("string"))
-    out = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
+    of_site = boilerplate(docs, host, ratio, least_pages).groupBy("site").agg(F.collect_set("line").alias("lines"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    others = [c for c in columns if c != "text"]
+    pages = docs.select([F.col(f"`{c}`") for c in columns]).alias("page")
+    at_site = F.coalesce(F.col(f"page.`{host}`").cast("string"), F.lit("")) == F.col("of_site.site")
+    bad = F.col("of_site.lines")
+    lines = _lines(F.col("page.text").cast("string"))
+    kept = F.when(bad.isNull(), lines).otherwise(F.filter(lines, lambda line: ~F.array_contains(bad, _bare(line))))
+    cut = pages.join(broadcast_if_small(of_site).alias("of_site"), at_site, "left").select(
+        F.struct([F.col(f"page.`{c}`") for c in others]).alias("page"), lines.alias("lines"), kept.alias("kept")
     )
-    bad = F.coalesce(F.col("llm_site.lines"), F.array().cast("array<string>"))
-    kept = F.filter(lines, lambda line: ~F.array_contains(bad, _bare(line)))
-    at_site = F.coalesce(F.col(f"llm_page.`{host}`").cast("string"), F.lit("")) == F.col("llm_site.site")
-    joined = out.alias("llm_page").join(broadcast_if_small(of_site).alias("llm_site"), at_site, "left")
-    columns = [F.col(f"llm_page.`{c}`") for c in out.columns if c != "text"]
-    lines = _lines(F.col("llm_page.text").cast("string"))
-    kept = F.when(F.size(bad) > 0, F.filter(lines, lambda line: ~F.array_contains(bad, _bare(line)))).otherwise(lines)
-    return joined.select(*columns, lines.alias("llm_lines"), kept.alias("llm_kept")).select(
-        *[F.col(f"`{c}`") for c in out.columns if c != "text"],
-        F.array_join("llm_kept", "\n").alias("text"),
-        F.coalesce(F.size("llm_lines"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("llm_lines") - F.size("llm_kept"), F.lit(0)).alias("n_dropped"),
+    return cut.select(
+        *[F.col(f"page.`{c}`") for c in others],
+        F.array_join("kept", "\n").alias("text"),
+        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias("n_dropped"),
     )

@@ -58,7 +58,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 _FOREIGN = re.compile("[" + "".join(LOOK_ALIKES) + "！-～]")
 _LATIN = re.compile("[a-z]")
-_DISGUISED = re.compile(r"[^\W\d_][0134578@$!]+(?=[^\W\d_])|(?<![^\W_])[0134578@$]{1,2}(?=[^\W\d_]{2})")
+# A run of word characters and signs with one of them that may stand for a letter.
+_DISGUISED = re.compile(r"(?<![\w@$!])(?=\w*[0134578@$!])[\w@$!]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W_]+")
 _WIDE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _TO_LATIN = str.maketrans(LOOK_ALIKES) | _WIDE
@@ -71,12 +73,19 @@ def _latin(match: re.Match) -> str:
     return word.translate(_TO_LATIN) if _LATIN.search(word.translate(_WIDE)) else word
 
 
+def _letters(match: re.Match) -> str:
+    # A number stays a number, and an exclamation mark at the end of a word one.
+    token = match.group()
+    word = token.rstrip("!")
+    return word.translate(_TO_LETTER) + token[len(word) :] if _LETTER.search(word) else token
+
+
 def fold(text: str) -> str:
     """Folded words of a text, each between single blanks."""
     text = text.lower()
     if not text.isascii() and _FOREIGN.search(text):
         text = _WORD.sub(_latin, text)
-    text = _DISGUISED.sub(lambda m: m.group().translate(_TO_LETTER), text)
+    text = _DISGUISED.sub(_letters, text)
     return f" {' '.join(_WORD.findall(text))} "
 
 
