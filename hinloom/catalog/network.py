@@ -289,7 +289,8 @@ def label_default(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- ranks and classes -----------------------------------------------------
 
-CLASSES = 4
+# One per region; customers are labelled by segment, of which four have a class.
+CLASSES = 5
 
 
 def rank_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -303,7 +304,7 @@ def rank_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
             )
         ],
     )
-    regions = table(spark, sf, "nation").where(F.col("n_regionkey") < CLASSES)
+    regions = table(spark, sf, "nation")
     supplier_labels = (
         table(spark, sf, "supplier")
         .join(regions, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -341,15 +342,15 @@ with items as (
 labels as (
   select 0 as m, c_custkey as x, ({_SEGMENT_CASE}) as k from customer where ({_SEGMENT_CASE}) is not null
   union all
-  select 1, s_suppkey, n_regionkey from supplier join nation on n_nationkey = s_nationkey where n_regionkey < 4),
+  select 1, s_suppkey, n_regionkey from supplier join nation on n_nationkey = s_nationkey),
 sized as (select m, x, k, 1.0::double / count(*) over (partition by m, k) as p from labels),
 p0 as (select c.k::int as k, i.m, i.x, coalesce(s.p, 0.0::double) as p from items i
-       cross join range(4) c(k) left join sized s on s.m = i.m and s.x = i.x and s.k = c.k),
+       cross join range(5) c(k) left join sized s on s.m = i.m and s.x = i.x and s.k = c.k),
 e as (
   select 'customer' as rel, 2 as i, o_orderkey as r, 0 as j, o_custkey as c from orders
   union all select 'supplier', 2, l_orderkey, 1, l_suppkey from lineitem
   union all select 'part', 2, l_orderkey, 3, l_partkey from lineitem),
-w0 as (select c4.k::int as k, rel, i, r, j, c, count(*)::double as w from e cross join range(4) c4(k) group by all)
+w0 as (select c4.k::int as k, rel, i, r, j, c, count(*)::double as w from e cross join range(5) c4(k) group by all)
 """
 
 
@@ -385,12 +386,14 @@ def _ranks(state: rankclass.State) -> DataFrame:
 
 @catalog.query("rankclass_init", _RANK_START + "select k, m, x, round(p, 9) as p from p0")
 def rankclass_init(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranks(_started(spark, sf))
+    items, labels, _ = rank_inputs(spark, sf)
+    ranks = rankclass.initial_ranks(items, labels, CLASSES)
+    return rankclass.tall_ranks(ranks, CLASSES).withColumn("p", rounded("p", 9))
 
 
 @catalog.query("rankclass_round1", _RANK_START + _round_sql(1) + "select k, m, x, round(p, 9) as p from p1")
 def rankclass_round1(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranks(rankclass.step(_started(spark, sf)))
+    return _ranks(rankclass.step(_started(spark, sf), reweighted=False))
 
 
 @catalog.query(
@@ -398,7 +401,7 @@ def rankclass_round1(spark: SparkSession, sf: str) -> DataFrame:
     _RANK_START + _round_sql(1) + _round_sql(2) + "select k, m, x, round(p, 9) as p from p2",
 )
 def rankclass_round2(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranks(rankclass.run(*rank_inputs(spark, sf)))
+    return _ranks(rankclass.run(*rank_inputs(spark, sf), classes=CLASSES))
 
 
 @catalog.query(
@@ -410,18 +413,19 @@ def rankclass_round2(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rankclass_first_relation(spark: SparkSession, sf: str) -> DataFrame:
     """Round 1 updates ranks from one relation only."""
-    return _ranks(rankclass.run(*rank_inputs(spark, sf), first_relation="customer"))
+    return _ranks(rankclass.run(*rank_inputs(spark, sf), classes=CLASSES, first_relation="customer"))
 
 
 @catalog.query(
     "rankclass_reweight",
-    _RANK_START + _round_sql(1) + 'select k, rel, r as "row", c as col, round(w, 9) as w from w1',
+    _RANK_START + _round_sql(1) + 'select k, rel, r as "row", count(*) as cells, round(sum(w), 9) as w from w1 group by k, rel, r',
 )
 def rankclass_reweight(spark: SparkSession, sf: str) -> DataFrame:
+    """New weights of all cells, added up per row of each relation."""
     state = rankclass.step(_started(spark, sf))
-    return rankclass.tall_relations(state.relations, CLASSES).select(
-        "k", "rel", "row", "col", rounded("w", 9).alias("w")
-    )
+    tall = rankclass.tall_relations(state.relations, CLASSES)
+    sums = tall.groupBy("k", "rel", "row").agg(F.count(F.lit(1)).alias("cells"), F.sum("w").alias("w"))
+    return sums.withColumn("w", rounded("w", 9))
 
 
 @catalog.query(
@@ -433,7 +437,7 @@ def rankclass_reweight(spark: SparkSession, sf: str) -> DataFrame:
   select *, row_number() over (partition by m, x order by round(p, 12) desc, k) as n from p2 where p > 0) where n = 1""",
 )
 def rankclass_classes(spark: SparkSession, sf: str) -> DataFrame:
-    state = rankclass.run(*rank_inputs(spark, sf))
+    state = rankclass.run(*rank_inputs(spark, sf), classes=CLASSES)
     near_ties_equal = state.ranks.select("m", "x", *[rounded(f"p{k}", 12).alias(f"p{k}") for k in range(CLASSES)])
     return rankclass.assign_classes(near_ties_equal, CLASSES)
 

@@ -275,11 +275,13 @@ def step(
     alpha: float = ALPHA,
     lambda_weighted: bool = False,
     only_relations: Sequence[str] | None = None,
+    reweighted: bool = True,
 ) -> State:
     """One round: ranks from the normalised relations, then new weights.
 
     Both results are written, so the plan of a later round does not grow.
-    ``only_relations`` limits the rank update (not the re-weighting).
+    ``only_relations`` limits the rank update (not the re-weighting).  Without ``reweighted`` the weights stay those
+    the ranks come from, which is all a last round needs.
     """
     t = state.round + 1
     relations = state.relations
@@ -293,6 +295,8 @@ def step(
         "ranks",
     )
     discard(nodes)
+    if not reweighted:
+        return replace(state, ranks=ranks, round=t)
     weights = materialize(reweight(state.relations, ranks, state.classes, t), "relations")
     return replace(state, ranks=ranks, relations=weights, round=t)
 
@@ -305,10 +309,13 @@ def run(
     types: int = 4,
     rounds: int = 2,
     first_relation: str | None = None,
+    last_weights: bool = False,
     **options: object,
 ) -> State:
     """The whole loop.
 
+    The weights of the result are those its ranks come from, or with ``last_weights`` new ones made from the ranks.
+
     ``first_relation`` limits the rank update of round 1 to one relation, for
     comparison with results that were computed that way.
     """
@@ -316,8 +323,9 @@ def run(
     for t in range(1, rounds + 1):
         only = [first_relation] if first_relation and t == 1 else None
         before = state
-        state = step(state, only_relations=only, **options)
-        discard(before.relations)
+        state = step(state, only_relations=only, reweighted=t < rounds or last_weights, **options)
+        if state.relations is not before.relations:
+            discard(before.relations)
         if before.ranks is not before.initial:
             discard(before.ranks)
     return state
