@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from hinloom.functions import vectors
 from hinloom.runtime import double_array, materialize
 
-# Widest row the dense form accepts: a partition holds width squared doubles.
+# Widest row whose products one partition sums (width squared doubles); wider rows go by coordinate cells.
 MAX_WIDTH = 4096
 
+# Widest row of a Gramian: it has width squared cells.
+MOST_COLUMNS = 65_535
+
 
 def rows_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """A ``list<double>`` column of equal-length vectors as a 2-d array."""
@@ -40,11 +43,24 @@ def vector_width(df: DataFrame, features: str) -> int:
     first = df.select(F.size(features).alias("n")).first()
     if first is None:
         raise ValueError("no rows")
-    if first["n"] > MAX_WIDTH:
-        raise ValueError(f"dense form takes at most {MAX_WIDTH} columns; use coordinate cells")
+    if first["n"] > MOST_COLUMNS:
+        raise ValueError(f"a matrix of products takes at most {MOST_COLUMNS} columns")
     return first["n"]
 
 
+def _wide_products(df: DataFrame, features: str, means: np.ndarray | None = None) -> DataFrame:
+    """Cells of ``X^T X``, of columns less their ``means`` if given, as a product of coordinate cells."""
+    from hinloom.operators.matrix import self_product
+
+    # The row numbers are fixed by writing them.
+    rows = df.select(F.monotonically_increasing_id().alias("j"), double_array(features).alias("x"))
+    cells = rows.select("j", F.posexplode("x").alias("i", "value")).select(F.col("i").cast("long"), "j", "value")
+    if means is not None:
+        shifts = df.sparkSession.createDataFrame([(i, float(m)) for i, m in enumerate(means)], "i long, shift double")
+        cells = cells.join(F.broadcast(shifts), "i").select("i", "j", (F.col("value") - F.col("shift")).alias("value"))
+    return self_product(cells.where(F.col("value") != 0))
+
+
 def _products(df: DataFrame, features: str, shift: np.ndarray | None = None) -> DataFrame:
     """Upper-triangle cells ``(i, j, value)`` of ``[X 1]^T [X 1]``, of rows less ``shift`` if it is given."""
 
@@ -96,6 +112,8 @@ def gramian(df: DataFrame, features: str) -> DataFrame:
     from hinloom.operators.matrix import mirror
 
     width = vector_width(df, features)
+    if width > MAX_WIDTH:
+        return _wide_products(df, features)
     return mirror(_products(df, features).where((F.col("i") < width) & (F.col("j") < width)))
 
 
@@ -120,6 +138,8 @@ def _moments(df: DataFrame, features: str) -> DataFrame:
     from hinloom.operators.matrix import mirror
 
     width = vector_width(df, features)
+    if width > MAX_WIDTH:
+        return _wide_moments(df, features)
     # (width + 1)^2 / 2 cells, written because the joins read them three times.  They are taken about the means of a
     # first pass: the difference of large squares would leave nothing of a small variance.
     cells = materialize(_products(df, features, column_means(df, features)), "products")
@@ -148,6 +168,25 @@ def _moments(df: DataFrame, features: str) -> DataFrame:
     return mirror(upper.select("i", "j", "_cov", "_vi", "_vj"))
 
 
+def _wide_moments(df: DataFrame, features: str) -> DataFrame:
+    count = df.count()
+    if count <= 1:
+        raise ValueError("covariance needs at least two rows")
+    means = column_means(df, features)
+    sums = materialize(_wide_products(df, features, means), "products")
+    spark = df.sparkSession
+    grid = spark.range(len(means)).select(F.col("id").alias("i"))
+    diagonal = grid.join(sums.where(F.col("i") == F.col("j")), "i", "left").select(
+        "i", (F.coalesce("value", F.lit(0.0)) / (count - 1)).alias("_v")
+    )
+    left = diagonal.select("i", F.col("_v").alias("_vi"))
+    right = diagonal.select(F.col("i").alias("j"), F.col("_v").alias("_vj"))
+    # A pair without a cell has covariance 0.
+    pairs = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(means) - 1)))).withColumn("j", F.col("j").cast("long"))
+    value = (F.coalesce("value", F.lit(0.0)) / (count - 1)).alias("_cov")
+    return pairs.join(right, "j").join(sums, ["i", "j"], "left").select("i", "j", value, "_vi", "_vj")
+
+
 def multiply_local(df: DataFrame, features: str, matrix: Sequence[Sequence[float]], name: str = "product") -> DataFrame:
     """Each row vector times a constant matrix, as an array column.
 
@@ -188,9 +227,15 @@ def svd(
 ) -> tuple[np.ndarray, np.ndarray]:
     """``(s, V)`` of the ``k`` largest singular values above ``r_cond * s[0]``.
 
-    The Gramian is one distributed pass; its eigenvectors are width squared.
+    The Gramian is one distributed pass; its eigenvectors are width squared.  Beyond `MAX_WIDTH` columns only
+    vectors of that length come to the driver, by Lanczos steps of one pass each.
     """
-    width = vector_width(df, features)
+    width = df.select(F.size(features)).first()[0]
+    if width > MAX_WIDTH:
+        values, basis = lanczos(lambda v: gramian_times(df, features, v), width, k)
+        s = np.sqrt(np.clip(values, 0, None))
+        kept = s > r_cond * s[0]
+        return s[kept], basis[:, kept]
     values, basis = np.linalg.eigh(_local(gramian(df, features), width))
     order = np.argsort(values)[::-1][:k]
     s = np.sqrt(np.clip(values[order], 0, None))
@@ -198,6 +243,55 @@ def svd(
     return s[kept], basis[:, order][:, kept]
 
 
+def gramian_times(df: DataFrame, features: str, vector: np.ndarray) -> np.ndarray:
+    """``X^T (X v)`` in one pass; a partition sends one vector."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = rows_of(batch, "features")
+                part = x.T @ (x @ vector)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["i", "value"])
+
+    parts = df.select(double_array(features).alias("features")).mapInArrow(partial, "i long, value double")
+    found = parts.groupBy("i").agg(F.sum("value").alias("value")).toPandas()  # as many as columns
+    out = np.zeros(len(vector))
+    out[found["i"]] = found["value"]
+    return out
+
+
+def lanczos(times, size: int, k: int, tolerance: float = 1e-10, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues and their vectors of a symmetric matrix known by its products with vectors.
+
+    All basis vectors are kept orthogonal; it ends when the residuals of the ``k`` pairs are small or the space is
+    exhausted.
+    """
+    rng = np.random.default_rng(seed)
+    basis = [rng.standard_normal(size)]
+    basis[0] /= np.linalg.norm(basis[0])
+    diagonal: list[float] = []
+    beside: list[float] = []
+    while True:
+        w = times(basis[-1])
+        diagonal.append(float(w @ basis[-1]))
+        for _ in range(2):  # twice is enough against rounding
+            for q in basis:
+                w = w - (w @ q) * q
+        rest = float(np.linalg.norm(w))
+        m = len(diagonal)
+        values, vectors_ = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
+        top = np.argsort(values)[::-1][:k]
+        scale = max(abs(values).max(), 1e-300)
+        settled = m >= k and (rest * np.abs(vectors_[-1, top]) <= tolerance * scale).all()
+        if settled or m == size or rest <= 1e-14 * scale:
+            return values[top], np.stack(basis, 1) @ vectors_[:, top]
+        beside.append(rest)
+        basis.append(w / rest)
+
+
 def left_singular(df: DataFrame, features: str, s: np.ndarray, v: np.ndarray, name: str = "u") -> DataFrame:
     """Rows of ``U = X V S^-1``."""
     return multiply_local(df, features, (v / s).tolist(), name)
@@ -215,11 +309,15 @@ def project(df: DataFrame, features: str, components: np.ndarray, name: str = "p
     return multiply_local(df, features, components.tolist(), name)
 
 
+# Triangular blocks a task of a level factors together.
+MERGED_BLOCKS = 8
+
+
 def qr_r(df: DataFrame, features: str) -> np.ndarray:
     """``R`` of a tall-skinny QR, diagonal not negative.
 
     Partitions factor their rows, groups of partitions factor the stacked
-    ``R`` blocks, and the last few blocks meet on the driver.
+    ``R`` blocks, level by level, and the last few blocks meet on the driver.
     """
     width = vector_width(df, features)
 
@@ -236,7 +334,12 @@ def qr_r(df: DataFrame, features: str) -> np.ndarray:
     rows = df.select(double_array(features).alias("features")).mapInArrow(
         block, "features array<double>"
     )
-    merged = rows.repartition(8).mapInArrow(block, "features array<double>")
+    merged, parts = rows, rows.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // MERGED_BLOCKS)
+        merged = merged.repartition(parts).mapInArrow(block, "features array<double>")
+        if parts <= MERGED_BLOCKS:
+            break
     r = np.linalg.qr(np.array([row["features"] for row in merged.collect()]), mode="r")
     signs = np.where(np.diag(r) < 0, -1.0, 1.0)
     return r * signs[:, None]

@@ -292,3 +292,26 @@ def test_votes_and_kept_columns(spark):
 def test_large_poisson_means_are_refused():
     with pytest.raises(ValueError, match="means up to"):
         trees.poisson_from_uniform(F.lit(0.5), 800)
+
+
+def test_wide_rows_go_by_cells(spark, monkeypatch):
+    import numpy as np
+
+    from hinloom.operators import dense
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 7)) + 5
+    x[:, 3] = 2.0
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    cells = lambda table: {(r["i"], r["j"]): r["value"] for r in table.collect()}
+    narrow = [cells(f(df, "x")) for f in (dense.gramian, dense.covariance, dense.pearson)]
+    s, v = dense.svd(df, "x", 3)
+    monkeypatch.setattr(dense, "MAX_WIDTH", 4)
+    for want, f in zip(narrow, (dense.gramian, dense.covariance, dense.pearson)):
+        got = cells(f(df, "x"))
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9, nan_ok=True) for k in want)
+    wide_s, wide_v = dense.svd(df, "x", 3)
+    assert wide_s == pytest.approx(s) and np.abs((wide_v * v).sum(0)) == pytest.approx(np.ones(3))
+    r = dense.qr_r(df.repartition(70), "x")
+    assert r.T @ r == pytest.approx(x.T @ x)
