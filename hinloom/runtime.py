@@ -6,9 +6,10 @@ parquet tables below the folder the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{working_dir(spark)}/hinloom/{label}-{uuid.uuid4().hex}"
 
 
+# Paths written since each open `intermediates` block began, innermost last.
+_open_blocks: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, every table that `materialize` wrote inside it.
+
+    Results are lazy: write or collect them before the block ends.
+    """
+    written: list[str] = []
+    _open_blocks.append(written)
+    try:
+        yield
+    finally:
+        _open_blocks.remove(written)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
@@ -53,6 +76,8 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _open_blocks:
+        _open_blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -132,3 +132,16 @@ def test_few_scores_are_not_merged(spark):
     df = spark.createDataFrame([(float(i), float(i % 2)) for i in range(10)], "s double, y double")
     assert ordering.downsample_scores(df, "s", "y", 8).count() == 10
     assert ordering.downsample_scores(df, "s", "y", 5).count() == 5
+
+
+def test_intermediates_go_with_their_block(spark):
+    from pathlib import Path
+
+    from hinloom import runtime
+
+    outside = runtime.materialize(spark.range(3), "outside")
+    with runtime.intermediates(spark):
+        inside = runtime.materialize(spark.range(5), "inside")
+        assert inside.count() == 5
+        folder = Path(inside.inputFiles()[0].removeprefix("file://")).parent
+    assert not folder.exists() and outside.count() == 3
