@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,7 +247,7 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     placed = vectors.withColumn("shard", F.pmod(F.xxhash64(F.element_at("members", 1)), shards).cast("int"))
 
     def make(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(pa.compute.list_element(table.column("members"), 0)))
+        table = table.take(pc.sort_indices(pc.list_element(table.column("members"), 0)))
         matrix = _matrix(table, "vector")
         layers, nodes = build(_unit(matrix))
         order = nodes[0]
@@ -264,8 +265,6 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         return pa.table(row, schema=pa.schema(list(zip(row, kinds, strict=True))))
 
-    import pyarrow.compute  # noqa: F401  (loads pa.compute)
-
     return placed.groupBy("dim", "shard").applyInArrow(make, _INDEX)
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,12 +134,10 @@ def count_tokens(
         texts_ = batch.column(1)
         tokens = [len(encode(t.as_py())) for t in texts_]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.compute.binary_length(texts_).cast(pa.int64()), pa.array(tokens, pa.int64())],
+            [batch.column(0), pc.binary_length(texts_).cast(pa.int64()), pa.array(tokens, pa.int64())],
             names=["doc_id", "n_bytes", "n_tokens"],
         )
 
-    import pyarrow.compute  # noqa: F401  (loads pa.compute here and, by its name, on the workers)
-
     short = arrow_map(texts.where(~long), counts, "doc_id long, n_bytes long, n_tokens long")
     # The ids are fixed by writing them.
     waiting = materialize(texts.where(long).withColumn("uid", F.monotonically_increasing_id()), "huge-texts")
