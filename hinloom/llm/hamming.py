@@ -11,9 +11,12 @@ another one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ from hinloom.runtime import materialize
 # Steps run together while the masks of a radius are few; above it each step stops the queries it can.
 MASKS_TOGETHER = 150
 
+# Probes a task holds at once.
+PROBES_AT_ONCE = 1 << 18
+
 
 def sign_code(vector: Column, bits: int) -> Column:
     """A vector's signs as a long, first component highest (bit set where it is above 0).
@@ -83,46 +89,33 @@ def nearest(
             F.lit(number).alias("segment"), _segment(F.col("code"), low, width).alias("value"), "code", "ids"
         )
         index = part if index is None else index.unionByName(part)
-    path_index = materialize(index, "segments")
+    index = materialize(index, "segments")
     # What a query can find at all: k others and its own row, or all there are.
     available = classes.agg(F.sum(F.size("ids"))).first()[0] or 0
     wanted = min(k + 1, available)
 
-    active = asked.select(F.col("code").alias("query")).distinct()
-    best = None
+    # A row without a code stands for each query that goes on.
+    nothing = [F.lit(None).cast("long").alias("code"), F.array().cast("array<long>").alias("ids")]
+    going = asked.select(F.col("code").alias("query")).distinct().select(
+        "query", *nothing, F.lit(None).cast("int").alias("distance"), F.lit(bits).alias("bound")
+    )
     finished: list[DataFrame] = []
     for until, steps in _schedule(widths, bits):
-        found = best
-        for segment, radius in steps:
-            low, width = widths[segment]
-            masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)])
-            probes = active.select("query", F.explode(masks).alias("mask")).select(
-                "query", _segment(F.col("query"), low, width).bitwiseXOR(F.col("mask")).alias("value")
-            )
-            hits = (
-                probes.join(path_index.where(F.col("segment") == segment), "value")
-                .select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
-            )
-            found = hits if found is None else found.unionByName(hits)
-        # A code met in several segments is one candidate.
-        order = Window.partitionBy("query").orderBy("distance", F.element_at("ids", 1), "code")
-        ranked = (
-            found.dropDuplicates(["query", "code"])
-            .withColumn("n", F.row_number().over(order))
-            .where(F.col("n") <= k + 1)
-            .drop("n")
-        )
-        best_now = materialize(ranked, "nearest")
-        inside = F.sum(F.when(F.col("distance") <= until, F.size("ids")).otherwise(0))
-        covered = best_now.groupBy("query").agg(inside.alias("inside")).where(F.col("inside") >= wanted)
-        finished.append(best_now.join(covered, "query", "left_semi"))
-        active_now = materialize(active.join(covered, "query", "left_anti"), "active")
-        best = materialize(best_now.join(active_now, "query", "left_semi"), "open")
-        active = active_now
-        if active.isEmpty():
+        active = going.where(F.col("code").isNull()).select("query", "bound")
+        probes = _probes(active, [(s, *widths[s], r) for s, r in steps])
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        # A code beyond the k-th distance known so far never leaves the join.  Each query has many probes, which the
+        # planner does not know: without the hint it would broadcast them.
+        part = index.where(F.col("segment").isin([s for s, _ in steps])).hint("merge")
+        hits = probes.join(part, ["segment", "value"]).where(distance <= F.col("bound"))
+        found = going.drop("bound").unionByName(hits.select("query", "code", "ids", distance.alias("distance")))
+        going = materialize(_best(found, k, wanted, until, bits), "nearest")
+        finished.append(going.where(F.col("covered") & F.col("code").isNotNull()).select("query", "ids", "distance"))
+        going = going.where(~F.col("covered")).drop("covered")
+        if going.isEmpty():
             break
     else:
-        finished.append(best)  # every distance was searched
+        finished.append(going.where(F.col("code").isNotNull()).select("query", "ids", "distance"))  # all was searched
     result = finished[0]
     for more in finished[1:]:
         result = result.unionByName(more)
@@ -138,6 +131,49 @@ def nearest(
     )
 
 
+def _probes(active: DataFrame, searches: list[tuple[int, int, int, int]]) -> DataFrame:
+    """The segment values at a distance from each query's, for (segment, lowest bit, width, radius) searches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, low, width, radius in searches:
+                masks = np.array(_masks(width, radius), np.int64)
+                whole = np.int64((1 << width) - 1)
+                step = max(1, PROBES_AT_ONCE // len(masks))
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    query, bound = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                    own = (query.view(np.uint64) >> np.uint64(low)).view(np.int64) & whole
+                    values = (own[:, None] ^ masks).ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(query, len(masks))),
+                            pa.array(np.repeat(bound, len(masks))),
+                            pa.array(np.full(len(values), segment, np.int32)),
+                            pa.array(values),
+                        ],
+                        names=["query", "bound", "segment", "value"],
+                    )
+
+    return active.mapInArrow(run, "query long, bound int, segment int, value long")
+
+
+def _best(found: DataFrame, k: int, wanted: int, until: int, bits: int) -> DataFrame:
+    """The ``k + 1`` nearest codes of each query, whether they are proven, and the distance still to beat."""
+    own = Window.partitionBy("query")
+    order = own.orderBy(F.col("distance").asc_nulls_last(), F.get("ids", F.lit(0)), "code")
+    so_far = F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A code met in several segments is one candidate; each task keeps but the best of a query.
+    ranked = found.dropDuplicates(["query", "code"]).withColumn("n", F.row_number().over(order))
+    kept = ranked.where((F.col("n") <= k + 1) | F.col("code").isNull()).withColumn("so_far", so_far)
+    covered = F.max((F.col("so_far") >= wanted) & (F.col("distance") <= until)).over(own)
+    bound = F.min(F.when(F.col("so_far") >= wanted, F.col("distance"))).over(own)
+    return kept.select(
+        "query", "code", "ids", "distance", F.coalesce(bound, F.lit(bits)).alias("bound"),
+        F.coalesce(covered, F.lit(False)).alias("covered"),
+    )
+
+
 def _schedule(widths: list[tuple[int, int]], bits: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(distance covered after it, (segment, radius) searches) for each round."""
     count, widest = len(widths), max(w for _, w in widths)
