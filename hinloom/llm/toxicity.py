@@ -195,7 +195,8 @@ def _words(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bounded(whole):
-                for doc, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    text = text.as_py()
                     words = fold(text).split()
                     seen = {
                         (word, xxhash.xxh64_intdigest(f"{before} {after}") - (1 << 63))
@@ -207,14 +208,13 @@ def _words(training: DataFrame) -> DataFrame:
                             pa.array([w for w, _ in seen], pa.string()),
                             pa.array([b for _, b in seen], pa.int64()),
                             pa.array([doc] * len(seen), pa.int64()),
-                            pa.array([toxic] * len(seen), pa.int32()),
                         ],
-                        names=["word", "between", "doc_id", "toxic"],
+                        names=["word", "between", "doc_id"],
                     )
 
-    found = training.mapInArrow(run, "word string, between long, doc_id long, toxic int")
-    owner = found.groupBy("word", "between").agg(F.min(F.struct("doc_id", "toxic")).alias("first"))
-    return owner.select("word", "first.*").distinct()
+    found = training.select("doc_id", "text").mapInArrow(run, "word string, between long, doc_id long")
+    owned = found.groupBy("word", "between").agg(F.min("doc_id").alias("doc_id")).select("word", "doc_id").distinct()
+    return owned.join(F.broadcast(training.select("doc_id", "toxic").distinct()), "doc_id")  # `TRAINING_ROWS` at most
 
 
 def _evidence(a: np.ndarray, b: np.ndarray, total_a: float, total_b: float) -> np.ndarray:

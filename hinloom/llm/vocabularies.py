@@ -38,10 +38,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path) as file:
             self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         ranks = os.path.splitext(path)[0] + ".tiktoken"
@@ -54,6 +51,14 @@ class Encoder:
                 "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks), special_tokens={}
             )
 
+    @functools.cached_property
+    def library(self):
+        """The `tokenizers` object, loaded where it is first needed: it takes much memory."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         """Ids of a text as unsigned 32-bit integers."""
         if not text:
