@@ -26,7 +26,7 @@ from hinloom.llm.vocabularies import read_ranks
 BUCKET_KEYS = 4
 
 # Ids of texts between safe cuts are remembered per Python worker, so many at most and no longer ones.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 REMEMBERED_CHARS = 64
 
 # Texts are encoded in stretches of this many characters, cut where the result cannot change.
@@ -90,8 +90,8 @@ class PerfectHash:
         return place if self.key_at[place] == key else -1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a piece: the pair of lowest rank is merged first, of equal ones the leftmost.
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens of a piece: the pair of lowest rank is merged first, of equal ones the leftmost.
 
     A part is known by where it starts; ``after`` and ``before`` link the starts.  Heap entries of pairs that a
     merge has changed are skipped when they come up.
@@ -127,13 +127,13 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             pair[start] = rank = rank_of(piece[start:end], -1)
             if rank >= 0:
                 heappush(heap, rank << shift | start)
-    ids = []
+    tokens = []
     i = 0
     while i < size:
         end = after[i]
-        ids.append(ranks[piece[i:end]])
+        tokens.append(piece[i:end])
         i = end
-    return ids
+    return tokens
 
 
 class _Remembered(dict):
@@ -156,13 +156,14 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.hash = PerfectHash(list(ranks))
-        self.id_at = [ranks[key] for key in self.hash.key_at]
+        self.id_at = [ranks[key].to_bytes(4, "little") for key in self.hash.key_at]
         # `\s` is spelled out, since engines differ on the separators below 0x20.
         self.pattern = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\s", f"[{WHITE_SPACE}]")
         self.pattern = self.pattern.replace(r"\S", f"[^{WHITE_SPACE}]")
         self._start()
 
     def _start(self) -> None:
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -181,10 +182,14 @@ class Codec:
     def encode_word(self, word: str) -> bytes:
         piece = word.encode()
         slot = self.hash.find(piece)
-        ids = [self.id_at[slot]] if slot >= 0 else merge(piece, self.ranks)
-        return np.array(ids, "<u4").tobytes() if len(ids) > 1 else ids[0].to_bytes(4, "little")
+        if slot >= 0:
+            return self.id_at[slot]
+        return b"".join([self.packed[token] for token in merge(piece, self.ranks)])
 
     def encode_unit(self, unit: str) -> bytes:
+        # A blank and letters are one pre-token.
+        if unit[0] == " " and unit[1:].isalpha():
+            return self.encode_word(unit)
         out = []
         for word in self.pre_tokens.findall(unit):
             ids = self.words.get(word)

@@ -32,7 +32,7 @@ def library():
 def test_every_entry_is_found_in_its_own_slot(codec):
     slots = {codec.hash.find(key) for key in codec.ranks}
     assert slots == set(range(len(codec.ranks)))
-    assert all(codec.id_at[codec.hash.find(key)] == rank for key, rank in codec.ranks.items())
+    assert all(codec.id_at[codec.hash.find(key)] == rank.to_bytes(4, "little") for key, rank in codec.ranks.items())
     assert codec.hash.find(b"no such entry of the vocabulary") == -1
 
 
