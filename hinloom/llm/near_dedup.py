@@ -304,7 +304,8 @@ def _exact_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int = PERCENT)
         & (F.col("far") >= F.col("least"))
         & (F.col("most") >= F.col("lowest"))
     )
-    met = small.join(large, "shingle").where(possible).select("shingle", "small", "large")
+    met = small.join(large, "shingle").where(possible)
+    met = met.select("shingle", "small", "large", "tallest", "far", "lowest")
     of_small = wide.select("shingle", F.col("component").alias("small"), F.col("node").alias("a"),
                            F.col("size").alias("size_a"), F.col("reach").alias("reach_a"))
     of_large = posted.select("shingle", F.col("component").alias("large"), F.col("node").alias("b"),
@@ -314,7 +315,14 @@ def _exact_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int = PERCENT)
         & (F.col("reach_a") >= F.col("size_b"))
         & (F.col("reach_b") >= F.col("size_a"))
     )
-    pairs = met.join(of_small, ["shingle", "small"]).join(of_large, ["shingle", "large"]).where(fits)
+    # Of a large component only the nodes that suit the other one's sizes come forth.
+    suits = (
+        (F.col("size_a") <= F.col("tallest"))
+        & (F.col("size_a") <= F.col("far"))
+        & (F.col("reach_a") >= F.col("lowest"))
+    )
+    chosen = met.join(of_small, ["shingle", "small"]).where(suits).drop("tallest", "far", "lowest")
+    pairs = chosen.join(of_large, ["shingle", "large"]).where(fits)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
