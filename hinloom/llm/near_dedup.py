@@ -107,13 +107,16 @@ def _coordinate_hashes(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """Smallest value of each coordinate's hash over a set that is not empty."""
+    """Smallest value of each coordinate's hash over a set that is not empty.
+
+    Values have 64 bits: shorter ones would be equal by chance in many pairs of a large corpus.
+    """
     factor, shift = _coordinate_hashes(coordinates)
-    least = np.full(coordinates, 2**32 - 1, np.uint64)
+    least = np.full(coordinates, 2**64 - 1, np.uint64)
     for begin in range(0, len(shingles), ROWS):
-        values = (shingles[begin : begin + ROWS, None] * factor + shift) >> np.uint64(32)
+        values = shingles[begin : begin + ROWS, None] * factor + shift
         least = np.minimum(least, values.min(0))
-    return least.astype(np.uint32).view(np.int32)
+    return least.view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
@@ -143,7 +146,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                         batch.column("text_hash"),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.binary()),
-                        pa.array(sketches, pa.list_(pa.int32())),
+                        pa.array(sketches, pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "text_hash", "n_shingles", "node", "sketch"],
                 )
@@ -151,7 +154,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         F.col("doc_id").cast("long"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")
     )
-    return texts.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, sketch array<int>")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -180,9 +183,8 @@ def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MA
     Pairs are ordered by frequency, rarest first.  Pairs of one node only share nothing, but take up places among
     the first ``coordinates - matches + 1``, so a node with few shared pairs has none to post.
     """
-    pair = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF)))
     all_pairs = nodes.select("node", F.posexplode("sketch").alias("at", "value"))
-    all_pairs = all_pairs.withColumn("value", F.col("value").cast("long")).select("node", pair.alias("pair"))
+    all_pairs = all_pairs.select("node", F.xxhash64("at", "value").alias("pair"))
     shared = all_pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
     own = all_pairs.join(shared, "pair").groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("shared"),  # as many as coordinates at most
