@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hinloom.llm.common import text_of
 from hinloom.runtime import broadcast_if_small, materialize
 
 # Share of a site's pages above which a line is boilerplate, and the pages it must be on at least: on a site of
@@ -22,10 +23,17 @@ def _bare(line: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    docs: DataFrame,
+    host: str = "source",
+    ratio: float = RATIO,
+    least_pages: int = LEAST_PAGES,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """``site, line`` for the lines on more than ``ratio`` of the pages of their site.
 
+    With ``copies`` (``text_hash, copy_of``, a row per text that has copies) the pages of a site with the same
+    ``copy_of`` count as one page, for its lines and for its total; other pages count as they are.
+
     Lines are counted by hash first, with map-side sums, so that only two numbers per line are shuffled; the few
     hashes that pass are counted again by the lines themselves, so equal hashes of different lines do no harm.
     A site has at most (mean lines per page) / ratio such lines.
@@ -34,31 +42,48 @@ def boilerplate(
     # One page counts once for a line.
     of_page = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _bare), lambda line: line != ""))
     pages = docs.select(site.alias("site"), F.col("text").cast("string").alias("text"))
-    lines = pages.select("site", F.explode(of_page).alias("line"))
-    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
+    if copies is None:
+        pages = pages.withColumn("copy_of", F.lit(None).cast("long"))
+    else:
+        pages = pages.withColumn("text_hash", F.xxhash64(text_of()))
+        pages = pages.join(broadcast_if_small(copies), "text_hash", "left").drop("text_hash")
+    lines = pages.select("site", "copy_of", F.explode(of_page).alias("line"))
+    totals = _units(pages.select("site", "copy_of"), copies).groupBy("site").agg(F.count(F.lit(1)).alias("total"))
 
     def frequent(counted: DataFrame) -> DataFrame:
         counted = counted.where(F.col("pages") >= least_pages)
         return counted.join(totals, "site").where(F.col("pages") > F.col("total") * F.lit(ratio))
 
-    hashed = lines.groupBy("site", F.xxhash64("line").alias("hash")).agg(F.count(F.lit(1)).alias("pages"))
+    hashes = _units(lines.select("site", "copy_of", F.xxhash64("line").alias("hash")), copies)
+    hashed = hashes.groupBy("site", "hash").agg(F.count(F.lit(1)).alias("pages"))
     likely = materialize(frequent(hashed).select("site", "hash"), "frequent-hashes")
     again = lines.withColumn("hash", F.xxhash64("line")).join(broadcast_if_small(likely), ["site", "hash"])
-    counted = again.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages"))
+    counted = _units(again, copies).groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages"))
     return materialize(frequent(counted).select("site", "line"), "boilerplate-lines")
 
 
+def _units(rows: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """Equal rows of one group of copies once; rows of pages without copies as they are."""
+    if copies is None:
+        return rows
+    return rows.where("copy_of is null").unionByName(rows.where("copy_of is not null").distinct())
+
+
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    docs: DataFrame,
+    host: str = "source",
+    ratio: float = RATIO,
+    least_pages: int = LEAST_PAGES,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Texts without the boilerplate lines of their site.
 
     Returns all columns of ``docs`` with ``text`` cut, and ``n_lines``, ``n_dropped``.  Lines end at a line feed
     and are compared without blanks, tabs and carriage returns at their ends; blank lines stay; a text may end up
     empty.  A null text stays null with 0 lines; a null site is the site named by the empty string; a repeated row
-    is a page of its own; columns of ``docs`` with the names of the results are replaced.
+    is a page of its own unless ``copies`` of `boilerplate` says otherwise; columns of ``docs`` with the names of the results are replaced.
     """
-    of_site = boilerplate(docs, host, ratio, least_pages).groupBy("site").agg(F.collect_set("line").alias("lines"))
+    of_site = boilerplate(docs, host, ratio, least_pages, copies).groupBy("site").agg(F.collect_set("line").alias("lines"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     others = [c for c in columns if c != "text"]
     pages = docs.select([F.col(f"`{c}`") for c in columns]).alias("page")

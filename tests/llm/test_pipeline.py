@@ -63,3 +63,20 @@ def test_odd_rows_pass_every_stage(spark):
             assert table.columns == docs.columns
         assert sorted(map(str, (r.doc_id for r in table.collect()))) == sorted(map(str, left))
         assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, table, SF).collect()} == left
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_one_of_a_hot_group_of_copies_stays_with_its_text(spark, own):
+    """A third of the rows are copies of one text over all sources; a menu on other pages still goes."""
+    body = [f"shared line {k} of the copied text number {k * 7} with some words" for k in range(20)]
+    rows = [(i, "\n".join([*body, f"own line {i}"] if own else body), f"s{i % 4}") for i in range(60)]
+    rows += [
+        (i, "\n".join(["The menu"] * (i % 3 == 0) + [f"word{i}a word{i}b line {k} of page {i}" for k in range(6)]), f"s{i % 4}")
+        for i in range(60, 180)
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t), 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, shard int")
+    stages = dict(pipeline.STAGES)
+    cut = stages["line dedup"](spark, docs, SF)
+    left = {r.doc_id: r.text for r in stages["MinHash near-dedup"](spark, cut, SF).collect()}
+    assert sorted(left) == [0, *range(60, 180)] and left[0] == rows[0][1]
+    assert not any("The menu" in t for t in left.values())
