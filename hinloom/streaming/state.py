@@ -12,7 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Versions kept.  A query replays its last batch at most, so older ones are never asked for.
+# Versions kept, besides the newest of every run.  A query replays its last batch at most, so older ones of a run are
+# never asked for.
 KEPT = 10
 
 _NAME = re.compile(r"version=(\d+),run=([^,]*),batch=(-?\d+)$")
@@ -64,12 +65,16 @@ class ModelState:
         return any(r == run and b == batch for _, r, b in self._complete())
 
     def write(self, run: str, batch: int, rows: DataFrame) -> None:
-        """Add a version behind the newest; the oldest beyond those kept go."""
+        """Add a version behind the newest; the oldest beyond those kept go, but for the newest of each run."""
         known = self._complete()
         version = known[-1][0] + 1 if known else 0
         rows.coalesce(1).write.mode("overwrite").parquet(self._folder(version, run, batch))
         _, fs = self._filesystem()
+        # A start (batch below 0) is never replayed.
+        newest = {of: number for number, of, made in known if made >= 0} | {run: version}
         for old in known[: max(0, len(known) + 1 - self.kept)]:
+            if newest.get(old[1]) == old[0]:
+                continue
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(*old)), True)
 
     def latest(self) -> DataFrame | None:

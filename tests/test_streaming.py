@@ -92,6 +92,17 @@ def test_old_versions_go(spark, tmp_path):
     assert model.state.versions() == [4, 5, 6] and model.model()[1].tolist() == [6.0]
 
 
+def test_a_replay_after_many_versions_of_another_run_changes_nothing(spark, tmp_path):
+    model = StreamingKMeans(spark, str(tmp_path / "s"))
+    model.state.kept = 2
+    model.start([[0.0]], [0.0])
+    model.update(points(spark, [[6.0]]), 0, run="failed before its commit")
+    for i in range(4):
+        model.update(points(spark, [[0.0]]), i, run="other")
+    model.update(points(spark, [[6.0]]), 0, run="failed before its commit")
+    assert model.model()[1].tolist() == [5.0] and model.state.versions() == [1, 4, 5]
+
+
 def test_random_start(spark, tmp_path):
     model = StreamingKMeans(spark, str(tmp_path / "s"))
     with pytest.raises(RuntimeError):
