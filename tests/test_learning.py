@@ -7,6 +7,7 @@ from pyspark.ml.fpm import PrefixSpan
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
+from hinloom.catalog import learning
 from hinloom.functions.losses import LOSSES
 from hinloom.operators import bayes, clustering, evaluation, linear, mining, recommend, trees
 from hinloom.sources import generators as gen
@@ -35,6 +36,15 @@ def test_sequential_patterns_match_the_built_in_miner(spark, support, length):
     assert ours == theirs and len(ours) > 5
 
 
+def test_the_query_mines_more_than_two_items(spark, tmp_path):
+    rows = [(c, day, p, "O") for c in range(3) for day, p in ((1, "1-A"), (1, "2-B"), (2, "3-C"), (3, "1-A"))]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderdate int, o_orderpriority string, o_orderstatus string")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["pattern"]: r["freq"] for r in learning.sequential_patterns(spark, str(tmp_path)).collect()}
+    firsts, rest = ["", "<1O>", "<2O>", "<1O,2O>"], ["", "<3O>", "<1O>", "<3O><1O>"]
+    assert got == {a + b: 3 for a in firsts for b in rest if a + b} and len(got) == 14
+
+
 def test_repeated_items_are_an_error(spark):
     with pytest.raises(Exception, match="unique"):
         mining.frequent_itemsets(spark.createDataFrame([(["a", "a"],)], "items array<string>"), "items").collect()
