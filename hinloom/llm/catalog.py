@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hinloom.catalog.base import Catalog, table
-from hinloom.llm import ann, bpe, chat, hamming, lines, near_dedup, packing, toxicity, urls
+from hinloom.llm import ann, bpe, chat, grid_join, hamming, lines, near_dedup, negatives, packing, toxicity, urls
 from hinloom.llm import token_counts as counting
 from hinloom.llm.vocabularies import public_path
 
@@ -125,3 +125,46 @@ def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 def toxic_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf, "labels")))
+
+
+@catalog.query(
+    "op12_embedding_near_dedup",
+    """with recursive e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+g as (select vec_id, v from e where v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9),
+n as (select a as vec_id, count(*) as n_links from l group by 1),
+r as (select vec_id, vec_id as c from e union select r.vec_id, l.b from r join l on r.c = l.a),
+m as (select vec_id, min(c) as component_id from r group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from m left join n using (vec_id)""",
+)
+def embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return grid_join.link(rows).withColumnRenamed("id", "vec_id")
+
+
+# Anchors are the rows whose id is divisible by the first number; labels of ids divisible by the second one are moved on.
+ANCHOR_STRIDE = 100
+MOVED_STRIDE = 7
+
+
+@catalog.query(
+    "op13_hard_negative_mining",
+    """with q as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as anchor_id, b.id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+    from q a join q b on a.id <> b.id where a.id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+w as (select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as rank,
+    id as negative_id, positive_score, score as negative_score from p join s on s.anchor_id = p.anchor_id and not same
+    and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from w where rank <= 5""",
+)
+def hard_negative_mining(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % MOVED_STRIDE == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")
+    )
+    return negatives.mine(rows, F.col("id") % ANCHOR_STRIDE == 0)
