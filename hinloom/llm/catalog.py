@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hinloom.catalog.base import Catalog, table
-from hinloom.llm import ann, bpe, chat, grid_join, hamming, lines, near_dedup, negatives, packing, toxicity, urls
+from hinloom.llm import alignment, ann, bpe, chat, grid_join, hamming, lines, near_dedup, negatives, packing, toxicity, urls
 from hinloom.llm import token_counts as counting
 from hinloom.llm.vocabularies import public_path
 
@@ -127,6 +127,12 @@ def toxic_scores(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf, "labels")))
 
 
+@catalog.query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf, "documents"), a, b)
+
+
 @catalog.query(
     "op12_embedding_near_dedup",
     """with recursive e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
