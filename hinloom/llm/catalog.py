@@ -48,7 +48,7 @@ def url_filters(spark: SparkSession, sf: str) -> DataFrame:
     """with d as (select doc_id, coalesce(source, '') as site, string_split(text, chr(10)) as lines from documents),
 t as (select site, count(*) as total from d group by 1),
 l as (select site, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) as line from d),
-b as (select site, line from l join t using (site) group by 1, 2 having count(*) >= 5 and count(*) > max(total) * cast(0.08 as double)),
+b as (select site, line from l join t using (site) group by 1, 2 having count(*) - 1.5 * sqrt(count(*)) > max(total) * cast(0.005 as double)),
 s as (select site, list(line) as bad from b group by 1),
 k as (select doc_id, lines, list_filter(lines, lambda x: not list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(13)))) as kept
     from d left join s using (site))

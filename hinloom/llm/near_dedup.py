@@ -373,20 +373,6 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     )
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """``text_hash, copy_of`` for the texts in a group of several near-duplicate rows, exact copies among them.
-
-    A text stands for its rows here, whatever their ids: rows without an id have copies too, and equal ids of
-    different texts do not join groups.
-    """
-    texts = docs.select(F.xxhash64(text_of()).alias("doc_id"), "text")
-    judged = materialize(near_duplicates(texts), "copies")
-    several = judged.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    grouped = judged.where("n_shingles > 0").join(several, "component_id")
-    found = grouped.groupBy("text_hash").agg(F.min("component_id").alias("copy_of"))
-    return materialize(found, "copy-groups")
-
-
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that `near_duplicates` keeps; of repeated rows one stays."""
     judged = materialize(near_duplicates(docs), "near-duplicates")

@@ -4,10 +4,10 @@ from collections import defaultdict
 
 import pytest
 from test_near_dedup import plain_components
-from test_urls_lines import plain_lines
+from test_urls_lines import plain_lines, plain_weights
 
 import corpus_pipeline as pipeline
-from hinloom.llm import lines, toxicity
+from hinloom.llm import toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +35,7 @@ def test_toxic_documents_go(spark, outputs):
 
 def test_lines_are_cut(outputs):
     rows = [(r.doc_id, r.source, r.text) for r in outputs[1].collect()]
-    want = {i: t for i, _, t, _, _ in plain_lines(rows, lines.RATIO, lines.LEAST_PAGES)}
+    want = {i: t for i, _, t, _, _ in plain_lines(rows, weights=plain_weights(rows))}
     got = outputs[2].collect()
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
@@ -80,3 +80,10 @@ def test_one_of_a_hot_group_of_copies_stays_with_its_text(spark, own):
     left = {r.doc_id: r.text for r in stages["MinHash near-dedup"](spark, cut, SF).collect()}
     assert sorted(left) == [0, *range(60, 180)] and left[0] == rows[0][1]
     assert not any("The menu" in t for t in left.values())
+
+
+@pytest.mark.parametrize("name", ["InPandas", "Python", "Arrow"])
+def test_the_line_stage_is_native(spark, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cut = dict(pipeline.STAGES)["line dedup"](spark, docs, SF)
+    assert name not in cut._jdf.queryExecution().optimizedPlan().toString()

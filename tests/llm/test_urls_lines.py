@@ -1,9 +1,11 @@
 """URL rules and site-relative lines against plain loops."""
 
+import math
 import random
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hinloom.llm import lines, urls
@@ -64,10 +66,16 @@ def test_filter_has_no_false_negatives_and_few_false_hits(spark):
     assert sum(words.get(b, 0) & m == m for b, m in probe(others)) < 200
 
 
-def plain_lines(rows, ratio, least):
-    total = Counter(s or "" for _, s, _ in rows)
-    seen = Counter((s or "", x) for _, s, t in rows if t is not None for x in {y.strip(" \t\r") for y in t.split("\n")} if x)
-    bad = {k for k, n in seen.items() if n >= least and n > ratio * total[k[0]]}
+def plain_lines(rows, ratio=lines.RATIO, margin=lines.MARGIN, weights=None):
+    """Loops over pages; ``weights`` of `plain_weights` makes copies weigh one page."""
+    total, seen = Counter(), Counter()
+    for _, s, t in rows:
+        own = {y.strip(" \t\r") for y in (t or "").split("\n")} - {""}
+        weight = (weights or {}).get((s or "", sketch(own)), lines.WHOLE)
+        total[s or ""] += weight
+        for x in own:
+            seen[s or "", x] += weight
+    bad = {k for k, n in seen.items() if n / lines.WHOLE - margin * math.sqrt(n / lines.WHOLE) > ratio * (total[k[0]] / lines.WHOLE)}
     out = []
     for i, s, t in rows:
         own = [] if t is None else t.split("\n")
@@ -76,6 +84,30 @@ def plain_lines(rows, ratio, least):
     return out
 
 
+def sketch(own):
+    """Least hash of a set of lines per coordinate, as Spark's `xxhash64` of the line and of its hash and a number."""
+
+    def chained(h, c):
+        n = xxhash.xxh64_intdigest(c.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42))
+        return n - (1 << 64) if n >> 63 else n
+
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in own]
+    return tuple(min(chained(h, c) for h in hashes) for c in range(lines.COORDINATES)) if own else None
+
+
+def plain_weights(rows):
+    """Middle one of the numbers of pages that agree in a least hash."""
+    sketches = [(s or "", sketch({y.strip(" \t\r") for y in (t or "").split("\n")} - {""})) for _, s, t in rows]
+    sketches = [k for k in sketches if k[1]]
+    shared = Counter((s, c, v) for s, own in sketches for c, v in enumerate(own))
+    out = {}
+    for s, own in sketches:
+        middle = sorted(shared[s, c, v] for c, v in enumerate(own))[lines.COORDINATES // 2]
+        if middle > 1:
+            out[s, own] = lines.WHOLE // middle
+    return out
+
+
 def line_rows():
     draw = random.Random(2)
     rows = []
@@ -98,7 +130,7 @@ def test_lines_equal_a_loop(spark):
     got = lines.drop_boilerplate(df)
     assert got.columns == ["doc_id", "source", "a.b", "text", "n_lines", "n_dropped"]
     got = [(r.doc_id, r.source, r.text, r.n_lines, r.n_dropped) for r in got.collect()]
-    want = plain_lines(rows, lines.RATIO, lines.LEAST_PAGES)
+    want = plain_lines(rows)
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(w[4] for w in want) > 50
 
@@ -111,4 +143,48 @@ def test_no_pages(spark):
 @pytest.mark.parametrize("name", ["InPandas", "Python", "Arrow"])
 def test_lines_are_native(spark, name):
     df = spark.createDataFrame([(1, "s", "t")], "doc_id long, source string, text string")
-    assert name not in lines.drop_boilerplate(df)._jdf.queryExecution().optimizedPlan().toString()
+    weights = lines.page_weights(df)
+    for cut in (lines.drop_boilerplate(df), lines.drop_boilerplate(df, weights=weights)):
+        assert name not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def prose(draw):
+    return " ".join(f"w{draw.randrange(10**6)}" for _ in range(9))
+
+
+@pytest.mark.parametrize("total", [2, 4, 5, 62, 63, 500])
+def test_one_rule_for_sites_of_any_size(spark, total):
+    """A line goes from the same count on as by the formula; the count rises with the site, without a jump."""
+    draw = random.Random(total)
+    least = next(n for n in range(1, 600) if n - lines.MARGIN * math.sqrt(n) > lines.RATIO * total)
+    rows = [(i, "s", "\n".join([*["at least"] * (i < least), *["one less"] * (i < least - 1), prose(draw)])) for i in range(total)]
+    got = lines.boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert [r.line for r in got] == ["at least"] * (least <= total)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.02, 0.05])
+def test_planted_lines_go_and_ordinary_ones_stay(spark, share):
+    draw = random.Random(3)
+    long = " ".join(f"p{k}" for k in range(60))
+    rows, step = [], round(1 / share)
+    for i in range(2000):
+        body = [prose(draw) for _ in range(5)] + ["Yes."] * (i % 400 == 0)
+        rows.append((i, "s", "\n".join([*body, *["All rights reserved"] * (i % step == 0), *[long] * (i % step == 1)])))
+    cut = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    gone = {i: t for i, _, t in rows}
+    for r in cut:
+        assert r.text == "\n".join(x for x in gone[r.doc_id].split("\n") if x not in ("All rights reserved", long))
+
+
+def test_weights_equal_a_loop(spark):
+    rows = [(1000 + k, *r[1:]) for k, r in enumerate(line_rows())]
+    body = [f"text of line {k}" for k in range(12)]
+    rows += [(i, f"s{i % 2}", "\n".join([*body, f"own {i}"])) for i in range(80)]
+    got = lines.page_weights(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {(r.site, tuple(r.sketch)): r.weight for r in got} == plain_weights(rows)
+
+
+def test_weights_of_no_pages(spark):
+    df = spark.createDataFrame([(1, "s", None), (2, "s", "")], "doc_id long, source string, text string")
+    weights = lines.page_weights(df)
+    assert weights.count() == 0 and lines.drop_boilerplate(df, weights=weights).count() == 2
