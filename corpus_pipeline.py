@@ -22,11 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on a large share of a source's documents are cut from the texts; no document goes.
 
-    Near-duplicates count as one document, so that a large group of them does not lose the lines it shares before
-    the next stage has left one.
+    Copies of a page count as one, so that a large group of them does not lose the lines it shares before the next
+    stage has left one.
     """
-    cut = lines.drop_boilerplate(docs, copies=near_dedup.copies(docs))
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    cut = lines.drop_boilerplate(docs, weights=lines.page_weights(docs))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
