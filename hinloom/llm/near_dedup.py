@@ -16,6 +16,7 @@ Stages, each over written tables:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +32,29 @@ from hinloom.runtime import broadcast_if_small, materialize
 PERCENT = 75
 WORDS = 5
 
-# A pair at the threshold has fewer than MATCHES equal coordinates about once in 600,000.
 COORDINATES = 64
-MATCHES = 31
+
+# Links that may be lost in all if every node had one at the very threshold.
+LOST_LINKS = 1e-6
 
 # Bytes of text, and rows of the hash matrix, handled at once.
 BLOCK = 1 << 22
 ROWS = 1 << 13
 
 
+def matches_for(nodes: int, coordinates: int = COORDINATES, percent: int = PERCENT, lost: float = LOST_LINKS) -> int:
+    """Equal coordinates that are asked of a pair, so that of ``nodes`` pairs at the threshold ``lost`` are missed.
+
+    The coordinates of two sets are equal with their similarity, each for itself.
+    """
+    share, missed = percent / 100, 0.0
+    for equal in range(coordinates):
+        missed += math.comb(coordinates, equal) * share**equal * (1 - share) ** (coordinates - equal)
+        if missed * max(nodes, 1) > lost:
+            return max(equal, 1)
+    return coordinates
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -177,7 +192,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(sets.join(nodes.select("node"), "node", "left_semi"), "shingle-sets").dropDuplicates(["node"])
 
 
-def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def postings(nodes: DataFrame, matches: int, coordinates: int = COORDINATES) -> DataFrame:
     """``node, pairs, frequency``: the shared pairs of each node that are not skipped.
 
     Pairs are ordered by frequency, rarest first.  Pairs of one node only share nothing, but take up places among
@@ -328,9 +343,14 @@ def _exact_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int = PERCENT)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, matches: int | None = None) -> DataFrame:
     """Component of every document under links of 75 % shared word shingles.
 
+    A pair is compared if it has enough equal coordinates (``matches``, by default from `matches_for`): were there as
+    many pairs at exactly 75 % as there are different sets, one in a million runs would lose one of them, at any
+    size of the table; pairs above 75 % are lost less often by orders of magnitude.  Every pair that is compared is
+    decided on its full sets.
+
     Returns doc_id, n_shingles, component_id (the smallest doc_id that can be reached), kept (whether it is the
     document's own) and text_hash, a row per row of ``docs``.  A text that is null, empty or blank has no shingles and is linked
     with nothing; texts are taken whole; repeated rows are copies of each other with the same id, so both are
@@ -345,7 +365,9 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
         ),
         "nodes",
     )
-    posted = materialize(postings(nodes, coordinates, matches), "postings")
+    if matches is None:
+        matches = matches_for(nodes.count())
+    posted = materialize(postings(nodes, matches), "postings")
     pairs = materialize(_hub_pairs(posted, nodes, matches), "hub-pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     links = materialize(confirmed(pairs, shingle_sets(docs, nodes.join(met, "node"))), "links")

@@ -140,4 +140,14 @@ def test_linked_sets_share_enough_coordinates(share):
         a = nd.signature(np.unique(np.concatenate([both, rest[:half]])))
         b = nd.signature(np.unique(np.concatenate([both, rest[half:]])))
         worst = min(worst, int((a == b).sum()))
-    assert worst >= nd.MATCHES
+    assert worst >= nd.matches_for(10**6)
+
+
+def test_lost_links_stay_below_the_bound_at_any_size():
+    from math import comb
+
+    below = lambda m: sum(comb(64, k) * 0.75**k * 0.25 ** (64 - k) for k in range(m))
+    asked = [nd.matches_for(n) for n in (0, 1, 10**3, 10**6, 10**9, 10**12)]
+    for n, m in zip((1, 1, 10**3, 10**6, 10**9, 10**12), asked, strict=True):
+        assert below(m) * n <= nd.LOST_LINKS < below(m + 1) * n
+    assert asked == sorted(asked, reverse=True) and asked[-1] > 10
