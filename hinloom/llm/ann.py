@@ -2,7 +2,8 @@
 
 Each shard is built by one task and holds a bounded number of rows; its graph is kept as flat arrays of neighbour
 numbers, one block per layer.  Every block of queries meets every shard, in a group of one index row and a bounded
-number of queries, and the best of all shards are merged.  Equal vectors are one entry with their smallest ids.
+number of queries, and the best of all shards are merged.  Vectors of one direction are one entry with their
+smallest ids.
 
 Inside a task the graph is built layer by layer from the top, in batches that double, and a whole batch of queries
 walks the graph in step, so the work is in numpy.  The graph only finds candidates; what is returned is scored in
@@ -287,13 +288,18 @@ def nearest(
 
     ``rows`` and ``queries`` have ``id, vector``.  Null ids and vectors that are null, zero or hold null or not
     finite components take no part; vectors of another length than the query's are no candidates; a query's own id
-    is none either.  Ties go to the smaller id; repeated (id, vector) rows count once; with fewer candidates all are
+    is none either.  Ties go to the smaller id, also among
+    any number of vectors of one direction; repeated (id, vector) rows count once; with fewer candidates all are
     returned; empty tables give no rows.  Returns query_id, rank (from 1), id, score.
     """
 
     def ready(table: DataFrame) -> DataFrame:
         good = F.col("id").isNotNull() & usable(F.col("vector"))
-        return table.select("id", F.col("vector").cast("array<double>").alias("vector")).where(good).distinct()
+        numbers = F.col("vector").cast("array<double>")
+        # Scaled as `cosine` scales them: vectors of one direction become equal, and with them their scores.
+        longest = F.nullif(F.array_max(F.transform(numbers, lambda x: F.abs(x))), F.lit(0.0))
+        scaled = F.transform(numbers, lambda x: x / longest)
+        return table.select("id", scaled.alias("vector")).where(good).distinct()
 
     # One more than k, since the query's own row may be among them.
     distinct = classes(ready(rows), k + 1).withColumn("dim", F.size("vector"))

@@ -88,6 +88,21 @@ def test_graph_search_finds_nearly_all(spark):
         assert abs(r.score - a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) < 1e-12
 
 
+def test_a_hot_direction_over_several_shards(spark):
+    """A third of the rows point the same way at many lengths: the smallest ids come, whatever the beam."""
+    draw = np.random.default_rng(9)
+    vectors = draw.normal(size=(900, 16))
+    vectors[600:] = vectors[7] * 2.0 ** draw.integers(-8, 9, (300, 1))
+    order = draw.permutation(900)
+    rows = {int(i): v.tolist() for i, v in zip(order, vectors)}
+    hot = sorted(int(i) for i in [order[7], *order[600:]])
+    df = spark.createDataFrame(list(rows.items()), "id long, vector array<double>")
+    got = ann.nearest(df, df.where(F.col("id").isin(hot[:3] + hot[-2:])), 6, beam=8, shard_rows=200).collect()
+    for q in hot[:3] + hot[-2:]:
+        mine = sorted((r["rank"], r.id) for r in got if r.query_id == q)
+        assert [i for _, i in mine] == [i for i in hot if i != q][:6]
+
+
 def test_odd_vectors_and_copies(spark):
     rows = [
         (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]),
