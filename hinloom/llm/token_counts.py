@@ -27,6 +27,9 @@ from hinloom.runtime import materialize
 REPORTED = 16
 
 _CHUNKS = "uid long, chunk int, chunks int, start long, text string"
+# Chunks of huge texts that a task encodes.
+CHUNKS_PER_TASK = 64
+
 _ENDS = (
     "uid long, chunk int, chunks int, tokens long, left_at array<long>, left_tokens array<long>, "
     "right_at array<long>, right_tokens array<long>"
@@ -143,7 +146,9 @@ def count_tokens(
     waiting = materialize(texts.where(long).withColumn("uid", F.monotonically_increasing_id()), "huge-texts")
     results = [short]
     while not waiting.isEmpty():
-        spread = chunked(waiting, size, overlap).repartition("uid", "chunk")
+        # A number of partitions that is asked for stays: chunks are small, but much work.
+        chunks = waiting.agg(F.sum(F.ceil(F.char_length("text") / size))).first()[0]
+        spread = chunked(waiting, size, overlap).repartition(max(1, -(-int(chunks) // CHUNKS_PER_TASK)), "uid", "chunk")
         found = materialize(spliced(encoded_ends(spread, tokenizer, size, overlap)), "spliced")
         joined = waiting.join(found, "uid")
         done = joined.where(F.col("n_tokens").isNotNull())

@@ -47,9 +47,13 @@ class Encoder:
             import public_tokenizers
             import tiktoken
 
+            tokens = read_ranks(ranks)
             self.fast = tiktoken.Encoding(
-                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks), special_tokens={}
+                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens, special_tokens={}
             )
+            self.lengths = np.zeros(max(tokens.values()) + 1, np.int64)
+            for token, number in tokens.items():
+                self.lengths[number] = len(token)
 
     @functools.cached_property
     def library(self):
@@ -76,10 +80,16 @@ class Encoder:
         return np.concatenate(parts)
 
     def spans(self, text: str) -> np.ndarray:
-        """Where each token starts, in characters of the text."""
-        offsets = self.library.encode(text, add_special_tokens=False).offsets
-        return np.array([start for start, _ in offsets], np.int64)
-
+        """Where each token starts, in characters of the text; inside a character, where that one starts."""
+        if self.fast is None or len(text) > LONGEST_STRETCH or any(s in text for s in self.special):
+            offsets = self.library.encode(text, add_special_tokens=False).offsets
+            return np.array([start for start, _ in offsets], np.int64)
+        ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        starts = np.cumsum(self.lengths[ids]) - self.lengths[ids]
+        if text.isascii():
+            return starts
+        first = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+        return (np.cumsum(first) - 1)[starts]
 
 @functools.cache
 def ids_of(path: str) -> Encoder:

@@ -104,3 +104,11 @@ def test_overlaps_are_widened_only_where_nothing_aligns(spark):
 def test_no_texts(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert counting.count_tokens(df.limit(0), COUNTER).count() == 0
+
+
+def test_starts_of_tokens_equal_the_library():
+    encoder = ids_of(COUNTER)
+    for text in [*ODD, *long_texts()]:
+        if text:
+            offsets = encoder.library.encode(text, add_special_tokens=False).offsets
+            assert encoder.spans(text).tolist() == [start for start, _ in offsets], text[:80]
