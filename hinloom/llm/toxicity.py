@@ -1,10 +1,12 @@
 """Toxicity by a weighted lexicon that is learned from labelled rows and matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, look-alike letters of other scripts to Latin ones, and digits and signs that stand
-for letters inside a word.  A term is a whole word or the beginning of words.  Its weight is the logarithm of how many times larger the share of
-toxic training rows with it is.  A word between two others is counted for one row only, so copies of one text do not
-make its words look toxic.  A text's weights are summed, hits inside exception phrases left out, set
-against its length, and turned into a probability by a logistic curve.
+for letters inside a word.  A term is a whole word or the beginning of words.  Its weight is the logarithm of how many
+times larger the share of toxic training rows with it is.  A word between two others is counted for one row only, so
+copies of one text do not make its words look toxic; a beginning that several different words of a row share is better
+evidence than one word.  Exceptions are learned as well: two words with a term in them that are no more frequent in
+toxic rows than in others, although the term's other uses are.  A text's weights are summed, hits inside exceptions
+left out, set against its length, and turned into a probability by a logistic curve.
 """
 
 from __future__ import annotations
@@ -29,24 +31,23 @@ TRAINING_ROWS = 6_000
 # A text is toxic from this score on.
 THRESHOLD = 0.3
 
-# Longer words are not learned.
-LONGEST_WORD = 40
+# Lengths of the word beginnings that may become terms: all from 3 to 6, then each a third longer than the one before,
+# so that a word of any length has a few and they are together no longer than some times the word.
+SHORT_BEGINNINGS = (3, 4, 5, 6)
+GROWTH = 4 / 3
 
-# Lengths of the word beginnings that may become terms.
-BEGINNINGS = (3, 4, 5, 6)
-
-# A term needs a log-likelihood ratio that less than one of all terms would reach by chance, plus this, at least so
-# many toxic rows, and this much larger a share of them.
-MARGIN = 2.0
+# A term needs a log-likelihood ratio that about one of all terms would reach by chance, plus this, at least so many
+# toxic rows, and this much larger a share of them.
+MARGIN = 0.0
 LEAST_ROWS = 3
-LEAST_RATIO = 20.0
+LEAST_RATIO = 10.0
 
 # A longer beginning stands for a shorter one that holds hardly more occurrences.
 SAME_SHARE = 0.98
 TOGETHER_SHARE = 0.95
 
-# Phrases in which a term is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "soap scum")
+# What may become a term if its uses in exceptions are left out is this much more frequent in toxic rows with them.
+LIKELY_RATIO = 2.0
 
 # Letters of other scripts that look like Latin ones (Cyrillic, Greek, dotless i).
 LOOK_ALIKES = {
@@ -97,7 +98,7 @@ class Lexicon:
     """
 
     terms: dict[str, float]
-    exceptions: Sequence[str] = EXCEPTIONS
+    exceptions: Sequence[str] = ()
     curve: tuple[float, float, float] = (-4.0, 4.0, 4.0)
     _automaton: object = field(default=None, repr=False)
 
@@ -189,34 +190,71 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     return materialize(texts.join(F.broadcast(known), "doc_id"), "training-rows")
 
 
-def _words(training: DataFrame) -> DataFrame:
-    """``word, doc_id, toxic``: each word of a row, if the row is the first with it between the same words."""
+def beginnings(word: str) -> list[str]:
+    """Terms that a word is a use of: itself between blanks, and its beginnings behind one."""
+    lengths = [n for n in SHORT_BEGINNINGS if n < len(word)]
+    length = SHORT_BEGINNINGS[-1]
+    while (length := int(length * GROWTH)) < len(word):
+        lengths.append(length)
+    return [f" {word} ", *(f" {word[:n]}" for n in lengths)]
+
+
+def _uses(training: DataFrame, likely: frozenset[str] | None = None) -> DataFrame:
+    """``term, word, left, right, doc_id, toxic``: each use of a term, if its row is the first with it between the same words.
+
+    ``left`` and ``right`` are the use with the word before and after it, and are null unless the terms to look for
+    are given, which are few then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bounded(whole):
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    text = text.as_py()
-                    words = fold(text).split()
-                    seen = {
-                        (word, xxhash.xxh64_intdigest(f"{before} {after}") - (1 << 63))
-                        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False)
-                        if len(word) <= LONGEST_WORD
-                    }
+                    words = fold(text.as_py()).split()
+                    around = zip(["", *words], words, [*words[1:], ""], strict=False)
+                    uses = [
+                        (term, word, before, after)
+                        for before, word, after in set(around)
+                        for term in beginnings(word)
+                        if likely is None or term in likely
+                    ]
+                    between = [xxhash.xxh64_intdigest(f"{b} {a}") - (1 << 63) for _, _, b, a in uses]
+                    pairs = ([f"{b} {w}" for _, w, b, _ in uses], [f"{w} {a}" for _, w, _, a in uses])
+                    none = pa.nulls(len(uses), pa.string())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([w for w, _ in seen], pa.string()),
-                            pa.array([b for _, b in seen], pa.int64()),
-                            pa.array([doc] * len(seen), pa.int64()),
+                            pa.array([t for t, *_ in uses], pa.string()),
+                            pa.array([w for _, w, *_ in uses], pa.string()),
+                            *[none if likely is None else pa.array(p, pa.string()) for p in pairs],
+                            pa.array(between, pa.int64()),
+                            pa.array([doc] * len(uses), pa.int64()),
                         ],
-                        names=["word", "between", "doc_id"],
+                        names=["term", "word", "left", "right", "between", "doc_id"],
                     )
 
-    found = training.select("doc_id", "text").mapInArrow(run, "word string, between long, doc_id long")
-    owned = found.groupBy("word", "between").agg(F.min("doc_id").alias("doc_id")).select("word", "doc_id").distinct()
+    columns = "term string, word string, left string, right string, between long, doc_id long"
+    found = training.select("doc_id", "text").mapInArrow(run, columns)
+    keys = ["term", "word", "left", "right"]
+    owned = found.groupBy(*keys, "between").agg(F.min("doc_id").alias("doc_id")).select(*keys, "doc_id").distinct()
     return owned.join(F.broadcast(training.select("doc_id", "toxic").distinct()), "doc_id")  # `TRAINING_ROWS` at most
 
 
+def counted(uses: DataFrame, key: str = "term") -> DataFrame:
+    """Toxic and other rows of each term: ``a`` and ``b``, and as evidence ``more_a`` and ``more_b``.
+
+    A row with n different words of a term is evidence of log2(1 + n) rows.
+    """
+    per_row = uses.where(F.col(key).isNotNull()).groupBy(key, "doc_id", "toxic").agg(F.count_distinct("word").alias("n"))
+    is_toxic = F.col("toxic") == 1
+    more = F.log2(1 + F.col("n"))
+    return per_row.groupBy(key).agg(
+        F.count_if(is_toxic).alias("a"),
+        F.count_if(~is_toxic).alias("b"),
+        F.round(F.sum(F.when(is_toxic, more).otherwise(0.0)), 6).alias("more_a"),
+        F.round(F.sum(F.when(is_toxic, 0.0).otherwise(more)), 6).alias("more_b"),
+    )
+
+
 def _evidence(a: np.ndarray, b: np.ndarray, total_a: float, total_b: float) -> np.ndarray:
     """Log-likelihood ratio of counts a and b against equal shares."""
     share = total_a / (total_a + total_b)
@@ -226,18 +264,17 @@ def _evidence(a: np.ndarray, b: np.ndarray, total_a: float, total_b: float) -> n
 
 
 def chosen_terms(
-    counts: dict[str, tuple[int, int]], total_a: float, total_b: float, least_evidence: float
+    counts: dict[str, tuple[int, int, float, float]], total_a: float, total_b: float, least_evidence: float
 ) -> dict[str, float]:
     """Weights of the terms with evidence, without those another chosen one stands for.
 
-    ``counts`` has the (toxic, other) rows of a term; a term ends with a blank where it is a whole word.
+    ``counts`` has the numbers of `counted`; a term ends with a blank where it is a whole word.
     """
     if not counts:
         return {}
-    a = np.array([c[0] for c in counts.values()], float)
-    b = np.array([c[1] for c in counts.values()], float)
-    ratio = ((a + 0.5) / (total_a + 1)) / ((b + 0.5) / (total_b + 1))
-    good = (_evidence(a, b, total_a, total_b) >= least_evidence) & (ratio >= LEAST_RATIO)
+    a, b, more_a, more_b = np.array(list(counts.values()), float).T
+    ratio = ((more_a + 0.5) / (total_a + 1)) / ((more_b + 0.5) / (total_b + 1))
+    good = (a >= LEAST_ROWS) & (_evidence(more_a, more_b, total_a, total_b) >= least_evidence) & (ratio >= LEAST_RATIO)
     weight = {t: math.log(r) for t, r, g in zip(counts, ratio, good, strict=True) if g}
     # A beginning gives way to a longer one, or a word, that has nearly all its rows.
     heir: dict[str, int] = {}
@@ -261,11 +298,35 @@ def chosen_terms(
     return weight
 
 
-def learn(
-    docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, exceptions: Sequence[str] = EXCEPTIONS
-) -> Lexicon:
+def learned_exceptions(
+    uses: DataFrame, terms: DataFrame, total_a: float, total_b: float, least_evidence: float
+) -> list[str]:
+    """Pairs of words with a term that toxic rows do not have more often than others, unlike the term's other uses.
+
+    They come from the rows of few terms, are on `LEAST_ROWS` other rows at least, and pass the evidence test, so
+    they fit the driver.
+    """
+    sides = [uses.select("term", "doc_id", "toxic", "word", F.col(side).alias("phrase")) for side in ("left", "right")]
+    keyed = sides[0].union(sides[1]).withColumn("key", F.concat_ws("\n", "term", "phrase"))
+    found = counted(keyed, "key").withColumn("term", F.substring_index("key", "\n", 1))
+    found = found.where(
+        (F.col("b") >= LEAST_ROWS) & (F.col("a") * total_b <= F.col("b") * total_a)
+    ).join(terms.select("term", F.col("a").alias("all_a"), F.col("b").alias("all_b")), "term")
+    rows = found.select("key", "a", "b", "all_a", "all_b").collect()
+    out = set()
+    for r in rows:
+        other_a, other_b = r["all_a"] - r["a"], r["all_b"] - r["b"]
+        evidence = _evidence(np.array([r["a"]], float), np.array([r["b"]], float), other_a + 0.5, other_b + 0.5)[0]
+        phrase = r["key"].split("\n")[1]
+        if evidence >= least_evidence and len(phrase.split()) == 2:
+            out.add(phrase)
+    return sorted(out)
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, exceptions: Sequence[str] = ()) -> Lexicon:
     """Learn a lexicon from ``labels`` (``doc_id, toxic``) of ``docs``; no row that is held out is looked at.
 
+    ``exceptions`` are phrases known to be harmless; others are learned.  Words of any length are learned from.
     Terms are counted by Spark; what comes to the driver are the few that toxic rows have more often, and two sums
     per training row.  Without labels of both kinds the lexicon is empty.
     """
@@ -273,26 +334,21 @@ def learn(
     kinds = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     total_a, total_b = float(kinds.get(1, 0)), float(kinds.get(0, 0))
     if not total_a or not total_b:
-        return Lexicon({}, exceptions)
-    terms = F.array(
-        F.concat(F.lit(" "), "word", F.lit(" ")),
-        *[F.when(F.length("word") > n, F.concat(F.lit(" "), F.substring("word", 1, n))) for n in BEGINNINGS],
-    )
-    counted = materialize(
-        _words(training)
-        .select(F.explode(F.array_compact(terms)).alias("term"), "doc_id", "toxic")
-        .distinct()
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")),
-        "training-terms",
-    )
-    frequent = counted.where(F.col("a") + F.col("b") >= LEAST_ROWS)
+        return Lexicon({}, tuple(exceptions))
+    frequent = materialize(counted(_uses(training)), "training-terms").where(F.col("a") + F.col("b") >= LEAST_ROWS)
     least_evidence = 2 * math.log(max(2, frequent.count())) + MARGIN
-    likely = frequent.where(
-        (F.col("a") >= LEAST_ROWS) & (F.col("a") * total_b >= F.col("b") * total_a * LEAST_RATIO * 0.5)
-    )
-    counts = {r["term"]: (r["a"], r["b"]) for r in likely.collect()}
-    lexicon = Lexicon(chosen_terms(counts, total_a, total_b, least_evidence), exceptions)
+    likely = frequent.where((F.col("a") >= LEAST_ROWS) & (F.col("a") * total_b >= F.col("b") * total_a * LIKELY_RATIO))
+    # A term with this evidence against it in its rows cannot pass, whatever exceptions take away from the others.
+    most = 2 * F.col("more_a") * math.log((total_a + total_b) / total_a)
+    likely = materialize(likely.where(most >= least_evidence), "likely-terms")
+    few = frozenset(r["term"] for r in likely.select("term").collect())
+    uses = materialize(_uses(training, few), "term-uses")
+    exceptions = sorted({*exceptions, *learned_exceptions(uses, likely, total_a, total_b, least_evidence)})
+    if exceptions:
+        known = [fold(phrase).strip() for phrase in exceptions]
+        uses = uses.where(~F.col("left").isin(known) & ~F.col("right").isin(known))
+    counts = {r["term"]: (r["a"], r["b"], r["more_a"], r["more_b"]) for r in counted(uses).collect()}
+    lexicon = Lexicon(chosen_terms(counts, total_a, total_b, least_evidence), tuple(exceptions))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

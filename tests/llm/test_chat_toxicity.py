@@ -1,6 +1,9 @@
 """Linked quotations and the learned lexicon on small conversations and texts."""
 
+import math
 import random
+import zlib
+from collections import defaultdict
 
 import pytest
 
@@ -59,6 +62,41 @@ def test_long_chains_equal_a_loop(spark):
     assert sorted(place.values()) == list(range(120)) and all(place[t] > place[p] for t, p in parent.items())
 
 
+def test_conversations_that_quote_equal_a_loop(spark):
+    """Every turn of `conversations` quotes an earlier one with what that one quoted, to a known depth."""
+    draw = random.Random(4)
+    said = defaultdict(dict)
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect():
+        said[r.conv_id][r.turn] = r.text
+    rows, parent, own = [], {}, {}
+    for conv, turns in said.items():
+        full = {}
+        for k, turn in enumerate(sorted(turns)):
+            own[conv, turn] = f"turn {turn} of {conv}:\n{turns[turn]}" if turns[turn].strip() else f"turn {turn} of {conv}"
+            full[turn] = own[conv, turn]
+            if k and draw.random() < 0.8:
+                to = draw.choice(sorted(turns)[:k])
+                parent[conv, turn] = to
+                wrapped = [line.upper() if draw.random() < 0.3 else line for line in full[to].split("\n")]
+                full[turn] = "\n".join([f"On day {turn}, someone wrote:", *(f"> {line}" for line in wrapped), own[conv, turn]])
+            rows.append((conv, turn, "user", full[turn]))
+    got = chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows) and len(parent) > 40
+    for r in got:
+        root, depth = r.turn, 0
+        while (r.conv_id, root) in parent:
+            root, depth = parent[r.conv_id, root], depth + 1
+        want = (parent.get((r.conv_id, r.turn)), root, depth, depth, own[r.conv_id, r.turn])
+        assert (r.reply_to, r.root, r.depth, r.quotes, r.text) == want
+
+
+def test_a_very_long_message_is_parsed_whole(spark):
+    long = "\n".join(f"line {k} of a long message" for k in range(20000))
+    rows = [(1, 0, "user", long), (1, 1, "user", "\n".join(f"> {x}" for x in long.split("\n")) + "\nyes"), (1, 2, "user", "> line 19999 of a long message\nno")]
+    got = {r.turn: r for r in chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t].reply_to, got[t].text) for t in (1, 2)] == [(0, "yes"), (0, "no")] and got[0].text == long
+
+
 def test_missing_keys_repeats_and_no_messages(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(None, 1, "user", "a"), (None, 1, None, "> a"), (1, None, "user", "> b"), (1, 2, "user", "b"), (1, 2, "user", "b"), (1, 3, "user", "> b")]
@@ -89,6 +127,89 @@ def test_hits_weights_and_exceptions():
     assert lexicon.score("trash") > lexicon.score("trash " + "word " * 500) > lexicon.score("word")
 
 
+def test_hits_equal_a_substring_loop():
+    draw = random.Random(6)
+    pieces = ["tra", "trash", "can", "bin", "idiot", "fool", "a", "the", "idio", "tr4sh", "!", "scum"]
+    terms = {" trash ": 4.0, " tra": 2.0, " idio": 3.0, " idiot ": 5.0, " fool": 1.5, " a ": 0.5}
+    exceptions = ("trash can", "the fool", "a")
+    lexicon = toxicity.Lexicon(terms, exceptions)
+    for _ in range(500):
+        text = " ".join(draw.choice(pieces) + draw.choice(["", "", "s"]) for _ in range(draw.randrange(12)))
+        folded = toxicity.fold(text)
+        harmless = [(i, i + len(p) - 1) for e in exceptions for p in [toxicity.fold(e)] for i in range(len(folded)) if folded.startswith(p, i)]
+        total = 0.0
+        for i in range(len(folded)):
+            found = [w for t, w in terms.items() if folded.startswith(t, i)]
+            if found and not any(x <= i < y for x, y in harmless):
+                total += max(found)
+        weight, words = lexicon.hits(text)
+        assert words == len(folded.split()) and abs(weight - total) < 1e-9
+
+
+def test_learning_counts_equal_a_loop(spark):
+    docs, labels = corpus(random.Random(7), 120)
+    docs += [(504, "z" * 3000 + " idiot", "en", "s"), (501, "", "en", "s"), (502, None, "en", "s")]
+    labels += [(504, 1, 1), (501, 0, 0), (502, 0, 1)]
+    training = toxicity.training_rows(
+        spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    )
+    toxic = {i: t for i, _, t in labels}
+    first = {}
+    for doc, text, *_ in sorted(docs):
+        if zlib.crc32(str(doc).encode()) % 4 == 2:
+            continue
+        words = toxicity.fold(text or "").split()
+        for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+            for term in toxicity.beginnings(word):
+                first.setdefault((term, word, before, after), doc)
+    uses = defaultdict(set)
+    for (term, word, *_), doc in first.items():
+        uses[term, doc].add(word)
+    want = defaultdict(lambda: [0, 0, 0.0, 0.0])
+    for (term, doc), words in uses.items():
+        want[term][1 - toxic[doc]] += 1
+        want[term][3 - toxic[doc]] += math.log2(1 + len(words))
+    got = {r.term: (r.a, r.b, r.more_a, r.more_b) for r in toxicity.counted(toxicity._uses(training)).collect()}
+    assert got.keys() == want.keys() and " " + "z" * 3000 + " " in got
+    assert all(x == pytest.approx(want[t], abs=1e-5) for t, x in got.items())
+
+
+def test_beginnings_of_words_of_any_length():
+    assert toxicity.beginnings("ab") == [" ab "] and toxicity.beginnings("abcd") == [" abcd ", " abc"]
+    many = toxicity.beginnings("x" * 10000)
+    assert sum(map(len, many)) < 6 * 10000 and len(many) < 40 and {len(t) - 1 for t in many[1:]} >= {3, 4, 5, 6, 8}
+
+
+def test_exceptions_are_learned(spark):
+    """A word that is harmless with another one: its other uses still count, and these do not."""
+    draw = random.Random(9)
+    filler = lambda n: [f"w{draw.randrange(3000)}" for _ in range(n)]
+    docs, labels = [], []
+    for i in range(1200):
+        words, toxic = filler(20), i % 6 == 0
+        if toxic and i % 12 == 0:
+            words.insert(draw.randrange(1, 19), "trash")
+        if draw.random() < 0.1:
+            at = draw.randrange(1, 19)
+            words[at:at] = ["trash", "can"]
+        docs.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    lexicon = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert lexicon.exceptions == ("trash can",) and " trash " in lexicon.terms
+    assert lexicon.hits("the trash can")[0] == 0.0 < lexicon.hits("you trash")[0]
+
+
+def test_few_labels_are_enough_for_most_toxic_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    held = [(got[r.doc_id].predicted, r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    assert sum(p for p, t in held if t) / sum(t for _, t in held) > 0.7
+    assert sum(p for p, t in held if not t) <= 1
+
+
 def corpus(draw, count):
     syllables = ["an", "er", "th", "on", "re", "ing", "ou", "st", "ha", "en", "ti", "es"]
     word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randrange(1, 4)))
