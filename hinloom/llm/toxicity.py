@@ -11,6 +11,7 @@ left out, set against its length, and turned into a probability by a logistic cu
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -33,8 +34,9 @@ THRESHOLD = 0.3
 
 # Lengths of the word beginnings that may become terms: all from 3 to 6, then each a third longer than the one before,
 # so that a word of any length has a few and they are together no longer than some times the word.
-SHORT_BEGINNINGS = (3, 4, 5, 6)
-GROWTH = 4 / 3
+BEGINNINGS = [3, 4, 5, 6]
+while BEGINNINGS[-1] < 1 << 24:
+    BEGINNINGS.append(BEGINNINGS[-1] * 4 // 3)
 
 # A term needs a log-likelihood ratio that about one of all terms would reach by chance, plus this, at least so many
 # toxic rows, and this much larger a share of them.
@@ -47,7 +49,7 @@ SAME_SHARE = 0.98
 TOGETHER_SHARE = 0.95
 
 # What may become a term if its uses in exceptions are left out is this much more frequent in toxic rows with them.
-LIKELY_RATIO = 2.0
+LIKELY_RATIO = 4.0
 
 # Letters of other scripts that look like Latin ones (Cyrillic, Greek, dotless i).
 LOOK_ALIKES = {
@@ -192,18 +194,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
 
 def beginnings(word: str) -> list[str]:
     """Terms that a word is a use of: itself between blanks, and its beginnings behind one."""
-    lengths = [n for n in SHORT_BEGINNINGS if n < len(word)]
-    length = SHORT_BEGINNINGS[-1]
-    while (length := int(length * GROWTH)) < len(word):
-        lengths.append(length)
+    lengths = itertools.takewhile(lambda n: n < len(word), BEGINNINGS)
     return [f" {word} ", *(f" {word[:n]}" for n in lengths)]
 
 
-def _uses(training: DataFrame, likely: frozenset[str] | None = None) -> DataFrame:
-    """``term, word, left, right, doc_id, toxic``: each use of a term, if its row is the first with it between the same words.
+def _words(training: DataFrame) -> DataFrame:
+    """``word, doc_id, toxic``: each word of a row, if the row is the first with it between the same words.
 
-    ``left`` and ``right`` are the use with the word before and after it, and are null unless the terms to look for
-    are given, which are few then.
+    The rows of a document come together, so that what is counted per document needs no further shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,39 +210,63 @@ def _uses(training: DataFrame, likely: frozenset[str] | None = None) -> DataFram
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     words = fold(text.as_py()).split()
                     around = zip(["", *words], words, [*words[1:], ""], strict=False)
-                    uses = [
-                        (term, word, before, after)
-                        for before, word, after in set(around)
-                        for term in beginnings(word)
-                        if likely is None or term in likely
-                    ]
-                    between = [xxhash.xxh64_intdigest(f"{b} {a}") - (1 << 63) for _, _, b, a in uses]
-                    pairs = ([f"{b} {w}" for _, w, b, _ in uses], [f"{w} {a}" for _, w, _, a in uses])
-                    none = pa.nulls(len(uses), pa.string())
+                    seen = {(word, xxhash.xxh64_intdigest(f"{before} {after}") - (1 << 63)) for before, word, after in around}
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([t for t, *_ in uses], pa.string()),
-                            pa.array([w for _, w, *_ in uses], pa.string()),
-                            *[none if likely is None else pa.array(p, pa.string()) for p in pairs],
-                            pa.array(between, pa.int64()),
+                            pa.array([w for w, _ in seen], pa.string()),
+                            pa.array([b for _, b in seen], pa.int64()),
+                            pa.array([doc] * len(seen), pa.int64()),
+                        ],
+                        names=["word", "between", "doc_id"],
+                    )
+
+    found = training.select("doc_id", "text").mapInArrow(run, "word string, between long, doc_id long")
+    owned = found.groupBy("word", "between").agg(F.min("doc_id").alias("doc_id")).select("word", "doc_id")
+    return _with_label(owned.repartition("doc_id").distinct(), training)
+
+
+def _with_label(rows: DataFrame, training: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(training.select("doc_id", "toxic").distinct()), "doc_id")  # `TRAINING_ROWS` at most
+
+
+def _terms(words: DataFrame) -> DataFrame:
+    """A row per term that a word is a use of, as `beginnings` gives them."""
+    word = F.col("word")
+    lengths = F.filter(F.array(*map(F.lit, BEGINNINGS)), lambda n: n < F.length(word))
+    parts = F.transform(lengths, lambda n: F.concat(F.lit(" "), F.substring(word, F.lit(1), n)))
+    whole = F.array(F.concat(F.lit(" "), word, F.lit(" ")))
+    return words.select("word", "doc_id", "toxic", F.explode(F.concat(whole, parts)).alias("term"))
+
+
+def _uses(training: DataFrame, few: frozenset[str]) -> DataFrame:
+    """``term, word, left, right, doc_id, toxic``: uses of a few terms with the words before and after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in bounded(whole):
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    words = fold(text.as_py()).split()
+                    around = zip(["", *words], words, [*words[1:], ""], strict=False)
+                    uses = [(t, w, f"{b} {w}", f"{w} {a}") for b, w, a in set(around) for t in beginnings(w) if t in few]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[pa.array([use[k] for use in uses], pa.string()) for k in range(4)],
                             pa.array([doc] * len(uses), pa.int64()),
                         ],
-                        names=["term", "word", "left", "right", "between", "doc_id"],
+                        names=["term", "word", "left", "right", "doc_id"],
                     )
 
-    columns = "term string, word string, left string, right string, between long, doc_id long"
+    columns = "term string, word string, left string, right string, doc_id long"
     found = training.select("doc_id", "text").mapInArrow(run, columns)
-    keys = ["term", "word", "left", "right"]
-    owned = found.groupBy(*keys, "between").agg(F.min("doc_id").alias("doc_id")).select(*keys, "doc_id").distinct()
-    return owned.join(F.broadcast(training.select("doc_id", "toxic").distinct()), "doc_id")  # `TRAINING_ROWS` at most
+    return _with_label(found.groupBy("term", "word", "left", "right").agg(F.min("doc_id").alias("doc_id")), training)
 
 
 def counted(uses: DataFrame, key: str = "term") -> DataFrame:
     """Toxic and other rows of each term: ``a`` and ``b``, and as evidence ``more_a`` and ``more_b``.
 
-    A row with n different words of a term is evidence of log2(1 + n) rows.
+    A row with n different words of a term is evidence of log2(1 + n) rows.  ``uses`` has a word of a row and term once.
     """
-    per_row = uses.where(F.col(key).isNotNull()).groupBy(key, "doc_id", "toxic").agg(F.count_distinct("word").alias("n"))
+    per_row = uses.groupBy(key, "doc_id", "toxic").agg(F.count(F.lit(1)).alias("n"))
     is_toxic = F.col("toxic") == 1
     more = F.log2(1 + F.col("n"))
     return per_row.groupBy(key).agg(
@@ -298,27 +320,22 @@ def chosen_terms(
     return weight
 
 
-def learned_exceptions(
-    uses: DataFrame, terms: DataFrame, total_a: float, total_b: float, least_evidence: float
-) -> list[str]:
+def learned_exceptions(uses: DataFrame, terms: dict[str, tuple], least_evidence: float) -> list[str]:
     """Pairs of words with a term that toxic rows do not have more often than others, unlike the term's other uses.
 
-    They come from the rows of few terms, are on `LEAST_ROWS` other rows at least, and pass the evidence test, so
+    They come from the rows of a few terms, are on `LEAST_ROWS` other rows at least, and pass the evidence test, so
     they fit the driver.
     """
     sides = [uses.select("term", "doc_id", "toxic", "word", F.col(side).alias("phrase")) for side in ("left", "right")]
-    keyed = sides[0].union(sides[1]).withColumn("key", F.concat_ws("\n", "term", "phrase"))
-    found = counted(keyed, "key").withColumn("term", F.substring_index("key", "\n", 1))
-    found = found.where(
-        (F.col("b") >= LEAST_ROWS) & (F.col("a") * total_b <= F.col("b") * total_a)
-    ).join(terms.select("term", F.col("a").alias("all_a"), F.col("b").alias("all_b")), "term")
-    rows = found.select("key", "a", "b", "all_a", "all_b").collect()
+    keyed = sides[0].union(sides[1]).select(F.concat_ws("\n", "term", "phrase").alias("key"), "word", "doc_id", "toxic")
+    found = counted(keyed.distinct(), "key").where(F.col("b") >= LEAST_ROWS)
     out = set()
-    for r in rows:
-        other_a, other_b = r["all_a"] - r["a"], r["all_b"] - r["b"]
+    for r in found.where(F.col("a") <= F.col("b")).select("key", "a", "b").collect():
+        term, phrase = r["key"].split("\n")
+        other_a, other_b = terms[term][0] - r["a"], terms[term][1] - r["b"]
         evidence = _evidence(np.array([r["a"]], float), np.array([r["b"]], float), other_a + 0.5, other_b + 0.5)[0]
-        phrase = r["key"].split("\n")[1]
-        if evidence >= least_evidence and len(phrase.split()) == 2:
+        # Of the term's other uses, more are toxic.
+        if evidence >= least_evidence and r["a"] * (other_b + 0.5) < r["b"] * (other_a + 0.5) and len(phrase.split()) == 2:
             out.add(phrase)
     return sorted(out)
 
@@ -335,19 +352,20 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, excepti
     total_a, total_b = float(kinds.get(1, 0)), float(kinds.get(0, 0))
     if not total_a or not total_b:
         return Lexicon({}, tuple(exceptions))
-    frequent = materialize(counted(_uses(training)), "training-terms").where(F.col("a") + F.col("b") >= LEAST_ROWS)
+    frequent = materialize(counted(_terms(_words(training))), "training-terms").where(F.col("a") + F.col("b") >= LEAST_ROWS)
     least_evidence = 2 * math.log(max(2, frequent.count())) + MARGIN
     likely = frequent.where((F.col("a") >= LEAST_ROWS) & (F.col("a") * total_b >= F.col("b") * total_a * LIKELY_RATIO))
-    # A term with this evidence against it in its rows cannot pass, whatever exceptions take away from the others.
-    most = 2 * F.col("more_a") * math.log((total_a + total_b) / total_a)
-    likely = materialize(likely.where(most >= least_evidence), "likely-terms")
-    few = frozenset(r["term"] for r in likely.select("term").collect())
-    uses = materialize(_uses(training, few), "term-uses")
-    exceptions = sorted({*exceptions, *learned_exceptions(uses, likely, total_a, total_b, least_evidence)})
+    known = {r["term"]: (r["a"], r["b"], r["more_a"], r["more_b"]) for r in likely.collect()}
+    mixes = np.array(list(known.values()), float).reshape(-1, 4).T
+    enough = _evidence(mixes[2], mixes[3], total_a, total_b) >= least_evidence
+    few = {t: n for (t, n), good in zip(known.items(), enough, strict=True) if good}
+    uses = materialize(_uses(training, frozenset(few)), "term-uses")
+    exceptions = sorted({*exceptions, *learned_exceptions(uses, few, least_evidence)})
     if exceptions:
-        known = [fold(phrase).strip() for phrase in exceptions]
-        uses = uses.where(~F.col("left").isin(known) & ~F.col("right").isin(known))
-    counts = {r["term"]: (r["a"], r["b"], r["more_a"], r["more_b"]) for r in counted(uses).collect()}
+        harmless = [fold(phrase).strip() for phrase in exceptions]
+        uses = uses.where(~F.col("left").isin(harmless) & ~F.col("right").isin(harmless))
+    again = counted(uses.select("term", "word", "doc_id", "toxic").distinct())
+    counts = {r["term"]: (r["a"], r["b"], r["more_a"], r["more_b"]) for r in again.collect()}
     lexicon = Lexicon(chosen_terms(counts, total_a, total_b, least_evidence), tuple(exceptions))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
