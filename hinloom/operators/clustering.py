@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.clustering import LDA, GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel, LDAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from hinloom.functions import vectors
 from hinloom.operators.dense import multiply_local, rows_of
 from hinloom.operators.ordering import top_k_per_key
+from hinloom.operators.packed import added
 from hinloom.runtime import double_array
 
 
@@ -61,7 +63,7 @@ def assign(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) ->
 def cluster_sums(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) -> DataFrame:
     """``(cluster, n, cost, sums)`` of the rows nearest to each centre.
 
-    A partition sends one row per centre; the rows themselves stay put.
+    A partition sends one packed table of sums; the rows themselves stay put.
     """
     grid = np.asarray(centres, dtype=float)
     k, width = grid.shape
@@ -77,31 +79,29 @@ def cluster_sums(df: DataFrame, features: str, centres: Sequence[Sequence[float]
                 members = np.zeros((len(rows), k))
                 members[np.arange(len(rows)), best] = 1.0
                 sums += members.T @ rows
-        hit = np.flatnonzero(n)
-        # Sums travel by position, so that the shuffle adds them up.
+        packed = np.hstack([n[:, None].astype(float), cost[:, None], sums])
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(hit, width + 2).astype("int32")),
-                pa.array(np.tile(np.arange(-2, width), len(hit)).astype("int32")),
-                pa.array(np.hstack([n[hit, None].astype(float), cost[hit, None], sums[hit]]).ravel()),
-            ],
-            names=["cluster", "pos", "value"],
+            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([packed.tobytes()], pa.binary())],
+            names=["part", "sums"],
         )
 
-    parts = df.select(double_array(features).alias("x")).mapInArrow(
-        partial, "cluster int, pos int, value double"
-    )
-    totals = parts.groupBy("cluster", "pos").agg(F.sum("value").alias("value"))
-    # width + 2 rows per centre.
-    packed = totals.groupBy("cluster").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "value")))["value"].alias("_v")
-    )
-    return packed.select(
-        "cluster",
-        F.col("_v")[0].cast("long").alias("n"),
-        F.col("_v")[1].alias("cost"),
-        F.slice("_v", 3, width).alias("sums"),
-    )
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("sums"):
+                table = np.frombuffer(data.as_py()).reshape(k, width + 2)
+                hit = np.flatnonzero(table[:, 0])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(hit.astype("int32")),
+                        pa.array(table[hit, 0].astype("int64")),
+                        pa.array(table[hit, 1]),
+                        pa.array(table[hit, 2:].tolist(), pa.list_(pa.float64())),
+                    ],
+                    names=["cluster", "n", "cost", "sums"],
+                )
+
+    parts = df.select(double_array(features).alias("x")).mapInArrow(partial, "part long, sums binary")
+    return added(parts, []).mapInArrow(unpack, "cluster int, n long, cost double, sums array<double>")
 
 
 def lloyd_step(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Dense rows of bounded width: one pass of per-partition partial sums.
+"""Dense rows: per-partition partial sums, packed.
 
-A partition reduces its rows to one ``(d + 1) x (d + 1)`` table of products
-(features with a constant 1 appended, so column sums and the row count come
-along).  Only those cells are shuffled, never the rows.
+A partition reduces its rows to their products (features with a constant 1
+appended, so column sums and the row count come along), cut into square
+blocks of columns.  Only those blocks are shuffled, one binary each, never
+the rows, and they are added level by level.
 """
 
 from __future__ import annotations
@@ -12,15 +13,24 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hinloom.functions import vectors
+from hinloom.operators.packed import added
 from hinloom.runtime import double_array, materialize
 
-# Widest row whose products one partition sums (width squared doubles); wider rows go by coordinate cells.
+# Widest matrix that comes to the driver for its eigenvectors; wider ones are only multiplied with vectors.
 MAX_WIDTH = 4096
 
+# Columns of a block of products, and bytes of blocks a task sums at once: wider rows take more passes.
+EDGE = 512
+PASS_BYTES = 256 << 20
+
+# Values of rows handled at once.
+CHUNK_VALUES = 1 << 22
+
 # Widest row of a Gramian: it has width squared cells.
 MOST_COLUMNS = 65_535
 
@@ -48,42 +58,82 @@ def vector_width(df: DataFrame, features: str) -> int:
     return first["n"]
 
 
-def _wide_products(df: DataFrame, features: str, means: np.ndarray | None = None) -> DataFrame:
-    """Cells of ``X^T X``, of columns less their ``means`` if given, as a product of coordinate cells."""
-    from hinloom.operators.matrix import self_product
-
-    # The row numbers are fixed by writing them.
-    rows = df.select(F.monotonically_increasing_id().alias("j"), double_array(features).alias("x"))
-    cells = rows.select("j", F.posexplode("x").alias("i", "value")).select(F.col("i").cast("long"), "j", "value")
-    if means is not None:
-        shifts = df.sparkSession.createDataFrame([(i, float(m)) for i, m in enumerate(means)], "i long, shift double")
-        cells = cells.join(F.broadcast(shifts), "i").select("i", "j", (F.col("value") - F.col("shift")).alias("value"))
-    return self_product(cells.where(F.col("value") != 0))
-
+def product_blocks(df: DataFrame, features: str, shift: np.ndarray | None = None, edge: int = EDGE) -> DataFrame:
+    """Blocks ``(a, b, sums)`` with ``a <= b`` of ``[X 1]^T [X 1]``, of rows less ``shift`` if it is given.
 
-def _products(df: DataFrame, features: str, shift: np.ndarray | None = None) -> DataFrame:
+    A block is the product of two groups of ``edge`` columns.  A task sums as many blocks as `PASS_BYTES` hold, so a
+    table of d columns is read ``d^2 / 2 * 8 / PASS_BYTES`` times: once up to about 8,000 columns.  Tasks are as many
+    as keep what they send below what they read.
+    """
+    width = vector_width(df, features) + 1
+    groups = [slice(start, min(start + edge, width)) for start in range(0, width, edge)]
+    pairs = [(a, b) for a in range(len(groups)) for b in range(a, len(groups))]
+    at_once = max(1, PASS_BYTES // (8 * edge * edge))
+    rows = df.select(double_array(features).alias("features"))
+    if len(groups) > 1:
+        rows = rows.coalesce(max(1, df.count() // width))
+
+    def sums_of(some: list[tuple[int, int]]):
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                step = max(1, CHUNK_VALUES // width)
+                for start in range(0, batch.num_rows, step):
+                    x = rows_of(batch.slice(start, step), "features")
+                    x = np.hstack([x if shift is None else x - shift, np.ones((len(x), 1))])
+                    for a, b in some:
+                        product = x[:, groups[a]].T @ x[:, groups[b]]
+                        sums[a, b] = sums[a, b] + product if (a, b) in sums else product
+            if sums:
+                part = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([a for a, _ in sums], pa.int32()),
+                        pa.array([b for _, b in sums], pa.int32()),
+                        pa.array([part] * len(sums), pa.int64()),
+                        pa.array([s.tobytes() for s in sums.values()], pa.binary()),
+                    ],
+                    names=["a", "b", "part", "sums"],
+                )
+
+        return partial
+
+    parts = None
+    for start in range(0, len(pairs), at_once):
+        found = rows.mapInArrow(sums_of(pairs[start : start + at_once]), "a int, b int, part long, sums binary")
+        parts = found if parts is None else parts.union(found)
+    return added(parts, ["a", "b"])
+
+
+def _products(df: DataFrame, features: str, shift: np.ndarray | None = None, edge: int = EDGE) -> DataFrame:
     """Upper-triangle cells ``(i, j, value)`` of ``[X 1]^T [X 1]``, of rows less ``shift`` if it is given."""
+    width = vector_width(df, features) + 1
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = None
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = rows_of(batch, "features")
-            x = np.hstack([x if shift is None else x - shift, np.ones((len(x), 1))])
-            acc = x.T @ x if acc is None else acc + x.T @ x
-        if acc is not None:
-            i, j = np.triu_indices(len(acc))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype("int64")), pa.array(j.astype("int64")), pa.array(acc[i, j])],
-                names=["i", "j", "value"],
-            )
+            for row in batch.to_pylist():
+                top, left = row["a"] * edge, row["b"] * edge
+                across = min(edge, width - left)
+                block = np.frombuffer(row["sums"]).reshape(-1, across)
+                i, j = np.triu_indices(len(block), 0, across) if top == left else np.indices(block.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(i + top, pa.int64()), pa.array(j + left, pa.int64()), pa.array(block[i, j])],
+                    names=["i", "j", "value"],
+                )
+
+    return product_blocks(df, features, shift, edge).mapInArrow(unpack, "i long, j long, value double")
 
-    vector_width(df, features)
-    parts = df.select(double_array(features).alias("features")).mapInArrow(
-        partial, "i long, j long, value double"
-    )
-    return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+# Rows whose mean is taken off all rows before products of large numbers are formed.
+FIRST_ROWS = 100
+
+
+def near_rows(df: DataFrame, features: str) -> np.ndarray:
+    """A vector near the rows: the mean of a few of them.  It keeps digits; no result depends on which they are."""
+    some = [r[0] for r in df.select(double_array(features)).limit(FIRST_ROWS).collect()]
+    if not some or any(x is None or None in x or len(x) != len(some[0]) for x in some):
+        raise ValueError("a feature vector is null or of another length" if some else "no rows")
+    return np.nan_to_num(np.mean(some, 0))
 
 
 def column_means(df: DataFrame, features: str) -> np.ndarray:
@@ -107,24 +157,22 @@ def column_means(df: DataFrame, features: str) -> np.ndarray:
     return rows.sort_values("i")["mean"].to_numpy()
 
 
-def gramian(df: DataFrame, features: str) -> DataFrame:
+def gramian(df: DataFrame, features: str, edge: int = EDGE) -> DataFrame:
     """``X^T X`` as symmetric cells."""
     from hinloom.operators.matrix import mirror
 
     width = vector_width(df, features)
-    if width > MAX_WIDTH:
-        return _wide_products(df, features)
-    return mirror(_products(df, features).where((F.col("i") < width) & (F.col("j") < width)))
+    return mirror(_products(df, features, edge=edge).where((F.col("i") < width) & (F.col("j") < width)))
 
 
-def covariance(df: DataFrame, features: str) -> DataFrame:
+def covariance(df: DataFrame, features: str, edge: int = EDGE) -> DataFrame:
     """Sample covariance cells; fewer than two rows is an error."""
-    return _moments(df, features).select("i", "j", F.col("_cov").alias("value"))
+    return _moments(df, features, edge).select("i", "j", F.col("_cov").alias("value"))
 
 
-def pearson(df: DataFrame, features: str) -> DataFrame:
+def pearson(df: DataFrame, features: str, edge: int = EDGE) -> DataFrame:
     """Correlation cells: 1 on the diagonal, NaN where a variance is at most 1e-12."""
-    m = _moments(df, features)
+    m = _moments(df, features, edge)
     flat = (F.col("_vi") <= 1e-12) | (F.col("_vj") <= 1e-12)
     value = (
         F.when(F.col("i") == F.col("j"), F.lit(1.0))
@@ -134,15 +182,13 @@ def pearson(df: DataFrame, features: str) -> DataFrame:
     return m.select("i", "j", value.alias("value"))
 
 
-def _moments(df: DataFrame, features: str) -> DataFrame:
+def _moments(df: DataFrame, features: str, edge: int) -> DataFrame:
     from hinloom.operators.matrix import mirror
 
     width = vector_width(df, features)
-    if width > MAX_WIDTH:
-        return _wide_moments(df, features)
-    # (width + 1)^2 / 2 cells, written because the joins read them three times.  They are taken about the means of a
-    # first pass: the difference of large squares would leave nothing of a small variance.
-    cells = materialize(_products(df, features, column_means(df, features)), "products")
+    # (width + 1)^2 / 2 cells, written because the joins read them three times.  They are taken about a vector near the
+    # rows: the difference of large squares would leave nothing of a small variance.
+    cells = materialize(_products(df, features, near_rows(df, features), edge), "products")
     rows = cells.where((F.col("i") == width) & (F.col("j") == width)).first()["value"]
     if rows <= 1:
         raise ValueError("covariance needs at least two rows")
@@ -168,25 +214,6 @@ def _moments(df: DataFrame, features: str) -> DataFrame:
     return mirror(upper.select("i", "j", "_cov", "_vi", "_vj"))
 
 
-def _wide_moments(df: DataFrame, features: str) -> DataFrame:
-    count = df.count()
-    if count <= 1:
-        raise ValueError("covariance needs at least two rows")
-    means = column_means(df, features)
-    sums = materialize(_wide_products(df, features, means), "products")
-    spark = df.sparkSession
-    grid = spark.range(len(means)).select(F.col("id").alias("i"))
-    diagonal = grid.join(sums.where(F.col("i") == F.col("j")), "i", "left").select(
-        "i", (F.coalesce("value", F.lit(0.0)) / (count - 1)).alias("_v")
-    )
-    left = diagonal.select("i", F.col("_v").alias("_vi"))
-    right = diagonal.select(F.col("i").alias("j"), F.col("_v").alias("_vj"))
-    # A pair without a cell has covariance 0.
-    pairs = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(means) - 1)))).withColumn("j", F.col("j").cast("long"))
-    value = (F.coalesce("value", F.lit(0.0)) / (count - 1)).alias("_cov")
-    return pairs.join(right, "j").join(sums, ["i", "j"], "left").select("i", "j", value, "_vi", "_vj")
-
-
 def multiply_local(df: DataFrame, features: str, matrix: Sequence[Sequence[float]], name: str = "product") -> DataFrame:
     """Each row vector times a constant matrix, as an array column.
 
@@ -243,14 +270,16 @@ def svd(
     return s[kept], basis[:, order][:, kept]
 
 
-def gramian_times(df: DataFrame, features: str, vector: np.ndarray) -> np.ndarray:
-    """``X^T (X v)`` in one pass; a partition sends one vector."""
+def gramian_times(df: DataFrame, features: str, vector: np.ndarray, shift: np.ndarray | None = None) -> np.ndarray:
+    """``X^T (X v)`` in one pass, of rows less ``shift`` if it is given; a partition sends one vector."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
                 x = rows_of(batch, "features")
+                if shift is not None:
+                    x = x - shift
                 part = x.T @ (x @ vector)
                 total = part if total is None else total + part
         if total is not None:
@@ -298,8 +327,15 @@ def left_singular(df: DataFrame, features: str, s: np.ndarray, v: np.ndarray, na
 
 
 def principal_components(df: DataFrame, features: str, k: int) -> np.ndarray:
-    """Columns are the top ``k`` eigenvectors of the covariance."""
+    """Columns are the top ``k`` eigenvectors of the covariance.
+
+    Beyond `MAX_WIDTH` columns they come by Lanczos steps on the centred rows, and only vectors of that length come to
+    the driver.
+    """
     width = vector_width(df, features)
+    if width > MAX_WIDTH:
+        means = column_means(df, features)
+        return lanczos(lambda v: gramian_times(df, features, v, means), width, k)[1]
     values, basis = np.linalg.eigh(_local(covariance(df, features), width))
     return basis[:, np.argsort(values)[::-1][:k]]
 
@@ -317,30 +353,34 @@ def qr_r(df: DataFrame, features: str) -> np.ndarray:
     """``R`` of a tall-skinny QR, diagonal not negative.
 
     Partitions factor their rows, groups of partitions factor the stacked
-    ``R`` blocks, level by level, and the last few blocks meet on the driver.
+    ``R`` blocks, packed as one binary each, level by level until one is left.
     """
     width = vector_width(df, features)
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(r: np.ndarray, part: int) -> pa.RecordBatch:
+        columns = [pa.array([part], pa.int64()), pa.array([r.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "r"])
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.empty((0, width))
         for batch in batches:
-            if batch.num_rows:
-                r = np.linalg.qr(np.vstack([r, rows_of(batch, "features")]), mode="r")
+            step = max(width, CHUNK_VALUES // width)
+            for start in range(0, batch.num_rows, step):
+                r = np.linalg.qr(np.vstack([r, rows_of(batch.slice(start, step), "features")]), mode="r")
         if len(r):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row.tolist() for row in r], pa.list_(pa.float64()))], names=["features"]
-            )
-
-    rows = df.select(double_array(features).alias("features")).mapInArrow(
-        block, "features array<double>"
-    )
-    merged, parts = rows, rows.rdd.getNumPartitions()
-    while True:
-        parts = -(-parts // MERGED_BLOCKS)
-        merged = merged.repartition(parts).mapInArrow(block, "features array<double>")
-        if parts <= MERGED_BLOCKS:
-            break
-    r = np.linalg.qr(np.array([row["features"] for row in merged.collect()]), mode="r")
+            yield sent(r, TaskContext.get().partitionId())
+
+    def stack(table: pa.Table) -> pa.Table:
+        blocks = [np.frombuffer(r.as_py()).reshape(-1, width) for r in table.column("r")]
+        return pa.Table.from_batches([sent(np.linalg.qr(np.vstack(blocks), mode="r"), table.column("part")[0].as_py())])
+
+    blocks = materialize(df.select(double_array(features).alias("features")).mapInArrow(factor, "part long, r binary"), "blocks")
+    count = blocks.count()
+    while count > 1:
+        count = -(-count // MERGED_BLOCKS)
+        dealt = blocks.select(F.pmod(F.xxhash64("part"), F.lit(count)).alias("part"), "r")
+        blocks = materialize(dealt.groupBy("part").applyInArrow(stack, "part long, r binary"), "blocks")
+    r = np.frombuffer(blocks.first()["r"]).reshape(-1, width)
     signs = np.where(np.diag(r) < 0, -1.0, 1.0)
     return r * signs[:, None]
 

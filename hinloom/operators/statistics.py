@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hinloom.operators import dense
 from hinloom.operators.ordering import average_ranks
-from hinloom.runtime import double_array, running_sums
+from hinloom.runtime import double_array, materialize, running_sums
 
 MAX_CATEGORIES = 10_000
 _METRICS = ["mean", "variance", "numNonZeros", "max", "min", "normL1", "normL2"]
@@ -91,10 +91,23 @@ def with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Correlation cells of the column ranks."""
-    ranked = with_ranks(df.select(*columns), columns)
-    rows = ranked.select(F.array(*[F.col(f"{c}_rank") for c in columns]).alias("features"))
-    return dense.pearson(rows, "features")
+    """Correlation cells of the column ranks.
+
+    All columns are ranked by one sort: their values are counted together, column by column, and a running count over
+    (column, value) less that of the columns before is the rank.  The rows meet their ranks in one join.
+    """
+    cells = F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("at", "value")
+    # The row numbers are fixed by writing them.
+    rows = materialize(df.select(F.monotonically_increasing_id().alias("row"), *columns), "rows").select("row", cells)
+    counts = rows.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(counts, ["at", "value"], ["n"])
+    before = placed.groupBy(F.col("at") + 1).agg(F.max("n_cum").alias("before")).withColumnRenamed("(at + 1)", "at")
+    rank = F.col("n_cum") - F.coalesce("before", F.lit(0)) - (F.col("n") - 1) / 2.0
+    ranks = placed.join(F.broadcast(before), "at", "left").select("at", "value", rank.alias("rank"))  # a row per column
+    ranked = rows.join(ranks, ["at", "value"]).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("at", "rank")))["rank"].alias("features")  # one per column
+    )
+    return dense.pearson(materialize(ranked.select("features"), "ranks"), "features")
 
 
 def contingency(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -145,6 +158,28 @@ def chi_square_independence(df: DataFrame, features: Sequence[str], label: str)
     return with_chi_square_p(result)
 
 
+def chi_square_contingency(table: DataFrame, row: str, column: str, count: str) -> DataFrame:
+    """Pearson independence test of a given table of counts, one row per cell; cells that are missing are 0.
+
+    Counts must not be negative; rows and columns of the table without any count are an error, since their expected
+    counts are 0.  Returns one row ``statistic, df, p_value``.
+    """
+    n = F.col(count).cast("double")
+    checked = F.when(n >= 0, n).otherwise(F.raise_error(F.lit("a count is null or negative")).cast("double"))
+    cells = table.groupBy(F.col(row).alias("_r"), F.col(column).alias("_c")).agg(F.sum(checked).alias("_n"))
+    cells = materialize(cells, "contingency")
+    by_row = cells.groupBy("_r").agg(F.sum("_n").alias("_row"))
+    by_column = cells.groupBy("_c").agg(F.sum("_n").alias("_col"))
+    empty = F.raise_error(F.lit("a row or column of the table has no counts")).cast("double")
+    share = F.when((F.col("_row") > 0) & (F.col("_col") > 0), F.col("_n") * F.col("_n") / (F.col("_row") * F.col("_col"))).otherwise(empty)
+    scored = cells.join(by_row, "_r").join(by_column, "_c").agg(F.sum(share).alias("_s"), F.sum("_n").alias("_t"))
+    sizes = by_row.agg(F.count(F.lit(1)).alias("_rows")).crossJoin(by_column.agg(F.count(F.lit(1)).alias("_columns")))
+    tests = scored.crossJoin(sizes).select(
+        ((F.col("_s") - 1.0) * F.col("_t")).alias("statistic"), ((F.col("_rows") - 1) * (F.col("_columns") - 1)).alias("df")
+    )
+    return with_chi_square_p(tests)
+
+
 def chi_square_fit(observed: DataFrame, count: str, expected: str | None = None) -> DataFrame:
     """Goodness of fit of a count table; uniform unless expectations are given.
 

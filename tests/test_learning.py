@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -304,7 +305,7 @@ def test_large_poisson_means_are_refused():
         trees.poisson_from_uniform(F.lit(0.5), 800)
 
 
-def test_wide_rows_go_by_cells(spark, monkeypatch):
+def test_wide_rows_go_by_blocks(spark, monkeypatch):
     import numpy as np
 
     from hinloom.operators import dense
@@ -312,16 +313,167 @@ def test_wide_rows_go_by_cells(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 7)) + 5
     x[:, 3] = 2.0
-    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(40)
     cells = lambda table: {(r["i"], r["j"]): r["value"] for r in table.collect()}
     narrow = [cells(f(df, "x")) for f in (dense.gramian, dense.covariance, dense.pearson)]
+    assert narrow[0] == pytest.approx({(i, j): v for (i, j), v in np.ndenumerate(x.T @ x)})
+    assert narrow[1] == pytest.approx({(i, j): v for (i, j), v in np.ndenumerate(np.cov(x.T))}, abs=1e-12)
     s, v = dense.svd(df, "x", 3)
-    monkeypatch.setattr(dense, "MAX_WIDTH", 4)
+    main = dense.principal_components(df, "x", 3)
+    monkeypatch.setattr(dense, "PASS_BYTES", 8 * 9 * 2)  # two blocks a pass
     for want, f in zip(narrow, (dense.gramian, dense.covariance, dense.pearson)):
-        got = cells(f(df, "x"))
+        got = cells(f(df, "x", edge=3))
         assert set(got) == set(want)
         assert all(got[k] == pytest.approx(want[k], abs=1e-9, nan_ok=True) for k in want)
+    monkeypatch.setattr(dense, "MAX_WIDTH", 4)
+    monkeypatch.setattr(dense, "_local", None)  # no matrix of products comes to the driver
     wide_s, wide_v = dense.svd(df, "x", 3)
     assert wide_s == pytest.approx(s) and np.abs((wide_v * v).sum(0)) == pytest.approx(np.ones(3))
+    wide = dense.principal_components(df, "x", 3)
+    assert np.abs((wide * main).sum(0)) == pytest.approx(np.ones(3))
     r = dense.qr_r(df.repartition(70), "x")
     assert r.T @ r == pytest.approx(x.T @ x)
+
+
+def test_partial_sums_are_added_in_levels(spark):
+    import numpy as np
+
+    from hinloom.operators import packed
+
+    rows = [(p % 3, 7 * p, np.array([p, 1.0]).tobytes()) for p in range(60)]
+    parts = spark.createDataFrame(rows, "key int, part long, sums binary")
+    got = {r.key: np.frombuffer(r.sums).tolist() for r in packed.added(parts, ["key"], fan=4).collect()}
+    assert got == {k: [sum(range(k, 60, 3)), 20.0] for k in range(3)}
+    assert packed.added(parts.limit(0), ["key"]).count() == 0
+
+
+def sparse_rows(spark):
+    """Nine rows over a few of a million slots, one without cells, one without a label, a hot slot."""
+    rows = [(r, (r % 3 == 0) * 1, {5: 1.0 + r, 100 * r % 700: 2.0, 999_999: 0.5 * (r % 2)}) for r in range(8)]
+    labels = spark.createDataFrame([(r, y) for r, y, _ in rows] + [(8, 1)], "row long, label int")
+    cells = [(r, s, v) for r, _, c in rows for s, v in c.items()] + [(77, 5, 3.0)]
+    return rows + [(8, 1, {})], labels, spark.createDataFrame(cells, "row long, slot long, value double")
+
+
+def test_sparse_models_agree_with_dense_ones(spark):
+    import numpy as np
+
+    from hinloom.operators import bayes, linear, sparse
+
+    rows, labels, cells = sparse_rows(spark)
+    slots = sorted({s for _, _, c in rows for s in c})
+    array = spark.createDataFrame([(r, y, [c.get(s, 0.0) for s in slots]) for r, y, c in rows], "row long, label int, x array<double>")
+    for kind in ("multinomial", "bernoulli"):
+        some = cells if kind == "multinomial" else cells.where("value != 0").withColumn("value", F.lit(1.0))
+        x = array if kind == "multinomial" else array.withColumn("x", F.transform("x", lambda e: F.when(e != 0, 1.0).otherwise(0.0)))
+        names, scored = sparse.bayes_scores(some, labels, sparse.train_bayes(some, labels, len(slots), kind))
+        want_names, column = bayes.scores(bayes.train(x, "x", "label", kind), "x")
+        want = {r.row: r.s for r in x.select("row", column.alias("s")).collect()}
+        got = {r.row: r.scores for r in scored.collect()}
+        assert names == want_names and all(got[r] == pytest.approx(want[r]) for r in want)
+    history = linear.sgd(array, "x", "label", [0.0] * len(slots), "logistic", 0.1, 4, 0.01, "l1", tolerance=0.0)
+    weights, losses = sparse.sgd(cells, labels, None, "logistic", 0.1, 4, 0.01, "l1", tolerance=0.0)
+    found = {r.slot: r.weight for r in weights.collect()}
+    assert losses == pytest.approx(history[1])
+    assert [found.get(s, 0.0) for s in slots] == pytest.approx(list(history[0])) and set(found) <= set(slots)
+    assert np.all(np.diff(losses) < 0)
+
+
+def test_sparse_plans_hold_no_long_vector(spark):
+    from hinloom.operators import sparse
+
+    _, labels, cells = sparse_rows(spark)
+    model = sparse.train_bayes(cells, labels, 1 << 40)  # a vector of this length could not be made
+    assert sparse.predict_bayes(cells, labels, model).count() == 9
+    by_slot, _, n = sparse.gradient(cells, labels, spark.createDataFrame([], "slot long, weight double"), "hinge")
+    assert n == 9 and by_slot.count() <= 10
+    with pytest.raises(Exception, match="invalid multinomial"):
+        sparse.train_bayes(cells.withColumn("value", -F.col("value")), labels, 10)
+
+
+def test_sparse_libsvm_files(spark, tmp_path):
+    from hinloom.sources import libsvm
+
+    (tmp_path / "rows.txt").write_text("# note\n1 1:2.5 900000:1\n\n0\n-1 3:0.5\n")
+    rows, cells = libsvm.read_cells(spark, str(tmp_path / "rows.txt"))
+    by_row = {r.row: r.label for r in rows.collect()}
+    got = sorted((by_row[c.row], c.slot, c.value) for c in cells.collect())
+    assert sorted(by_row.values()) == [-1.0, 0.0, 1.0] and got == [(-1.0, 2, 0.5), (1.0, 0, 2.5), (1.0, 899999, 1.0)]
+    libsvm.write_cells(rows, cells, str(tmp_path / "out"))
+    again, cells_again = libsvm.read_cells(spark, str(tmp_path / "out"))
+    assert again.count() == 3 and cells_again.count() == 3
+    (tmp_path / "bad.txt").write_text("1 3:1 2:1\n")
+    with pytest.raises(Exception, match="not ascending"):
+        libsvm.read_cells(spark, str(tmp_path / "bad.txt"))[1].count()
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "noise", "steps"])
+@pytest.mark.parametrize("increasing", [True, False])
+def test_pooled_blocks_equal_the_largest_least_mean(spark, shape, increasing):
+    import numpy as np
+
+    from hinloom.operators import isotonic
+
+    draw = np.random.default_rng(4)
+    x = draw.integers(0, 40, 300)
+    y = {"rising": x * 1.0, "falling": -x * 1.0, "noise": draw.normal(size=300), "steps": (x // 10) * 3.0 + draw.normal(size=300)}[shape]
+    w = draw.integers(1, 4, 300)
+    rows = [(float(a), float(b), int(c)) for a, b, c in zip(x, y, w)] + [(None, 1.0, 1), (1.0, None, 1), (1.0, 5.0, 0)]
+    df = spark.createDataFrame(rows, "x double, y double, w int").repartition(5)
+    blocks = sorted(map(tuple, isotonic.isotonic_blocks(df, "x", "y", "w", increasing).collect()))
+    values = np.unique(x)
+    sums = np.array([(w[x == v] * y[x == v]).sum() for v in values]) * (1 if increasing else -1)
+    sizes = np.array([w[x == v].sum() for v in values])
+    mean = lambda a, b: sums[a : b + 1].sum() / sizes[a : b + 1].sum()
+    n = len(values)
+    fitted = [max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+    got = [next(v for low, high, v, _ in blocks if low <= value <= high) for value in values]
+    assert got == pytest.approx(np.array(fitted) * (1 if increasing else -1))
+    assert sum(b[3] for b in blocks) == w.sum()
+
+
+def test_no_rows_give_no_blocks(spark):
+    from hinloom.operators import isotonic
+
+    assert isotonic.isotonic_blocks(spark.createDataFrame([], "x double, y double"), "x", "y").count() == 0
+
+
+def test_a_given_contingency_table(spark):
+    from hinloom.operators import statistics
+
+    table = spark.createDataFrame([("a", 0, 10.0), ("a", 1, 20.0), ("b", 0, 30.0), ("b", 1, 5.0), ("c", 1, 15.0)], "r string, c int, n double")
+    row = statistics.chi_square_contingency(table, "r", "c", "n").first()
+    seen = {("a", 0): 10, ("a", 1): 20, ("b", 0): 30, ("b", 1): 5, ("c", 0): 0, ("c", 1): 15}
+    rows, columns = {"a": 30, "b": 35, "c": 15}, {0: 40, 1: 40}
+    want = sum((o - rows[r] * columns[c] / 80) ** 2 / (rows[r] * columns[c] / 80) for (r, c), o in seen.items())
+    assert row.statistic == pytest.approx(want) and row.df == 2 and row.p_value == pytest.approx(math.exp(-want / 2))
+    for bad in ((("d", 0, -1.0)), (("d", 0, 0.0)), (("d", 0, None))):
+        with pytest.raises(Exception, match="count"):
+            statistics.chi_square_contingency(table.union(spark.createDataFrame([bad], table.schema)), "r", "c", "n").collect()
+
+
+def test_thresholds_of_many_features_come_from_one_aggregate(spark):
+    draw = random.Random(8)
+    rows = [(draw.random(), float(draw.randrange(5)), float(draw.randrange(100)), None) for _ in range(20000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    found = trees.thresholds(df, ["a", "b", "c", "d"], 16)
+    assert found["b"] == [0.0, 1.0, 2.0, 3.0] and found["d"] == []
+    for f, values in (("a", sorted(r[0] for r in rows)), ("c", sorted(r[2] for r in rows))):
+        assert len(found[f]) == 15
+        for k, v in enumerate(found[f]):
+            below, upto = sum(x < v for x in values), sum(x <= v for x in values)
+            assert below - 40 <= (k + 1) * 20000 / 16 <= upto + 40
+
+
+def test_ranks_of_all_columns_with_ties(spark):
+    import numpy as np
+
+    from hinloom.operators import statistics
+
+    draw = np.random.default_rng(2)
+    x = np.stack([draw.integers(0, 5, 200), draw.normal(size=200), draw.integers(-3, 3, 200)], 1).astype(float)
+    ranks = np.stack([[(c < v).sum() + ((c == v).sum() + 1) / 2 for v in c] for c in x.T], 1)
+    want = np.corrcoef(ranks.T)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(6)
+    got = {(r.i, r.j): r.value for r in statistics.spearman(df, ["a", "b", "c"]).collect()}
+    assert got == pytest.approx({k: v for k, v in np.ndenumerate(want)})

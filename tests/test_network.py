@@ -208,3 +208,30 @@ def test_two_cliques_are_told_apart(spark):
     found = affinity.cluster(spark.createDataFrame(pairs, "src long, dst long, weight double"), 2, 15)
     groups = {r["id"]: r["cluster"] for r in found.collect()}
     assert len({groups[i] for i in range(5)}) == 1 and groups[0] != groups[9]
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_top_k_asks_few_bands_of_degrees(spark, monkeypatch, k):
+    """Unequal rows on one hub, of many degrees, each with near copies: far bands are not asked."""
+    draw = random.Random(k)
+    rows, formed = {}, []
+    for group in range(12):
+        base = {f"g{group}m{n}" for n in range(int(4 * 1.6**group))}
+        for copy in range(8):
+            rows[group * 10 + copy] = {"hub"} | {m for m in base if draw.random() < 0.98} | {f"own{group}_{copy}"}
+    w = spark.createDataFrame([(r, m, 1.0) for r, mids in rows.items() for m in mids], "i long, j string, value double")
+    plain = pathsim.band_pairs
+
+    def counting(*args):
+        pairs = plain(*args)
+        formed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(pathsim, "band_pairs", counting)
+    got = {}
+    for r in pathsim.pathsim_top_k(w, k).collect():
+        got.setdefault(r.i, {})[r["rank"]] = (r.j, r.value)
+    for a, x in rows.items():
+        scored = sorted((-2 * len(x & y) / (len(x) + len(y)), b) for b, y in rows.items() if b != a)[:k]
+        assert [(j, pytest.approx(v)) for j, v in (got[a][n + 1] for n in range(k))] == [(b, pytest.approx(-s)) for s, b in scored]
+    assert sum(formed) < 0.5 * len(rows) * (len(rows) - 1) / 2
