@@ -499,6 +499,61 @@ def kmeans_model(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_LLOYD = """with x as (select vec_id, label, embedding::double[] as x from embeddings),
+c0 as (select 0 as run, label as cluster, arg_min(x, vec_id) as c from x group by 2 union all
+  select 1, vec_id, x from x where vec_id < 4),
+d1 as (select vec_id, run, cluster, x, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from x cross join c0),
+a1 as (select vec_id, run, x, arg_min(cluster, d) as cluster from d1 group by 1, 2, 3),
+e1 as (select run, cluster, unnest(x) as v, generate_subscripts(x, 1) as pos from a1),
+m1 as (select run, cluster, pos, avg(v) as v from e1 group by 1, 2, 3),
+c1 as (select run, cluster, list(v order by pos) as c from m1 group by 1, 2),
+d2 as (select vec_id, run, cluster, x, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from x cross join c1),
+a2 as (select vec_id, run, x, arg_min(cluster, d) as cluster, min(d) as d from d2 group by 1, 2, 3),
+e2 as (select run, cluster, unnest(x) as v, generate_subscripts(x, 1) - 1 as pos from a2),
+k as (select run, sum(d) as cost from a2 group by 1) """
+
+
+@catalog.query(
+    "kmeans_runs",
+    _LLOYD + "select run, cluster::int as cluster, pos::int as pos, round(avg(v), 6) as value, round(any_value(cost), 6) as cost from e2 join k using (run) group by 1, 2, 3",
+)
+def kmeans_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of two runs from given centres, in two passes: the first vectors of the labels, and four vectors."""
+    rows = materialize(embeddings(spark, sf).select("vec_id", "x"), "rows")
+    some = [list(r["x"]) for r in rows.where("vec_id < 4").orderBy("vec_id").collect()]
+    centres, costs, _ = clustering.lloyd_runs(rows, "x", [label_centres(spark, sf), some], 2, tolerance=0.0)
+    out = [
+        (run, cluster, pos, float(value), costs[run])
+        for run, table_ in enumerate(centres)
+        for cluster, centre in enumerate(table_)
+        for pos, value in enumerate(centre)
+    ]
+    made = spark.createDataFrame(out, "run int, cluster int, pos int, value double, cost double")
+    return made.withColumn("value", rounded("value")).withColumn("cost", rounded("cost"))
+
+
+@catalog.query(
+    "mixture_step",
+    """with x as (select l_quantity / 50 as a, l_discount * 10 as b from lineitem),
+    p as (select a, b, 0.4 * exp(-0.5 * (pow(a - 0.3, 2) / 0.05 + pow(b - 0.4, 2) / 0.1)) / (2 * pi() * sqrt(0.05 * 0.1)) as p0,
+      0.6 * exp(-0.5 * (pow(a - 0.7, 2) / 0.08 + pow(b - 0.6, 2) / 0.06)) / (2 * pi() * sqrt(0.08 * 0.06)) as p1 from x),
+    r as (select 0 as c, a, b, p0 / (p0 + p1) as r, ln(p0 + p1) as l from p union all select 1, a, b, p1 / (p0 + p1), ln(p0 + p1) from p),
+    m as (select c, sum(r) / (select count(*) from x) as weight, sum(r) as s, sum(r * a) / sum(r) as ma, sum(r * b) / sum(r) as mb, sum(l) as l from r group by 1)
+    select r.c::int as component, round(any_value(weight), 6) as weight, round(any_value(ma), 6) as mean_0, round(any_value(mb), 6) as mean_1,
+      round(sum(r * (a - ma) * (a - ma)) / any_value(s), 6) as cov_00, round(sum(r * (a - ma) * (b - mb)) / any_value(s), 6) as cov_01,
+      round(sum(r * (b - mb) * (b - mb)) / any_value(s), 6) as cov_11, round(any_value(m.l), 2) as log_likelihood from r join m on m.c = r.c group by 1""",
+)
+def mixture_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One EM step of two components from given parameters."""
+    rows = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"))
+    start = ([0.4, 0.6], [[0.3, 0.4], [0.7, 0.6]], [[[0.05, 0.0], [0.0, 0.1]], [[0.08, 0.0], [0.0, 0.06]]])
+    w, m, s, likelihood = clustering.mixture_step(rows, "x", *start)
+    out = [(c, *map(float, (w[c], *m[c], s[c][0][0], s[c][0][1], s[c][1][1], likelihood))) for c in range(2)]
+    names = ["weight", "mean_0", "mean_1", "cov_00", "cov_01", "cov_11"]
+    made = spark.createDataFrame(out, ", ".join(["component int", *(f"{n} double" for n in [*names, "log_likelihood"])]))
+    return made.select("component", *[rounded(n).alias(n) for n in names], rounded("log_likelihood", 2).alias("log_likelihood"))
+
+
 MEAN = [0.01 * (i % 5) for i in range(64)]
 VARIANCE = [0.5 + 0.01 * i for i in range(64)]
 
@@ -622,6 +677,37 @@ def keyed_random_columns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Mean and variance of the rejection draws.
+REJECTION_MOMENTS = {"gamma_half": (1.0, 2.0), "gamma_seven": (21.0, 63.0), "poisson_800": (800.0, 800.0), "poisson_150": (150.0, 150.0)}
+
+
+@catalog.query(
+    "keyed_rejection_draws",
+    f"select unnest({list(REJECTION_MOMENTS)}) as name, count(*) as n, true as mean_near, true as variance_near from orders",
+)
+def keyed_rejection_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Gamma draws below and above shape 1, and Poisson draws of large means, have their moments."""
+    key = F.col("o_orderkey")
+    columns = {
+        "gamma_half": gen.keyed_gamma(key, 0.5, 2.0),
+        "gamma_seven": gen.keyed_gamma(key, 7.0, 3.0),
+        "poisson_800": gen.keyed_poisson(key, 800.0),
+        "poisson_150": gen.keyed_poisson(key, 150.0, 5),
+    }
+    draws = table(spark, sf, "orders").select(
+        F.inline(F.array(*[F.struct(F.lit(name).alias("name"), c.alias("v")) for name, c in columns.items()]))
+    )
+    pick = lambda i: F.coalesce(*[F.when(F.col("name") == n, F.lit(m[i])) for n, m in REJECTION_MOMENTS.items()])
+    found = draws.groupBy("name").agg(F.count("v").alias("n"), F.avg("v").alias("_m"), F.var_samp("v").alias("_v"))
+    # Six standard errors of the mean.
+    return found.select(
+        "name",
+        "n",
+        (F.abs(F.col("_m") - pick(0)) < 6 * F.sqrt(pick(1) / F.col("n"))).alias("mean_near"),
+        (F.abs(F.col("_v") - pick(1)) < pick(1) * 0.3).alias("variance_near"),
+    )
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 

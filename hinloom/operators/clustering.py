@@ -60,48 +60,91 @@ def assign(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) ->
     return kept.mapInArrow(nearest, f"{fields}, cluster int, sq_distance double")
 
 
-def cluster_sums(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) -> DataFrame:
-    """``(cluster, n, cost, sums)`` of the rows nearest to each centre.
+def run_sums(df: DataFrame, features: str, runs: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
+    """``(run, cluster, n, cost, sums)`` of the rows nearest to each centre of each run, in one pass.
 
     A partition sends one packed table of sums; the rows themselves stay put.
     """
-    grid = np.asarray(centres, dtype=float)
-    k, width = grid.shape
+    grids = [np.asarray(centres, dtype=float) for centres in runs]
+    width = grids[0].shape[1]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, cost, sums = np.zeros(k, dtype="int64"), np.zeros(k), np.zeros((k, width))
+        tables = [np.zeros((len(grid), width + 2)) for grid in grids]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for rows, best, d in _nearest(rows_of(batch, "x"), grid):
-                n += np.bincount(best, minlength=k)
-                cost += np.bincount(best, weights=d, minlength=k)
-                members = np.zeros((len(rows), k))
-                members[np.arange(len(rows)), best] = 1.0
-                sums += members.T @ rows
-        packed = np.hstack([n[:, None].astype(float), cost[:, None], sums])
+            x = rows_of(batch, "x")
+            for grid, table in zip(grids, tables, strict=True):
+                for rows, best, d in _nearest(x, grid):
+                    table[:, 0] += np.bincount(best, minlength=len(grid))
+                    table[:, 1] += np.bincount(best, weights=d, minlength=len(grid))
+                    members = np.zeros((len(rows), len(grid)))
+                    members[np.arange(len(rows)), best] = 1.0
+                    table[:, 2:] += members.T @ rows
+        packed = np.vstack(tables).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([packed.tobytes()], pa.binary())],
+            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([packed], pa.binary())],
             names=["part", "sums"],
         )
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = np.repeat(np.arange(len(grids)), [len(g) for g in grids])
+        cluster = np.concatenate([np.arange(len(g)) for g in grids])
         for batch in batches:
             for data in batch.column("sums"):
-                table = np.frombuffer(data.as_py()).reshape(k, width + 2)
+                table = np.frombuffer(data.as_py()).reshape(-1, width + 2)
                 hit = np.flatnonzero(table[:, 0])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hit.astype("int32")),
+                        pa.array(run[hit], pa.int32()),
+                        pa.array(cluster[hit], pa.int32()),
                         pa.array(table[hit, 0].astype("int64")),
                         pa.array(table[hit, 1]),
                         pa.array(table[hit, 2:].tolist(), pa.list_(pa.float64())),
                     ],
-                    names=["cluster", "n", "cost", "sums"],
+                    names=["run", "cluster", "n", "cost", "sums"],
                 )
 
     parts = df.select(double_array(features).alias("x")).mapInArrow(partial, "part long, sums binary")
-    return added(parts, []).mapInArrow(unpack, "cluster int, n long, cost double, sums array<double>")
+    return added(parts, []).mapInArrow(unpack, "run int, cluster int, n long, cost double, sums array<double>")
+
+
+def cluster_sums(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """``(cluster, n, cost, sums)`` of the rows nearest to each centre."""
+    return run_sums(df, features, [centres]).drop("run")
+
+
+def lloyd_runs(
+    df: DataFrame,
+    features: str,
+    starts: Sequence[Sequence[Sequence[float]]],
+    iterations: int = 20,
+    tolerance: float = 1e-4,
+) -> tuple[list[np.ndarray], list[float], int]:
+    """Centres and costs of Lloyd runs from given centres, and the number of passes over the rows.
+
+    All runs that still move share a pass; a run whose centres all move by no more than ``tolerance`` drops out.  An
+    empty centre keeps its place.  A cost is that of the centres before the run's last step, or of the last pass.
+    """
+    centres = [np.asarray(start, dtype=float) for start in starts]
+    costs = [float("nan")] * len(centres)
+    moving = list(range(len(centres)))
+    passes = 0
+    while moving and passes < iterations:
+        rows = run_sums(df, features, [centres[r] for r in moving]).collect()  # the centres of the runs
+        passes += 1
+        still = []
+        for at, run in enumerate(moving):
+            own = [r for r in rows if r["run"] == at]
+            new = centres[run].copy()
+            for r in own:
+                new[r["cluster"]] = np.array(r["sums"]) / r["n"]
+            costs[run] = sum(r["cost"] for r in own)
+            if ((new - centres[run]) ** 2).sum(1).max() > tolerance * tolerance:
+                still.append(run)
+            centres[run] = new
+        moving = still
+    return centres, costs, passes
 
 
 def lloyd_step(df: DataFrame, features: str, centres: Sequence[Sequence[float]]) -> DataFrame:
@@ -162,6 +205,81 @@ def gaussian_mixture(
     )
 
 
+def mixture_step(
+    df: DataFrame, features: str, weights: Sequence[float], means: Sequence, covariances: Sequence
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One EM step from given parameters: ``(weights, means, covariances)`` after it, and the log likelihood before it.
+
+    A partition sends, packed, each component's sum of shares, and its weighted sums and products of rows less the old
+    mean, so that a small variance far from zero keeps its digits.
+    """
+    w, m = np.asarray(weights, dtype=float), np.asarray(means, dtype=float)
+    k, width = m.shape
+    forms = []
+    for covariance in covariances:
+        values, basis = np.linalg.eigh(np.asarray(covariance, dtype=float))
+        kept = values > np.finfo(float).eps * max(values.max(), 0.0) * width
+        if not kept.any():
+            raise ValueError("a covariance has no non-zero variance")
+        constant = -0.5 * (width * math.log(2 * math.pi) + float(np.log(values[kept]).sum()))
+        forms.append((basis[:, kept] / np.sqrt(values[kept]), constant))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likelihood, shares = 0.0, np.zeros(k)
+        sums, products = np.zeros((k, width)), np.zeros((k, width, width))
+        for batch in batches:
+            step = max(1, _CHUNK_VALUES // max(1, width * k))
+            for start in range(0, batch.num_rows, step):
+                x = rows_of(batch.slice(start, step), "x")
+                logs = np.stack(
+                    [math.log(w[c]) + forms[c][1] - 0.5 * (((x - m[c]) @ forms[c][0]) ** 2).sum(1) for c in range(k)]
+                )
+                top = logs.max(0)
+                total = top + np.log(np.exp(logs - top).sum(0))
+                likelihood += float(total.sum())
+                share = np.exp(logs - total)
+                shares += share.sum(1)
+                for c in range(k):
+                    gap = x - m[c]
+                    sums[c] += share[c] @ gap
+                    products[c] += (gap * share[c][:, None]).T @ gap
+        packed = np.concatenate([[likelihood], shares, sums.ravel(), products.ravel()]).tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([packed], pa.binary())],
+            names=["part", "sums"],
+        )
+
+    parts = df.select(double_array(features).alias("x")).mapInArrow(partial, "part long, sums binary")
+    found = added(parts, []).first()
+    if found is None:
+        return w, m, np.asarray(covariances, dtype=float), 0.0
+    flat = np.frombuffer(found["sums"])
+    shares, sums = flat[1 : k + 1], flat[k + 1 : k + 1 + k * width].reshape(k, width)
+    products = flat[k + 1 + k * width :].reshape(k, width, width)
+    moved = sums / shares[:, None]
+    spread = products / shares[:, None, None] - moved[:, :, None] * moved[:, None, :]
+    return shares / shares.sum(), m + moved, spread, float(flat[0])
+
+
+def fit_mixture(
+    df: DataFrame,
+    features: str,
+    weights: Sequence[float],
+    means: Sequence,
+    covariances: Sequence,
+    tolerance: float = 0.01,
+    iterations: int = 100,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """EM from a start model until the log likelihood gains no more than ``tolerance``; persist or write ``df``."""
+    history: list[float] = []
+    for _ in range(iterations):
+        weights, means, covariances, likelihood = mixture_step(df, features, weights, means, covariances)
+        history.append(likelihood)
+        if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance:
+            break
+    return np.asarray(weights), np.asarray(means), np.asarray(covariances), history
+
+
 def predict_mixture(df: DataFrame, model: GaussianMixtureModel, features: str) -> DataFrame:
     """Add the hard ``cluster`` and the soft ``probabilities``."""
     scored = model.transform(_vectors(df, features))

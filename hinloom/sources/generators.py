@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hinloom.functions import vectors
-from hinloom.operators.trees import poisson_from_uniform
+from hinloom.operators.trees import LARGEST_MEAN, poisson_from_uniform
 
 Generator = Callable[[int], Column]
 
@@ -39,8 +39,91 @@ def log_normal(mean: float, std: float) -> Generator:
 
 
 def poisson(mean: float) -> Generator:
-    """For means up to about 100; larger ones by `random_values`."""
-    return lambda seed: poisson_from_uniform(F.rand(seed), mean).cast("double")
+    """Of any mean; a seed's draws above a mean of 100 are those of its row numbers."""
+    if mean <= LARGEST_MEAN:
+        return lambda seed: poisson_from_uniform(F.rand(seed), mean).cast("double")
+    return lambda seed: keyed_poisson(F.monotonically_increasing_id(), mean, seed)
+
+
+def gamma(shape: float, scale: float = 1.0) -> Generator:
+    return lambda seed: keyed_gamma(F.monotonically_increasing_id(), shape, scale, seed)
+
+
+# Draws a rejection may take; it accepts far more than half of them, so the last one is never reached.
+TRIES = 64
+
+
+def _stream(key: Column, seed: int, place: Column) -> Column:
+    """The uniform number in (0, 1) at a place of a key's own stream."""
+    return (F.pmod(F.xxhash64(key, F.lit(seed), place), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def _first_accepted(key: Column, seed: int, each: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The first accepted draw of a key; ``each`` gives (accepted, value) of two uniform numbers.
+
+    The walk over the stream is a fold that stands still once a draw is accepted.
+    """
+
+    def walk(found: Column, place: Column) -> Column:
+        good, value = each(_stream(key, seed, place * 2), _stream(key, seed, place * 2 + 1))
+        return F.when(found.isNotNull(), found).otherwise(F.when(good, value))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), walk)
+
+
+def keyed_gamma(key: Column, shape: float, scale: float = 1.0, seed: int = 42) -> Column:
+    """Gamma draws of any shape above 0, equal on every attempt for a key.
+
+    A cube of a shifted normal number under a squeeze; a shape below 1 is drawn one higher and scaled down by a power of one
+    more uniform number.
+    """
+    if shape <= 0 or scale <= 0:
+        raise ValueError("shape and scale are above 0")
+    higher = shape if shape >= 1 else shape + 1
+    d = higher - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+
+    def each(u: Column, v: Column) -> tuple[Column, Column]:
+        # A normal number from the first; the second decides.
+        normal = F.sqrt(F.log(u) * -2.0) * F.cos(_stream(key, seed + 1, (u * 1e15).cast("long")) * (2 * math.pi))
+        cube = F.pow(normal * c + 1.0, F.lit(3.0))
+        limit = normal * normal * 0.5 + d - cube * d + F.log(cube) * d
+        return (cube > 0) & (F.log(v) < limit), cube * d
+
+    drawn = _first_accepted(key, seed, each)
+    if shape < 1:
+        drawn = drawn * F.pow(_stream(key, seed + 2, F.lit(0)), F.lit(1 / shape))
+    return drawn * scale
+
+
+def _log_factorial(n: Column) -> Column:
+    """By its series, which is exact to 12 digits from 10 upwards."""
+    x = n + 1.0
+    series = 1.0 / (12.0 * x) - 1.0 / (360.0 * F.pow(x, F.lit(3.0))) + 1.0 / (1260.0 * F.pow(x, F.lit(5.0)))
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+
+
+def keyed_poisson(key: Column, mean: float, seed: int = 42) -> Column:
+    """Poisson draws of any mean, equal on every attempt for a key.
+
+    Small means by the inverse of the distribution; above `trees.LARGEST_MEAN` by rejection from a transformed pair of uniform
+    numbers, whose cost does not grow with the mean.
+    """
+    if mean <= LARGEST_MEAN:
+        return poisson_from_uniform(_stream(key, seed, F.lit(0)), mean).cast("double")
+    root = math.sqrt(mean)
+    b = 0.931 + 2.53 * root
+    a = -0.059 + 0.02483 * b
+    inverse = 1.1239 + 1.1328 / (b - 3.4)
+
+    def each(u: Column, v: Column) -> tuple[Column, Column]:
+        half = u - 0.5
+        us = F.lit(0.5) - F.abs(half)
+        value = F.floor((2 * a / us + b) * half + mean + 0.43).cast("double")
+        bound = value * math.log(mean) - mean - _log_factorial(value)
+        return (value >= 0) & (us > 0) & (F.log(v * inverse / (a / (us * us) + b)) <= bound), value
+
+    return _first_accepted(key, seed, each)
 
 
 def random_column(spark: SparkSession, n: int, generator: Generator, partitions: int | None = None, seed: int = 42) -> DataFrame:

@@ -477,3 +477,52 @@ def test_ranks_of_all_columns_with_ties(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(6)
     got = {(r.i, r.j): r.value for r in statistics.spearman(df, ["a", "b", "c"]).collect()}
     assert got == pytest.approx({k: v for k, v in np.ndenumerate(want)})
+
+
+def test_runs_share_passes_and_drop_out(spark):
+    from hinloom.operators import clustering
+
+    draw = np.random.default_rng(1)
+    x = np.concatenate([draw.normal(size=(50, 3)) + 8 * np.eye(3)[k] for k in range(3)])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(4)
+    starts = [x[[0, 50, 100]], x[[0, 1, 2]], x[[3]]]
+    centres, costs, passes = clustering.lloyd_runs(df, "x", starts, 30, 1e-9)
+    longest = 0
+    for start, found, cost in zip(starts, centres, costs):
+        own, rounds, last = start.copy(), 0, None
+        while last is None or np.abs(own - last).max() > 0:
+            last = own.copy()
+            d = ((x[:, None] - own) ** 2).sum(2)
+            best = d.argmin(1)
+            own = np.array([x[best == c].mean(0) if (best == c).any() else own[c] for c in range(len(own))])
+            rounds += 1
+        assert found == pytest.approx(own) and cost == pytest.approx(d.min(1).sum())
+        longest = max(longest, rounds)
+    assert passes <= longest + 1
+
+
+def test_mixture_from_a_start_model_rises(spark):
+    from hinloom.operators import clustering
+
+    draw = np.random.default_rng(2)
+    x = np.concatenate([draw.normal(size=(200, 2)) * [1, 0.3] + [1e6, 0], draw.normal(size=(100, 2)) + [1e6 + 9, 4]])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    eye = np.eye(2)
+    w, m, s, history = clustering.fit_mixture(df, "x", [0.5, 0.5], [[1e6 + 1, 1], [1e6 + 7, 3]], [eye, eye], 1e-6, 30)
+    assert all(b >= a - 1e-6 for a, b in zip(history, history[1:]))
+    assert w == pytest.approx([2 / 3, 1 / 3], abs=0.02)
+    assert m == pytest.approx(np.array([x[:200].mean(0), x[200:].mean(0)]), abs=0.1)
+    assert s[0] == pytest.approx(np.cov(x[:200].T, bias=True), abs=0.1)
+
+
+def test_rejection_draws_are_the_keys_own(spark):
+    from hinloom.sources import generators
+
+    df = spark.range(3000).select("id", generators.keyed_gamma(F.col("id"), 0.5).alias("g"), generators.keyed_poisson(F.col("id"), 5e6).alias("p"))
+    first = {r.id: (r.g, r.p) for r in df.collect()}
+    again = {r.id: (r.g, r.p) for r in df.repartition(7).collect()}
+    assert first == again and all(g > 0 and p == int(p) for g, p in first.values())
+    p = np.array([v[1] for v in first.values()])
+    assert abs(p.mean() - 5e6) < 6 * (5e6 / 3000) ** 0.5 and abs(p.var() / 5e6 - 1) < 0.2
+    with pytest.raises(ValueError):
+        generators.keyed_gamma(F.col("id"), 0.0)
