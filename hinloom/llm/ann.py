@@ -298,7 +298,8 @@ def nearest(
         numbers = F.col("vector").cast("array<double>")
         # Scaled as `cosine` scales them: vectors of one direction become equal, and with them their scores.
         longest = F.nullif(F.array_max(F.transform(numbers, lambda x: F.abs(x))), F.lit(0.0))
-        scaled = F.transform(numbers, lambda x: x / longest)
+        # Repeated first, so that it is found once per row and not once per component.
+        scaled = F.zip_with(numbers, F.array_repeat(longest, F.size(numbers)), lambda x, m: x / m)
         return table.select("id", scaled.alias("vector")).where(good).distinct()
 
     # One more than k, since the query's own row may be among them.
