@@ -2,9 +2,9 @@
 
 Ranks of all classes sit side by side: ``(m, x, p0 .. p{K-1})`` holds the rank
 of item ``x`` of type ``m`` in each class, and an edge row holds one weight per
-class.  A round is thus one pass over the edges for all classes and relations,
-and a relation is stored in one direction only because its normalised form is
-symmetric.
+class.  A round is thus one pass over the edges for all classes and relations.
+An edge is stored as two arcs, each in a bucket of the end it leaves from, so
+both ends sum over their edges and lend them their ranks without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,16 +12,60 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hinloom.operators.ordering import top_k_per_key
-from hinloom.runtime import discard, materialize
+from hinloom.runtime import broadcast_if_small, by_bucket, discard, materialize, materialize_buckets
 
 # Fixed values of the method: neighbour weight and prior weight.
 LAMBDA = 0.2
 ALPHA = 0.1
 
+# Edges of one end that lie together; a larger end is cut into parts.
+HOT_ARCS = 1 << 20
+
+# Arcs lie in buckets by the end they leave from.
+NEAR = ["lane", "x", "part"]
+_ARC = [*NEAR, "y", "far_part"]
+
+
+@dataclass(frozen=True)
+class Lanes:
+    """Relations with the types of their ends; number ``2 n + side`` is a side of relation ``n``."""
+
+    relations: tuple[tuple, ...]
+    kind: T.DataType
+
+    @staticmethod
+    def of(relations: DataFrame) -> Lanes:
+        # One row per relation of the network's schema.
+        found = relations.select("rel", "i", "j").distinct().collect()
+        return Lanes(tuple(sorted(tuple(r) for r in found)), relations.schema["i"].dataType)
+
+    def lane(self) -> Column:
+        """The lane of side 0 of a row of an edge table."""
+        number = F.lit(None).cast("int")
+        for n, (rel, i, j) in enumerate(self.relations):
+            own = (F.col("rel") == rel) & (F.col("i") == i) & (F.col("j") == j)
+            number = F.when(own, 2 * n).otherwise(number)
+        return number
+
+    def _pick(self, values: list, shift: int = 0) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("lane") + shift + 1).cast("int"))
+
+    def relation(self) -> Column:
+        return self._pick([rel for rel, _, _ in self.relations for _ in range(2)])
+
+    def end_type(self, shift: int = 0) -> Column:
+        """The type of the items at the lane's near end."""
+        types = [m for _, i, j in self.relations for m in (i, j)]
+        return self._pick(types, shift).cast(self.kind)
+
+    def numbers(self, names: Sequence[str]) -> list[int]:
+        return [2 * n + side for n, (rel, _, _) in enumerate(self.relations) if rel in names for side in (0, 1)]
+
 
 @dataclass(frozen=True)
 class State:
@@ -31,9 +75,22 @@ class State:
     types: int
     initial: DataFrame
     ranks: DataFrame
-    relations: DataFrame
+    arcs: DataFrame
+    lanes: Lanes
     round: int = 0
 
+    @property
+    def relations(self) -> DataFrame:
+        """``(rel, i, row, j, col, w0 ..)``: every edge once."""
+        return self.arcs.where(F.col("lane") % 2 == 0).select(
+            self.lanes.relation().alias("rel"),
+            self.lanes.end_type().alias("i"),
+            F.col("x").alias("row"),
+            self.lanes.end_type(1).alias("j"),
+            F.col("y").alias("col"),
+            *_weights(self.classes),
+        )
+
 
 def _p(k: int) -> str:
     return f"p{k}"
@@ -127,37 +184,34 @@ def update_ranks(
     edge feeds both of its ends.
     """
     ends = _with_end_ranks(normalized, ranks, classes)
-    return _combine(
-        ends, [F.col(f"s{k}") for k in range(classes)], initial, classes, types, lam, alpha, lambda_weighted
-    )
-
-
-def _combine(
-    ends: DataFrame,
-    scaled: Sequence[Column],
-    initial: DataFrame,
-    classes: int,
-    types: int,
-    lam: float,
-    alpha: float,
-    lambda_weighted: bool,
-) -> DataFrame:
-    """New ranks from edges that carry both end ranks and their scaled weight."""
     to_row = F.struct(
         F.col("i").alias("m"),
         F.col("row").alias("x"),
-        *[_mass(scaled[k], f"_q{k}").alias(f"_a{k}") for k in range(classes)],
+        *[_mass(F.col(f"s{k}"), f"_q{k}").alias(f"_a{k}") for k in range(classes)],
     )
     to_col = F.struct(
         F.col("j").alias("m"),
         F.col("col").alias("x"),
-        *[_mass(scaled[k], f"_p{k}").alias(f"_a{k}") for k in range(classes)],
+        *[_mass(F.col(f"s{k}"), f"_p{k}").alias(f"_a{k}") for k in range(classes)],
     )
     gathered = (
         ends.select(F.inline(F.array(to_row, to_col)))
         .groupBy("m", "x")
         .agg(*[F.sum(f"_a{k}").alias(f"_a{k}") for k in range(classes)])
     )
+    return _mixed(gathered, initial, classes, types, lam, alpha, lambda_weighted)
+
+
+def _mixed(
+    gathered: DataFrame,
+    initial: DataFrame,
+    classes: int,
+    types: int,
+    lam: float,
+    alpha: float,
+    lambda_weighted: bool,
+) -> DataFrame:
+    """New ranks from the neighbour sums ``(m, x, _a0 ..)`` and the start ranks."""
     factor = lam if lambda_weighted else 1.0
     divisor = types * lam + alpha
     return initial.join(gathered, ["m", "x"], "left").select(
@@ -172,50 +226,6 @@ def _combine(
     )
 
 
-def node_table(relations: DataFrame, ranks: DataFrame, classes: int) -> DataFrame:
-    """Degrees and ranks of every node per relation and end, one row each."""
-    names = [f"w{k}" for k in range(classes)]
-    row_end = F.struct(F.lit(0).alias("_end"), F.col("i").alias("m"), F.col("row").alias("x"))
-    col_end = F.struct(F.lit(1).alias("_end"), F.col("j").alias("m"), F.col("col").alias("x"))
-    degrees = (
-        relations.select("rel", F.inline(F.array(row_end, col_end)), *names)
-        .groupBy("rel", "_end", "m", "x")
-        .agg(*[F.sum(w).alias(f"_d{k}") for k, w in enumerate(names)])
-    )
-    return degrees.join(ranks, ["m", "x"])
-
-
-def normalize_and_update(
-    relations: DataFrame,
-    nodes: DataFrame,
-    initial: DataFrame,
-    classes: int,
-    types: int,
-    lam: float = LAMBDA,
-    alpha: float = ALPHA,
-    lambda_weighted: bool = False,
-) -> DataFrame:
-    """`normalize_relations` and `update_ranks` in one, from a written `node_table`.
-
-    The edges are joined once per end and not once per end and quantity.
-    """
-
-    def end(side: int, key: str, degree: str, rank: str) -> DataFrame:
-        return nodes.where(F.col("_end") == side).select(
-            "rel",
-            F.col("x").alias(key),
-            *[F.col(f"_d{k}").alias(f"{degree}{k}") for k in range(classes)],
-            *[F.col(_p(k)).alias(f"{rank}{k}") for k in range(classes)],
-        )
-
-    ends = relations.join(end(0, "row", "_r", "_p"), ["rel", "row"]).join(
-        end(1, "col", "_c", "_q"), ["rel", "col"]
-    )
-    return _combine(
-        ends, [_scaled(k) for k in range(classes)], initial, classes, types, lam, alpha, lambda_weighted
-    )
-
-
 def _scaled(k: int) -> Column:
     degrees = F.col(f"_r{k}") * F.col(f"_c{k}")
     return F.when(degrees > 0, F.col(f"w{k}") / F.sqrt(degrees)).otherwise(F.lit(0.0))
@@ -237,14 +247,11 @@ def _with_end_ranks(edges: DataFrame, ranks: DataFrame, classes: int) -> DataFra
     return edges.join(at_row, ["i", "row"]).join(at_col, ["j", "col"])
 
 
-def reweight(relations: DataFrame, ranks: DataFrame, classes: int, t: int) -> DataFrame:
-    """``W' = W (sqrt(p_i / max_i * p_j / max_j) + 2^-t)``.
-
-    The ratio is 0 for a class and type whose largest rank is 0.
-    """
+def relative_ranks(ranks: DataFrame, classes: int) -> DataFrame:
+    """Ranks over the largest rank of their type and class; 0 where that is 0."""
     # One row per object type.
     largest = ranks.groupBy("m").agg(*[F.max(_p(k)).alias(f"_max{k}") for k in range(classes)])
-    relative = ranks.join(F.broadcast(largest), "m").select(
+    return ranks.join(F.broadcast(largest), "m").select(
         "m",
         "x",
         *[
@@ -252,6 +259,14 @@ def reweight(relations: DataFrame, ranks: DataFrame, classes: int, t: int) -> Da
             for k in range(classes)
         ],
     )
+
+
+def reweight(relations: DataFrame, ranks: DataFrame, classes: int, t: int) -> DataFrame:
+    """``W' = W (sqrt(p_i / max_i * p_j / max_j) + 2^-t)``.
+
+    The ratio is 0 for a class and type whose largest rank is 0.
+    """
+    relative = relative_ranks(ranks, classes)
     ends = _with_end_ranks(relations, relative, classes)
     floor = 2.0 ** -t
     return ends.select(
@@ -263,10 +278,142 @@ def reweight(relations: DataFrame, ranks: DataFrame, classes: int, t: int) -> Da
     )
 
 
-def start(items: DataFrame, labels: DataFrame, edges: DataFrame, classes: int, types: int) -> State:
+def arc_table(relations: DataFrame, lanes: Lanes, classes: int, cell: int = HOT_ARCS) -> DataFrame:
+    """Both directions of every edge, written in buckets by their near end.
+
+    An arc ``(lane, x, part, y, far_part, w0 ..)`` leads from item ``x`` on a
+    side of a relation to item ``y`` on its other side.  An end with more than
+    ``cell`` edges is cut into parts by a hash of the other end, so no bucket
+    holds a whole hot item.  ``relations`` is read twice: give a written table.
+    """
+    lane = lanes.lane()
+    row_end = F.struct(lane.alias("lane"), F.col("row").alias("x"))
+    col_end = F.struct((lane + 1).alias("lane"), F.col("col").alias("x"))
+    hot = materialize(
+        relations.select(F.inline(F.array(row_end, col_end)))
+        .groupBy("lane", "x")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > cell)
+        .select("lane", "x", F.ceil(F.col("_n") / cell).cast("int").alias("_parts")),
+        "hot-ends",
+    )
+    zero = F.lit(0)
+    cut = relations.select(lane.alias("lane"), "row", "col", zero.alias("_row"), zero.alias("_col"), *_weights(classes))
+    if not hot.isEmpty():
+        known = broadcast_if_small(hot)
+        for side, x, other in ((0, "row", "col"), (1, "col", "row")):
+            own = known.where(F.col("lane") % 2 == side).select(
+                (F.col("lane") - side).alias("lane"), F.col("x").alias(x), "_parts"
+            )
+            place = F.pmod(F.xxhash64(other), F.col("_parts")).cast("int")
+            cut = cut.join(own, ["lane", x], "left").withColumn(f"_{x}", F.coalesce(place, zero)).drop("_parts")
+
+    def arc(side: int, *ends: str) -> Column:
+        return F.struct((F.col("lane") + side).alias("lane"), *[F.col(e).alias(n) for e, n in zip(ends, _ARC[1:])])
+
+    both = F.array(arc(0, "row", "_row", "col", "_col"), arc(1, "col", "_col", "row", "_row"))
+    written = materialize_buckets(cut.select(F.inline(both), *_weights(classes)), NEAR, "arcs")
+    discard(hot)
+    return written
+
+
+def _weights(classes: int) -> list[str]:
+    return [f"w{k}" for k in range(classes)]
+
+
+def end_table(arcs: DataFrame, lanes: Lanes, ranks: DataFrame, classes: int) -> DataFrame:
+    """Degrees and ranks at every part of every end: ``(lane, x, part, m, d0 .., p0 ..)``.
+
+    Sums per part come from the buckets as they lie; only these move.
+    """
+    whole = Window.partitionBy(*NEAR[:-1])
+    sums = arcs.groupBy(*NEAR).agg(*[F.sum(w).alias(w) for w in _weights(classes)])
+    degrees = sums.select(*NEAR, lanes.end_type().alias("m"), *[F.sum(f"w{k}").over(whole).alias(f"d{k}") for k in range(classes)])
+    return degrees.join(ranks, ["m", "x"])
+
+
+def pass_ranks(
+    arcs: DataFrame,
+    ends: DataFrame,
+    initial: DataFrame,
+    classes: int,
+    types: int,
+    lam: float = LAMBDA,
+    alpha: float = ALPHA,
+    lambda_weighted: bool = False,
+) -> DataFrame:
+    """`normalize_relations` and `update_ranks` over arcs and a written `end_table`.
+
+    ``W[i,j] / sqrt(d[i] d[j])`` splits into a factor of each end: an arc
+    takes that of its near end where it lies, and the far one is taken once
+    per sum that arrives there.
+    """
+
+    def factor(k: int) -> Column:
+        return F.when(F.col(f"d{k}") > 0, 1.0 / F.sqrt(F.col(f"d{k}"))).otherwise(F.lit(0.0))
+
+    sent = ends.select(
+        *NEAR, *[_mass(factor(k), _p(k)).alias(f"_s{k}") for k in range(classes)]
+    )
+    taken = ends.select(*NEAR, "m", *[factor(k).alias(f"_f{k}") for k in range(classes)])
+    arrived = (
+        arcs.join(sent, NEAR)
+        .groupBy(*_far())
+        .agg(*[F.sum(F.col(f"w{k}") * F.col(f"_s{k}")).alias(f"_a{k}") for k in range(classes)])
+    )
+    gathered = (
+        arrived.join(taken, NEAR)
+        .groupBy("m", "x")
+        .agg(*[F.sum(F.col(f"_a{k}") * F.col(f"_f{k}")).alias(f"_a{k}") for k in range(classes)])
+    )
+    return _mixed(gathered, initial, classes, types, lam, alpha, lambda_weighted)
+
+
+def _far() -> list[Column]:
+    """The near key of the same edge's other arc."""
+    return [
+        F.col("lane").bitwiseXOR(F.lit(1)).alias("lane"),
+        F.col("y").alias("x"),
+        F.col("far_part").alias("part"),
+    ]
+
+
+def reweight_arcs(arcs: DataFrame, ends: DataFrame, ranks: DataFrame, classes: int, t: int) -> DataFrame:
+    """`reweight` over arcs, not yet written.
+
+    An arc takes the rank of its near end where it lies, is turned round and
+    moved once to its other end, and lies there as the arc of that end.
+    """
+    relative = relative_ranks(ranks, classes)
+    at_end = ends.select(*NEAR, "m").join(relative, ["m", "x"])
+    near = at_end.select(*NEAR, *[F.col(_p(k)).alias(f"_p{k}") for k in range(classes)])
+    far = at_end.select(*NEAR, *[F.col(_p(k)).alias(f"_q{k}") for k in range(classes)])
+    turned = arcs.join(near, NEAR).select(
+        *_far(),
+        F.col("x").alias("y"),
+        F.col("part").alias("far_part"),
+        *_weights(classes),
+        *[f"_p{k}" for k in range(classes)],
+    )
+    floor = 2.0 ** -t
+    return by_bucket(turned, NEAR).join(far, NEAR).select(
+        *_ARC,
+        *[
+            (F.col(f"w{k}") * (F.sqrt(F.col(f"_p{k}") * F.col(f"_q{k}")) + floor)).alias(f"w{k}")
+            for k in range(classes)
+        ],
+    )
+
+
+def start(
+    items: DataFrame, labels: DataFrame, edges: DataFrame, classes: int, types: int, cell: int = HOT_ARCS
+) -> State:
     first = materialize(initial_ranks(items, labels, classes), "ranks")
     relations = materialize(relation_table(edges, classes), "relations")
-    return State(classes, types, first, first, relations)
+    lanes = Lanes.of(relations)
+    arcs = arc_table(relations, lanes, classes, cell)
+    discard(relations)
+    return State(classes, types, first, first, arcs, lanes)
 
 
 def step(
@@ -279,26 +426,24 @@ def step(
 ) -> State:
     """One round: ranks from the normalised relations, then new weights.
 
-    Both results are written, so the plan of a later round does not grow.
-    ``only_relations`` limits the rank update (not the re-weighting).  Without ``reweighted`` the weights stay those
-    the ranks come from, which is all a last round needs.
+    Arcs are read from their buckets and moved once, for new weights; all
+    else that moves is sums and ranks of items.  Both results are written, so
+    the plan of a later round does not grow.  ``only_relations`` limits the
+    rank update (not the re-weighting).  Without ``reweighted`` the weights
+    stay those the ranks come from, which is all a last round needs.
     """
     t = state.round + 1
-    relations = state.relations
-    if only_relations is not None:
-        relations = relations.where(F.col("rel").isin(list(only_relations)))
-    nodes = materialize(node_table(relations, state.ranks, state.classes), "nodes")
+    arcs = state.arcs
+    ends = materialize(end_table(arcs, state.lanes, state.ranks, state.classes), "ends")
+    used = arcs if only_relations is None else arcs.where(F.col("lane").isin(state.lanes.numbers(only_relations)))
     ranks = materialize(
-        normalize_and_update(
-            relations, nodes, state.initial, state.classes, state.types, lam, alpha, lambda_weighted
-        ),
-        "ranks",
+        pass_ranks(used, ends, state.initial, state.classes, state.types, lam, alpha, lambda_weighted), "ranks"
     )
-    discard(nodes)
-    if not reweighted:
-        return replace(state, ranks=ranks, round=t)
-    weights = materialize(reweight(state.relations, ranks, state.classes, t), "relations")
-    return replace(state, ranks=ranks, relations=weights, round=t)
+    if reweighted:
+        new = reweight_arcs(arcs, ends, ranks, state.classes, t)
+        arcs = materialize_buckets(new, NEAR, "arcs", placed=True)
+    discard(ends)
+    return replace(state, ranks=ranks, arcs=arcs, round=t)
 
 
 def run(
@@ -324,8 +469,8 @@ def run(
         only = [first_relation] if first_relation and t == 1 else None
         before = state
         state = step(state, only_relations=only, reweighted=t < rounds or last_weights, **options)
-        if state.relations is not before.relations:
-            discard(before.relations)
+        if state.arcs is not before.arcs:
+            discard(before.arcs)
         if before.ranks is not before.initial:
             discard(before.ranks)
     return state

@@ -62,10 +62,16 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _open_blocks.remove(written)
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for name in written:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(hadoop).delete(path, True)
+            _delete(spark, name)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    name = folder.rsplit("/", 1)[1]
+    if name.startswith(_BUCKETS):
+        spark.sql(f"drop table if exists {_table(name)}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -82,18 +88,48 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Bucketed steps are external tables of the session's catalog, named like their folder.
+_BUCKETS = "buckets-"
+
+
+def _table(folder: str) -> str:
+    return "hinloom_" + folder.replace("-", "_")
+
+
+def by_bucket(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Move rows to where the buckets of `materialize_buckets` lie."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def materialize_buckets(df: DataFrame, keys: Sequence[str], label: str = "step", placed: bool = False) -> DataFrame:
+    """`materialize` in one bucket per shuffle partition, by ``keys``.
+
+    Aggregates by ``keys`` and joins on all of them read the table without a
+    shuffle.  ``placed`` says that `by_bucket` has moved the rows already.
+    Keep ``spark.sql.shuffle.partitions`` for as long as the table is in use,
+    or joins move it again.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, _BUCKETS + label)
+    if _open_blocks:
+        _open_blocks[-1].append(path)
+    name = _table(path.rsplit("/", 1)[1])
+    rows = df if placed else by_bucket(df, keys)
+    rows.write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table `materialize` wrote, and only those."""
     spark = df.sparkSession
     root = f"{working_dir(spark)}/hinloom/"
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     folders = set()
     for name in df.inputFiles():
         if root.lstrip("/") in name:
             folders.add(name.rsplit("/", 1)[0])
     for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, folder)
 
 
 def fits(df: DataFrame, rows: int) -> bool:

@@ -74,7 +74,9 @@ def save_rank_state(state, path: str) -> None:
 
 
 def load_rank_state(spark: SparkSession, path: str):
-    from hinloom.plans.rankclass import State
+    from hinloom.plans.rankclass import Lanes, State, arc_table
 
     tables, p = load_tables(spark, path, "rankclass")
-    return State(p["classes"], p["types"], tables["initial"], tables["ranks"], tables["relations"], p["round"])
+    lanes = Lanes.of(tables["relations"])
+    arcs = arc_table(tables["relations"], lanes, p["classes"])
+    return State(p["classes"], p["types"], tables["initial"], tables["ranks"], arcs, lanes, p["round"])

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hinloom import runtime
 from hinloom.operators import matrix
 from hinloom.plans import affinity, hin, pathsim, rankclass
 from hinloom.sources import models
@@ -99,21 +100,90 @@ def test_rank_update_by_hand(spark):
     assert weighted == pytest.approx((0.2 * 0.5 * 0.4 + 0.1) / 0.9)
 
 
-def test_one_pass_equals_normalize_then_update(spark):
-    rng = random.Random(9)
+def random_network(spark, seed):
+    """Two relations over types 0 and 1; item 0 of type 0 is an end of a third of all edges."""
+    rng = random.Random(seed)
+    near = lambda n: 0 if rng.random() < 0.33 else rng.randrange(n)
     edges = spark.createDataFrame(
-        [("r", 0, rng.randrange(9), 1, rng.randrange(7), 1.0) for _ in range(60)]
-        + [("s", 0, rng.randrange(9), 0, rng.randrange(9), 2.0) for _ in range(30)],
+        [("r", 0, near(9), 1, rng.randrange(40), 1.0) for _ in range(120)]
+        + [("s", 0, near(9), 0, rng.randrange(9), 2.0) for _ in range(30)],
         "rel string, i int, row long, j int, col long, w double",
     )
-    relations = rankclass.relation_table(edges, 2)
-    items = [(0, x) for x in range(9)] + [(1, x) for x in range(7)]
+    items = [(0, x) for x in range(9)] + [(1, x) for x in range(40)]
     ranks = spark.createDataFrame([(m, x, rng.random(), 0.0) for m, x in items], "m int, x long, p0 double, p1 double")
-    key = lambda df: {(r["m"], r["x"]): (r["p0"], r["p1"]) for r in df.collect()}
-    two = key(rankclass.update_ranks(rankclass.normalize_relations(relations, 2), ranks, ranks, 2, 4))
-    nodes = rankclass.node_table(relations, ranks, 2)
-    one = key(rankclass.normalize_and_update(relations, nodes, ranks, 2, 4))
-    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in two)
+    return runtime.materialize(rankclass.relation_table(edges, 2), "edges"), ranks
+
+
+def state_of(relations, ranks, cell):
+    lanes = rankclass.Lanes.of(relations)
+    return rankclass.State(2, 2, ranks, ranks, rankclass.arc_table(relations, lanes, 2, cell), lanes)
+
+
+def by_key(df, n):
+    return {tuple(r)[:n]: tuple(r)[n:] for r in df.collect()}
+
+
+@pytest.mark.parametrize("cell", [5, 1 << 20])
+def test_a_round_on_arcs_equals_a_round_on_edges(spark, cell):
+    relations, ranks = random_network(spark, 9)
+    state = state_of(relations, ranks, cell)
+    assert state.arcs.count() == 2 * relations.count()
+    largest = state.arcs.groupBy(*rankclass.NEAR).count().agg(F.max("count")).first()[0]
+    assert (state.arcs.agg(F.max("part")).first()[0] > 0) == (cell == 5) and (cell > 5 or largest < 4 * cell)
+    for _ in range(2):
+        want = rankclass.update_ranks(rankclass.normalize_relations(relations, 2), state.ranks, ranks, 2, 2)
+        weights = rankclass.reweight(relations, want, 2, state.round + 1)
+        state = rankclass.step(state)
+        for got, wanted, n in ((state.ranks, want, 2), (state.relations, weights, 5)):
+            got, wanted = by_key(got, n), by_key(wanted, n)
+            assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k]) for k in wanted)
+        relations = runtime.materialize(weights, "weights")
+
+
+def test_one_relation_updates_ranks_and_all_get_new_weights(spark):
+    relations, ranks = random_network(spark, 4)
+    state = rankclass.step(state_of(relations, ranks, 7), only_relations=["s"])
+    only = rankclass.normalize_relations(relations.where("rel = 's'"), 2)
+    want = by_key(rankclass.update_ranks(only, ranks, ranks, 2, 2), 2)
+    got = by_key(state.ranks, 2)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {r["rel"] for r in state.relations.select("rel").distinct().collect()} == {"r", "s"}
+
+
+def test_arcs_move_once_in_a_round(spark):
+    """Join by shuffle: arcs lie still for degrees and ranks, and move once for new weights."""
+    relations, ranks = random_network(spark, 2)
+    state = state_of(relations, ranks, 1 << 20)
+    arcs = state.arcs
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        ends = rankclass.end_table(arcs, state.lanes, ranks, 2)
+        written = runtime.materialize(ends, "ends")
+        passed = rankclass.pass_ranks(arcs, written, ranks, 2, 2)
+        weighed = rankclass.reweight_arcs(arcs, written, ranks, 2, 1)
+        plans = [plan(df) for df in (ends, passed, weighed)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    for text in plans:
+        lines = text.splitlines()
+        at = next(n for n, line in enumerate(lines) if "FileScan" in line and "buckets_arcs" in line)
+        first = next(line for line in reversed(lines[:at]) if any(w in line for w in ("Join", "Aggregate", "Exchange")))
+        assert "Exchange" not in first
+    # `passed` moves sums per end, made where the arcs lie; `weighed` the arcs themselves, to where they are written.
+    assert [text.count("REPARTITION_BY_NUM") for text in plans] == [0, 0, 1]
+    assert plans[1].count("Exchange") == 5
+
+
+def test_bucketed_step_is_dropped_with_its_files(spark):
+    kept = runtime.materialize_buckets(spark.range(50), ["id"], "x")
+    name = runtime._table(kept.inputFiles()[0].rsplit("/", 2)[1])
+    assert kept.count() == 50 and spark.catalog.tableExists(name)
+    plan = kept.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    runtime.discard(kept)
+    assert not spark.catalog.tableExists(name)
 
 
 def test_reweight_by_hand(spark):
