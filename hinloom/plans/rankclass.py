@@ -278,19 +278,23 @@ def reweight(relations: DataFrame, ranks: DataFrame, classes: int, t: int) -> Da
     )
 
 
-def arc_table(relations: DataFrame, lanes: Lanes, classes: int, cell: int = HOT_ARCS) -> DataFrame:
+def arc_table(
+    relations: DataFrame, lanes: Lanes, classes: int, cell: int = HOT_ARCS, edges: DataFrame | None = None
+) -> DataFrame:
     """Both directions of every edge, written in buckets by their near end.
 
     An arc ``(lane, x, part, y, far_part, w0 ..)`` leads from item ``x`` on a
     side of a relation to item ``y`` on its other side.  An end with more than
     ``cell`` edges is cut into parts by a hash of the other end, so no bucket
-    holds a whole hot item.  ``relations`` is read twice: give a written table.
+    holds a whole hot item.  ``edges`` are what ``relations`` adds up; its rows
+    are counted in their place, which bounds theirs.
     """
     lane = lanes.lane()
     row_end = F.struct(lane.alias("lane"), F.col("row").alias("x"))
     col_end = F.struct((lane + 1).alias("lane"), F.col("col").alias("x"))
     hot = materialize(
-        relations.select(F.inline(F.array(row_end, col_end)))
+        (relations if edges is None else edges)
+        .select(F.inline(F.array(row_end, col_end)))
         .groupBy("lane", "x")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > cell)
@@ -408,11 +412,10 @@ def reweight_arcs(arcs: DataFrame, ends: DataFrame, ranks: DataFrame, classes: i
 def start(
     items: DataFrame, labels: DataFrame, edges: DataFrame, classes: int, types: int, cell: int = HOT_ARCS
 ) -> State:
+    """Start ranks and arcs.  ``edges`` is read three times: give a table or a short lineage."""
     first = materialize(initial_ranks(items, labels, classes), "ranks")
-    relations = materialize(relation_table(edges, classes), "relations")
-    lanes = Lanes.of(relations)
-    arcs = arc_table(relations, lanes, classes, cell)
-    discard(relations)
+    lanes = Lanes.of(edges)
+    arcs = arc_table(relation_table(edges, classes), lanes, classes, cell, edges)
     return State(classes, types, first, first, arcs, lanes)
 
 
