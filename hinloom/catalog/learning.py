@@ -83,7 +83,32 @@ def sequential_patterns(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         "o_custkey", "o_orderdate", F.concat(F.substring("o_orderpriority", 1, 1), "o_orderstatus").alias("x")
     )
-    found = mining.sequential_patterns(orders, "o_custkey", "o_orderdate", "x", 0.1)
+    return pattern_text(mining.sequential_patterns(orders, "o_custkey", "o_orderdate", "x", 0.1))
+
+
+def _pattern_sql(length: int) -> str:
+    """Every pattern of up to ``length`` items with the positions where it can end, one item more per level."""
+    levels = ["l1 as (select '<' || x as pattern, x as last, s, t from e)"]
+    for k in range(2, length + 1):
+        levels.append(
+            f"l{k} as (select distinct pattern || '><' || x as pattern, x as last, l.s, e.t from l{k - 1} l join e on l.s = e.s and e.t > l.t"
+            f" union all select distinct pattern || ',' || x, x, l.s, e.t from l{k - 1} l join e on l.s = e.s and e.t = l.t and x > last)"
+        )
+    every = " union all ".join(f"select pattern, count(distinct s) as freq from l{k} group by 1" for k in range(1, length + 1))
+    return f"""with e as (select distinct o_custkey as s, year(o_orderdate) * 4 + quarter(o_orderdate) as t, o_orderstatus as x from orders),
+    need as (select ceil(0.02 * count(distinct s)) as n from e), {", ".join(levels)}, p as ({every})
+    select pattern || '>' as pattern, freq from p where freq >= (select n from need)"""
+
+
+@catalog.query("sequential_patterns_long", _pattern_sql(4))
+def sequential_patterns_long(spark: SparkSession, sf: str) -> DataFrame:
+    """States of a customer's orders over quarters of years, up to four items."""
+    quarter = F.year("o_orderdate") * 4 + F.quarter("o_orderdate")
+    orders = table(spark, sf, "orders").select("o_custkey", quarter.alias("t"), F.col("o_orderstatus").alias("x"))
+    return pattern_text(mining.sequential_patterns(orders, "o_custkey", "t", "x", 0.02, 4))
+
+
+def pattern_text(found: DataFrame) -> DataFrame:
     text = F.concat_ws("", F.transform("pattern", lambda e: F.concat(F.lit("<"), F.array_join(e, ","), F.lit(">"))))
     return found.select(text.alias("pattern"), "freq")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hinloom.catalog import learning
 from hinloom.functions.losses import LOSSES
 from hinloom.operators import bayes, clustering, evaluation, linear, mining, recommend, trees
+from hinloom.runtime import materialize
 from hinloom.sources import generators as gen
 from hinloom.sources import models
 
@@ -20,13 +21,13 @@ def sequences(spark, rows):
     return spark.createDataFrame(flat, "s long, p long, x string")
 
 
-@pytest.mark.parametrize("support, length", [(0.5, 5), (0.25, 4)])
-def test_sequential_patterns_match_the_built_in_miner(spark, support, length):
+@pytest.mark.parametrize("support, length, local_rows", [(0.5, 5, 0), (0.25, 4, 0), (0.25, 4, 30), (0.25, 10, 100_000), (0.25, 1, 30)])
+def test_sequential_patterns_match_the_built_in_miner(spark, support, length, local_rows):
     rng = random.Random(11)
     rows = [[rng.sample("abcde", rng.randint(1, 3)) for _ in range(rng.randint(1, 4))] for _ in range(12)]
     ours = {
         (tuple(map(tuple, r["pattern"])), r["freq"])
-        for r in mining.sequential_patterns(sequences(spark, rows), "s", "p", "x", support, length).collect()
+        for r in mining.sequential_patterns(sequences(spark, rows), "s", "p", "x", support, length, local_rows).collect()
     }
     table = spark.createDataFrame([([sorted(e) for e in r],) for r in rows], "sequence array<array<string>>")
     miner = PrefixSpan(minSupport=support, maxPatternLength=length)
@@ -34,7 +35,33 @@ def test_sequential_patterns_match_the_built_in_miner(spark, support, length):
         (tuple(tuple(sorted(e)) for e in r["sequence"]), r["freq"])
         for r in miner.findFrequentSequentialPatterns(table).collect()
     }
-    assert ours == theirs and len(ours) > 5
+    assert ours == theirs and len(ours) > 4
+
+
+def test_patterns_of_numbers_with_nulls_and_repeats(spark):
+    rows = [(1, 1, 7), (1, 1, 7), (1, 2, 8), (2, 5, 7), (2, 6, 8), (2, 6, 9), (3, None, 7), (None, 1, 7), (4, 1, None)]
+    events = spark.createDataFrame(rows, "s long, p int, x int")
+    for local_rows in (0, 1000):
+        got = mining.sequential_patterns(events, "s", "p", "x", 1.0, 3, local_rows)
+        assert {(str(r["pattern"]), r["freq"]) for r in got.collect()} == {("[[7]]", 2), ("[[8]]", 2), ("[[7], [8]]", 2)}
+    empty = mining.sequential_patterns(events.limit(0), "s", "p", "x")
+    assert empty.isEmpty()
+
+
+def test_only_positions_of_frequent_patterns_are_written(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [[["a"], ["b"]] + [[rng.choice("cdefghij")] for _ in range(6)] for _ in range(40)]
+    counts = {}
+
+    def noted(df, label="step"):
+        written = materialize(df, label)
+        counts.setdefault(label, []).append(written.count())
+        return written
+
+    monkeypatch.setattr(mining, "materialize", noted)
+    found = {str(r["pattern"]): r["freq"] for r in mining.sequential_patterns(sequences(spark, rows), "s", "p", "x", 0.9, 3, 0).collect()}
+    assert found == {"[['a']]": 40, "[['b']]": 40, "[['a'], ['b']]": 40}
+    assert counts["patterns"] == [40] and counts["support"] == [1, 0]
 
 
 def test_the_query_mines_more_than_two_items(spark, tmp_path):
