@@ -6,7 +6,7 @@ import importlib
 
 from hinloom.catalog.base import Run
 
-_AREAS = ["network", "algebra", "vectors", "quality", "learning", "sparse"]
+_AREAS = ["network", "algebra", "vectors", "quality", "learning", "sparse", "topics"]
 
 
 def _catalogs():
