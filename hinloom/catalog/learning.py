@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -380,6 +382,67 @@ def bagging_weights(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _stump_sql(label: str) -> str:
+    """The split of least squared error over three measures of lines, and its two means."""
+    measures = {"a": "l_quantity", "b": "l_discount * 100", "c": "l_linenumber"}
+    cells = " union all ".join(
+        f"select '{f}' as f, ({x})::double as x, count(*)::double as n, sum(y) as s from l group by 1, 2" for f, x in measures.items()
+    )
+    return f"""with l as (select *, {label} as y from lineitem), b as ({cells}),
+    r as (select f, x, sum(n) over w as nl, sum(s) over w as sl, sum(n) over (partition by f) as nt, sum(s) over (partition by f) as st
+      from b window w as (partition by f order by x)),
+    m as (select * from r where nt > nl order by sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) desc limit 1) """
+
+
+@catalog.query(
+    "tree_stumps",
+    _stump_sql("l_extendedprice / 1000")
+    + """, p as (select sl / nl as prediction, nl as n from m union all select (st - sl) / (nt - nl), nt - nl from m)
+    select unnest(['tree', 'boosted']) as model, round(prediction, 6) as prediction, n::bigint as n from p""",
+)
+def tree_stumps(spark: SparkSession, sf: str) -> DataFrame:
+    """One level of the models that see every row once, with a bin per value: the best split and its means.
+
+    A forest draws its rows even for one tree, so its means are others; `class_stumps` has it.
+    """
+    rows = table(spark, sf, "lineitem").select(
+        F.array("l_quantity", F.col("l_discount") * 100, F.col("l_linenumber").cast("double")).alias("features"),
+        (F.col("l_extendedprice") / 1000).alias("label"),
+    )
+    fitted = {
+        "tree": trees.tree_regressor(rows, "features", "label", depth=1, bins=64),
+        "boosted": trees.boosted_regressor(rows, "features", "label", iterations=1, depth=1, bins=64),
+    }
+    scored = [trees.predict(model, rows, "features").select(F.lit(name).alias("model"), rounded("prediction").alias("prediction")) for name, model in fitted.items()]
+    return reduce(DataFrame.unionByName, scored).groupBy("model", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@catalog.query(
+    "class_stumps",
+    _stump_sql("case when l_quantity > 25 and l_linenumber < 6 then 1.0::double else 0.0::double end")
+    + """, side as (select y, case when case f when 'a' then l_quantity when 'b' then l_discount * 100 else l_linenumber end <= x
+        then sl / nl else (st - sl) / (nt - nl) end > 0.5 as over from l, m)
+    select unnest(['tree', 'forest', 'boosted']) as model, y as label, case when over then 1.0::double else 0.0::double end as prediction,
+      count(*) as n from side group by 2, 3""",
+)
+def class_stumps(spark: SparkSession, sf: str) -> DataFrame:
+    """One level of every classifier, with a bin per value: for two classes all share the best split.
+
+    It beats the next ones by so much that the rows a forest draws do not change it.
+    """
+    rows = table(spark, sf, "lineitem").select(
+        F.array("l_quantity", F.col("l_discount") * 100, F.col("l_linenumber").cast("double")).alias("features"),
+        F.when((F.col("l_quantity") > 25) & (F.col("l_linenumber") < 6), 1.0).otherwise(0.0).alias("label"),
+    )
+    fitted = {
+        "tree": trees.tree_classifier(rows, "features", "label", depth=1, bins=64),
+        "forest": trees.forest_classifier(rows, "features", "label", trees=1, depth=1, bins=64),
+        "boosted": trees.boosted_classifier(rows, "features", "label", iterations=1, depth=1, bins=64),
+    }
+    scored = [trees.predict(model, rows, "features").select(F.lit(name).alias("model"), "label", "prediction") for name, model in fitted.items()]
+    return reduce(DataFrame.unionByName, scored).groupBy("model", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 @catalog.query("tree_models")
 def tree_models(spark: SparkSession, sf: str) -> DataFrame:
     """Squared error of every tree model of the line price."""
