@@ -800,8 +800,13 @@ def keyed_rejection_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The file of one table as a stream."""
+    """One table, a file or a folder of them, as a stream."""
+    path = f"{sf}/{name}.parquet"
     schema = table(spark, sf, name).schema
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    # A stream reads folders only.
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 

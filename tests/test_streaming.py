@@ -137,3 +137,14 @@ def test_logistic_learns_the_sign(spark, tmp_path):
     assert model.weights()[1] > 0.1
     assert model.predict(rows).where("prediction <> label").count() == 0
     assert not math.isnan(model.weights()[0])
+
+
+def test_queries_stream_a_table_of_many_files(spark, tmp_path):
+    from hinloom.catalog.learning import streaming_kmeans_batch, streaming_kmeans_predict, streaming_linear
+
+    given = "/root/testdata/sf0.001"
+    for name in ("embeddings", "lineitem"):
+        spark.read.parquet(f"{given}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in (streaming_kmeans_predict, streaming_kmeans_batch, streaming_linear):
+        one, many = ([tuple(r) for r in query(spark, sf).collect()] for sf in (given, str(tmp_path)))
+        assert one and sorted(one) == sorted(many)
