@@ -47,6 +47,26 @@ def test_both_forms_agree_and_hot_keys_change_nothing(spark):
     assert plain == pytest.approx(brute)
 
 
+@pytest.mark.parametrize("cell", [None, 5])
+def test_products_by_blocks_move_lists(spark, monkeypatch, cell):
+    rng = random.Random(5)
+    edges = {(rng.randrange(60), 0 if rng.random() < 0.3 else rng.randrange(40)) for _ in range(300)}
+    w = spark.createDataFrame([(i, k, float(1 + (i + k) % 3), i * 1.0) for i, k in edges], "i long, _k long, value double, d double")
+    w = runtime.materialize(w)
+    odd, even = w.where("i % 2 = 1"), w.where("i % 2 = 0")
+    found = lambda df: {(r.i, r.j): (r.value, r.di, r.dj) for r in df.collect()}
+    plain = [found(matrix.row_products(*sides, cell=cell, ends=["d"])) for sides in ((w,), (odd, even))]
+    monkeypatch.setattr(matrix, "BLOCK_PRODUCTS", 50)
+    for sides, want in zip(((w,), (odd, even)), plain, strict=True):
+        by_blocks = matrix.row_products(*sides, cell=cell, ends=["d"])
+        rows = by_blocks.collect()
+        assert len(rows) == len(want) and {(r.i, r.j): (r.value, r.di, r.dj) for r in rows} == want
+        if cell is None:
+            plan = by_blocks._jdf.queryExecution().executedPlan().toString()
+            after_lists = plan[: plan.index("REPARTITION_BY_NUM")]
+            assert "hashpartitioning(i" not in after_lists and "SortMergeJoin" not in after_lists
+
+
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_top_k_with_a_third_of_equal_rows(spark, k):
     """120 rows hang on one middle node only, others share a few patterns."""
