@@ -5,6 +5,7 @@ Factors are tables ``(id, factors array<double>)`` of one length.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,32 +73,43 @@ def factor_row(factors: DataFrame, key: object) -> list[float]:
     return list(row["factors"])
 
 
+# Rows of factors one task holds of either side, in values.
+STRIPE_VALUES = 4_000_000
+
+
 def recommend_all(users: DataFrame, items: DataFrame, n: int, block: int = 4096) -> DataFrame:
     """Top ``n`` items of every user: ``(user, item, score, rank)``.
 
-    Both tables are packed into blocks of about ``block`` rows by a hash of
-    the id.  Each pair of blocks is one row of an equi join, scored by one
-    matrix product that passes on ``n`` items per user; a second top ``n``
-    merges the blocks.  No table is broadcast or gathered.
+    Both tables are packed into stripes of about `STRIPE_VALUES` values, of at least ``block`` rows, by a hash of the
+    id; a row is copied once per stripe of the other side.  Each pair of stripes is one row of an equi join, scored in
+    products of ``block`` rows by ``block`` that keep the ``n`` best items per user so far; a second top ``n`` merges
+    the stripes.  No table is broadcast or gathered.
     """
-    user_blocks = max(1, -(-users.count() // block))
-    item_blocks = max(1, -(-items.count() // block))
+    spark = users.sparkSession
+    widths, tasks = [], spark.sparkContext.defaultParallelism
+    for df in (users, items):
+        count, width = df.agg(F.count(F.lit(1)), F.max(F.size("factors"))).first()
+        blocks, held = -(-count // block), -(-count * max(1, width or 1) // STRIPE_VALUES)
+        # Stripes enough to keep all cores busy where there are blocks enough.
+        widths.append(max(1, held, min(blocks, math.ceil(math.sqrt(4 * tasks)))))
+    user_stripes, item_stripes = widths
 
     def packed(df: DataFrame, own: str, count: int, other: str, other_count: int, prefix: str) -> DataFrame:
-        # About `block` rows per group.
-        tiles = df.select("id", "factors", F.pmod(F.xxhash64("id"), F.lit(count)).alias(own)).groupBy(own).agg(
+        stripes = df.select("id", "factors", F.pmod(F.xxhash64("id"), F.lit(count)).alias(own)).groupBy(own).agg(
             F.collect_list(F.struct("id", "factors")).alias("_rows")
         )
-        return tiles.select(
+        return stripes.select(
             own,
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_count - 1).cast("long"))).alias(other),
             F.col("_rows.id").alias(f"{prefix}_ids"),
             F.flatten(F.col("_rows.factors")).alias(f"{prefix}_flat"),
         )
 
-    pairs = packed(users, "_ub", user_blocks, "_ib", item_blocks, "u").join(
-        packed(items, "_ib", item_blocks, "_ub", user_blocks, "i"), ["_ub", "_ib"]
+    pairs = packed(users, "_us", user_stripes, "_is", item_stripes, "u").join(
+        packed(items, "_is", item_stripes, "_us", user_stripes, "i"), ["_us", "_is"]
     )
+    # Stripes are few and large: a task takes few pairs, whatever their bytes.
+    pairs = pairs.repartition(user_stripes * item_stripes, "_us", "_is")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,17 +118,39 @@ def recommend_all(users: DataFrame, items: DataFrame, n: int, block: int = 4096)
                 u_ids, i_ids = column("u_ids"), column("i_ids")
                 u = column("u_flat").reshape(len(u_ids), -1)
                 i = column("i_flat").reshape(len(i_ids), -1)
-                scores = u @ i.T
-                order = np.lexsort((np.broadcast_to(i_ids, scores.shape), -scores), axis=1)[:, :n]
-                picked = np.take_along_axis(scores, order, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(u_ids, order.shape[1])),
-                        pa.array(i_ids[order].ravel()),
-                        pa.array(picked.ravel()),
-                    ],
-                    names=["user", "item", "score"],
-                )
+                # Items in order of their id: among equal scores the first place is the smaller id.
+                order = np.argsort(i_ids, kind="stable")
+                i_ids, i = i_ids[order], i[order]
+                for start in range(0, len(u_ids), block):
+                    yield best_of_block(u_ids[start : start + block], u[start : start + block], i_ids, i)
+
+    def best_of_block(u_ids: np.ndarray, u: np.ndarray, i_ids: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        rows = np.arange(len(u_ids))
+        places, scores = np.empty((len(u_ids), 0), dtype=np.int64), np.empty((len(u_ids), 0))
+        for start in range(0, len(i_ids), block):
+            found = u @ i[start : start + block].T
+            if scores.shape[1] < n:
+                who, at = np.repeat(rows, found.shape[1]), np.tile(np.arange(found.shape[1]), len(rows))
+            else:
+                # A later item with the score of the last one kept has a larger id.  NaN sorts first, as in Spark.
+                who, at = np.nonzero(~(found <= scores[:, -1:]))
+                if not len(who):
+                    continue
+            who, at, value = (
+                np.concatenate([np.repeat(rows, scores.shape[1]), who]),
+                np.concatenate([places.ravel(), at + start]),
+                np.concatenate([scores.ravel(), found[who, at]]),
+            )
+            sorted_by = np.lexsort((at, -value, ~np.isnan(value), who))
+            who, at, value = who[sorted_by], at[sorted_by], value[sorted_by]
+            first = np.searchsorted(who, rows)
+            kept = np.arange(len(who)) - first[who] < n
+            width = min(n, scores.shape[1] + found.shape[1])
+            places, scores = at[kept].reshape(len(rows), width), value[kept].reshape(len(rows), width)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(u_ids, scores.shape[1])), pa.array(i_ids[places].ravel()), pa.array(scores.ravel())],
+            names=["user", "item", "score"],
+        )
 
     kinds = [dict(df.dtypes)["id"] for df in (users, items)]
     scored = pairs.select("u_ids", "u_flat", "i_ids", "i_flat").mapInArrow(

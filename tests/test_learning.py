@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -261,6 +262,22 @@ def test_recommendations_match_brute_force(spark):
     assert {(3, r["id"]) for r in one.collect()} == {(a, b) for a, b, _ in want if a == 3}
 
 
+def test_recommendations_copy_rows_per_stripe_and_not_per_block(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    u, i = rng.integers(-3, 4, (300, 4)).astype(float), rng.integers(-3, 4, (200, 4)).astype(float)
+    users = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(u)], "id long, factors array<double>")
+    items = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(i)], "id long, factors array<double>")
+    scores = u @ i.T
+    want = {(a, int(b), r + 1) for a in range(300) for r, b in enumerate(np.lexsort((np.arange(200), -scores[a]))[:5])}
+    for values in (recommend.STRIPE_VALUES, 80):
+        monkeypatch.setattr(recommend, "STRIPE_VALUES", values)
+        found = recommend.recommend_all(users, items, 5, 3)
+        assert {(r["user"], r["item"], r["rank"]) for r in found.collect()} == want
+        copies = re.findall(r"sequence\(cast\(0 as bigint\), cast\((\d+) as bigint", found._jdf.queryExecution().analyzed().toString())
+        # Of 300 users and 200 items in blocks of 3; 15 and 10 stripes of 80 values, else by the 8 cores.
+        assert sorted(int(c) + 1 for c in copies) == ([10, 15] if values == 80 else [6, 6])
+
+
 @pytest.mark.parametrize("implicit", [False, True])
 def test_factorization_learns(spark, implicit):
     ratings = gen.low_rank_ratings(spark, 60, 40, 2, 0.6).withColumn("rating", F.abs("rating") if implicit else F.col("rating")).persist()
