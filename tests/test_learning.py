@@ -234,6 +234,21 @@ def test_degenerate_gaussian(spark):
         clustering.gaussian_logpdf(df, "f", [0.0, 0.0], [[0.0, 0.0], [0.0, 0.0]])
 
 
+@pytest.mark.parametrize("optimizer", ["em", "online"])
+def test_topic_quality_is_the_models_own_bound(spark, monkeypatch, optimizer):
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    rng = random.Random(4)
+    rows = [(SparseVector(500, {w: float(rng.randint(1, 5)) for w in rng.sample(range(500), 20)}),) for _ in range(60)]
+    docs = spark.createDataFrame([*rows, (SparseVector(500, {}),), (Vectors.dense([0.0] * 500),), (Vectors.dense([1.0] * 500),)], ["counts"])
+    model = clustering.topics(docs, "counts", 3, 5, optimizer, batch=0.5)
+    own = model.logLikelihood(docs), model.logPerplexity(docs)
+    monkeypatch.setattr(type(model), "logLikelihood", None)
+    monkeypatch.setattr(type(model), "logPerplexity", None)
+    found = clustering.topic_quality(model, docs).first()
+    assert (found.log_likelihood, found.log_perplexity) == pytest.approx(own, rel=1e-4)
+
+
 def test_topics_in_both_ways(spark):
     from pyspark.ml.functions import array_to_vector
 
