@@ -234,6 +234,16 @@ def test_degenerate_gaussian(spark):
         clustering.gaussian_logpdf(df, "f", [0.0, 0.0], [[0.0, 0.0], [0.0, 0.0]])
 
 
+def test_word_vectors_are_trained_in_more_tasks_for_more_words(spark, monkeypatch):
+    from hinloom.operators import features
+
+    docs = spark.range(60).select(F.array(*[F.concat(F.lit("w"), ((F.col("id") * n) % 7).cast("string")) for n in range(1, 11)]).alias("words"))
+    monkeypatch.setattr(features, "PARTITION_WORDS", 100)
+    assert features.word2vec(docs, "words", 4, min_count=1, partitions=2).getNumPartitions() == 6
+    assert features.word2vec(docs, "words", 4, min_count=1, partitions=8).getNumPartitions() == 8
+    assert features.synonyms(features.word2vec(docs, "words", 4, min_count=1), "w1", 3).count() == 3
+
+
 @pytest.mark.parametrize("optimizer", ["em", "online"])
 def test_topic_quality_is_the_models_own_bound(spark, monkeypatch, optimizer):
     from pyspark.ml.linalg import SparseVector, Vectors
