@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hinloom.catalog.base import Catalog, rounded, table
 from hinloom.operators import clustering, topics
-from hinloom.runtime import materialize
+from hinloom.runtime import by_bucket, materialize
 
 catalog = Catalog()
 
@@ -20,12 +20,13 @@ def start_weight(topic: int) -> Column:
     return (F.conv(digit, 16, 10).cast("double") + 1.0)
 
 
-def document_cells(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
-    return materialize(topics.term_counts(words, "doc_id", "words"), "cells")
+def document_cells(spark: SparkSession, sf: str) -> topics.PlacedCells:
+    texts = by_bucket(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+    words = texts.select("doc_id", F.split("text", " ").alias("words"))
+    return topics.place_cells(topics.term_counts(words, "doc_id", "words", placed=True), TOPICS, placed=True)
 
 
-def fitted(cells: DataFrame) -> topics.TopicTable:
+def fitted(cells: topics.PlacedCells) -> topics.TopicTable:
     starts = [start_weight(c) for c in range(TOPICS)]
     return topics.fit_topics(cells, TOPICS, ROUNDS, DOC_PRIOR, TERM_PRIOR, weights=starts)
 

@@ -114,3 +114,20 @@ def test_nulls_and_empty_tables(spark):
     assert none.vocabulary == 0 and topics.table_terms(none, 3).isEmpty() and topics.table_mix(none).isEmpty()
     with pytest.raises(ValueError, match="above 1"):
         topics.first_topics(cells, 2, 1.0)
+
+
+def test_cells_of_frequent_terms_stay_in_place(spark, monkeypatch):
+    texts = {d: " ".join([f"w{n}" for n in range(12) if (d * n) % (n + 1) < 2] + [f"own{d}"]) for d in range(30)}
+    cells = cells_of(spark, texts)
+    named = lambda table: {(r["term"], c): v for r in table.terms.collect() for c, v in enumerate(r["n"])}
+    whole = topics.fit_topics(cells, 2, 2, 1.5, 1.1)
+    assert topics.place_cells(cells, 2).rare is None
+    monkeypatch.setattr(topics, "BROADCAST_ROWS", 2)
+    placed = topics.place_cells(cells, 2)
+    assert 0 < placed.often.count() <= 8 and 0 < placed.rare.count() < placed.all.count() == cells.count()
+    table = topics.fit_topics(placed, 2, 2, 1.5, 1.1)
+    assert named(table) == pytest.approx(named(whole))
+    assert topics.table_quality(placed, table).first()[:2] == pytest.approx(topics.table_quality(cells, whole).first()[:2])
+    plan = topics._matched(topics.PlacedCells(placed.often, placed.all, None), table, table.docs)._jdf.queryExecution().executedPlan().toString()
+    # One exchange, that of the documents.
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 1
