@@ -422,10 +422,10 @@ def rankclass_first_relation(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rankclass_reweight(spark: SparkSession, sf: str) -> DataFrame:
     """New weights of all cells, added up per row of each relation."""
-    state = rankclass.step(_started(spark, sf))
-    tall = rankclass.tall_relations(state.relations, CLASSES)
-    sums = tall.groupBy("k", "rel", "row").agg(F.count(F.lit(1)).alias("cells"), F.sum("w").alias("w"))
-    return sums.withColumn("w", rounded("w", 9))
+    state = rankclass.step(_started(spark, sf), one_way=True)
+    weights = [F.sum(f"w{k}").alias(f"w{k}") for k in range(CLASSES)]
+    sums = state.relations.groupBy("rel", "row").agg(F.count(F.lit(1)).alias("cells"), *weights)
+    return rankclass.tall_relations(sums, CLASSES, ["rel", "row", "cells"]).withColumn("w", rounded("w", 9))
 
 
 @catalog.query(

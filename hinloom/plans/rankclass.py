@@ -2,7 +2,8 @@
 
 Ranks of all classes sit side by side: ``(m, x, p0 .. p{K-1})`` holds the rank
 of item ``x`` of type ``m`` in each class, and an edge row holds one weight per
-class.  A round is thus one pass over the edges for all classes and relations.
+class, or ``w0`` alone as long as all classes share it.  A round is thus one pass
+over the edges for all classes and relations.
 An edge is stored as two arcs, each in a bucket of the end it leaves from, so
 both ends sum over their edges and lend them their ranks without a shuffle.
 """
@@ -11,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hinloom.operators.ordering import top_k_per_key
-from hinloom.runtime import broadcast_if_small, by_bucket, discard, materialize, materialize_buckets
+from hinloom.runtime import broadcast_if_small, by_bucket, discard, materialize, materialize_buckets, spread
 
 # Fixed values of the method: neighbour weight and prior weight.
 LAMBDA = 0.2
@@ -69,7 +71,11 @@ class Lanes:
 
 @dataclass(frozen=True)
 class State:
-    """Ranks and edge weights after ``round`` rounds."""
+    """Ranks and edge weights after ``round`` rounds.
+
+    ``parted`` is false if no end is known to be cut into parts, ``one_way`` true if only the arcs from row to column
+    are there, after which no round can follow.
+    """
 
     classes: int
     types: int
@@ -78,6 +84,8 @@ class State:
     arcs: DataFrame
     lanes: Lanes
     round: int = 0
+    parted: bool = True
+    one_way: bool = False
 
     @property
     def relations(self) -> DataFrame:
@@ -88,7 +96,7 @@ class State:
             F.col("x").alias("row"),
             self.lanes.end_type(1).alias("j"),
             F.col("y").alias("col"),
-            *_weights(self.classes),
+            *[_weight(self.arcs, k).alias(w) for k, w in enumerate(_weights(self.classes))],
         )
 
 
@@ -131,9 +139,10 @@ def ambiguous_labels(labels: DataFrame) -> DataFrame:
 def relation_table(edges: DataFrame, classes: int) -> DataFrame:
     """``edges(rel, i, row, j, col, w)`` with one weight per class.
 
-    Duplicate edges add up.
+    Duplicate edges add up.  They meet in as many tasks as their number asks for, without sums before: those would hold
+    nearly all edges of an input file in memory, as few occur twice.
     """
-    merged = edges.groupBy("rel", "i", "row", "j", "col").agg(F.sum("w").alias("w"))
+    merged = spread(edges, ["rel", "i", "row", "j", "col"]).groupBy("rel", "i", "row", "j", "col").agg(F.sum("w").alias("w"))
     return merged.select(
         "rel", "i", "row", "j", "col", *[F.col("w").alias(f"w{k}") for k in range(classes)]
     )
@@ -145,12 +154,12 @@ def tall_ranks(ranks: DataFrame, classes: int) -> DataFrame:
     return ranks.select("m", "x", F.inline(cells)).select("k", "m", "x", "p")
 
 
-def tall_relations(relations: DataFrame, classes: int) -> DataFrame:
-    """``(k, rel, i, row, j, col, w)`` in the stored direction."""
+def tall_relations(
+    relations: DataFrame, classes: int, kept: Sequence[str] = ("rel", "i", "row", "j", "col")
+) -> DataFrame:
+    """``(k, rel, i, row, j, col, w)`` in the stored direction; ``kept`` are the columns beside class and weight."""
     cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"w{k}").alias("w")) for k in range(classes)])
-    return relations.select("rel", "i", "row", "j", "col", F.inline(cells)).select(
-        "k", "rel", "i", "row", "j", "col", "w"
-    )
+    return relations.select(*kept, F.inline(cells)).select("k", *kept, "w")
 
 
 def normalize_relations(relations: DataFrame, classes: int) -> DataFrame:
@@ -289,7 +298,15 @@ def arc_table(
     holds a whole hot item.  ``edges`` are what ``relations`` adds up; its rows
     are counted in their place, which bounds theirs.
     """
+    return _cut_arcs(relations, lanes, classes, cell, edges)[0]
+
+
+def _cut_arcs(
+    relations: DataFrame, lanes: Lanes, classes: int, cell: int, edges: DataFrame | None
+) -> tuple[DataFrame, bool]:
+    """The `arc_table`, and whether any end is cut into parts."""
     lane = lanes.lane()
+    weights = [w for w in _weights(classes) if w in relations.columns]
     row_end = F.struct(lane.alias("lane"), F.col("row").alias("x"))
     col_end = F.struct((lane + 1).alias("lane"), F.col("col").alias("x"))
     hot = materialize(
@@ -302,8 +319,9 @@ def arc_table(
         "hot-ends",
     )
     zero = F.lit(0)
-    cut = relations.select(lane.alias("lane"), "row", "col", zero.alias("_row"), zero.alias("_col"), *_weights(classes))
-    if not hot.isEmpty():
+    cut = relations.select(lane.alias("lane"), "row", "col", zero.alias("_row"), zero.alias("_col"), *weights)
+    parted = not hot.isEmpty()
+    if parted:
         known = broadcast_if_small(hot)
         for side, x, other in ((0, "row", "col"), (1, "col", "row")):
             own = known.where(F.col("lane") % 2 == side).select(
@@ -316,24 +334,36 @@ def arc_table(
         return F.struct((F.col("lane") + side).alias("lane"), *[F.col(e).alias(n) for e, n in zip(ends, _ARC[1:])])
 
     both = F.array(arc(0, "row", "_row", "col", "_col"), arc(1, "col", "_col", "row", "_row"))
-    written = materialize_buckets(cut.select(F.inline(both), *_weights(classes)), NEAR, "arcs")
+    written = materialize_buckets(cut.select(F.inline(both), *weights), NEAR, "arcs")
     discard(hot)
-    return written
+    return written, parted
 
 
 def _weights(classes: int) -> list[str]:
     return [f"w{k}" for k in range(classes)]
 
 
-def end_table(arcs: DataFrame, lanes: Lanes, ranks: DataFrame, classes: int) -> DataFrame:
+def _weight(arcs: DataFrame, k: int, prefix: str = "w") -> Column:
+    """The weight of class ``k``, or the one that all classes share."""
+    name = f"{prefix}{k}"
+    return F.col(name if name in arcs.columns else f"{prefix}0")
+
+
+def _at_ends(arcs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Join on the near end.  An end is one row, so its side is hashed bucket by bucket and the arcs are not sorted."""
+    return arcs.join(ends.hint("shuffle_hash"), NEAR)
+
+
+def end_table(arcs: DataFrame, lanes: Lanes, ranks: DataFrame, classes: int, parted: bool = True) -> DataFrame:
     """Degrees and ranks at every part of every end: ``(lane, x, part, m, d0 .., p0 ..)``.
 
-    Sums per part come from the buckets as they lie; only these move.
+    Sums per part come from the buckets as they lie; only these move.  Without ``parted`` a part is a whole end.
     """
+    weights = [w for w in _weights(classes) if w in arcs.columns]
+    sums = arcs.groupBy(*NEAR).agg(*[F.sum(w).alias(w) for w in weights])
     whole = Window.partitionBy(*NEAR[:-1])
-    sums = arcs.groupBy(*NEAR).agg(*[F.sum(w).alias(w) for w in _weights(classes)])
-    degrees = sums.select(*NEAR, lanes.end_type().alias("m"), *[F.sum(f"w{k}").over(whole).alias(f"d{k}") for k in range(classes)])
-    return degrees.join(ranks, ["m", "x"])
+    degrees = [(F.sum(w).over(whole) if parted else F.col(w)).alias(f"d{k}") for k, w in enumerate(weights)]
+    return sums.select(*NEAR, lanes.end_type().alias("m"), *degrees).join(ranks, ["m", "x"])
 
 
 def pass_ranks(
@@ -350,23 +380,25 @@ def pass_ranks(
 
     ``W[i,j] / sqrt(d[i] d[j])`` splits into a factor of each end: an arc
     takes that of its near end where it lies, and the far one is taken once
-    per sum that arrives there.
+    per sum that arrives there.  Ends without a positive rank send nothing.
     """
 
     def factor(k: int) -> Column:
-        return F.when(F.col(f"d{k}") > 0, 1.0 / F.sqrt(F.col(f"d{k}"))).otherwise(F.lit(0.0))
+        degree = _weight(ends, k, "d")
+        return F.when(degree > 0, 1.0 / F.sqrt(degree)).otherwise(F.lit(0.0))
 
-    sent = ends.select(
+    ranked = reduce(Column.__or__, [F.col(_p(k)) > 0 for k in range(classes)])
+    sent = ends.where(ranked).select(
         *NEAR, *[_mass(factor(k), _p(k)).alias(f"_s{k}") for k in range(classes)]
     )
     taken = ends.select(*NEAR, "m", *[factor(k).alias(f"_f{k}") for k in range(classes)])
     arrived = (
-        arcs.join(sent, NEAR)
+        _at_ends(arcs, sent)
         .groupBy(*_far())
-        .agg(*[F.sum(F.col(f"w{k}") * F.col(f"_s{k}")).alias(f"_a{k}") for k in range(classes)])
+        .agg(*[F.sum(_weight(arcs, k) * F.col(f"_s{k}")).alias(f"_a{k}") for k in range(classes)])
     )
     gathered = (
-        arrived.join(taken, NEAR)
+        _at_ends(arrived, taken)
         .groupBy("m", "x")
         .agg(*[F.sum(F.col(f"_a{k}") * F.col(f"_f{k}")).alias(f"_a{k}") for k in range(classes)])
     )
@@ -382,28 +414,33 @@ def _far() -> list[Column]:
     ]
 
 
-def reweight_arcs(arcs: DataFrame, ends: DataFrame, ranks: DataFrame, classes: int, t: int) -> DataFrame:
+def reweight_arcs(
+    arcs: DataFrame, ends: DataFrame, ranks: DataFrame, classes: int, t: int, one_way: bool = False
+) -> DataFrame:
     """`reweight` over arcs, not yet written.
 
     An arc takes the rank of its near end where it lies, is turned round and
-    moved once to its other end, and lies there as the arc of that end.
+    moved once to its other end, and lies there as the arc of that end.  With
+    ``one_way`` only the arcs from row to column are made, each edge once.
     """
     relative = relative_ranks(ranks, classes)
     at_end = ends.select(*NEAR, "m").join(relative, ["m", "x"])
     near = at_end.select(*NEAR, *[F.col(_p(k)).alias(f"_p{k}") for k in range(classes)])
     far = at_end.select(*NEAR, *[F.col(_p(k)).alias(f"_q{k}") for k in range(classes)])
-    turned = arcs.join(near, NEAR).select(
+    if one_way:
+        arcs, near, far = (df.where(F.col("lane") % 2 == side) for df, side in ((arcs, 1), (near, 1), (far, 0)))
+    turned = _at_ends(arcs, near).select(
         *_far(),
         F.col("x").alias("y"),
         F.col("part").alias("far_part"),
-        *_weights(classes),
+        *[w for w in _weights(classes) if w in arcs.columns],
         *[f"_p{k}" for k in range(classes)],
     )
     floor = 2.0 ** -t
-    return by_bucket(turned, NEAR).join(far, NEAR).select(
+    return _at_ends(by_bucket(turned, NEAR), far).select(
         *_ARC,
         *[
-            (F.col(f"w{k}") * (F.sqrt(F.col(f"_p{k}") * F.col(f"_q{k}")) + floor)).alias(f"w{k}")
+            (_weight(turned, k) * (F.sqrt(F.col(f"_p{k}") * F.col(f"_q{k}")) + floor)).alias(f"w{k}")
             for k in range(classes)
         ],
     )
@@ -415,8 +452,9 @@ def start(
     """Start ranks and arcs.  ``edges`` is read three times: give a table or a short lineage."""
     first = materialize(initial_ranks(items, labels, classes), "ranks")
     lanes = Lanes.of(edges)
-    arcs = arc_table(relation_table(edges, classes), lanes, classes, cell, edges)
-    return State(classes, types, first, first, arcs, lanes)
+    # At first all classes share one weight.
+    arcs, parted = _cut_arcs(relation_table(edges, 1), lanes, 1, cell, edges)
+    return State(classes, types, first, first, arcs, lanes, parted=parted)
 
 
 def step(
@@ -426,6 +464,7 @@ def step(
     lambda_weighted: bool = False,
     only_relations: Sequence[str] | None = None,
     reweighted: bool = True,
+    one_way: bool = False,
 ) -> State:
     """One round: ranks from the normalised relations, then new weights.
 
@@ -433,20 +472,25 @@ def step(
     else that moves is sums and ranks of items.  Both results are written, so
     the plan of a later round does not grow.  ``only_relations`` limits the
     rank update (not the re-weighting).  Without ``reweighted`` the weights
-    stay those the ranks come from, which is all a last round needs.
+    stay those the ranks come from, which is all a last round needs; with
+    ``one_way`` the new ones are made once per edge, which is all that
+    `State.relations` needs, and no round can follow.
     """
+    if state.one_way:
+        raise ValueError("the arcs lie at their rows alone; no round can follow")
     t = state.round + 1
     arcs = state.arcs
-    ends = materialize(end_table(arcs, state.lanes, state.ranks, state.classes), "ends")
+    table = end_table(arcs, state.lanes, state.ranks, state.classes, state.parted)
+    ends = materialize_buckets(table, NEAR, "ends")
     used = arcs if only_relations is None else arcs.where(F.col("lane").isin(state.lanes.numbers(only_relations)))
     ranks = materialize(
         pass_ranks(used, ends, state.initial, state.classes, state.types, lam, alpha, lambda_weighted), "ranks"
     )
     if reweighted:
-        new = reweight_arcs(arcs, ends, ranks, state.classes, t)
+        new = reweight_arcs(arcs, ends, ranks, state.classes, t, one_way)
         arcs = materialize_buckets(new, NEAR, "arcs", placed=True)
     discard(ends)
-    return replace(state, ranks=ranks, arcs=arcs, round=t)
+    return replace(state, ranks=ranks, arcs=arcs, round=t, one_way=reweighted and one_way)
 
 
 def run(

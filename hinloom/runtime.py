@@ -148,6 +148,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+# Rows of one task of `spread`.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, keys: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
+    """Move rows by ``keys`` into tasks of about ``rows`` rows, however many there are.
+
+    An aggregate by ``keys`` then needs no shuffle of its own.  The rows are counted first: give a table or a short
+    lineage.  Few rows are left as they lie.
+    """
+    tasks = -(-df.count() // rows)
+    return df if tasks < 2 else df.repartition(max(tasks, by_default(df.sparkSession)), *keys)
+
+
+def by_default(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def row_hash(df: DataFrame) -> Column:
     """A value of the row's content: the same on every attempt of a task."""
     return F.xxhash64(*[F.col(c) for c in df.columns])

@@ -325,3 +325,29 @@ def test_top_k_asks_few_bands_of_degrees(spark, monkeypatch, k):
         scored = sorted((-2 * len(x & y) / (len(x) + len(y)), b) for b, y in rows.items() if b != a)[:k]
         assert [(j, pytest.approx(v)) for j, v in (got[a][n + 1] for n in range(k))] == [(b, pytest.approx(-s)) for s, b in scored]
     assert sum(formed) < 0.5 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_classes_share_a_weight_until_they_differ(spark):
+    """One weight per arc before the first new ones; made one way they are those of every edge, and no round follows."""
+    relations, _ = random_network(spark, 6)
+    edges = relations.select("rel", "i", "row", "j", "col", F.col("w0").alias("w"))
+    items = spark.createDataFrame([(0, x) for x in range(9)] + [(1, x) for x in range(40)], "m int, x long")
+    labels = spark.createDataFrame([(0, 0, 0), (1, 3, 1), (1, 4, 1)], "m int, x long, k int")
+    state = rankclass.start(items, labels, edges, 2, 2)
+    assert [c for c in state.arcs.columns if c.startswith("w")] == ["w0"] and not state.parted
+    ranks = rankclass.update_ranks(rankclass.normalize_relations(relations, 2), state.ranks, state.ranks, 2, 2)
+    weights = by_key(rankclass.reweight(relations, ranks, 2, 1), 5)
+    state = rankclass.step(state, one_way=True)
+    got, lanes = by_key(state.relations, 5), {r["lane"] for r in state.arcs.select("lane").distinct().collect()}
+    assert got.keys() == weights.keys() and all(got[k] == pytest.approx(weights[k]) for k in weights) and lanes == {0, 2}
+    with pytest.raises(ValueError, match="no round can follow"):
+        rankclass.step(state)
+
+
+def test_equal_edges_meet_in_tasks_of_bounded_rows(spark):
+    rows = spark.range(2000).select(F.col("id") % 700)
+    assert runtime.spread(rows, rows.columns, 5000).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    moved = runtime.spread(rows, rows.columns, 100)
+    assert moved.rdd.getNumPartitions() == 20
+    plan = moved.groupBy(*moved.columns).count()
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and plan.count() == 700
