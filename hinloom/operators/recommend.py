@@ -9,15 +9,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hinloom.functions import vectors
 from hinloom.operators.dense import rows_of
 from hinloom.operators.ordering import top_k, top_k_per_key
-from hinloom.runtime import double_array
+from hinloom.runtime import double_array, materialize
 
 
 def factorize(
@@ -49,17 +50,113 @@ def factors_of(model: ALSModel) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def predict_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+# Pairs that one task of `predict_pairs` holds.
+PAIR_ROWS = 1_000_000
+
+# Factor tables of so many values are broadcast.
+BROADCAST_VALUES = 1_000_000
+
+
+def predict_pairs(
+    pairs: DataFrame, users: DataFrame, items: DataFrame, small: int = BROADCAST_VALUES, held: int = PAIR_ROWS
+) -> DataFrame:
     """``(user, item, score)`` for given pairs; unknown ids are left out.
 
-    The smaller side and the join kind are the planner's choice.
+    Factors are many times as wide as a pair.  Where pairs are many, they go to the stripes of both factor tables, of
+    about `STRIPE_VALUES` values, and no factor goes along with a pair; a pair of stripes with more than ``held``
+    pairs is dealt to several tasks.  Few pairs, ids that are not whole numbers, and factors of unequal length or with
+    nulls take two joins.  Pairs are counted first: give a table or a short lineage.
     """
+    pairs = pairs.select("user", "item")
+    shapes = [
+        df.agg(
+            F.count(F.lit(1)),
+            F.coalesce(F.max(F.size("factors")), F.lit(0)),
+            F.coalesce(F.min(F.size("factors")), F.lit(0)),
+            F.coalesce(F.max(F.exists("factors", F.isnull).cast("int")), F.lit(0)),
+        ).first()
+        for df in (users, items)
+    ]
+    rows, wide, narrow, nulls = zip(*shapes)
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = {*dict(pairs.dtypes).values(), dict(users.dtypes)["id"], dict(items.dtypes)["id"]}
+    plain = kinds - whole or {*wide} != {*narrow} or len({*wide}) > 1 or min(wide) < 1 or any(nulls)
+    stripes = [max(1, -(-n * w // STRIPE_VALUES)) for n, w in zip(rows, wide)]
+    if max(n * w for n, w in zip(rows, wide)) <= small:
+        users, items = F.broadcast(users), F.broadcast(items)
+    elif not plain and pairs.count() > rows[0] * stripes[1] + rows[1] * stripes[0]:
+        return _predict_in_stripes(pairs, users, items, stripes, held)
     u = users.select(F.col("id").alias("user"), F.col("factors").alias("_u"))
     i = items.select(F.col("id").alias("item"), F.col("factors").alias("_i"))
-    joined = pairs.select("user", "item").join(u, "user").join(i, "item")
+    joined = pairs.join(u, "user").join(i, "item")
     return joined.select("user", "item", vectors.dot(F.col("_u"), F.col("_i")).alias("score"))
 
 
+def _predict_in_stripes(pairs: DataFrame, users: DataFrame, items: DataFrame, stripes: list[int], held: int) -> DataFrame:
+    """Scores of pairs at the pair of stripes they belong to; sums run in order of the factors, as in `vectors.dot`."""
+    cell, kinds = ["_us", "_is", "_part"], dict(pairs.dtypes)
+
+    def stripe(key: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(count)).cast("int")
+
+    at = pairs.dropna().select(
+        stripe("user", stripes[0]).alias("_us"),
+        stripe("item", stripes[1]).alias("_is"),
+        F.col("user").cast("long").alias("user"),
+        F.col("item").cast("long").alias("item"),
+    )
+    # One row per pair of stripes.
+    sizes = materialize(
+        at.groupBy("_us", "_is").agg(F.ceil(F.count(F.lit(1)) / held).cast("int").alias("_parts")), "stripe-pairs"
+    )
+    tasks = int(sizes.agg(F.sum("_parts")).first()[0] or 1)
+    # Equal pairs are scored once.
+    dealt = (
+        at.join(F.broadcast(sizes), ["_us", "_is"])
+        .withColumn("_part", F.pmod(F.xxhash64("user", "item"), F.col("_parts")).cast("int"))
+        .select(*cell, "user", "item")
+        .repartition(tasks, *cell)
+        .groupBy(*cell, "user", "item")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    cells = sizes.select("_us", "_is", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+
+    def packed(df: DataFrame, own: str, count: int, side: int) -> DataFrame:
+        held_rows = df.dropna(subset=["id"]).groupBy(stripe("id", count).alias(own)).agg(
+            F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "factors")).alias("_rows")
+        )
+        return held_rows.join(F.broadcast(cells), own).select(
+            *cell, F.lit(side).alias("side"), F.col("_rows.id").alias("ids"), F.flatten("_rows.factors").alias("flat")
+        )
+
+    factors = packed(users, "_us", stripes[0], 0).unionByName(packed(items, "_is", stripes[1], 1)).repartition(tasks, *cell)
+
+    def score(some: pd.DataFrame, held_factors: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or held_factors["side"].nunique() < 2:
+            return pd.DataFrame({"user": [], "item": [], "score": [], "n": []}).astype(kind)
+        found, by_side = some[["user", "item", "n"]], {}
+        for side, key in ((0, "user"), (1, "item")):
+            row = held_factors[held_factors["side"] == side].iloc[0]
+            ids = np.asarray(row["ids"], dtype=np.int64)
+            by_side[side] = np.asarray(row["flat"], dtype=np.float64).reshape(len(ids), -1)
+            found = found.merge(pd.DataFrame({key: ids, f"at{side}": np.arange(len(ids))}), on=key)
+        scores = np.zeros(len(found))
+        for start in range(0, len(found), 65536):
+            u, i = (by_side[side][found[f"at{side}"].to_numpy()[start : start + 65536]] for side in (0, 1))
+            for place in range(u.shape[1]):
+                scores[start : start + 65536] += u[:, place] * i[:, place]
+        return pd.DataFrame({"user": found["user"], "item": found["item"], "score": scores, "n": found["n"]})
+
+    kind = {"user": "int64", "item": "int64", "score": "float64", "n": "int64"}
+    scored = dealt.groupBy(*cell).cogroup(factors.groupBy(*cell)).applyInPandas(
+        score, "user long, item long, score double, n long"
+    )
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return scored.select("user", "item", "score", copies.alias("_copy")).select(
+        F.col("user").cast(kinds["user"]).alias("user"), F.col("item").cast(kinds["item"]).alias("item"), "score"
+    )
+
+
 def recommend_for(factors: list[float], items: DataFrame, n: int) -> DataFrame:
     """Top ``n`` items ``(id, score)`` for one factor vector."""
     score = vectors.dot(F.col("factors"), vectors.array_of(factors))

@@ -595,3 +595,24 @@ def test_rejection_draws_are_the_keys_own(spark):
     assert abs(p.mean() - 5e6) < 6 * (5e6 / 3000) ** 0.5 and abs(p.var() / 5e6 - 1) < 0.2
     with pytest.raises(ValueError):
         generators.keyed_gamma(F.col("id"), 0.0)
+
+
+@pytest.mark.parametrize("held", [7, 1 << 20])
+def test_pair_scores_in_stripes_equal_the_joins_and_move_no_factors(spark, monkeypatch, held):
+    """Repeated pairs, unknown and null ids, and an id given twice; at most a copy of a row per stripe moves, not one per pair."""
+    rng = random.Random(5)
+    factors = lambda n: spark.createDataFrame(
+        [(k, [rng.uniform(-1, 1) for _ in range(3)]) for k in [*range(n), 4]], "id int, factors array<double>"
+    )
+    users, items = factors(30), factors(20)
+    rows = [(rng.randrange(33), 3 if rng.random() < 0.3 else rng.randrange(22)) for _ in range(900)] + [(None, 1), (2, None)]
+    pairs = spark.createDataFrame(rows, "user int, item long")
+    want = recommend.predict_pairs(pairs, users, items)
+    monkeypatch.setattr(recommend, "STRIPE_VALUES", 40)
+    got = recommend.predict_pairs(pairs, users, items, small=0, held=held)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "CoGroup" not in want._jdf.queryExecution().executedPlan().toString()
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    few = recommend.predict_pairs(pairs.limit(5), users, items, small=0)
+    assert "CoGroup" not in few._jdf.queryExecution().executedPlan().toString()
