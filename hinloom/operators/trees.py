@@ -201,8 +201,23 @@ def _rows(df: DataFrame, features: str, label: str, *more: str) -> DataFrame:
     )
 
 
+# Rows of one task of a fit.
+FIT_ROWS = 500_000
+
+
+def _dealt(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows in as many tasks as their number asks for.
+
+    A fit holds the rows of a task, larger than in their file, and reads them again for every level; a file split of
+    a column format has many millions.
+    """
+    tasks = -(-df.count() // (rows or FIT_ROWS))
+    return df if tasks <= df.rdd.getNumPartitions() else df.repartition(tasks)
+
+
 def _fit(estimator, df: DataFrame, categorical: int):
     """Fit directly, or behind an indexer that treats features of few values as categories."""
+    df = _dealt(df)
     if categorical < 2:
         return estimator.fit(df)
     from pyspark.ml import Pipeline

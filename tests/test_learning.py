@@ -616,3 +616,17 @@ def test_pair_scores_in_stripes_equal_the_joins_and_move_no_factors(spark, monke
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     few = recommend.predict_pairs(pairs.limit(5), users, items, small=0)
     assert "CoGroup" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tree_fits_take_tasks_of_bounded_rows(spark, monkeypatch):
+    df = spark.range(4000, numPartitions=1).select(
+        F.array(F.col("id").cast("double")).alias("features"), (F.col("id") > 2500).cast("double").alias("label")
+    )
+    assert trees._dealt(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(trees, "FIT_ROWS", 500)
+    seen = []
+    fit = trees.DecisionTreeClassifier.fit
+    monkeypatch.setattr(trees.DecisionTreeClassifier, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    model = trees.tree_classifier(df, "features", "label", depth=1)
+    sizes = [len(part) for part in seen[0].rdd.glom().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 600 and sum(sizes) == 4000 and model.numNodes == 3
