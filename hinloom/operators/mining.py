@@ -67,7 +67,8 @@ def sequential_patterns(
     written: a new element needs the first end of the pattern and the last
     place of the item in a sequence, a wider last element needs the positions
     where the pattern can end.  Only the positions of frequent patterns are
-    written, and a sequence is never gathered.
+    written, and a sequence is never gathered.  Positions carry the number of their pattern and its last item; the
+    pattern itself is kept once.
 
     A pattern whose sequences hold no more than ``local_rows`` rows altogether
     is finished in one task, with all that grows from it.  Rows with a null in
@@ -90,53 +91,57 @@ def sequential_patterns(
     sizes = lasts.groupBy("seq").agg(F.sum("n").alias("size"))
 
     found = frequent.select(F.array(F.array("item")).alias("pattern"), "freq")
-    open_patterns = frequent.select(F.array(F.array("item")).alias("pattern"))
-    level = rows.select(F.array(F.array("item")).alias("pattern"), "seq", "pos")
+    number = F.monotonically_increasing_id()
+    known = materialize(frequent.select(number.alias("id"), F.array(F.array("item")).alias("pattern"), "item"), "numbers")
+    level = rows.join(broadcast_if_small(known.select("id", "item")), "item").select("id", F.col("item").alias("tail"), "seq", "pos")
     written: DataFrame | None = None
     for length in range(1, max_length):
-        ends = level.groupBy("pattern", "seq").agg(F.min("pos").alias("end"))
+        ends = level.groupBy("id", "seq").agg(F.min("pos").alias("end"))
         if local_rows:
-            weight = ends.join(sizes, "seq").groupBy("pattern").agg(F.sum("size").alias("rows"))
-            weight = materialize(
-                weight.select("pattern", F.col("rows") <= local_rows, F.monotonically_increasing_id()).toDF("pattern", "small", "id"),
-                "weights",
-            )
-            small = weight.where("small").select("pattern", "id")
+            weight = ends.join(sizes, "seq").groupBy("id").agg(F.sum("size").alias("rows"))
+            weight = materialize(weight.select("id", (F.col("rows") <= local_rows).alias("small")), "weights")
+            small = weight.where("small").select("id")
             if not small.isEmpty():
-                found = found.unionByName(_finished(level, ends, rows, small, needed, max_length - length))
-                level = level.join(broadcast_if_small(small.select("pattern")), "pattern", "left_anti")
-                ends = ends.join(broadcast_if_small(small.select("pattern")), "pattern", "left_anti")
+                named = small.join(known.select("id", "pattern"), "id")
+                found = found.unionByName(_finished(level, ends, rows, named, needed, max_length - length))
+                level = level.join(broadcast_if_small(small), "id", "left_anti")
+                ends = ends.join(broadcast_if_small(small), "id", "left_anti")
             if weight.where("not small").isEmpty():
                 break
-        last_item = F.element_at(F.element_at("pattern", -1), -1)
         longer = (
-            ends.join(lasts, "seq").where(F.col("last") > F.col("end")).groupBy("pattern", "item").agg(F.count(F.lit(1)).alias("freq"))
+            ends.join(lasts, "seq").where(F.col("last") > F.col("end")).groupBy("id", "item").agg(F.count(F.lit(1)).alias("freq"))
         )
         wider = (
-            level.join(rows, ["seq", "pos"]).where(F.col("item") > last_item)
-            .select("pattern", "item", "seq").distinct()
-            .groupBy("pattern", "item").agg(F.count(F.lit(1)).alias("freq"))
+            level.join(rows, ["seq", "pos"]).where(F.col("item") > F.col("tail"))
+            .select("id", "item", "seq").distinct()
+            .groupBy("id", "item").agg(F.count(F.lit(1)).alias("freq"))
         )
         counted = longer.withColumn("wide", F.lit(False)).unionByName(wider.withColumn("wide", F.lit(True)))
         support = materialize(counted.where(F.col("freq") >= needed), "support")
         if support.isEmpty():
             break
         grown = F.when(F.col("wide"), _widened("pattern", "item")).otherwise(F.concat("pattern", F.array(F.array("item"))))
-        found = found.unionByName(support.select(grown.alias("pattern"), "freq"))
+        numbered = materialize(
+            support.join(broadcast_if_small(known.select("id", "pattern")), "id")
+            .select(number.alias("new"), "id", "item", "wide", "freq", grown.alias("pattern")),
+            "numbers",
+        )
+        found = found.unionByName(numbered.select("pattern", "freq"))
         if length + 1 == max_length:
             break
-        survivors = broadcast_if_small(support.drop("freq"))
+        survivors = broadcast_if_small(numbered.select("new", "id", "item", "wide"))
         key = F.struct("seq", "item").alias("key")
-        starts = ends.join(survivors.where("not wide"), "pattern").select(grown.alias("pattern"), "end", key)
+        starts = ends.join(survivors.where("not wide"), "id").select("new", "end", key)
         after = hot_key_join(materialize(starts, "starts"), rows.select(key, "pos"), "key").where(F.col("pos") > F.col("end"))
         beside = (
-            level.join(survivors.where("wide"), "pattern").join(rows, ["seq", "pos", "item"])
-            .select(grown.alias("pattern"), "seq", "pos")
+            level.join(survivors.where("wide"), "id").join(rows, ["seq", "pos", "item"]).select("new", "item", "seq", "pos")
         )
-        following = materialize(after.select("pattern", "key.seq", "pos").unionByName(beside), "patterns")
+        following = after.select("new", "key.item", "key.seq", "pos").unionByName(beside).toDF("id", "tail", "seq", "pos")
+        following = materialize(following, "patterns")
         if written is not None:
             discard(written)
         written = level = following
+        known = numbered.select(F.col("new").alias("id"), "pattern", "item")
     return found
 
 
@@ -149,19 +154,18 @@ def _widened(pattern: str, item: str) -> Column:
 def _finished(
     level: DataFrame, ends: DataFrame, rows: DataFrame, small: DataFrame, needed: int, more: int
 ) -> DataFrame:
-    """All frequent patterns with up to ``more`` further items that begin with the patterns ``small(pattern, id)``.
+    """All frequent patterns with up to ``more`` further items that begin with the patterns ``small(id, pattern)``.
 
     A group holds the rows of the pattern's sequences from its first end on, and once more, marked, the positions where
     the pattern can end; the caller has bounded both.
     """
-    pattern_type = level.schema["pattern"].dataType.simpleString()
-    last_item = F.element_at(F.element_at("pattern", -1), -1)
-    hinted = broadcast_if_small(small)
+    pattern_type = small.schema["pattern"].dataType.simpleString()
+    hinted = broadcast_if_small(small.select("id"))
     rest = (
-        ends.join(hinted, "pattern").join(rows, "seq").where(F.col("pos") >= F.col("end"))
+        ends.join(hinted, "id").join(rows, "seq").where(F.col("pos") >= F.col("end"))
         .select("id", "seq", "pos", "item", F.lit(False).alias("ends"))
     )
-    marks = level.join(hinted, "pattern").select("id", "seq", "pos", last_item.alias("item"), F.lit(True).alias("ends"))
+    marks = level.join(hinted, "id").select("id", "seq", "pos", F.col("tail").alias("item"), F.lit(True).alias("ends"))
 
     def finish(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         places: dict = {}  # sequence -> item -> sorted positions

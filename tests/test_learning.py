@@ -630,3 +630,14 @@ def test_tree_fits_take_tasks_of_bounded_rows(spark, monkeypatch):
     model = trees.tree_classifier(df, "features", "label", depth=1)
     sizes = [len(part) for part in seen[0].rdd.glom().collect()]
     assert len(sizes) == 8 and max(sizes) <= 600 and sum(sizes) == 4000 and model.numNodes == 3
+
+
+def test_positions_of_patterns_carry_no_pattern(spark, monkeypatch):
+    written = {}
+    keep = mining.materialize
+    monkeypatch.setattr(mining, "materialize", lambda df, label="step": written.setdefault(label, []).append(df.dtypes) or keep(df, label))
+    events = spark.createDataFrame([(s, p, x) for s in range(6) for p, x in enumerate("abcd")], "s long, p int, x string")
+    found = mining.sequential_patterns(events, "s", "p", "x", 1.0, 4, 0).collect()
+    assert len(found) == 15 and {r["freq"] for r in found} == {6}
+    moved = [kinds for label in ("starts", "support", "patterns") for kinds in written[label]]
+    assert moved and not any(kind.startswith("array") for kinds in moved for _, kind in kinds)
