@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hinloom.operators.ordering import top_k_per_key
-from hinloom.runtime import broadcast_if_small, by_bucket, discard, materialize, materialize_buckets, spread
+from hinloom.plans import rankstill
+from hinloom.runtime import broadcast_if_small, by_bucket, by_default, discard, materialize, materialize_buckets, spread
 
 # Fixed values of the method: neighbour weight and prior weight.
 LAMBDA = 0.2
@@ -28,6 +28,9 @@ ALPHA = 0.1
 # Edges of one end that lie together; a larger end is cut into parts.
 HOT_ARCS = 1 << 20
 
+# Arcs of one bucket, where edges stay as they are written.
+ARCS_OF_TASK = 1_000_000
+
 # Arcs lie in buckets by the end they leave from.
 NEAR = ["lane", "x", "part"]
 _ARC = [*NEAR, "y", "far_part"]
@@ -54,16 +57,19 @@ class Lanes:
             number = F.when(own, 2 * n).otherwise(number)
         return number
 
-    def _pick(self, values: list, shift: int = 0) -> Column:
+    def pick(self, values: list, shift: int = 0) -> Column:
+        """The lane's entry of a list with one per lane."""
         return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("lane") + shift + 1).cast("int"))
 
     def relation(self) -> Column:
-        return self._pick([rel for rel, _, _ in self.relations for _ in range(2)])
+        return self.pick([rel for rel, _, _ in self.relations for _ in range(2)])
+
+    def near_types(self) -> list:
+        return [m for _, i, j in self.relations for m in (i, j)]
 
     def end_type(self, shift: int = 0) -> Column:
         """The type of the items at the lane's near end."""
-        types = [m for _, i, j in self.relations for m in (i, j)]
-        return self._pick(types, shift).cast(self.kind)
+        return self.pick(self.near_types(), shift).cast(self.kind)
 
     def numbers(self, names: Sequence[str]) -> list[int]:
         return [2 * n + side for n, (rel, _, _) in enumerate(self.relations) if rel in names for side in (0, 1)]
@@ -74,7 +80,8 @@ class State:
     """Ranks and edge weights after ``round`` rounds.
 
     ``parted`` is false if no end is known to be cut into parts, ``one_way`` true if only the arcs from row to column
-    are there, after which no round can follow.
+    are there, after which no round can follow.  With ``weighed`` the weights are those that round ``weighed[1]`` makes
+    of the arcs' from the ranks ``weighed[0]``.
     """
 
     classes: int
@@ -86,11 +93,12 @@ class State:
     round: int = 0
     parted: bool = True
     one_way: bool = False
+    weighed: tuple[DataFrame, int] | None = None
 
     @property
     def relations(self) -> DataFrame:
         """``(rel, i, row, j, col, w0 ..)``: every edge once."""
-        return self.arcs.where(F.col("lane") % 2 == 0).select(
+        written = self.arcs.where(F.col("lane") % 2 == 0).select(
             self.lanes.relation().alias("rel"),
             self.lanes.end_type().alias("i"),
             F.col("x").alias("row"),
@@ -98,6 +106,14 @@ class State:
             F.col("y").alias("col"),
             *[_weight(self.arcs, k).alias(w) for k, w in enumerate(_weights(self.classes))],
         )
+        if "part" not in self.arcs.columns:
+            # Arcs as `run` leaves them: equal edges are not added up yet.
+            weights = [F.sum(w).alias(w) for w in _weights(self.classes)]
+            written = written.groupBy("rel", "i", "row", "j", "col").agg(*weights)
+        if self.weighed is None:
+            return written
+        ranks, t = self.weighed
+        return reweight(written, ranks, self.classes, t)
 
 
 def _p(k: int) -> str:
@@ -478,6 +494,12 @@ def step(
     """
     if state.one_way:
         raise ValueError("the arcs lie at their rows alone; no round can follow")
+    if "part" not in state.arcs.columns:
+        # Arcs as `run` leaves them.
+        now = materialize(state.relations, "edges")
+        arcs, parted = _cut_arcs(now, state.lanes, state.classes, HOT_ARCS, None)
+        discard(now)
+        state = replace(state, arcs=arcs, parted=parted, weighed=None)
     t = state.round + 1
     arcs = state.arcs
     table = end_table(arcs, state.lanes, state.ranks, state.classes, state.parted)
@@ -510,7 +532,14 @@ def run(
 
     ``first_relation`` limits the rank update of round 1 to one relation, for
     comparison with results that were computed that way.
+
+    Up to two rounds read arcs that are written once (`rankstill`), unless an end is hot, a weight negative or an end
+    not among the items.
     """
+    if 1 <= rounds <= 2 and not last_weights:
+        state = _run_still(items, labels, edges, classes, types, rounds, first_relation, **options)
+        if state is not None:
+            return state
     state = start(items, labels, edges, classes, types)
     for t in range(1, rounds + 1):
         only = [first_relation] if first_relation and t == 1 else None
@@ -523,14 +552,57 @@ def run(
     return state
 
 
+def _run_still(
+    items: DataFrame,
+    labels: DataFrame,
+    edges: DataFrame,
+    classes: int,
+    types: int,
+    rounds: int,
+    first_relation: str | None,
+    lam: float = LAMBDA,
+    alpha: float = ALPHA,
+    lambda_weighted: bool = False,
+    only_relations: Sequence[str] | None = None,
+) -> State | None:
+    """`run` over arcs that stay where they are, or nothing if they must be cut or their ends are not all items."""
+    lanes = Lanes.of(edges)
+    number = rankstill.arcs_if_still(edges, lanes, HOT_ARCS) if lanes.relations else None
+    if number is None:
+        return None
+    buckets = max(by_default(edges.sparkSession), -(-number // ARCS_OF_TASK))
+    arcs = rankstill.place(edges, lanes, buckets)
+    known = rankstill.nodes(arcs, lanes, initial_ranks(items, labels, classes), classes, buckets)
+    if not known.where(~F.col("known")).isEmpty():
+        discard(arcs)
+        discard(known)
+        return None
+    initial = known.select("m", "x", *[_p(k) for k in range(classes)])
+    ranks, before, written = initial, None, None
+    for t in range(1, rounds + 1):
+        if t == 1:
+            ends = rankstill.first_ends(known, classes)
+        else:
+            before = ranks
+            ends = written = rankstill.weighted_degrees(arcs, known, ranks, lanes, classes, t - 1, buckets)
+        names = only_relations if only_relations is not None else [first_relation] if first_relation and t == 1 else None
+        only = None if names is None else lanes.numbers(names)
+        sums = rankstill.neighbour_sums(arcs, ends, lanes, classes, buckets, only, None if t == 1 else t - 1)
+        table = _mixed(sums, initial, classes, types, lam, alpha, lambda_weighted)
+        ranks = materialize_buckets(table, rankstill.NODE, "ranks", placed=True, buckets=buckets)
+    if written is not None:
+        discard(written)
+    return State(classes, types, initial, ranks, arcs, lanes, rounds, False, weighed=None if before is None else (before, rounds - 1))
+
+
 def assign_classes(ranks: DataFrame, classes: int) -> DataFrame:
     """The class of highest rank per node, lowest class on a tie.
 
     Nodes whose ranks are all 0 have no class and are left out.
     """
-    tall = tall_ranks(ranks, classes).where(F.col("p") > 0)
-    best = top_k_per_key(tall, ["m", "x"], [F.col("p").desc(), F.col("k")], 1)
-    return best.select("m", "x", "k", "p")
+    best = F.greatest(*[F.col(_p(k)) for k in range(classes)]) if classes > 1 else F.col(_p(0))
+    lowest = F.coalesce(*[F.when(F.col(_p(k)) == F.col("p"), F.lit(k)) for k in range(classes)])
+    return ranks.select("*", best.alias("p")).where(F.col("p") > 0).select("m", "x", lowest.alias("k"), "p")
 
 
 def relation_dimensions(relations: DataFrame) -> DataFrame:

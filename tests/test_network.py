@@ -351,3 +351,47 @@ def test_equal_edges_meet_in_tasks_of_bounded_rows(spark):
     assert moved.rdd.getNumPartitions() == 20
     plan = moved.groupBy(*moved.columns).count()
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and plan.count() == 700
+
+
+@pytest.mark.parametrize(
+    "rounds,first,case",
+    [(1, None, "still"), (2, None, "still"), (2, "s", "still"), (2, None, "hot"), (2, None, "missing"), (1, None, "negative")],
+)
+def test_run_equals_rounds_on_edges(spark, monkeypatch, rounds, first, case):
+    """Edges stay with one weight for all classes; hot ends, ends that are no items and negative weights go the other way."""
+    rng = random.Random(rounds)
+    edges = [("r", 0, rng.randrange(9), 1, rng.randrange(20), 1.0) for _ in range(120)]
+    edges += [("s", 0, rng.randrange(9), 0, rng.randrange(9), 2.0) for _ in range(30)] + [("u", 1, 3, 2, 0, 1.0)]
+    edges += [("r", 0, 50, 1, 3, 1.0)] if case == "missing" else [("s", 0, 2, 0, 3, -0.01)] if case == "negative" else []
+    edges = spark.createDataFrame(edges, "rel string, i int, row long, j int, col long, w double")
+    items = spark.createDataFrame([(0, x) for x in range(9)] + [(1, x) for x in range(20)] + [(2, 0), (2, 1)], "m int, x long")
+    labels = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 3, 1), (1, 4, 1)], "m int, x long, k int")
+    if case == "hot":
+        monkeypatch.setattr(rankclass, "HOT_ARCS", 4)
+    state = rankclass.run(items, labels, edges, classes=2, types=3, rounds=rounds, first_relation=first)
+    assert ("part" not in state.arcs.columns) == (case == "still")
+    if case == "still":
+        assert [c for c in state.arcs.columns if c.startswith("w")] == ["w0"] and state.arcs.count() == 2 * edges.count()
+    relations, start = rankclass.relation_table(edges, 2), rankclass.initial_ranks(items, labels, 2)
+    ranks = start
+    for t in range(1, rounds + 1):
+        if t > 1:
+            relations = runtime.materialize(rankclass.reweight(relations, ranks, 2, t - 1), "weights")
+        used = relations.where(F.col("rel") == first) if first and t == 1 else relations
+        normal = rankclass.normalize_relations(used, 2)
+        ranks = runtime.materialize(rankclass.update_ranks(normal, ranks, start, 2, 3), "ranks")
+    for got, want, n in ((state.ranks, ranks, 2), (state.relations, relations, 5)):
+        got, want = by_key(got, n), by_key(want, n)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    if case == "still" and rounds == 2 and first is None:
+        onward = rankclass.step(state, reweighted=False)
+        again = rankclass.run(items, labels, edges, classes=2, types=3, rounds=3)
+        weights = rankclass.reweight(relations, ranks, 2, 2)
+        want = by_key(rankclass.update_ranks(rankclass.normalize_relations(weights, 2), ranks, start, 2, 3), 2)
+        got = by_key(again.ranks, 2)
+        assert all(got[k] == pytest.approx(want[k]) for k in want) and onward.round == again.round == 3
+
+
+def test_best_class_is_the_lowest_of_equals(spark):
+    ranks = spark.createDataFrame([(0, 1, 0.2, 0.5, 0.5), (0, 2, 0.0, 0.0, 0.0), (1, 1, 0.3, 0.1, 0.3)], "m int, x long, p0 double, p1 double, p2 double")
+    assert by_key(rankclass.assign_classes(ranks, 3), 2) == {(0, 1): (1, 0.5), (1, 1): (0, 0.3)}
