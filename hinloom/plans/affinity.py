@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hinloom.operators import matrix
+from hinloom.runtime import materialize, spread
 
 
 def symmetric_edges(edges: DataFrame) -> DataFrame:
@@ -60,10 +61,15 @@ def power_step(normalized: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def cluster(edges: DataFrame, k: int, iterations: int = 20, init: str = "random") -> DataFrame:
-    """``(id, cluster)`` for edges ``(src, dst, weight)``."""
+    """``(id, cluster)`` for edges ``(src, dst, weight)``.
+
+    The edges are written once and lie by their source, in tasks of a bounded number: in every iteration a vertex is
+    sent to each task that has an edge of it, which for a source is then one, however many tasks there are.
+    """
     from pyspark.ml.clustering import PowerIterationClustering
 
     worker = PowerIterationClustering(
         k=k, maxIter=iterations, initMode=init, srcCol="src", dstCol="dst", weightCol="weight"
     )
-    return worker.assignClusters(edges.select("src", "dst", "weight"))
+    written = materialize(edges.select("src", "dst", "weight"), "similarities")
+    return worker.assignClusters(spread(written, ["src"]))

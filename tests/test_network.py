@@ -395,3 +395,17 @@ def test_run_equals_rounds_on_edges(spark, monkeypatch, rounds, first, case):
 def test_best_class_is_the_lowest_of_equals(spark):
     ranks = spark.createDataFrame([(0, 1, 0.2, 0.5, 0.5), (0, 2, 0.0, 0.0, 0.0), (1, 1, 0.3, 0.1, 0.3)], "m int, x long, p0 double, p1 double, p2 double")
     assert by_key(rankclass.assign_classes(ranks, 3), 2) == {(0, 1): (1, 0.5), (1, 1): (0, 0.3)}
+
+
+def test_similarities_lie_by_their_source(spark, monkeypatch):
+    """Power iteration sends a vertex to each task with an edge of it: a source has one task."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    given = []
+    monkeypatch.setattr(affinity, "spread", lambda df, keys: runtime.spread(df, keys, 50))
+    monkeypatch.setattr(PowerIterationClustering, "assignClusters", lambda self, df: given.append(df))
+    edges = spark.range(400).select((F.col("id") % 20).alias("src"), (F.col("id") + 1000).alias("dst"), F.lit(1.0).alias("weight"))
+    affinity.cluster(edges.repartition(6), 2)
+    lying = given[0].withColumn("task", F.spark_partition_id())
+    placed = lying.groupBy("src").agg(F.countDistinct("task").alias("n"), F.count("dst").alias("k"))
+    assert given[0].rdd.getNumPartitions() == 8 and {(r["n"], r["k"]) for r in placed.collect()} == {(1, 20)}
