@@ -453,7 +453,8 @@ union all
 select 'part', count(distinct l_orderkey), count(distinct l_partkey), count(distinct (l_orderkey, l_partkey)) from lineitem""",
 )
 def rankclass_dimensions(spark: SparkSession, sf: str) -> DataFrame:
-    return rankclass.relation_dimensions(rankclass.relation_table(rank_inputs(spark, sf)[2], CLASSES))
+    edges = rank_inputs(spark, sf)[2]
+    return rankclass.relation_dimensions(rankclass.relation_table(edges, CLASSES), edges)
 
 
 @catalog.query(

@@ -31,6 +31,10 @@ HOT_ARCS = 1 << 20
 # Arcs of one bucket, where edges stay as they are written.
 ARCS_OF_TASK = 1_000_000
 
+# Ends of one task that counts them, and the slots that tell where a hot one is.
+END_ROWS = 500_000
+END_SLOTS = 1 << 16
+
 # Arcs lie in buckets by the end they leave from.
 NEAR = ["lane", "x", "part"]
 _ARC = [*NEAR, "y", "far_part"]
@@ -605,10 +609,54 @@ def assign_classes(ranks: DataFrame, classes: int) -> DataFrame:
     return ranks.select("*", best.alias("p")).where(F.col("p") > 0).select("m", "x", lowest.alias("k"), "p")
 
 
-def relation_dimensions(relations: DataFrame) -> DataFrame:
-    """Number of distinct rows, columns and cells per relation."""
-    return relations.groupBy("rel").agg(
-        F.countDistinct("row").alias("num_rows"),
-        F.countDistinct("col").alias("num_cols"),
-        F.count(F.lit(1)).alias("num_cells"),
+def relation_dimensions(relations: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Number of distinct rows, columns and cells per relation.
+
+    The ends of all cells move to as many tasks as their number asks for, not as the session has for a shuffle, and
+    are made distinct there; those of a hot slot are cut into parts, each of which may name an end once more.
+    ``edges`` are what ``relations`` adds up; they are counted in its place, which bounds its cells.
+    """
+    kinds = relations.schema
+    number, hot = _hot_slots(relations if edges is None else edges)
+    slots = [s for s, _ in hot]
+    parts = -(-max((n for _, n in hot), default=0) // END_ROWS)
+
+    def listed(own: str, other: str) -> Column:
+        none = F.lit(None).cast(kinds[other].dataType)
+        part = F.when(_slot(own).isin(slots), F.pmod(F.xxhash64(other), F.lit(parts))) if slots else F.lit(None).cast("long")
+        ends = {own: F.col(own), other: none}
+        return F.struct(F.lit(own == "row").alias("at_row"), *[ends[c].alias(c) for c in ("row", "col")], part.alias("part"))
+
+    end = ["rel", "at_row", "row", "col", "part"]
+    both = relations.select("rel", F.inline(F.array(listed("row", "col"), listed("col", "row"))))
+    found = spread(both, end, END_ROWS, 2 * number).groupBy(*end).agg(F.count(F.lit(1)).alias("_cells"))
+    # Ends that are whole add up where they lie; only those in parts keep their names.
+    cut = [F.when(F.col("part").isNotNull(), F.col(c)).alias(f"_{c}") for c in ("row", "col")]
+    named = found.groupBy("rel", "at_row", F.col("part").isNotNull().alias("_cut"), *cut).agg(
+        F.count("row").alias("row"),
+        F.count("col").alias("col"),
+        F.sum("_cells").alias("_cells"),
+    )
+    return named.groupBy("rel").agg(
+        *[
+            F.sum(F.when(F.col("_cut"), F.least(F.col(c), F.lit(1))).otherwise(F.col(c))).alias(f"num_{c}s")
+            for c in ("row", "col")
+        ],
+        F.sum(F.when(F.col("at_row"), F.col("_cells"))).alias("num_cells"),
     )
+
+
+def _slot(end: str) -> Column:
+    return F.pmod(F.xxhash64("rel", F.lit(end == "row"), end), F.lit(END_SLOTS)).cast("int")
+
+
+def _hot_slots(edges: DataFrame) -> tuple[int, list[tuple[int, int]]]:
+    """The number of edges, and the slots of ends that hold many more than others, with their edges.
+
+    A slot with a hot end is among them.  There are at most as many as there are tasks of ends.
+    """
+    number = edges.count()
+    usual = 2 * (2 * number // END_SLOTS)
+    slots = F.array(_slot("row"), _slot("col"))
+    sizes = edges.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    return number, [(r["slot"], r["n"]) for r in sizes.where(F.col("n") > END_ROWS + usual).collect()]

@@ -154,13 +154,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 TASK_ROWS = 500_000
 
 
-def spread(df: DataFrame, keys: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
+def spread(df: DataFrame, keys: Sequence[str], rows: int = TASK_ROWS, number: int | None = None) -> DataFrame:
     """Move rows by ``keys`` into tasks of about ``rows`` rows, however many there are.
 
     An aggregate by ``keys`` then needs no shuffle of its own.  The rows are counted first: give a table or a short
-    lineage.  Few rows are left as they lie.
+    lineage, or a bound of their ``number``.  Few rows are left as they lie.
     """
-    tasks = -(-df.count() // rows)
+    tasks = -(-(df.count() if number is None else number) // rows)
     return df if tasks < 2 else df.repartition(max(tasks, by_default(df.sparkSession)), *keys)
 
 

@@ -353,6 +353,27 @@ def test_equal_edges_meet_in_tasks_of_bounded_rows(spark):
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and plan.count() == 700
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_dimensions_take_tasks_of_bounded_rows(spark, monkeypatch, hot):
+    """Few partitions of the session leave the number of tasks as it is; the cells of a hot end go to several."""
+    monkeypatch.setattr(rankclass, "END_ROWS", 50 if hot else 5000)
+    rng = random.Random(5)
+    rows = [("r", 0, rng.choice([None, "7", *map(str, range(60))]), 1, rng.randrange(300), 1.0) for _ in range(9000)]
+    rows += [("s", 0, str(x), 1, 7, 1.0) for x in range(2000)] + [("s", 0, str(x), 1, None, 1.0) for x in (3, 3, 4)]
+    edges = spark.createDataFrame(rows, "rel string, i int, row string, j int, col long, w double")
+    want = []
+    for rel in ("r", "s"):
+        found = {(r[2], r[4]) for r in rows if r[0] == rel}
+        want.append((rel, *[len({c[k] for c in found} - {None}) for k in (0, 1)], len(found)))
+    assert bool(rankclass._hot_slots(edges)[1]) == hot
+    table = rankclass.relation_table(edges, 2)
+    for got in (rankclass.relation_dimensions(table), rankclass.relation_dimensions(table, edges)):
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "at_row" in line and "row" in line]
+    assert sum("REPARTITION_BY_NUM" in m and (", 441)" if hot else ", 5)") in m.replace(", REPARTITION", ")") for m in moves) == 1
+
+
 @pytest.mark.parametrize(
     "rounds,first,case",
     [(1, None, "still"), (2, None, "still"), (2, "s", "still"), (2, None, "hot"), (2, None, "missing"), (1, None, "negative")],
