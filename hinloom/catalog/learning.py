@@ -405,16 +405,17 @@ def tree_stumps(spark: SparkSession, sf: str) -> DataFrame:
 
     A forest draws its rows even for one tree, so its means are others; `class_stumps` has it.
     """
-    rows = table(spark, sf, "lineitem").select(
+    given = table(spark, sf, "lineitem").select(
         F.array("l_quantity", F.col("l_discount") * 100, F.col("l_linenumber").cast("double")).alias("features"),
         (F.col("l_extendedprice") / 1000).alias("label"),
     )
-    fitted = {
-        "tree": trees.tree_regressor(rows, "features", "label", depth=1, bins=64),
-        "boosted": trees.boosted_regressor(rows, "features", "label", iterations=1, depth=1, bins=64),
-    }
-    scored = [trees.predict(model, rows, "features").select(F.lit(name).alias("model"), rounded("prediction").alias("prediction")) for name, model in fitted.items()]
-    return reduce(DataFrame.unionByName, scored).groupBy("model", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    with trees.shared_rows(given, "features", "label") as rows:
+        fitted = {
+            "tree": trees.tree_regressor(rows, "features", "label", depth=1, bins=64),
+            "boosted": trees.boosted_regressor(rows, "features", "label", iterations=1, depth=1, bins=64),
+        }
+        scored = [trees.predict(model, rows, "features").select(F.lit(name).alias("model"), rounded("prediction").alias("prediction")) for name, model in fitted.items()]
+        return materialize(reduce(DataFrame.unionByName, scored).groupBy("model", "prediction").agg(F.count(F.lit(1)).alias("n")), "stumps")
 
 
 @catalog.query(
@@ -430,53 +431,56 @@ def class_stumps(spark: SparkSession, sf: str) -> DataFrame:
 
     It beats the next ones by so much that the rows a forest draws do not change it.
     """
-    rows = table(spark, sf, "lineitem").select(
+    given = table(spark, sf, "lineitem").select(
         F.array("l_quantity", F.col("l_discount") * 100, F.col("l_linenumber").cast("double")).alias("features"),
         F.when((F.col("l_quantity") > 25) & (F.col("l_linenumber") < 6), 1.0).otherwise(0.0).alias("label"),
     )
-    fitted = {
-        "tree": trees.tree_classifier(rows, "features", "label", depth=1, bins=64),
-        "forest": trees.forest_classifier(rows, "features", "label", trees=1, depth=1, bins=64),
-        "boosted": trees.boosted_classifier(rows, "features", "label", iterations=1, depth=1, bins=64),
-    }
-    scored = [trees.predict(model, rows, "features").select(F.lit(name).alias("model"), "label", "prediction") for name, model in fitted.items()]
-    return reduce(DataFrame.unionByName, scored).groupBy("model", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    with trees.shared_rows(given, "features", "label") as rows:
+        fitted = {
+            "tree": trees.tree_classifier(rows, "features", "label", depth=1, bins=64),
+            "forest": trees.forest_classifier(rows, "features", "label", trees=1, depth=1, bins=64),
+            "boosted": trees.boosted_classifier(rows, "features", "label", iterations=1, depth=1, bins=64),
+        }
+        scored = [trees.predict(model, rows, "features").select(F.lit(name).alias("model"), "label", "prediction") for name, model in fitted.items()]
+        return materialize(reduce(DataFrame.unionByName, scored).groupBy("model", "label", "prediction").agg(F.count(F.lit(1)).alias("n")), "stumps")
 
 
 @catalog.query("tree_models")
 def tree_models(spark: SparkSession, sf: str) -> DataFrame:
     """Squared error of every tree model of the line price."""
-    rows = table(spark, sf, "lineitem").select(
+    given = table(spark, sf, "lineitem").select(
         F.array("l_quantity", F.col("l_discount") * 100, F.col("l_linenumber").cast("double")).alias("features"),
         (F.col("l_extendedprice") / 1000).alias("label"),
     )
-    fitted = {
-        "tree": trees.tree_regressor(rows, "features", "label", depth=4),
-        "forest": trees.forest_regressor(rows, "features", "label", trees=5, depth=4),
-        "boosted": trees.boosted_regressor(rows, "features", "label", iterations=5, depth=3),
-    }
-    out = None
-    for name, model in fitted.items():
-        scored = trees.predict(model, rows, "features")
-        error = ev.regression_summary(scored, "label", "prediction").select(F.lit(name).alias("model"), "mse", "r2")
-        out = error if out is None else out.unionByName(error)
-    return out
+    with trees.shared_rows(given, "features", "label") as rows:
+        fitted = {
+            "tree": trees.tree_regressor(rows, "features", "label", depth=4),
+            "forest": trees.forest_regressor(rows, "features", "label", trees=5, depth=4),
+            "boosted": trees.boosted_regressor(rows, "features", "label", iterations=5, depth=3),
+        }
+        out = None
+        for name, model in fitted.items():
+            scored = trees.predict(model, rows, "features")
+            error = ev.regression_summary(scored, "label", "prediction").select(F.lit(name).alias("model"), "mse", "r2")
+            out = error if out is None else out.unionByName(error)
+        return materialize(out, "errors")
 
 
 @catalog.query("tree_classifiers")
 def tree_classifiers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = noisy_rows(spark, sf)
-    fitted = {
-        "tree": trees.tree_classifier(rows, "features", "label", depth=4, impurity="entropy"),
-        "forest": trees.forest_classifier(rows, "features", "label", trees=5, depth=4),
-        "boosted": trees.boosted_classifier(rows, "features", "label", iterations=3),
-    }
-    out = None
-    for name, model in fitted.items():
-        counts = ev.confusion(trees.predict(model, rows, "features"), "label", "prediction")
-        counts = counts.select(F.lit(name).alias("model"), "label", "prediction", "n")
-        out = counts if out is None else out.unionByName(counts)
-    return out
+    given = noisy_rows(spark, sf)
+    with trees.shared_rows(given, "features", "label") as rows:
+        fitted = {
+            "tree": trees.tree_classifier(rows, "features", "label", depth=4, impurity="entropy"),
+            "forest": trees.forest_classifier(rows, "features", "label", trees=5, depth=4),
+            "boosted": trees.boosted_classifier(rows, "features", "label", iterations=3),
+        }
+        out = None
+        for name, model in fitted.items():
+            counts = ev.confusion(trees.predict(model, rows, "features"), "label", "prediction")
+            counts = counts.select(F.lit(name).alias("model"), "label", "prediction", "n")
+            out = counts if out is None else out.unionByName(counts)
+        return materialize(out, "confusion")
 
 
 # --- recommendation -----------------------------------------------------------------

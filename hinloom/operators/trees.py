@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import contextlib
+from collections.abc import Iterator, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorIndexer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -195,10 +198,14 @@ def poisson_from_uniform(draw: Column, mean: float) -> Column:
 # --- fitted trees --------------------------------------------------------------------
 
 
+def _vector(df: DataFrame, features: str) -> Column:
+    """The features of an array column, or of one that has vectors already."""
+    made = isinstance(df.select(features).schema[0].dataType, VectorUDT)
+    return F.col(features) if made else array_to_vector(double_array(features))
+
+
 def _rows(df: DataFrame, features: str, label: str, *more: str) -> DataFrame:
-    return df.select(
-        array_to_vector(double_array(features)).alias("features"), F.col(label).cast("double").alias("label"), *more
-    )
+    return df.select(_vector(df, features).alias("features"), F.col(label).cast("double").alias("label"), *more)
 
 
 # Rows of one task of a fit.
@@ -215,6 +222,20 @@ def _dealt(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df if tasks <= df.rdd.getNumPartitions() else df.repartition(tasks)
 
 
+@contextlib.contextmanager
+def shared_rows(df: DataFrame, features: str, label: str, *more: str) -> Iterator[DataFrame]:
+    """``(features, label, ..)`` for several fits and predictions, made and dealt once, until the end of the block.
+
+    A fit reads its rows some five times before it has its own copy, and alone would make, sort and move them each
+    time.  They are kept on disk, as the copies of the fits want the memory.  Write or collect predictions inside.
+    """
+    kept = _dealt(_rows(df, features, label, *more)).persist(StorageLevel.DISK_ONLY)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _fit(estimator, df: DataFrame, categorical: int):
     """Fit directly, or behind an indexer that treats features of few values as categories."""
     df = _dealt(df)
@@ -290,7 +311,7 @@ def boosted_regressor(df: DataFrame, features: str, label: str, iterations: int
 def predict(model, df: DataFrame, features: str, name: str = "prediction") -> DataFrame:
     """Add the model's prediction; all columns of ``df`` stay, one called ``features`` too."""
     kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    scored = model.transform(df.select(kept, array_to_vector(double_array(features)).alias("features")))
+    scored = model.transform(df.select(kept, _vector(df, features).alias("features")))
     return scored.select("_row.*", F.col("prediction").alias(name))
 
 

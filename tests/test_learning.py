@@ -641,3 +641,28 @@ def test_positions_of_patterns_carry_no_pattern(spark, monkeypatch):
     assert len(found) == 15 and {r["freq"] for r in found} == {6}
     moved = [kinds for label in ("starts", "support", "patterns") for kinds in written[label]]
     assert moved and not any(kind.startswith("array") for kinds in moved for _, kind in kinds)
+
+
+def test_fits_and_predictions_share_rows_made_once(spark, monkeypatch):
+    monkeypatch.setattr(trees, "FIT_ROWS", 500)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return float(x % 20)
+
+    ids = spark.range(2000, numPartitions=2)
+    rows = ids.select(F.array(counted("id")).alias("features"), (F.col("id") % 20 > 12).cast("double").alias("label"))
+    monkeypatch.setattr(learning, "noisy_rows", lambda spark, sf: rows)
+    found = {tuple(r) for r in learning.tree_classifiers(spark, "").collect()}
+    # Each row is made once, for three fits and three predictions.
+    assert made.value == 2000
+    assert found == {(m, y, y, n) for m in ("tree", "forest", "boosted") for y, n in ((0.0, 1300), (1.0, 700))}
+    with trees.shared_rows(rows, "features", "label") as kept:
+        shared = trees.tree_regressor(kept, "features", "label", depth=2)
+        assert kept.is_cached and kept.rdd.getNumPartitions() == 4 and kept.columns == ["features", "label"]
+        assert trees.predict(shared, kept, "features").where("prediction <> label").count() == 0
+    alone = trees.tree_regressor(rows, "features", "label", depth=2)
+    # Below the line with its name, the model is the same.
+    assert not kept.is_cached and alone.toDebugString.split("\n")[1:] == shared.toDebugString.split("\n")[1:]
