@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -145,3 +146,19 @@ def test_intermediates_go_with_their_block(spark):
         assert inside.count() == 5
         folder = Path(inside.inputFiles()[0].removeprefix("file://")).parent
     assert not folder.exists() and outside.count() == 3
+
+
+@pytest.mark.parametrize("write", ["materialize", "materialize_buckets"])
+def test_a_written_step_leaves_no_shuffle_files(spark, write):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return {f for f in files.split(",") if "/shuffle_" in f}
+
+    before = held()
+    df = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    step = runtime.materialize(df) if write == "materialize" else runtime.materialize_buckets(df, ["k"])
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before
+    assert step.count() == 10 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
