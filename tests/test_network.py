@@ -67,6 +67,35 @@ def test_products_by_blocks_move_lists(spark, monkeypatch, cell):
             assert "hashpartitioning(i" not in after_lists and "SortMergeJoin" not in after_lists
 
 
+@pytest.mark.parametrize("dense", [0, 1 << 24])
+@pytest.mark.parametrize("signs", [False, True])
+def test_block_products_of_nulls_and_signs(spark, monkeypatch, dense, signs):
+    rng = random.Random(11)
+    value = lambda: rng.choice([None, -1.0, 0.0, 1.0] if signs else [1.0, 2.0])
+    edges = {(rng.randrange(50), rng.randrange(30)): value() for _ in range(400)}
+    w = spark.createDataFrame([(i, k, v, i / 2) for (i, k), v in edges.items()], "i int, _k long, value double, d double")
+    w = runtime.materialize(w)
+    sides = [(w,), (w.where("i % 3 = 1"), w.where("i % 2 = 0"))]
+    plain = [sorted(map(tuple, matrix.row_products(*s, cell=None, ends=["d"]).collect())) for s in sides]
+    monkeypatch.setattr(matrix, "BLOCK_PRODUCTS", 700)
+    monkeypatch.setattr(matrix, "DENSE_CELLS", dense)
+    monkeypatch.setattr(matrix, "CHUNK", 50)
+    for s, want in zip(sides, plain, strict=True):
+        by_blocks = matrix.row_products(*s, cell=None, ends=["d"])
+        assert "FlatMapGroupsInArrow" in by_blocks._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, by_blocks.collect())) == want
+
+
+def test_rows_of_a_block_move_once(spark, monkeypatch):
+    """A list goes to a block once, its own rows first, and not those rows beside it."""
+    w = spark.createDataFrame([(i, k, 1.0) for i in range(40) for k in range(20)], "i long, _k long, value double")
+    monkeypatch.setattr(matrix, "BLOCK_PRODUCTS", 4000)
+    plan = matrix.row_products(runtime.materialize(w), cell=None)._jdf.queryExecution().executedPlan().toString()
+    moved = next(line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line)
+    below = plan[plan.index(moved) + len(moved) :]
+    assert "_r#" in below and " AS i#" not in below[: below.index("Generate")]
+
+
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_top_k_with_a_third_of_equal_rows(spark, k):
     """120 rows hang on one middle node only, others share a few patterns."""
@@ -327,6 +356,28 @@ def test_top_k_asks_few_bands_of_degrees(spark, monkeypatch, k):
     assert sum(formed) < 0.5 * len(rows) * (len(rows) - 1) / 2
 
 
+def test_top_k_of_like_degrees_is_one_pass_of_few_pairs(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = {r: set(draw.sample(range(60), draw.randrange(14, 27))) for r in range(120)}
+    w = spark.createDataFrame([(r, m, 1.0) for r, mids in rows.items() for m in mids], "i long, j long, value double")
+    plain, formed = pathsim.band_pairs, []
+
+    def counting(*args):
+        pairs = plain(*args)
+        formed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(pathsim, "band_pairs", counting)
+    monkeypatch.setattr(matrix, "BLOCK_PRODUCTS", 30_000)
+    got = {}
+    for r in pathsim.pathsim_top_k(w, 2).collect():
+        got.setdefault(r.i, []).append((r["rank"], r.j, r.value))
+    for a, x in rows.items():
+        scored = sorted((-2 * len(x & y) / (len(x) + len(y)), b) for b, y in rows.items() if b != a)[:2]
+        assert sorted(got[a]) == [(n + 1, b, pytest.approx(-s)) for n, (s, b) in enumerate(scored)]
+    assert len(formed) == 1 and formed[0] < 0.5 * len(rows) * (len(rows) - 1) / 2
+
+
 def test_classes_share_a_weight_until_they_differ(spark):
     """One weight per arc before the first new ones; made one way they are those of every edge, and no round follows."""
     relations, _ = random_network(spark, 6)
