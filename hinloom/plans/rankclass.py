@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hinloom.plans import rankstill
-from hinloom.runtime import broadcast_if_small, by_bucket, by_default, discard, materialize, materialize_buckets, spread
+from hinloom.runtime import broadcast_if_small, by_bucket, by_default, discard, materialize, materialize_buckets, materialize_rounds, spread
 
 # Fixed values of the method: neighbour weight and prior weight.
 LAMBDA = 0.2
@@ -575,7 +575,7 @@ def _run_still(
     if number is None:
         return None
     buckets = max(by_default(edges.sparkSession), -(-number // ARCS_OF_TASK))
-    arcs = rankstill.place(edges, lanes, buckets)
+    arcs = rankstill.place(edges, lanes, buckets, number)
     known = rankstill.nodes(arcs, lanes, initial_ranks(items, labels, classes), classes, buckets)
     if not known.where(~F.col("known")).isEmpty():
         discard(arcs)
@@ -588,12 +588,15 @@ def _run_still(
             ends = rankstill.first_ends(known, classes)
         else:
             before = ranks
-            ends = written = rankstill.weighted_degrees(arcs, known, ranks, lanes, classes, t - 1, buckets)
+            ends = written = rankstill.weighted_degrees(arcs, known, ranks, lanes, classes, t - 1, buckets, number)
         names = only_relations if only_relations is not None else [first_relation] if first_relation and t == 1 else None
         only = None if names is None else lanes.numbers(names)
-        sums = rankstill.neighbour_sums(arcs, ends, lanes, classes, buckets, only, None if t == 1 else t - 1)
-        table = _mixed(sums, initial, classes, types, lam, alpha, lambda_weighted)
-        ranks = materialize_buckets(table, rankstill.NODE, "ranks", placed=True, buckets=buckets)
+        sums = rankstill.neighbour_sums(arcs, ends, lanes, classes, buckets, only, None if t == 1 else t - 1, number)
+        given = [rankstill.of_turn(initial, turn, len(sums), buckets) for turn in range(len(sums))]
+        ranks = materialize_rounds(
+            lambda turn: _mixed(sums[turn](), given[turn], classes, types, lam, alpha, lambda_weighted),  # noqa: B023
+            len(sums), rankstill.NODE, "ranks", True, buckets,
+        )
     if written is not None:
         discard(written)
     return State(classes, types, initial, ranks, arcs, lanes, rounds, False, weighed=None if before is None else (before, rounds - 1))

@@ -4,24 +4,38 @@ Both arcs of an edge lie with the item they leave from, and all arcs, ranks and
 New weights are a product, ``W' = W (a_i a_j + 2^-t)`` with ``a`` the root of the relative rank, so sums over them
 split into sums over ``W`` of what the far ends send.  The weights are not written: a round moves one row of sums
 per arc, and none for sides of relations on which nothing can arrive.  As all that is taken from ``W`` is sums, equal
-edges add up in these and are not brought together before.
+edges add up in these and are not brought together before.  Sums of many arcs are moved for some of the buckets at a
+time, and what was moved is deleted before the next ones.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hinloom.runtime import by_bucket, materialize_buckets
+from hinloom.runtime import bucket_round, by_bucket, materialize_buckets, materialize_rounds
 
 NODE = ["m", "x"]
 
 # Ends are first counted together in so many cells; only a cell above the bound is counted end by end.
 COARSE_CELLS = 1 << 16
 
+# Values an arc moves at once, counted over all arcs, the most turns, and arcs from which on they take any.
+VALUES_OF_TURN = 2
+TURNS = 6
+ARCS_OF_TURNS = 10_000_000
+
+
+def turns(values: int, number: int) -> int:
+    """In how many turns, a divisor of `TURNS`, ``number`` arcs move ``values`` values each."""
+    if number < ARCS_OF_TURNS:
+        return 1
+    return next((n for n in range(1, TURNS) if TURNS % n == 0 and n * VALUES_OF_TURN >= values), TURNS)
+
 
 def slots(lanes) -> list[int]:
     """Each lane's number among the lanes that leave from the same type."""
@@ -55,10 +69,30 @@ def arcs_if_still(edges: DataFrame, lanes, cell: int) -> int | None:
     return arcs_in_all or 0
 
 
-def place(edges: DataFrame, lanes, buckets: int) -> DataFrame:
-    """``(m, x, lane, y, w0)``: both arcs of every edge in buckets of the item they leave from."""
+def place(edges: DataFrame, lanes, buckets: int, number: int = 0) -> DataFrame:
+    """``(m, x, lane, y, w0)``: both arcs of every edge in buckets of the item they leave from.
+
+    Many arcs, of which there are ``number``, take turns, each of which reads the edges.  They are then kept by the
+    ``turn`` of their far end.
+    """
     arcs = _arcs_of(edges, lanes, "w").select(lanes.end_type().alias("m"), "x", "lane", "y", F.col("w").alias("w0"))
-    return materialize_buckets(arcs, NODE, "arcs", buckets=buckets)
+    # An arc is about as much as four sums.
+    count = turns(2 * VALUES_OF_TURN, number)
+    if number < ARCS_OF_TURNS:
+        return materialize_buckets(arcs, NODE, "arcs", buckets=buckets)
+    types = lanes.near_types()
+    far = [lanes.pick([types[n ^ 1] for n in range(len(types))]).cast(lanes.kind), F.col("y")]
+
+    def part(turn: int) -> DataFrame:
+        placed = by_bucket(of_turn(arcs, turn, count, buckets), NODE, buckets)
+        return placed.withColumn("turn", bucket_round(far, buckets, TURNS).cast("int"))
+
+    return materialize_rounds(part, count, NODE, "arcs", True, buckets, ["turn"])
+
+
+def of_turn(df: DataFrame, turn: int, count: int, buckets: int) -> DataFrame:
+    """Rows of the buckets whose turn it is."""
+    return df if count == 1 else df.where(bucket_round(NODE, buckets, count) == turn)
 
 
 def nodes(arcs: DataFrame, lanes, initial: DataFrame, classes: int, buckets: int) -> DataFrame:
@@ -93,14 +127,25 @@ def _root(k: int, largest: dict) -> Column:
     return root
 
 
-def _send(arcs: DataFrame, sender: DataFrame, lanes, used: Sequence[int], sums: dict[str, Column], buckets: int) -> DataFrame:
+def _send(
+    arcs: DataFrame,
+    sender: DataFrame,
+    lanes,
+    used: Sequence[int],
+    sums: dict[str, Column],
+    buckets: int,
+    turn: int = 0,
+    count: int = 1,
+) -> DataFrame:
     """``(m, x, slot, ..)`` at the far ends: one row per arc of the ``used`` lanes, not added up before it moves.
 
-    Most ends get few rows from a bucket, and none gets more than an item may have.
+    Most ends get few rows from a bucket, and none gets more than an item may have.  Ends get theirs in ``count`` turns.
     """
     number = slots(lanes)
     other = [n ^ 1 for n in range(len(number))]
     types = lanes.near_types()
+    if "turn" in arcs.columns:
+        arcs = arcs.where(F.col("turn").isin(list(range(turn, TURNS, count))))
     met = arcs.where(F.col("lane").isin(list(used))).join(sender.hint("shuffle_hash"), NODE)
     sent = met.select(
         lanes.pick([types[o] for o in other]).cast(lanes.kind).alias("m"),
@@ -127,31 +172,37 @@ def _met(lanes, largest: dict, classes: int) -> list[int]:
 
 
 def weighted_degrees(
-    arcs: DataFrame, known: DataFrame, ranks: DataFrame, lanes, classes: int, t: int, buckets: int
+    arcs: DataFrame, known: DataFrame, ranks: DataFrame, lanes, classes: int, t: int, buckets: int, number: int = 0
 ) -> DataFrame:
     """``(m, x, p0 .., a0 .., f)`` under the weights that round ``t`` made from ``ranks``.
 
     ``sum_j W (a_i a_j + 2^-t) = a_i sum_j W a_j + 2^-t sum_j W``.
     """
-    number, roots = slots(lanes), [f"a{k}" for k in range(classes)]
+    slots_of, roots = slots(lanes), [f"a{k}" for k in range(classes)]
     largest = largest_ranks(ranks, classes)
     used = _met(lanes, largest, classes)
     rooted = ranks.select(*NODE, *_ranks(classes), *[_root(k, largest).alias(a) for k, a in enumerate(roots)])
     sender = rooted.where(" or ".join(f"{a} > 0" for a in roots)).select(*NODE, *roots)
-    arrived = _send(arcs, sender, lanes, used, {f"s{k}": F.col(a) for k, a in enumerate(roots)}, buckets)
-    reached = sorted({number[n ^ 1] for n in used}) or [0]
-    sums = arrived.groupBy(*NODE).agg(
-        *[F.sum(F.when(F.col("slot") == s, F.col(f"s{k}"))).alias(f"_s{s}_{k}") for s in reached for k in range(classes)]
-    )
+    count = turns(classes, number)
+    reached = sorted({slots_of[n ^ 1] for n in used}) or [0]
 
     def degree(s: int, k: int) -> Column:
         same = F.col("d")[s] * 2.0**-t
         return same + F.col(roots[k]) * F.coalesce(F.col(f"_s{s}_{k}"), F.lit(0.0)) if s in reached else same
 
-    degrees = F.array(*[degree(s, k) for s in range(max(number) + 1) for k in range(classes)])
-    met = rooted.join(known.select(*NODE, "d").hint("shuffle_hash"), NODE).join(sums.hint("shuffle_hash"), NODE, "left")
-    table = met.select(*NODE, *_ranks(classes), *roots, _factors(degrees).alias("f"))
-    return materialize_buckets(table, NODE, "ends", placed=True, buckets=buckets)
+    degrees = F.array(*[degree(s, k) for s in range(max(slots_of) + 1) for k in range(classes)])
+
+    def table(turn: int) -> DataFrame:
+        sent = {f"s{k}": F.col(a) for k, a in enumerate(roots)}
+        arrived = _send(arcs, sender, lanes, used, sent, buckets, turn, count)
+        sums = arrived.groupBy(*NODE).agg(
+            *[F.sum(F.when(F.col("slot") == s, F.col(f"s{k}"))).alias(f"_s{s}_{k}") for s in reached for k in range(classes)]
+        )
+        mine = [of_turn(df, turn, count, buckets) for df in (rooted, known.select(*NODE, "d"))]
+        met = mine[0].join(mine[1].hint("shuffle_hash"), NODE).join(sums.hint("shuffle_hash"), NODE, "left")
+        return met.select(*NODE, *_ranks(classes), *roots, _factors(degrees).alias("f"))
+
+    return materialize_rounds(table, count, NODE, "ends", True, buckets)
 
 
 def neighbour_sums(
@@ -162,12 +213,14 @@ def neighbour_sums(
     buckets: int,
     only: Sequence[int] | None = None,
     t: int | None = None,
-) -> DataFrame:
+    number: int = 0,
+) -> list[Callable[[], DataFrame]]:
     """``(m, x, _a0 ..)``: what `rankclass.pass_ranks` adds up, with the weights of ``W``, or of round ``t`` over it.
 
-    ``ends`` holds ranks and factors of every item, with ``t`` also the roots of the relative ranks.
+    ``ends`` holds ranks and factors of every item, with ``t`` also the roots of the relative ranks.  One table per turn;
+    `of_turn` gives the items of a turn.
     """
-    number, types, shared = slots(lanes), lanes.near_types(), t is None
+    slots_of, types, shared = slots(lanes), lanes.near_types(), t is None
     largest = largest_ranks(ends, classes)
     used = [n for n, m in enumerate(types) if any(v > 0 for v in largest.get(m, [])) and (only is None or n in only)]
     # What is sent per slot, made once per item.
@@ -178,23 +231,28 @@ def neighbour_sums(
         return F.when(F.col(f"p{k}") > 0, F.col(f"p{k}") * factor).otherwise(F.lit(0.0))
 
     roots = [] if shared else [f"a{k}" for k in range(classes)]
-    given = F.array(*[lent(s, k) for s in range(max(number) + 1) for k in range(classes)]).alias("g")
+    given = F.array(*[lent(s, k) for s in range(max(slots_of) + 1) for k in range(classes)]).alias("g")
     sender = ends.where(" or ".join(f"{p} > 0" for p in _ranks(classes))).select(*NODE, given, *roots)
-    slot = lanes.pick(number)
+    slot = lanes.pick(slots_of)
     sums = {f"u{k}": _lent(slot, k, classes, False, "g") for k in range(classes)}
     if not shared:
         met = F.col("lane").isin(_met(lanes, largest, classes))
         sums |= {f"v{k}": F.when(met, sums[f"u{k}"] * F.col(a)) for k, a in enumerate(roots)}
-    arrived = _send(arcs, sender, lanes, used, sums, buckets)
-    here = arrived.join(ends.select(*NODE, "f", *roots).hint("shuffle_hash"), NODE)
-
     def taken(k: int) -> Column:
         value = F.col(f"u{k}")
         if not shared:
             value = value * 2.0**-t + F.coalesce(F.col(f"v{k}"), F.lit(0.0)) * F.col(roots[k])
         return value * _lent(F.col("slot"), k, classes, shared)
 
-    return here.groupBy(*NODE).agg(*[F.sum(taken(k)).alias(f"_a{k}") for k in range(classes)]).hint("shuffle_hash")
+    count = turns(len(sums), number)
+
+    def table(turn: int) -> DataFrame:
+        arrived = _send(arcs, sender, lanes, used, sums, buckets, turn, count)
+        mine = of_turn(ends.select(*NODE, "f", *roots), turn, count, buckets)
+        here = arrived.join(mine.hint("shuffle_hash"), NODE)
+        return here.groupBy(*NODE).agg(*[F.sum(taken(k)).alias(f"_a{k}") for k in range(classes)]).hint("shuffle_hash")
+
+    return [partial(table, turn) for turn in range(count)]
 
 
 def first_ends(known: DataFrame, classes: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,19 +137,46 @@ def materialize_buckets(
     Keep ``spark.sql.shuffle.partitions`` for as long as the table is in use,
     or joins move it again.
     """
-    spark = df.sparkSession
-    buckets = buckets or by_default(spark)
+    buckets = buckets or by_default(df.sparkSession)
+    return materialize_rounds(lambda _: df, 1, keys, label, placed, buckets)
+
+
+def materialize_rounds(
+    part: Callable[[int], DataFrame],
+    rounds: int,
+    keys: Sequence[str],
+    label: str,
+    placed: bool,
+    buckets: int,
+    folders: Sequence[str] = (),
+) -> DataFrame:
+    """`materialize_buckets` of the union of ``part(0) ..``, each written before the next one is begun.
+
+    Only one part's shuffles are on disk at a time.  Let the parts be those of `bucket_round`.  Rows with equal values
+    of ``folders`` have files of their own, and a filter on these reads no others.
+    """
+    rows = part(0)
+    spark = rows.sparkSession
     path = new_path(spark, _BUCKETS + label)
     if _open_blocks:
         _open_blocks[-1].append(path)
     name = _table(path.rsplit("/", 1)[1])
-    rows = df if placed else by_bucket(df, keys, buckets)
-    with released_shuffles(spark):
-        writer = rows.write.bucketBy(buckets, *keys).option("path", path).option("compression", _CODEC)
-        writer.format("parquet").saveAsTable(name)
+    for number in range(rounds):
+        rows = rows if number == 0 else part(number)
+        rows = rows if placed else by_bucket(rows, keys, buckets)
+        writer = rows.write.bucketBy(buckets, *keys).option("compression", _CODEC).format("parquet")
+        writer = writer.partitionBy(*folders) if folders else writer
+        writer = writer.option("path", path) if number == 0 else writer.mode("append")
+        with released_shuffles(spark):
+            writer.saveAsTable(name)
     return spark.table(name)
 
 
+def bucket_round(keys: Sequence[str | Column], buckets: int, rounds: int) -> Column:
+    """The round, of ``rounds``, in which a row's bucket is written."""
+    return F.pmod(F.pmod(F.hash(*keys), F.lit(buckets)), F.lit(rounds))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table `materialize` wrote, and only those."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hinloom import runtime
 from hinloom.operators import matrix
-from hinloom.plans import affinity, hin, pathsim, rankclass
+from hinloom.plans import affinity, hin, pathsim, rankclass, rankstill
 from hinloom.sources import models
 
 
@@ -464,6 +464,30 @@ def test_run_equals_rounds_on_edges(spark, monkeypatch, rounds, first, case):
         assert all(got[k] == pytest.approx(want[k]) for k in want) and onward.round == again.round == 3
 
 
+def test_sums_of_many_arcs_move_in_turns(spark, monkeypatch):
+    """A turn moves the sums of its own ends, and its shuffle is gone before the next one."""
+    rng = random.Random(4)
+    edges = [("r", 0, rng.randrange(30), 1, rng.randrange(40), 1.0) for _ in range(300)] + [("s", 1, x, 1, x + 1, 2.0) for x in range(20)]
+    edges = spark.createDataFrame(edges, "rel string, i int, row long, j int, col long, w double")
+    items = spark.createDataFrame([(0, x) for x in range(30)] + [(1, x) for x in range(41)], "m int, x long")
+    labels = spark.createDataFrame([(0, x, x % 3) for x in range(9)] + [(1, 3, 1), (1, 4, 2)], "m int, x long, k int")
+    plain = rankclass.run(items, labels, edges, classes=3, types=2)
+    seen, write = [], runtime.materialize_rounds
+
+    def counting(part, rounds, keys, label, *more):
+        seen.append((label, rounds))
+        return write(part, rounds, keys, label, *more)
+
+    for module in (rankclass, rankstill):
+        monkeypatch.setattr(module, "materialize_rounds", counting)
+    monkeypatch.setattr(rankstill, "ARCS_OF_TURNS", 100)
+    turned = rankclass.run(items, labels, edges, classes=3, types=2)
+    assert seen == [("arcs", 2), ("ranks", 2), ("ends", 2), ("ranks", 3)]
+    for got, want, n in ((turned.ranks, plain.ranks, 2), (turned.relations, plain.relations, 5)):
+        got, want = by_key(got, n), by_key(want, n)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_best_class_is_the_lowest_of_equals(spark):
     ranks = spark.createDataFrame([(0, 1, 0.2, 0.5, 0.5), (0, 2, 0.0, 0.0, 0.0), (1, 1, 0.3, 0.1, 0.3)], "m int, x long, p0 double, p1 double, p2 double")
     assert by_key(rankclass.assign_classes(ranks, 3), 2) == {(0, 1): (1, 0.5), (1, 1): (0, 0.3)}
