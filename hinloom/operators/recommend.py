@@ -6,11 +6,11 @@ Factors are tables ``(id, factors array<double>)`` of one length.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,11 @@ from hinloom.operators.ordering import top_k, top_k_per_key
 from hinloom.runtime import double_array, materialize
 
 
+# Ratings of one block of `factorize`, and Spark's own number of blocks.
+RATINGS_OF_BLOCK = 2_000_000
+LEAST_BLOCKS = 10
+
+
 def factorize(
     ratings: DataFrame,
     rank: int = 10,
@@ -32,14 +37,17 @@ def factorize(
     blocks: int | None = None,
     seed: int = 42,
 ) -> ALSModel:
-    """Alternating least squares over ``(user, item, rating)``."""
+    """Alternating least squares over ``(user, item, rating)``.
+
+    Without ``blocks`` there are as many as the ratings ask for: a task holds and sorts all of a block.  They are
+    counted first: give a table or a short lineage.  Start factors are drawn per block.
+    """
+    blocks = blocks or max(LEAST_BLOCKS, -(-ratings.count() // RATINGS_OF_BLOCK))
     als = ALS(
         rank=rank, maxIter=iterations, regParam=reg, implicitPrefs=implicit, alpha=alpha,
         nonnegative=nonnegative, seed=seed, userCol="user", itemCol="item", ratingCol="rating",
     )
-    if blocks:
-        als = als.setNumBlocks(blocks)
-    return als.fit(ratings)
+    return als.setNumBlocks(blocks).fit(ratings)
 
 
 def factors_of(model: ALSModel) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +58,9 @@ def factors_of(model: ALSModel) -> tuple[DataFrame, DataFrame]:
     )
 
 
-# Pairs that one task of `predict_pairs` holds.
-PAIR_ROWS = 1_000_000
+# Pairs that one task of `predict_pairs` holds, and values of its factors of either side.
+PAIR_ROWS = 500_000
+PAIR_VALUES = 1_000_000
 
 # Factor tables of so many values are broadcast.
 BROADCAST_VALUES = 1_000_000
@@ -63,8 +72,8 @@ def predict_pairs(
     """``(user, item, score)`` for given pairs; unknown ids are left out.
 
     Factors are many times as wide as a pair.  Where pairs are many, they go to the stripes of both factor tables, of
-    about `STRIPE_VALUES` values, and no factor goes along with a pair; a pair of stripes with more than ``held``
-    pairs is dealt to several tasks.  Few pairs, ids that are not whole numbers, and factors of unequal length or with
+    at most about `PAIR_VALUES` values, and no factor goes along with a pair.  Stripes are as many as pairs of them
+    with ``held`` pairs each need; one with more pairs than that is dealt to several tasks.  Few pairs, ids that are not whole numbers, and factors of unequal length or with
     nulls take two joins.  Pairs are counted first: give a table or a short lineage.
     """
     pairs = pairs.select("user", "item")
@@ -81,17 +90,31 @@ def predict_pairs(
     whole = {"tinyint", "smallint", "int", "bigint"}
     kinds = {*dict(pairs.dtypes).values(), dict(users.dtypes)["id"], dict(items.dtypes)["id"]}
     plain = kinds - whole or {*wide} != {*narrow} or len({*wide}) > 1 or min(wide) < 1 or any(nulls)
-    stripes = [max(1, -(-n * w // STRIPE_VALUES)) for n, w in zip(rows, wide)]
     if max(n * w for n, w in zip(rows, wide)) <= small:
         users, items = F.broadcast(users), F.broadcast(items)
-    elif not plain and pairs.count() > rows[0] * stripes[1] + rows[1] * stripes[0]:
-        return _predict_in_stripes(pairs, users, items, stripes, held)
+    elif not plain:
+        number = pairs.count()
+        stripes = _stripes(number, rows, wide[0], held)
+        if number > rows[0] * stripes[1] + rows[1] * stripes[0]:
+            return _predict_in_stripes(pairs, users, items, stripes, held)
     u = users.select(F.col("id").alias("user"), F.col("factors").alias("_u"))
     i = items.select(F.col("id").alias("item"), F.col("factors").alias("_i"))
     joined = pairs.join(u, "user").join(i, "item")
     return joined.select("user", "item", vectors.dot(F.col("_u"), F.col("_i")).alias("score"))
 
 
+def _stripes(number: int, rows: Sequence[int], width: int, held: int) -> list[int]:
+    """Stripes of users and items: enough for ``held`` pairs in a pair of stripes, with few copies of factors."""
+    users, items = (max(1, -(-n * width // PAIR_VALUES)) for n in rows)
+    while users * items * held < number:
+        # A stripe more on one side is a copy more of the other side.
+        if rows[1] * users <= rows[0] * items:
+            users *= 2
+        else:
+            items *= 2
+    return [users, items]
+
+
 def _predict_in_stripes(pairs: DataFrame, users: DataFrame, items: DataFrame, stripes: list[int], held: int) -> DataFrame:
     """Scores of pairs at the pair of stripes they belong to; sums run in order of the factors, as in `vectors.dot`."""
     cell, kinds = ["_us", "_is", "_part"], dict(pairs.dtypes)
@@ -121,34 +144,42 @@ def _predict_in_stripes(pairs: DataFrame, users: DataFrame, items: DataFrame, st
     )
     cells = sizes.select("_us", "_is", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
 
-    def packed(df: DataFrame, own: str, count: int, side: int) -> DataFrame:
-        held_rows = df.dropna(subset=["id"]).groupBy(stripe("id", count).alias(own)).agg(
-            F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "factors")).alias("_rows")
-        )
-        return held_rows.join(F.broadcast(cells), own).select(
-            *cell, F.lit(side).alias("side"), F.col("_rows.id").alias("ids"), F.flatten("_rows.factors").alias("flat")
-        )
+    def copies_of(df: DataFrame, own: str, count: int, side: int) -> DataFrame:
+        rows = df.dropna(subset=["id"]).select(stripe("id", count).alias(own), F.col("id").cast("long").alias("id"), "factors")
+        return rows.join(F.broadcast(cells), own).select(*cell, F.lit(side).alias("side"), "id", "factors")
 
-    factors = packed(users, "_us", stripes[0], 0).unionByName(packed(items, "_is", stripes[1], 1)).repartition(tasks, *cell)
+    factors = copies_of(users, "_us", stripes[0], 0).unionByName(copies_of(items, "_is", stripes[1], 1))
+    factors = factors.repartition(tasks, *cell)
 
-    def score(some: pd.DataFrame, held_factors: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or held_factors["side"].nunique() < 2:
-            return pd.DataFrame({"user": [], "item": [], "score": [], "n": []}).astype(kind)
-        found, by_side = some[["user", "item", "n"]], {}
+    def score(some: pa.Table, held_factors: pa.Table) -> pa.Table:
+        found = {c: some.column(c).to_numpy() for c in ("user", "item", "n")} if len(some) else {}
+        found = found or {c: np.zeros(0, np.int64) for c in ("user", "item", "n")}
+        at, by_side = {}, {}
         for side, key in ((0, "user"), (1, "item")):
-            row = held_factors[held_factors["side"] == side].iloc[0]
-            ids = np.asarray(row["ids"], dtype=np.int64)
-            by_side[side] = np.asarray(row["flat"], dtype=np.float64).reshape(len(ids), -1)
-            found = found.merge(pd.DataFrame({key: ids, f"at{side}": np.arange(len(ids))}), on=key)
-        scores = np.zeros(len(found))
-        for start in range(0, len(found), 65536):
-            u, i = (by_side[side][found[f"at{side}"].to_numpy()[start : start + 65536]] for side in (0, 1))
+            rows = held_factors.filter(pc.equal(held_factors.column("side"), side)) if len(held_factors) else held_factors
+            if not len(rows):
+                found = {c: v[:0] for c, v in found.items()}
+                return pa.table({"user": found["user"], "item": found["item"], "score": np.zeros(0), "n": found["n"]})
+            ids = rows.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            flat = pa.concat_arrays(rows.column("factors").chunks).flatten().to_numpy(zero_copy_only=False)
+            by_side[side] = flat.reshape(len(ids), -1)
+            # An id that is given twice scores twice.
+            ids = ids[order]
+            first = np.searchsorted(ids, found[key])
+            times = np.searchsorted(ids, found[key], "right") - first
+            of = np.repeat(np.arange(len(times)), times)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + first[of]
+            found, at = ({c: v[of] for c, v in d.items()} for d in (found, at))
+            at[side] = order[place]
+        scores = np.zeros(len(at[0]))
+        for start in range(0, len(scores), 65536):
+            u, i = (by_side[side][at[side][start : start + 65536]] for side in (0, 1))
             for place in range(u.shape[1]):
                 scores[start : start + 65536] += u[:, place] * i[:, place]
-        return pd.DataFrame({"user": found["user"], "item": found["item"], "score": scores, "n": found["n"]})
+        return pa.table({"user": found["user"], "item": found["item"], "score": scores, "n": found["n"]})
 
-    kind = {"user": "int64", "item": "int64", "score": "float64", "n": "int64"}
-    scored = dealt.groupBy(*cell).cogroup(factors.groupBy(*cell)).applyInPandas(
+    scored = dealt.groupBy(*cell).cogroup(factors.groupBy(*cell)).applyInArrow(
         score, "user long, item long, score double, n long"
     )
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))

@@ -666,3 +666,32 @@ def test_fits_and_predictions_share_rows_made_once(spark, monkeypatch):
     alone = trees.tree_regressor(rows, "features", "label", depth=2)
     # Below the line with its name, the model is the same.
     assert not kept.is_cached and alone.toDebugString.split("\n")[1:] == shared.toDebugString.split("\n")[1:]
+
+
+def test_ids_given_twice_score_twice_in_stripes(spark):
+    pairs = spark.createDataFrame([(n % 7, n % 11) for n in range(400)], "user long, item long")
+    factors = lambda n: spark.createDataFrame([(k % n, [1.0 * k, 2.0]) for k in range(n + 2)], "id long, factors array<double>")
+    users, items = factors(6), factors(11)
+    want = sorted(map(tuple, recommend.predict_pairs(pairs, users, items).collect()))
+    got = recommend.predict_pairs(pairs, users, items, small=0, held=20)
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("rows", [(5_400_000, 360_000), (300_000, 300_000), (10, 2_000_000)])
+def test_stripes_follow_the_pairs_with_few_copies_of_factors(rows):
+    """Pairs of stripes hold bounded pairs, and no stripe goes whole to each of many parts of a pair."""
+    users, items = recommend._stripes(212_000_000, rows, 5, 500_000)
+    assert 212_000_000 / (users * items) <= 500_000
+    assert rows[0] * 5 / users <= 1_000_000 and rows[1] * 5 / items <= 1_000_000
+    copies = rows[0] * items + rows[1] * users
+    assert copies < 0.1 * 212_000_000
+
+
+def test_blocks_of_a_factorization_follow_the_ratings(spark, monkeypatch):
+    """A block of ratings is held and sorted in one task."""
+    ratings = spark.createDataFrame([(u, i, float(u + i)) for u in range(20) for i in range(10)], "user int, item int, rating float")
+    fit = lambda: recommend.factorize(ratings, rank=2, iterations=1).userFactors.rdd.getNumPartitions()
+    assert fit() == 10
+    monkeypatch.setattr(recommend, "RATINGS_OF_BLOCK", 9)
+    assert fit() == 23
