@@ -14,7 +14,7 @@ from hinloom.functions import vectors as v
 from hinloom.operators import bayes, clustering, linear, mining, recommend, trees
 from hinloom.operators import evaluation as ev
 from hinloom.operators import features as text_features
-from hinloom.runtime import materialize, new_path
+from hinloom.runtime import collect_garbage, materialize, new_path
 from hinloom.sources import generators as gen
 from hinloom.sources import models
 from hinloom.streaming.kmeans import StreamingKMeans
@@ -496,7 +496,10 @@ def als_model(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.avg("l_quantity").cast("float").alias("rating"))
     )
     ratings = materialize(ratings, "ratings")
-    users, items = recommend.factors_of(recommend.factorize(ratings, rank=5, iterations=3, reg=0.1))
+    model = recommend.factorize(ratings, rank=5, iterations=3, reg=0.1)
+    users, items = (materialize(f, "factors") for f in recommend.factors_of(model))
+    del model
+    collect_garbage(spark)
     scored = recommend.predict_pairs(ratings, users, items).join(ratings, ["user", "item"])
     return ev.regression_summary(scored, "rating", "score")
 

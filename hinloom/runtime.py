@@ -7,6 +7,7 @@ parquet tables below the folder the session names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -98,6 +99,15 @@ def released_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles and cached blocks of RDD code (Spark's own fits) that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
