@@ -8,7 +8,7 @@
    rotated space.  The join of the sequence with itself descends from the whole one: a pair of intervals whose
    boxes are further apart than epsilon is skipped; a pair whose boxes lie within epsilon as a whole is linked
    without looking at its members; any other pair is taken apart.
-4. Blocks that are left are multiplied in tasks that hold two tiles of 16 blocks.  A task returns one row per linked
+4. Blocks that are left are multiplied in tasks that hold two tiles of 16 blocks or more, in rounds.  A task returns one row per linked
    class, its count of links and a class it can be reached from, never the pairs.
 
 So a large group of near copies costs as many rows as it has members, and where it is narrow it is not multiplied.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hinloom.llm.ann import usable
 from hinloom.llm.near_dedup import components
-from hinloom.runtime import broadcast_if_small, materialize, ordered_ids
+from hinloom.runtime import broadcast_if_small, discard, materialize, ordered_ids
 
 COSINE = 0.9
 
@@ -36,6 +36,11 @@ GRID_DIMS = 8
 BLOCK = 256
 FAN = 16
 
+# Bytes of a tile, where there are so many tiles at least, and the least that moves in one round.
+TILE_BYTES = 8 << 20
+LEAST_TILES = 16
+ROUND_BYTES = 128 << 20
+
 # Distances of unit vectors are known up to this; squares, as everywhere here.
 SLACK = 1e-9
 
@@ -207,10 +212,10 @@ _KEPT_LINKS = 1 << 20
 
 
 def _tile_links(
-    one: list[dict], two: list[dict], pairs: list[tuple[int, int]], dim: int, cosine: float, block: int
+    blocks: list[dict], pairs: list[tuple[int, int]], dim: int, cosine: float, block: int
 ) -> dict[str, np.ndarray]:
     """Links between the blocks of two tiles: a row per linked class."""
-    held = {r["interval"]: r for r in [*one, *two]}
+    held = {r["interval"]: r for r in blocks}
     names = sorted(held)
     sizes = {i: np.frombuffer(held[i]["sizes"], "<i8") for i in names}
     units = {i: np.frombuffer(held[i]["units"], "<f8").reshape(-1, dim) for i in names}
@@ -241,32 +246,38 @@ def _tile_links(
 
 
 def _block_links(packed: DataFrame, pairs: DataFrame, dim: int, cosine: float, block: int, fan: int) -> DataFrame:
-    """``node, links, other`` from the pairs of blocks, with both tiles of a pair in one task."""
+    """``node, links, other`` from the pairs of blocks, with all blocks of a pair of tiles in one task.
+
+    A tile grows with the number of blocks up to `TILE_BYTES`, as a block moves once per pair of tiles that asks for it.
+    Pairs of tiles meet in rounds, which move about as much as there is, and leave nothing but links.
+    """
+    block_bytes, count = 8 * block * dim, packed.count()
+    span = fan * max(1, min(count // (fan * LEAST_TILES), TILE_BYTES // (fan * block_bytes)))
 
     def tile(column: str) -> Column:
-        return F.floor(F.col(column) / fan)
+        return F.floor(F.col(column) / span)
 
+    key = ["tile_a", "tile_b"]
     pairs = pairs.select("a", "b", tile("a").alias("tile_a"), tile("b").alias("tile_b"))
-    grouped = materialize(
-        pairs.groupBy("tile_a", "tile_b").agg(F.collect_list(F.struct("a", "b")).alias("pairs")),  # the square of `fan` at most
-        "tile-pairs",
-    )
-    held = packed.select("interval", "sizes", "units", tile("interval").alias("tile"))
-    needed_a = broadcast_if_small(grouped.select(F.col("tile_a").alias("tile"), "tile_a", "tile_b", "pairs"))
-    other = grouped.where("tile_a != tile_b").select(F.col("tile_b").alias("tile"), "tile_a", "tile_b")
-    left = held.join(needed_a, "tile").drop("tile")
-    right = held.join(broadcast_if_small(other), "tile").select(
-        F.col("interval").alias("interval_b"), F.col("sizes").alias("sizes_b"), F.col("units").alias("units_b"),
-        F.col("tile_a").alias("to_a"), F.col("tile_b").alias("to_b"),
-    )
-
-    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
-        rows = one.to_pylist()
-        wanted = [(p["a"], p["b"]) for p in rows[0]["pairs"]] if rows else []
-        others = two.select(["interval_b", "sizes_b", "units_b"]).rename_columns(["interval", "sizes", "units"])
-        return pa.table(_tile_links(rows, others.to_pylist(), wanted, dim, cosine, block))
-
-    return left.groupBy("tile_a", "tile_b").cogroup(right.groupBy("to_a", "to_b")).applyInArrow(meet, _FOUND)
+    listed = pairs.groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # the square of `span` at most
+    grouped = materialize(listed.withColumn("asked", F.array_union("pairs.a", "pairs.b")), "tile-pairs")
+    number, asked = grouped.agg(F.count(F.lit(1)), F.sum(F.size("asked"))).first()
+    rounds = max(1, -(-(asked or 0) * block_bytes // max(ROUND_BYTES, count * block_bytes)))
+    tasks = max(1, 2 * number // rounds)
+
+    def meet(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = wanted.column("pairs").to_pylist()
+        return pa.table(_tile_links(blocks.to_pylist(), [(p["a"], p["b"]) for p in rows[0]] if rows else [], dim, cosine, block))
+
+    found = None
+    for turn in range(rounds):
+        mine = grouped.where(F.pmod(F.xxhash64(*key), F.lit(rounds)) == turn)
+        asking = mine.select(F.col("tile_a").alias("to_a"), F.col("tile_b").alias("to_b"), F.explode("asked").alias("interval"))
+        blocks = packed.select("interval", "sizes", "units").join(asking, "interval").repartition(tasks, "to_a", "to_b")
+        met = blocks.groupBy("to_a", "to_b").cogroup(mine.select(*key, "pairs").repartition(tasks, *key).groupBy(*key))
+        links = materialize(met.applyInArrow(meet, _FOUND), "block-links")
+        found = links if found is None else found.union(links)
+    return found
 
 
 def _whole_links(placed: DataFrame, intervals: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -314,8 +325,13 @@ def link(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK, fan: int =
     if dim is None:
         return all_rows.select("id", F.lit(0).cast("long").alias("n_links"), alone, F.lit(True).alias("kept"))
     axes = principal_axes(classes, dim)
-    placed = materialize(sequence(classes, axes, epsilon), "sequence")
-    packed = materialize(blocks(placed, axes, block), "blocks")
+    in_order = sequence(classes, axes, epsilon)
+    with_vectors = materialize(in_order, "sequence")
+    discard(in_order)
+    discard(classes)
+    packed = materialize(blocks(with_vectors, axes, block), "blocks")
+    placed = materialize(with_vectors.drop("vector"), "places")
+    discard(with_vectors)
     levels = [packed.drop("sizes", "units")]
     while not levels[-1].where("interval > 0").isEmpty():
         levels.append(materialize(_wider(levels[-1], fan), "intervals"))

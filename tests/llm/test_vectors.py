@@ -128,6 +128,26 @@ def test_links_equal_all_pairs(spark, block, fan):
     assert sorted(map(tuple, got.collect()), key=str) == plain_links(rows)
 
 
+def test_blocks_meet_in_rounds_that_move_bounded_bytes(spark, monkeypatch):
+    """The tiles of all pairs are not on disk at once, a tile grows with the blocks, and vectors are kept once."""
+    rows = [(i, v, 0) for i, v in enumerate(vectors(300, 6, 9, 0.4))]
+    df = spark.createDataFrame(rows, LINKS).repartition(3)
+    want = plain_links([r[:2] for r in rows])
+    written, write = [], grid_join.materialize
+    monkeypatch.setattr(grid_join, "materialize", lambda df, label: written.append((label, out := write(df, label))) or out)
+    monkeypatch.setattr(grid_join, "ROUND_BYTES", 1)
+    monkeypatch.setattr(grid_join, "LEAST_TILES", 5)
+    got = grid_join.link(df, block=4, fan=2)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    steps = dict(written)
+    assert len([1 for label, _ in written if label == "block-links"]) > 1
+    most = steps["tile-pairs"].agg(F.max(F.floor(F.col("tile_b")))).first()[0]
+    assert 2 <= most <= 8  # 75 blocks: tiles of 14, not of 2
+    for gone in ("classes", "sequence"):
+        with pytest.raises(Exception, match="(?i)not.?exist|no such file|not_exist"):
+            steps[gone].count()
+
+
 def test_links_without_rows(spark):
     df = spark.createDataFrame([(1, [1.0], 0), (2, None, 0)], LINKS)
     assert grid_join.link(df.limit(0)).count() == 0
