@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -505,3 +506,37 @@ def test_similarities_lie_by_their_source(spark, monkeypatch):
     lying = given[0].withColumn("task", F.spark_partition_id())
     placed = lying.groupBy("src").agg(F.countDistinct("task").alias("n"), F.count("dst").alias("k"))
     assert given[0].rdd.getNumPartitions() == 8 and {(r["n"], r["k"]) for r in placed.collect()} == {(1, 20)}
+
+
+@pytest.mark.parametrize("edges_of_block", [1_000_000, 40])
+def test_power_iteration_by_blocks(spark, monkeypatch, edges_of_block):
+    """Steps from the degrees equal dense ones; loops do not count, equal edges add up, and Spark's graph is not built."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(12), rng.randrange(12), float(rng.randrange(1, 5))) for _ in range(120)]
+    rows += [(rng.randrange(100, 130), rng.randrange(100, 130), 3.0) for _ in range(300)] + [(3, 105, 0.01), (500, 500, 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    ids = sorted({e for a, b, _ in rows if a != b for e in (a, b)})
+    w = np.zeros((len(ids), len(ids)))
+    for a, b, x in rows:
+        if a != b:
+            w[ids.index(a), ids.index(b)] += x
+            w[ids.index(b), ids.index(a)] += x
+    v = w.sum(1) / w.sum()
+    for _ in range(5):
+        v = w @ v / w.sum(1)
+        v /= np.abs(v).sum()
+    monkeypatch.setattr(affinity, "BLOCK_EDGES", edges_of_block)
+    got = {r["id"]: r["value"] for r in affinity.power_iterate(edges, 5).collect()}
+    assert sorted(got) == ids and [got[i] for i in ids] == pytest.approx(v.tolist(), rel=1e-9)
+
+    def pairs(found):
+        by = {r["id"]: r["cluster"] for r in found.collect()}
+        return sorted(by), {(a, b) for a in by for b in by if by[a] == by[b]}
+
+    spark_ids, together = pairs(PowerIterationClustering(k=2, maxIter=5, initMode="degree", weightCol="weight").assignClusters(edges))
+    monkeypatch.setattr(PowerIterationClustering, "assignClusters", None)
+    assert pairs(affinity.cluster(edges, 2, 5, "degree")) == (spark_ids, together)
+    with pytest.raises(Exception, match="negative"):
+        affinity.cluster(edges.withColumn("weight", F.col("weight") - 2), 2, 5, "degree").collect()
