@@ -685,7 +685,8 @@ def test_stripes_follow_the_pairs_with_few_copies_of_factors(rows):
     assert 212_000_000 / (users * items) <= 500_000
     assert rows[0] * 5 / users <= 1_000_000 and rows[1] * 5 / items <= 1_000_000
     copies = rows[0] * items + rows[1] * users
-    assert copies < 0.1 * 212_000_000
+    least = min(rows[0] * -(-424 // u) + rows[1] * u for u in range(1, 425))
+    assert copies < 1.5 * least
 
 
 def test_blocks_of_a_factorization_follow_the_ratings(spark, monkeypatch):
